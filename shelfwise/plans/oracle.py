@@ -168,3 +168,81 @@ SELECT CAST(r.m AS INTEGER) AS month, round(coalesce(t.total, 0), 0) AS total_se
 FROM (SELECT range AS m FROM range(1, 13)) r
 LEFT JOIN (SELECT month(order_date) AS m, sum(sell) AS total FROM filtered
            WHERE order_date IS NOT NULL GROUP BY 1) t ON t.m = r.m"""
+
+ORACLE["w2_yoy"] = with_(*BASE) + """,
+y AS (SELECT year, sum(sell) AS total_sell FROM filtered WHERE year IS NOT NULL GROUP BY year)
+SELECT year, round(total_sell, 0) AS total_sell,
+       round(CASE WHEN lag(total_sell) OVER (ORDER BY year) <> 0
+                  THEN (total_sell - lag(total_sell) OVER (ORDER BY year)) / lag(total_sell) OVER (ORDER BY year) * 100 END, 6) AS yoy_pct
+FROM y"""
+
+ORACLE["w3_mom"] = with_(*BASE, monthly_series_sql("filtered", "sell", "sell")) + """
+SELECT period_end, round(sell, 0) AS sell,
+       round(CASE WHEN lag(sell) OVER (ORDER BY ps) <> 0
+                  THEN (sell - lag(sell) OVER (ORDER BY ps)) / lag(sell) OVER (ORDER BY ps) * 100 END, 6) AS mom_pct
+FROM s"""
+
+
+def _calendar_sql(src: str, date_col: str, value: str, trunc: str, step: str, end: str, keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    kjoin = f" USING ({keys}, ps)" if keys else " USING (ps)"
+    by = f"GROUP BY {keys}" if keys else ""
+    return f"""m AS (SELECT {k}{trunc} AS ps, sum({value}) AS v FROM {src} WHERE {date_col} IS NOT NULL GROUP BY ALL),
+cal AS (SELECT {k}CAST(unnest(generate_series(CAST(min(ps) AS TIMESTAMP), CAST(max(ps) AS TIMESTAMP), {step})) AS DATE) AS ps FROM m {by}),
+s AS (SELECT {k}cal.ps, {end} AS period_end, coalesce(m.v, 0.0) AS v FROM cal LEFT JOIN m{kjoin})"""
+
+
+ORACLE["t1_resample_week"] = with_(*BASE, _calendar_sql(
+    "filtered", "order_date", "sell", "CAST(date_trunc('week', order_date) AS DATE)", "INTERVAL 7 DAY",
+    "CAST(cal.ps + INTERVAL 6 DAY AS DATE)")) + "SELECT period_end, round(v, 0) AS sell FROM s"
+
+ORACLE["t1_resample_day"] = with_(*BASE, _calendar_sql(
+    "filtered", "order_date", "sell", "CAST(order_date AS DATE)", "INTERVAL 1 DAY", "cal.ps")) + \
+    "SELECT period_end, round(v, 0) AS sell FROM s"
+
+ORACLE["t1_resample_year"] = with_(*BASE, _calendar_sql(
+    "filtered", "order_date", "sell", "CAST(date_trunc('year', order_date) AS DATE)", "INTERVAL 1 YEAR",
+    "CAST(cal.ps + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE)")) + "SELECT period_end, round(v, 0) AS sell FROM s"
+
+ORACLE["t1_events_daily_by_type"] = with_(_calendar_sql(
+    "events", "ts", "value", "CAST(ts AS DATE)", "INTERVAL 1 DAY", "cal.ps", keys="event_type")) + \
+    "SELECT event_type, period_end, round(v, 6) AS value FROM s"
+
+
+def _decompose_sql(extrapolate: bool, keys: str = "") -> str:
+    part = f"PARTITION BY {keys} " if keys else ""
+    k = f"{keys}, " if keys else ""
+    on = " AND ".join([f"t.{c} = ph2.{c}" for c in keys.split(", ")] + ["t.idx % 12 = ph2.phase"]) if keys else "t.idx % 12 = ph2.phase"
+    w = f"OVER ({part}ORDER BY ps"
+    sql = f"""s2 AS (SELECT *, row_number() {w}) - 1 AS idx, count(*) OVER ({part.strip()}) AS n FROM s),
+t0 AS (SELECT *, (sum(v) {w} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+                  + (lag(v, 6) {w}) + lead(v, 6) {w})) / 2) / 12 AS trend FROM s2 WHERE n >= 24)"""
+    if extrapolate:
+        sql += f""",
+f AS (SELECT {k}min(idx) FILTER (WHERE trend IS NOT NULL) AS front, max(idx) FILTER (WHERE trend IS NOT NULL) AS back
+      FROM t0 {'GROUP BY ' + keys if keys else ''}),
+fit AS (SELECT {k}
+          regr_slope(CASE WHEN idx >= front AND idx < least(front + 12, back) THEN trend END, CAST(idx AS DOUBLE)) AS kf,
+          regr_intercept(CASE WHEN idx >= front AND idx < least(front + 12, back) THEN trend END, CAST(idx AS DOUBLE)) AS nf,
+          regr_slope(CASE WHEN idx >= greatest(front, back - 12) AND idx < back THEN trend END, CAST(idx AS DOUBLE)) AS kb,
+          regr_intercept(CASE WHEN idx >= greatest(front, back - 12) AND idx < back THEN trend END, CAST(idx AS DOUBLE)) AS nb,
+          any_value(front) AS front, any_value(back) AS back
+        FROM t0 {'JOIN f USING (' + keys + ')' if keys else ', f'} {'GROUP BY ' + keys if keys else ''}),
+t AS (SELECT t0.* REPLACE (CASE WHEN idx < front THEN kf * idx + nf WHEN idx > back THEN kb * idx + nb ELSE trend END AS trend)
+      FROM t0 {'JOIN fit USING (' + keys + ')' if keys else ', fit'})"""
+    else:
+        sql += ",\nt AS (SELECT * FROM t0)"
+    sql += f""",
+ph AS (SELECT {k}idx % 12 AS phase, avg(v - trend) AS pm FROM t GROUP BY ALL),
+ph2 AS (SELECT {k}phase, pm - avg(pm) OVER ({part.strip()}) AS seasonal FROM ph)
+SELECT {', '.join('t.' + c for c in keys.split(', ')) + ', ' if keys else ''}t.period_end, round(t.v, 0) AS sell, round(t.trend, 0) AS trend,
+       round(ph2.seasonal, 0) AS seasonal, round(t.v - t.trend - ph2.seasonal, 0) AS resid
+FROM t JOIN ph2 ON {on}"""
+    return sql
+
+
+ORACLE["t2_decompose"] = with_(*BASE, monthly_series_sql("filtered", "sell", "v"), _decompose_sql(False))
+ORACLE["t2b_decompose_extrapolated"] = with_(*BASE, monthly_series_sql("filtered", "sell", "v"), _decompose_sql(True))
+ORACLE["t2_decompose_by_category"] = with_(*BASE, _calendar_sql(
+    "filtered", "order_date", "sell", "CAST(date_trunc('month', order_date) AS DATE)", "INTERVAL 1 MONTH",
+    "last_day(cal.ps)", keys="category"), _decompose_sql(False, keys="category"))

@@ -115,3 +115,57 @@ def q_year_month_pivot(spark, sf_dir):
 @register("g12_month_of_year")
 def q_month_of_year(spark, sf_dir):
     return rounded(aggs.month_of_year(filtered(spark, sf_dir)), 0)
+
+
+# --- W/T: windows and time series ----------------------------------------------
+@register("w2_yoy")
+def q_yoy(spark, sf_dir):
+    return rounded(series.yoy(filtered(spark, sf_dir)), 0, {"yoy_pct": 6})
+
+
+def _monthly_sell(spark, sf_dir):
+    return series.resample(filtered(spark, sf_dir), "sell", "month", name="sell")
+
+
+@register("w3_mom")
+def q_mom(spark, sf_dir):
+    return rounded(series.mom(_monthly_sell(spark, sf_dir), "sell"), 0, {"mom_pct": 6})
+
+
+@register("t1_resample_week")
+def q_resample_week(spark, sf_dir):
+    return rounded(series.resample(filtered(spark, sf_dir), "sell", "week", name="sell"), 0)
+
+
+@register("t1_resample_day")
+def q_resample_day(spark, sf_dir):
+    return rounded(series.resample(filtered(spark, sf_dir), "sell", "day", name="sell"), 0)
+
+
+@register("t1_resample_year")
+def q_resample_year(spark, sf_dir):
+    return rounded(series.resample(filtered(spark, sf_dir), "sell", "year", name="sell"), 0)
+
+
+@register("t1_events_daily_by_type")
+def q_events_daily(spark, sf_dir):
+    from shelfwise.sources.fixtures import table
+
+    ev = table(spark, sf_dir, "events")
+    return rounded(series.resample(ev, "value", "day", date_col="ts", keys=["event_type"], name="value"), 6)
+
+
+@register("t2_decompose")
+def q_decompose(spark, sf_dir):
+    return rounded(series.decompose(_monthly_sell(spark, sf_dir), "sell", 12), 0)
+
+
+@register("t2b_decompose_extrapolated")
+def q_decompose_extrapolated(spark, sf_dir):
+    return rounded(series.decompose(_monthly_sell(spark, sf_dir), "sell", 12, extrapolate=True), 0)
+
+
+@register("t2_decompose_by_category")
+def q_decompose_by_category(spark, sf_dir):
+    m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
+    return rounded(series.decompose(m, "sell", 12, keys=["category"]), 0)
