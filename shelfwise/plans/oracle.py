@@ -246,3 +246,240 @@ ORACLE["t2b_decompose_extrapolated"] = with_(*BASE, monthly_series_sql("filtered
 ORACLE["t2_decompose_by_category"] = with_(*BASE, _calendar_sql(
     "filtered", "order_date", "sell", "CAST(date_trunc('month', order_date) AS DATE)", "INTERVAL 1 MONTH",
     "last_day(cal.ps)", keys="category"), _decompose_sql(False, keys="category"))
+
+
+# --- P: projections and cleaning -------------------------------------------------------
+from shelfwise.functions.parse import FIRST_DIGITS, FIRST_NUMBER, KMB_PATTERN, KMB_PATTERN_STRICT, WS_CLASS  # noqa: E402
+
+STRIP = f"^{WS_CLASS}+|{WS_CLASS}+$"
+KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, '{STRIP}', '', 'g')"
+
+
+NUMS = """nums AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CASE (l_orderkey + l_linenumber) % 12
+           WHEN 0 THEN th || '.' || rest || 'k'
+           WHEN 1 THEN '৳' || th || ',' || rest
+           WHEN 2 THEN q || ' M'
+           WHEN 3 THEN '-' || q
+           WHEN 4 THEN '-' || q || 'k'
+           WHEN 5 THEN 'tk ' || q
+           WHEN 6 THEN ''
+           WHEN 7 THEN 'abc'
+           WHEN 8 THEN th || ',' || rest || ' BDT'
+           WHEN 9 THEN ' ' || q || 'b '
+           WHEN 10 THEN NULL
+           ELSE q || '.5' END AS raw
+  FROM (SELECT *, CAST(CAST(unit AS BIGINT) AS VARCHAR) AS q,
+               CAST(CAST(floor(sell) AS BIGINT) // 1000 AS VARCHAR) AS th,
+               lpad(CAST(CAST(floor(sell) AS BIGINT) % 1000 AS VARCHAR), 3, '0') AS rest
+        FROM sales) t)"""
+
+CLEANED = f"""cl AS (
+  SELECT *, {_strip("replace(replace(replace(s, ',', ''), '৳', ''), 'tk', '')")} AS c
+  FROM (SELECT *, {_strip('raw')} AS s FROM nums) t)"""
+
+MULT = "CASE lower({suf}) WHEN 'k' THEN 1000.0 WHEN 'm' THEN 1000000.0 WHEN 'b' THEN 1000000000.0 END"
+
+ORACLE["p1_parse_kmb"] = with_(SALES, NUMS, CLEANED) + f"""
+SELECT {KEYS}, raw,
+  round(CASE WHEN raw IS NULL OR s = '' THEN NULL
+       WHEN regexp_extract(c, '{KMB_PATTERN}', 2) <> ''
+         THEN TRY_CAST(regexp_extract(c, '{KMB_PATTERN}', 1) AS DOUBLE) * {MULT.format(suf=f"regexp_extract(c, '{KMB_PATTERN}', 2)")}
+       ELSE TRY_CAST(NULLIF(regexp_extract(c, '{FIRST_NUMBER}', 0), '') AS DOUBLE) END, 6) AS value
+FROM cl"""
+
+ORACLE["p1b_parse_kmb_strict"] = with_(SALES, NUMS, CLEANED) + f""",
+st AS (SELECT *, regexp_extract(c, '{KMB_PATTERN_STRICT}', 2) AS suf,
+              TRY_CAST(regexp_extract(c, '{KMB_PATTERN_STRICT}', 1) AS DOUBLE) AS sufnum,
+              TRY_CAST({_strip('c')} AS DOUBLE) AS direct,
+              TRY_CAST(NULLIF(regexp_extract(raw, '{FIRST_DIGITS}', 0), '') AS DOUBLE) AS fallback
+       FROM cl)
+SELECT {KEYS}, raw,
+  round(CASE WHEN raw IS NULL OR s = '' THEN NULL
+       WHEN suf <> '' AND sufnum IS NOT NULL THEN sufnum * {MULT.format(suf='suf')}
+       WHEN suf = '' AND direct IS NOT NULL THEN direct
+       ELSE fallback END, 6) AS value
+FROM st"""
+
+DIRTY = """dirty AS (
+  SELECT *,
+    CASE l_linenumber % 4 WHEN 0 THEN '1.5k' WHEN 1 THEN '৳1,200' WHEN 2 THEN '' ELSE 'n/a' END AS sell_text,
+    CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE unit END AS unit_missing,
+    CASE WHEN customer % 11 = 0 THEN NULL ELSE gender END AS gender_missing,
+    CASE WHEN l_orderkey % 13 = 0 THEN 'bad' ELSE CAST(order_date AS VARCHAR) END AS order_date_text,
+    sell * CASE WHEN l_partkey % 50 = 0 THEN 100.0 ELSE 1.0 END AS sell_outlier
+  FROM sales)"""
+
+ORACLE["p2_to_number"] = with_(SALES, DIRTY) + f"""
+SELECT {KEYS}, round(TRY_CAST(sell_text AS DOUBLE), 6) AS sell_num,
+       round(coalesce(TRY_CAST(unit_missing AS DOUBLE), 1.0), 6) AS unit_filled FROM dirty"""
+
+ORACLE["p3_to_ts"] = with_(SALES, DIRTY) + f"""
+SELECT {KEYS}, order_date_text, TRY_CAST(order_date_text AS TIMESTAMP) AS order_ts FROM dirty"""
+
+ORACLE["p4_norm_key"] = f"SELECT p_partkey, lower({_strip('p_name')}) AS book FROM part"
+
+ORACLE["p5_repeat_flag"] = with_(SALES, PREPARED) + f"SELECT {KEYS}, repeated_customer, repeated_customer_flag FROM prepared"
+
+ORACLE["p6_date_parts"] = with_(SALES, DIRTY) + f"""
+SELECT {KEYS}, CAST(coalesce(year(TRY_CAST(order_date_text AS TIMESTAMP)), year) AS INTEGER) AS year,
+       CAST(month(TRY_CAST(order_date_text AS TIMESTAMP)) AS INTEGER) AS month FROM dirty"""
+
+ORACLE["p7_profit"] = with_(SALES) + f"""
+SELECT {KEYS}, round(sell - cost, 6) AS profit, round(coalesce(sell_price - buying_price, 0.0), 6) AS profit_fallback FROM sales"""
+
+ORACLE["p8_clipped_profit"] = with_(SALES) + f"""
+SELECT {KEYS}, round(greatest((coalesce(sell_price, 0.0) - coalesce(buying_price, 0.0)) * coalesce(unit, 1.0), 0.0), 6) AS clipped_profit
+FROM sales"""
+
+ORACLE["p9_fill_unknown"] = with_(SALES, DIRTY) + f"SELECT {KEYS}, coalesce(gender_missing, 'Unknown') AS gender_missing FROM dirty"
+
+ORACLE["p10_fill_zero"] = with_(SALES, DIRTY) + f"""
+SELECT {KEYS}, coalesce(unit_missing, 0.0) AS unit_missing, coalesce(gender_missing, '0') AS gender_missing FROM dirty"""
+
+ORACLE["p11_fill_median"] = with_(SALES, DIRTY) + f""",
+med AS (SELECT quantile_cont(unit_missing, 0.5) AS m FROM dirty)
+SELECT {KEYS}, round(coalesce(unit_missing, med.m), 6) AS unit_missing FROM dirty, med"""
+
+ORACLE["p12_fill_mode"] = with_(SALES, DIRTY) + f""",
+md AS (SELECT gender_missing AS m FROM dirty WHERE gender_missing IS NOT NULL
+       GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT {KEYS}, coalesce(gender_missing, (SELECT m FROM md)) AS gender_missing FROM dirty"""
+
+ORACLE["p13_standardize_category"] = with_(SALES, DIRTY) + f"""
+SELECT {KEYS}, CASE WHEN lower({_strip('gender_missing')}) IN ('automobile', 'building')
+                    THEN lower({_strip('gender_missing')}) ELSE 'unknown' END AS segment FROM dirty"""
+
+ORACLE["p14_high_value_flag"] = with_(SALES, PREPARED) + f""",
+thr AS (SELECT quantile_cont(profit, 0.8) AS t FROM prepared)
+SELECT {KEYS}, round(profit, 6) AS profit, CASE WHEN profit >= thr.t THEN 1 ELSE 0 END AS high_value_customer
+FROM prepared, thr"""
+
+
+def _iqr_steps(cols: list[str], src: str) -> str:
+    parts, prev = [], src
+    for i, c in enumerate(cols):
+        parts.append(f"""b{i} AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {prev}),
+k{i} AS (SELECT {prev}.* FROM {prev}, b{i}
+        WHERE {c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1))""")
+        prev = f"k{i}"
+    return ",\n".join(parts)
+
+
+ORACLE["p15_iqr_filter"] = with_(SALES, DIRTY, f"""d2 AS (SELECT {KEYS}, sell_price, sell_outlier, cost, sell - cost AS profit FROM dirty)""",
+                                 _iqr_steps(["sell_price", "sell_outlier", "cost", "profit"], "d2")) + f"""
+SELECT {KEYS}, round(sell_price, 6) AS sell_price, round(sell_outlier, 6) AS sell_outlier,
+       round(cost, 6) AS cost, round(profit, 6) AS profit FROM k3"""
+
+
+def _codes(col: str) -> str:
+    return f"""c_{col} AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+             FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS v FROM sales WHERE {col} IS NOT NULL) t)"""
+
+
+ORACLE["p16_label_encode"] = with_(SALES, _codes("category"), _codes("gender"), _codes("delivery")) + f"""
+SELECT {', '.join('s.' + k for k in KEYS.split(', '))}, s.category, s.gender, s.delivery,
+       a.code AS category_code, b.code AS gender_code, c.code AS delivery_code
+FROM sales s LEFT JOIN c_category a ON s.category = a.v
+LEFT JOIN c_gender b ON s.gender = b.v LEFT JOIN c_delivery c ON s.delivery = c.v"""
+
+ORACLE["p17_standardize"] = with_(SALES, PREPARED) + f"""
+SELECT {KEYS},
+""" + ",\n".join(
+    f"  round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1.0), 6) AS {c}_z"
+    for c in ["age", "unit", "sell", "profit"]
+) + "\nFROM prepared"
+
+ORACLE["p18_drop_cols"] = with_(SALES) + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, order_date, customer, book, category, gender,
+       round(age, 6) AS age, delivery, round(unit, 6) AS unit, round(sell_price, 6) AS sell_price,
+       round(sell, 6) AS sell, round(discount_pct, 6) AS discount_pct, repeated_customer,
+       round(review, 6) AS review, year
+FROM sales"""
+
+ORACLE["p19_total_amount"] = with_(SALES) + f"SELECT {KEYS}, round(unit * sell_price, 6) AS total_amount FROM sales"
+
+_NULL_COLS = [("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+              ("sell_text", "string"), ("unit_missing", "double"), ("gender_missing", "string"),
+              ("order_date_text", "string")]
+ORACLE["p20_null_summary"] = with_(SALES, DIRTY) + "\n UNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) FILTER (WHERE {c} IS NULL) AS null_count, "
+    f"count(*) AS row_count FROM dirty"
+    for c, t in _NULL_COLS
+)
+
+ORACLE["p21_non_numeric"] = with_(SALES, DIRTY) + "\n UNION\n".join(
+    f"SELECT DISTINCT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM dirty "
+    f"WHERE {c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL"
+    for c in ["sell_text", "order_date_text", "unit_missing"]
+)
+
+ORACLE["p22_one_hot"] = with_(SALES) + f"""
+SELECT {KEYS},
+""" + ",\n".join(
+    f"""  CAST(delivery = '{v}' AS INTEGER) AS "delivery_{v}\"""" for v in ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+) + "\nFROM sales"
+
+# --- F / J / S ---------------------------------------------------------------------------
+ORACLE["f1_apply_filters"] = with_(SALES, PREPARED) + f"""
+SELECT {KEYS}, year, category FROM prepared
+WHERE year IN (1996, 1997, 1998) AND category IN ('PROMO', 'SMALL') AND delivery IS NOT NULL"""
+
+ORACLE["f2_filter_options"] = with_(SALES, PREPARED) + """
+SELECT DISTINCT 'year' AS dimension, CAST(year AS VARCHAR) AS value FROM prepared WHERE year IS NOT NULL
+UNION SELECT DISTINCT 'category', category FROM prepared WHERE category IS NOT NULL
+UNION SELECT DISTINCT 'gender', gender FROM prepared WHERE gender IS NOT NULL
+UNION SELECT DISTINCT 'delivery', delivery FROM prepared WHERE delivery IS NOT NULL"""
+
+ORACLE["f3_drop_nulls"] = with_(SALES, DIRTY) + f"""
+SELECT {KEYS}, round(unit_missing, 6) AS unit_missing, gender_missing FROM dirty
+WHERE unit_missing IS NOT NULL AND gender_missing IS NOT NULL"""
+
+ORACLE["f4_dedup_orders"] = with_(*BASE, UNIQ) + f"SELECT {KEYS}, order_date, customer, book FROM uniq"
+
+ORACLE["f5_distinct_rows"] = with_(SALES) + "SELECT DISTINCT order_date, customer, book, round(unit, 6) AS unit FROM sales"
+
+ORACLE["j1_join_books"] = with_(SALES, f"""books AS (
+  SELECT book, p_partkey, p_brand, p_size FROM (
+    SELECT lower({_strip('p_name')}) AS book, p_partkey, p_brand, p_size,
+           row_number() OVER (PARTITION BY lower({_strip('p_name')}) ORDER BY p_partkey) AS rn
+    FROM part) t WHERE rn = 1)""") + f"""
+SELECT {', '.join('s.' + k for k in KEYS.split(', '))}, lower({_strip('s.book')}) AS book, b.p_partkey, b.p_brand, b.p_size
+FROM sales s LEFT JOIN books b ON lower({_strip('s.book')}) = b.book"""
+
+ORACLE["s4_clean_columns"] = with_(SALES) + f"""
+SELECT {KEYS}, order_date AS Order_Date, customer AS Customer_Phone, book AS Name_of_Books,
+       category AS Category_Of_Books, repeated_customer AS Repeated_Customers? FROM sales""".replace(
+    "Repeated_Customers?", '"Repeated_Customers?"')
+
+ORACLE["s7_preview"] = with_(SALES) + f"""
+SELECT {KEYS}, book, round(sell, 6) AS sell FROM sales ORDER BY {KEYS} LIMIT 5"""
+
+
+def _unround(sql: str, digits: str = "6") -> str:
+    """Drop ``round(expr, digits)`` wrappers: row-level doubles are computed by the
+    same IEEE operations in both engines, and rounding only adds tie flips."""
+    out, i, tag = [], 0, "round("
+    while True:
+        j = sql.find(tag, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 1, j + len(tag)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + len(tag):k - 1]
+        head, _, last = inner.rpartition(",")
+        out.append(_unround(head) if last.strip() == digits else tag + _unround(inner) + ")")
+        i = k
+
+
+for _k in ['p1_parse_kmb', 'p1b_parse_kmb_strict', 'p2_to_number', 'p7_profit', 'p8_clipped_profit', 'p14_high_value_flag', 'p15_iqr_filter', 'p18_drop_cols', 'p19_total_amount', 'f3_drop_nulls', 'f5_distinct_rows', 's7_preview']:
+    ORACLE[_k] = _unround(ORACLE[_k])

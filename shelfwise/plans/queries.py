@@ -169,3 +169,218 @@ def q_decompose_extrapolated(spark, sf_dir):
 def q_decompose_by_category(spark, sf_dir):
     m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
     return rounded(series.decompose(m, "sell", 12, keys=["category"]), 0)
+
+
+# --- P: projections and cleaning -------------------------------------------------
+from shelfwise.functions import parse as _parse  # noqa: E402
+from shelfwise.operators import clean, filters  # noqa: E402
+from shelfwise.sources import fixtures as _fx  # noqa: E402
+from shelfwise.sources.fixtures import LINE_KEY  # noqa: E402
+
+
+@register("p1_parse_kmb")
+def q_parse_kmb(spark, sf_dir):
+    t = _fx.number_text_view(spark, sf_dir)
+    return t.select(*LINE_KEY, "raw", _parse.parse_kmb("raw").alias("value"))
+
+
+@register("p1b_parse_kmb_strict")
+def q_parse_kmb_strict(spark, sf_dir):
+    t = _fx.number_text_view(spark, sf_dir)
+    return t.select(*LINE_KEY, "raw", _parse.parse_kmb_strict("raw").alias("value"))
+
+
+@register("p2_to_number")
+def q_to_number(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir)
+    return d.select(*LINE_KEY, _parse.to_number("sell_text").alias("sell_num"),
+                            _parse.to_number("unit_missing", 1.0).alias("unit_filled"))
+
+
+@register("p3_to_ts")
+def q_to_ts(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir)
+    return d.select(*LINE_KEY, "order_date_text", _parse.to_ts("order_date_text").alias("order_ts"))
+
+
+@register("p4_norm_key")
+def q_norm_key(spark, sf_dir):
+    p = _fx.table(spark, sf_dir, "part")
+    return p.select("p_partkey", _parse.norm_key("p_name").alias("book"))
+
+
+@register("p5_repeat_flag")
+def q_repeat_flag(spark, sf_dir):
+    s = clean.with_repeat_flag(_fx.sales_view(spark, sf_dir))
+    return s.select(*LINE_KEY, "repeated_customer", clean.FLAG)
+
+
+@register("p6_date_parts")
+def q_date_parts(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir).withColumn("order_date", _parse.to_ts("order_date_text"))
+    return clean.date_parts(d).select(*LINE_KEY, "year", "month")
+
+
+@register("p7_profit")
+def q_profit(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir)
+    fallback = clean.profit_expr(s.drop("sell", "cost"))
+    return s.select(*LINE_KEY, clean.profit_expr(s).alias("profit"), fallback.alias("profit_fallback"))
+
+
+@register("p8_clipped_profit")
+def q_clipped_profit(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir)
+    return s.select(*LINE_KEY, clean.clipped_profit_expr(s).alias("clipped_profit"))
+
+
+@register("p9_fill_unknown")
+def q_fill_unknown(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir).select(*LINE_KEY, "gender_missing")
+    return clean.fill_unknown(d)
+
+
+@register("p10_fill_zero")
+def q_fill_zero(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir).select(*LINE_KEY, "unit_missing", "gender_missing")
+    return clean.fill_zero(d)
+
+
+@register("p11_fill_median")
+def q_fill_median(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir).select(*LINE_KEY, "unit_missing")
+    return rounded(clean.fill_median(d, ["unit_missing"])[0], 6)
+
+
+@register("p12_fill_mode")
+def q_fill_mode(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir).select(*LINE_KEY, "gender_missing")
+    return clean.fill_mode(d, ["gender_missing"])[0]
+
+
+@register("p13_standardize_category")
+def q_standardize_category(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir)
+    return d.select(*LINE_KEY, clean.standardize_category("gender_missing", ["automobile", "building"]).alias("segment"))
+
+
+@register("p14_high_value_flag")
+def q_high_value_flag(spark, sf_dir):
+    p = prepared(spark, sf_dir).select(*LINE_KEY, "profit")
+    return clean.high_value_flag(p, "profit", 0.8)[0]
+
+
+IQR_COLUMNS = ["sell_price", "sell_outlier", "cost", "profit"]
+
+
+@register("p15_iqr_filter")
+def q_iqr_filter(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir)
+    d = clean.with_profit(d).select(*LINE_KEY, *IQR_COLUMNS)
+    return clean.iqr_filter(d, IQR_COLUMNS)[0]
+
+
+@register("p16_label_encode")
+def q_label_encode(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "category", "gender", "delivery")
+    return clean.label_encode(s, ["category", "gender", "delivery"], suffix="_code")
+
+
+@register("p17_standardize")
+def q_standardize(spark, sf_dir):
+    p = prepared(spark, sf_dir).select(*LINE_KEY, "age", "unit", "sell", "profit")
+    z, _ = clean.standardize(p, ["age", "unit", "sell", "profit"], suffix="_z")
+    return rounded(z.drop("age", "unit", "sell", "profit"), 6)
+
+
+@register("p18_drop_cols")
+def q_drop_cols(spark, sf_dir):
+    return clean.drop_cols(_fx.sales_view(spark, sf_dir), ["cost", "buying_price", "not_a_column"])
+
+
+@register("p19_total_amount")
+def q_total_amount(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "unit", "sell_price")
+    return clean.total_amount(s).drop("unit", "sell_price")
+
+
+@register("p20_null_summary")
+def q_null_summary(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir).select(*LINE_KEY, "sell_text", "unit_missing", "gender_missing", "order_date_text")
+    return clean.null_summary(d)
+
+
+@register("p21_non_numeric")
+def q_non_numeric(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir)
+    return clean.non_numeric(d, ["sell_text", "order_date_text", "unit_missing"])
+
+
+@register("p22_one_hot")
+def q_one_hot(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "delivery")
+    return clean.one_hot(s, ["delivery"])
+
+
+# --- F / J: filters, de-duplication, join ------------------------------------------
+@register("f1_apply_filters")
+def q_apply_filters(spark, sf_dir):
+    f = filters.apply_filters(prepared(spark, sf_dir), year=[1996, 1997, 1998], category=["PROMO", "SMALL"],
+                              gender=None, delivery=filters.ALL)
+    return f.select(*LINE_KEY, "year", "category")
+
+
+@register("f2_filter_options")
+def q_filter_options(spark, sf_dir):
+    return filters.filter_options(prepared(spark, sf_dir))
+
+
+@register("f3_drop_nulls")
+def q_drop_nulls(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir).select(*LINE_KEY, "unit_missing", "gender_missing")
+    return filters.drop_nulls(d, ["unit_missing", "gender_missing"])
+
+
+@register("f4_dedup_orders")
+def q_dedup_orders(spark, sf_dir):
+    return filters.dedup_orders(filtered(spark, sf_dir)).select(*LINE_KEY, *filters.ORDER_KEYS)
+
+
+@register("f5_distinct_rows")
+def q_distinct_rows(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir).select("order_date", "customer", "book", "unit")
+    return filters.distinct_rows(s)
+
+
+@register("j1_join_books")
+def q_join_books(spark, sf_dir):
+    sales = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "book")
+    books = _fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("book"), "p_partkey", "p_brand", "p_size")
+    return filters.join_books(sales, books, book_order=["p_partkey"])
+
+
+# --- S: sources -----------------------------------------------------------------------
+RAW_HEADERS = {
+    "order_date": " Order Date ",
+    "customer": "Customer Phone",
+    "book": "Name of Books ",
+    "category": "Category Of Books",
+    "repeated_customer": "Repeated Customer's?",
+}
+
+
+@register("s4_clean_columns")
+def q_clean_columns(spark, sf_dir):
+    from shelfwise.sources.io import clean_columns
+
+    s = _fx.sales_view(spark, sf_dir)
+    raw = s.select(*LINE_KEY, *[F.col(k).alias(v) for k, v in RAW_HEADERS.items()])
+    return clean_columns(raw, underscore=True)
+
+
+@register("s7_preview")
+def q_preview(spark, sf_dir):
+    from shelfwise.sources.io import preview
+
+    s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "book", "sell")
+    return preview(s, 5, LINE_KEY)
