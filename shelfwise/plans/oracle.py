@@ -483,3 +483,64 @@ def _unround(sql: str, digits: str = "6") -> str:
 
 for _k in ['p1_parse_kmb', 'p1b_parse_kmb_strict', 'p2_to_number', 'p7_profit', 'p8_clipped_profit', 'p14_high_value_flag', 'p15_iqr_filter', 'p18_drop_cols', 'p19_total_amount', 'f3_drop_nulls', 'f5_distinct_rows', 's7_preview']:
     ORACLE[_k] = _unround(ORACLE[_k])
+
+
+# --- X: text ----------------------------------------------------------------------------
+from shelfwise.functions.text import EMAIL_PATTERN, PUNCT_PATTERN, WORD_FILTERS  # noqa: E402
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+CLEANED_TEXTS = f"""t AS (
+  SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+  WHERE d.text IS NOT NULL AND l.quality IS NOT NULL),
+u AS (SELECT doc_id, text, label FROM (
+        SELECT *, row_number() OVER (PARTITION BY label, text ORDER BY doc_id) AS rn FROM t) x WHERE rn = 1),
+cleaned AS (
+  SELECT doc_id, label,
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+             {_lit(EMAIL_PATTERN)}, '', 'g'), {_lit(PUNCT_PATTERN)}, '', 'g'),
+             {_lit(WS_CLASS + '+')}, ' ', 'g'), '^ | $', '', 'g') AS text
+  FROM u)"""
+
+ORACLE["x1_clean_texts"] = with_(CLEANED_TEXTS) + "SELECT doc_id, label, text FROM cleaned"
+
+ORACLE["x2_char_tfidf"] = with_(CLEANED_TEXTS) + f""",
+c AS (SELECT doc_id, regexp_replace(lower(text), {_lit(WS_CLASS + WS_CLASS + '+')}, ' ', 'g') AS t FROM cleaned),
+g AS (SELECT doc_id, substring(t, i, n) AS term FROM (
+        SELECT doc_id, t, n, unnest(range(1, length(t) - n + 2)) AS i
+        FROM c, (SELECT unnest([1, 2, 3]) AS n) ns WHERE length(t) >= n) x),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL),
+st AS (SELECT term, sum(tf) AS cc, count(*) AS df FROM tf GROUP BY term),
+voc AS (SELECT term, df, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS feature_index
+        FROM (SELECT * FROM st ORDER BY cc DESC, term LIMIT 20000) x),
+nd AS (SELECT count(DISTINCT doc_id) AS n FROM cleaned),
+w AS (SELECT tf.doc_id, tf.term, voc.feature_index, tf.tf,
+             tf.tf * (ln((1.0 + nd.n) / (1.0 + voc.df)) + 1.0) AS raw
+      FROM tf JOIN voc ON tf.term = voc.term, nd)
+SELECT doc_id, term, feature_index, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 8) AS tfidf FROM w"""
+
+_TOKENS = f"""toks AS (
+  SELECT doc_id, unnest(arr) AS word, unnest(range(len(arr))) AS pos FROM (
+    SELECT doc_id, list_filter(string_split(translate(lower(text), {_lit(WORD_FILTERS)}, {_lit(' ' * len(WORD_FILTERS))}), ' '),
+                               lambda x: x <> '') AS arr
+    FROM cleaned) a),
+vocab AS (SELECT word, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, word) + 1 AS index
+          FROM toks GROUP BY word)"""
+
+ORACLE["x3_fit_vocab"] = with_(CLEANED_TEXTS, _TOKENS) + """
+SELECT word, count, index FROM vocab
+UNION ALL SELECT '<OOV>', CAST(NULL AS BIGINT), CAST(1 AS BIGINT)"""
+
+_SEQS = """ids AS (SELECT t.doc_id, t.pos, coalesce(v.index, 1) AS tok FROM toks t
+        LEFT JOIN vocab v ON t.word = v.word AND v.index < 15000),
+seqs AS (SELECT c.doc_id, list(i.tok ORDER BY i.pos) FILTER (WHERE i.tok IS NOT NULL) AS seq
+         FROM cleaned c LEFT JOIN ids i ON c.doc_id = i.doc_id GROUP BY c.doc_id)"""
+
+ORACLE["x4_to_sequences"] = with_(CLEANED_TEXTS, _TOKENS, _SEQS) + """
+SELECT doc_id, coalesce(array_to_string(seq, ' '), '') AS seq_text FROM seqs"""
+
+ORACLE["x5_pad_sequences"] = with_(CLEANED_TEXTS, _TOKENS, _SEQS) + """
+SELECT doc_id, array_to_string(list_resize(coalesce(seq, []), 100, 0), ' ') AS seq_text FROM seqs"""

@@ -384,3 +384,44 @@ def q_preview(spark, sf_dir):
 
     s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "book", "sell")
     return preview(s, 5, LINE_KEY)
+
+
+# --- X: text features ------------------------------------------------------------------
+from shelfwise.operators import text as _text  # noqa: E402
+
+
+def _clean_texts(spark, sf_dir):
+    return _text.prepare_texts(_fx.texts_view(spark, sf_dir))
+
+
+@register("x1_clean_texts")
+def q_clean_texts(spark, sf_dir):
+    return _clean_texts(spark, sf_dir).select("doc_id", "label", "text")
+
+
+@register("x2_char_tfidf")
+def q_char_tfidf(spark, sf_dir):
+    w, _ = _text.char_tfidf(_clean_texts(spark, sf_dir), max_features=20000)
+    return rounded(w.select("doc_id", "term", "feature_index", "tf", "tfidf"), 8)
+
+
+@register("x3_fit_vocab")
+def q_fit_vocab(spark, sf_dir):
+    return _text.fit_vocab(_clean_texts(spark, sf_dir))
+
+
+def _seq_text(df, col="sequence"):
+    return df.select("doc_id", F.array_join(F.transform(col, lambda x: x.cast("string")), " ").alias("seq_text"))
+
+
+@register("x4_to_sequences")
+def q_to_sequences(spark, sf_dir):
+    t = _clean_texts(spark, sf_dir)
+    return _seq_text(_text.to_sequences(t, _text.fit_vocab(t), num_words=15000))
+
+
+@register("x5_pad_sequences")
+def q_pad_sequences(spark, sf_dir):
+    t = _clean_texts(spark, sf_dir)
+    seqs = _text.to_sequences(t, _text.fit_vocab(t), num_words=15000)
+    return _seq_text(_text.padded_sequences(seqs, 100))
