@@ -544,3 +544,84 @@ SELECT doc_id, coalesce(array_to_string(seq, ' '), '') AS seq_text FROM seqs"""
 
 ORACLE["x5_pad_sequences"] = with_(CLEANED_TEXTS, _TOKENS, _SEQS) + """
 SELECT doc_id, array_to_string(list_resize(coalesce(seq, []), 100, 0), ' ') AS seq_text FROM seqs"""
+
+
+# --- M: exact model pieces -----------------------------------------------------------------
+_P = 2147483647
+
+
+def mix_hash_sql(cols: list[str], seed: int = 42) -> str:
+    h = f"CAST({seed % _P} AS BIGINT)"
+    for c in cols:
+        h = f"((({h}) * 1000003 + ({c} % {_P})) % {_P})"
+        h = f"(({h}) * 48271 % {_P})"
+    return f"(({h}) * 69621 % {_P})"
+
+
+ORACLE["m1_split"] = with_(SALES) + f""",
+h AS (SELECT {KEYS}, {mix_hash_sql(KEYS.split(', '))} AS h FROM sales),
+n AS (SELECT CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS nt FROM sales)
+SELECT {KEYS}, CAST(row_number() OVER (ORDER BY h, {KEYS}) <= nt AS INTEGER) AS is_test FROM h, n"""
+
+ORACLE["m2_stratified_split"] = with_(CLEANED_TEXTS) + f""",
+h AS (SELECT doc_id, label, {mix_hash_sql(['doc_id'])} AS h FROM cleaned)
+SELECT doc_id, label,
+       CAST(row_number() OVER (PARTITION BY label ORDER BY h, doc_id)
+            <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS INTEGER) AS is_test
+FROM h"""
+
+ORACLE["m3_prepare_xy"] = with_(SALES, DIRTY) + f""",
+med AS (SELECT quantile_cont(unit_missing, 0.5) AS m FROM dirty)
+SELECT {KEYS}, coalesce(CAST(unit_missing AS DOUBLE), med.m) AS unit_missing, CAST(discount_pct AS DOUBLE) AS discount_pct,
+""" + ",\n".join(
+    f"""       CAST(CAST(delivery = '{v}' AS INTEGER) AS DOUBLE) AS "delivery_{v}\""""
+    for v in ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+) + ", sell\nFROM dirty, med"
+
+ORACLE["m4b_fit_linear"] = with_(SALES) + """
+SELECT round(regr_slope(sell, unit), 6) AS slope, round(regr_intercept(sell, unit), 6) AS intercept,
+       round(regr_r2(sell, unit), 6) AS r2, CAST(regr_count(sell, unit) AS BIGINT) AS n FROM sales"""
+
+ORACLE["m8_hard_vote"] = with_(SALES) + f""",
+v AS (SELECT {KEYS}, CAST(discount_pct >= 5 AS INTEGER) + CAST(unit >= 25 AS INTEGER)
+                      + CAST(sell_price >= 1500 AS INTEGER) + CAST(age >= 48 AS INTEGER) AS ones FROM sales)
+SELECT {KEYS}, CASE WHEN ones > 4 - ones THEN 1 ELSE 0 END AS prediction FROM v"""
+
+ORACLE["m10_regression_metrics"] = with_(SALES) + """,
+m AS (SELECT avg(sell) AS mu FROM sales)
+SELECT round(1.0 - sum((sell - unit * sell_price) * (sell - unit * sell_price)) / sum(pow(sell - mu, 2)), 6) AS r2,
+       round(sqrt(avg((sell - unit * sell_price) * (sell - unit * sell_price))), 6) AS rmse,
+       count(*) AS n
+FROM sales, m"""
+
+RULE_PREDS = """preds AS (SELECT repeated_customer_flag AS label, CAST(discount_pct >= 5 AS INTEGER) AS prediction,
+                  discount_pct / 10 AS score FROM filtered)"""
+
+ORACLE["m11_classification_metrics"] = with_(*BASE, RULE_PREDS) + """,
+cls AS (SELECT label AS c FROM preds UNION SELECT prediction FROM preds),
+pc AS (SELECT c, count(*) FILTER (WHERE p.label = c) AS support,
+              count(*) FILTER (WHERE p.prediction = c) AS predicted,
+              count(*) FILTER (WHERE p.label = c AND p.prediction = c) AS tp
+       FROM cls, preds p GROUP BY c),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS pr,
+                CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc FROM pc),
+f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1c FROM m)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(pr * support) / sum(support), 6) AS precision,
+       round(sum(rc * support) / sum(support), 6) AS recall, round(sum(f1c * support) / sum(support), 6) AS f1 FROM f"""
+
+ORACLE["m11b_binary_metrics"] = with_(*BASE, RULE_PREDS) + """,
+c AS (SELECT count(*) FILTER (WHERE score > 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score > 0.5 AND label <> 1) AS fp,
+             count(*) FILTER (WHERE score <= 0.5 AND label = 1) AS fn, count(*) AS n,
+             count(*) FILTER (WHERE CAST(score > 0.5 AS INTEGER) = CAST(label = 1 AS INTEGER)) AS hits FROM preds),
+m AS (SELECT hits / n AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS rc FROM c)
+SELECT round(accuracy, 6) AS accuracy, round(pr, 6) AS precision, round(rc, 6) AS recall,
+       round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS f1 FROM m"""
+
+ORACLE["m12_confusion"] = with_(*BASE, RULE_PREDS) + """
+SELECT label, count(*) FILTER (WHERE prediction = 0) AS pred_0, count(*) FILTER (WHERE prediction = 1) AS pred_1
+FROM preds GROUP BY label"""
+
+ORACLE["m16_feature_medians"] = with_(SALES) + """
+SELECT round(quantile_cont(unit, 0.5), 6) AS unit, round(quantile_cont(sell_price, 0.5), 6) AS sell_price,
+       round(quantile_cont(age, 0.5), 6) AS age FROM sales"""

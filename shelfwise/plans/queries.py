@@ -425,3 +425,84 @@ def q_pad_sequences(spark, sf_dir):
     t = _clean_texts(spark, sf_dir)
     seqs = _text.to_sequences(t, _text.fit_vocab(t), num_words=15000)
     return _seq_text(_text.padded_sequences(seqs, 100))
+
+
+# --- M: exact model pieces -----------------------------------------------------------------
+from shelfwise.operators import features as _feat  # noqa: E402
+from shelfwise.operators import metrics as _met  # noqa: E402
+
+
+@register("m1_split")
+def q_split(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY)
+    return _feat.split(s, LINE_KEY, 0.2, seed=42, sql_hash=True)
+
+
+@register("m2_stratified_split")
+def q_stratified_split(spark, sf_dir):
+    t = _clean_texts(spark, sf_dir).select("doc_id", "label")
+    return _feat.stratified_split(t, "label", ["doc_id"], 0.2, seed=42, sql_hash=True)
+
+
+@register("m3_prepare_xy")
+def q_prepare_xy(spark, sf_dir):
+    d = _fx.dirty_sales_view(spark, sf_dir)
+    x, _ = _feat.prepare_xy(d, "sell", ["unit_missing", "discount_pct", "delivery"], keep=LINE_KEY, vector=None)
+    return x
+
+
+@register("m4b_fit_linear")
+def q_fit_linear(spark, sf_dir):
+    return rounded(_feat.fit_linear(_fx.sales_view(spark, sf_dir), "unit", "sell"), 6)
+
+
+def _rule_votes(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir)
+    rules = {
+        "discount": F.col("discount_pct") >= 5,
+        "quantity": F.col("unit") >= 25,
+        "price": F.col("sell_price") >= 1500,
+        "age": F.col("age") >= 48,
+    }
+    return s.select(*LINE_KEY, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("model"), v.cast("int").alias("prediction")) for k, v in rules.items()
+    ])).alias("v")).select(*LINE_KEY, "v.model", "v.prediction")
+
+
+@register("m8_hard_vote")
+def q_hard_vote(spark, sf_dir):
+    return _met.hard_vote(_rule_votes(spark, sf_dir), LINE_KEY)
+
+
+def _rule_preds(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    return p.select(*LINE_KEY, F.col(clean.FLAG).alias("label"),
+                    (F.col("discount_pct") >= 5).cast("int").alias("prediction"),
+                    (F.col("discount_pct") / 10).alias("score"))
+
+
+@register("m10_regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir)
+    preds = s.select(F.col("sell").alias("label"), (F.col("unit") * F.col("sell_price")).alias("prediction"))
+    return rounded(_met.regression_metrics(preds), 6)
+
+
+@register("m11_classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return rounded(_met.classification_metrics(_rule_preds(spark, sf_dir)), 6)
+
+
+@register("m11b_binary_metrics")
+def q_binary_metrics(spark, sf_dir):
+    return rounded(_met.binary_metrics(_rule_preds(spark, sf_dir), threshold=0.5), 6)
+
+
+@register("m12_confusion")
+def q_confusion(spark, sf_dir):
+    return _met.confusion(_rule_preds(spark, sf_dir), levels=[0, 1])
+
+
+@register("m16_feature_medians")
+def q_feature_medians(spark, sf_dir):
+    return rounded(_feat.feature_medians(_fx.sales_view(spark, sf_dir), ["unit", "sell_price", "age"]), 6)
