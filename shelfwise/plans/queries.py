@@ -506,3 +506,99 @@ def q_confusion(spark, sf_dir):
 @register("m16_feature_medians")
 def q_feature_medians(spark, sf_dir):
     return rounded(_feat.feature_medians(_fx.sales_view(spark, sf_dir), ["unit", "sell_price", "age"]), 6)
+
+
+# --- M: models (MLlib; rows-only check, properties in tests/) -------------------------------
+from shelfwise.operators import models as _models  # noqa: E402
+
+
+def _xy_split(df, target, feats, stratify=False):
+    x, names = _feat.prepare_xy(df, target, feats, keep=LINE_KEY)
+    x = x.withColumnRenamed(target, "label")
+    if stratify:
+        x = _feat.stratified_split(x, "label", LINE_KEY)
+    else:
+        x = _feat.split(x, LINE_KEY)
+    return x.where("is_test = 0"), x.where("is_test = 1")
+
+
+@register("m4_sell_regressors")
+def q_sell_regressors(spark, sf_dir):
+    train, test = _xy_split(filtered(spark, sf_dir), "sell", ["unit", "sell_price"])
+    models, _ = _models.fit_all(_models.regressors(), train)
+    return _models.regression_leaderboard(models, test)
+
+
+@register("m4_profit_regressors")
+def q_profit_regressors(spark, sf_dir):
+    train, test = _xy_split(filtered(spark, sf_dir), "profit", ["sell", "unit"])
+    models, _ = _models.fit_all(_models.regressors(), train)
+    return _models.regression_leaderboard(models, test)
+
+
+@register("m5_retention_classifiers")
+def q_retention_classifiers(spark, sf_dir):
+    train, test = _xy_split(filtered(spark, sf_dir), clean.FLAG, ["sell", "unit"], stratify=True)
+    models, times = _models.fit_all(_models.classifiers(), train)
+    return _models.classification_leaderboard(models, test, times=times)
+
+
+def _text_features(spark, sf_dir, max_features=20000):
+    t = _clean_texts(spark, sf_dir)
+    w, vocab = _text.char_tfidf(t, max_features=max_features)
+    size = vocab.count()
+    feats = _text.to_sparse(w, size).join(t.select("doc_id", "label"), "doc_id", "right")
+    feats = feats.withColumn("features", F.coalesce(F.col("features"), _empty_vector(size)))
+    return _feat.stratified_split(feats, "label", ["doc_id"])
+
+
+def _empty_vector(size):
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def empty():
+        return SparseVector(size, [], [])
+
+    return empty()
+
+
+@register("m7_text_classifiers")
+def q_text_classifiers(spark, sf_dir):
+    data = _text_features(spark, sf_dir).persist()
+    train, test = data.where("is_test = 0"), data.where("is_test = 1")
+    models, times = _models.fit_all(_models.text_classifiers(), train)
+    models["RidgeClassifier"] = _models.ridge_classifier(train)
+    board = _models.classification_leaderboard(models, test, times=times)
+    voters = {k: models[k] for k in ["LinearSVC", "LogisticRegression", "RandomForest", "RidgeClassifier"]}
+    voted = _models.vote_predictions(voters, test, "doc_id")
+    r = _met.classification_metrics(voted).first()
+    ens = spark.createDataFrame([("HardVoting", float(r["accuracy"]), float(r["precision"]), float(r["recall"]),
+                                  float(r["f1"]), 0.0)], board.schema)
+    return board.unionByName(ens)
+
+
+@register("m9_segments")
+def q_segments(spark, sf_dir):
+    _, centers = _models.segment(filtered(spark, sf_dir), ["age", "unit", "sell", "profit"], k=3)
+    return centers
+
+
+@register("m14_learning_curve")
+def q_learning_curve(spark, sf_dir):
+    from pyspark.ml.classification import LogisticRegression
+
+    data = _text_features(spark, sf_dir).persist()
+    return _models.learning_curve(data, LogisticRegression(maxIter=500), id_col="doc_id")
+
+
+@register("m15_score_retention")
+def q_score_retention(spark, sf_dir):
+    from pyspark.ml.classification import LogisticRegression
+
+    train, _ = _xy_split(filtered(spark, sf_dir), clean.FLAG, ["sell", "unit"], stratify=True)
+    model = LogisticRegression(maxIter=1000).fit(train)
+    inputs = _feat.feature_medians(train, ["sell", "unit"])
+    from pyspark.ml.feature import VectorAssembler
+
+    inputs = VectorAssembler(inputCols=["sell", "unit"], outputCol="features").transform(inputs)
+    return _models.score(model, inputs).select("sell", "unit", "prediction", "probability_1", "outcome")
