@@ -146,7 +146,7 @@ def segment(df: DataFrame, cols: list[str], k: int = 3, seed: int = SEED, min_ro
         raise ValueError(f"need at least {min_rows} complete rows for clustering")
     z, stats = standardize(data, cols, suffix="_z")
     vec = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol="_x").transform(z)
-    model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(vec)
+    model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="_x", predictionCol="cluster").fit(vec)
     labelled = model.transform(vec).drop("_x", *[c + "_z" for c in cols])
     rows = []
     for i, center in enumerate(model.clusterCenters()):

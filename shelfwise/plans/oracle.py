@@ -48,7 +48,9 @@ FILTERED = """filtered AS (
 UNIQ = """uniq AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY order_date, customer, book
-                                 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn
+                                 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                                          category, gender, age, delivery, unit, sell_price, buying_price,
+                                          sell, cost, discount_pct) AS rn
     FROM filtered) t
   WHERE rn = 1)"""
 
@@ -583,9 +585,9 @@ SELECT round(regr_slope(sell, unit), 6) AS slope, round(regr_intercept(sell, uni
        round(regr_r2(sell, unit), 6) AS r2, CAST(regr_count(sell, unit) AS BIGINT) AS n FROM sales"""
 
 ORACLE["m8_hard_vote"] = with_(SALES) + f""",
-v AS (SELECT {KEYS}, CAST(discount_pct >= 5 AS INTEGER) + CAST(unit >= 25 AS INTEGER)
+v AS (SELECT {KEYS}, unit, sell, CAST(discount_pct >= 5 AS INTEGER) + CAST(unit >= 25 AS INTEGER)
                       + CAST(sell_price >= 1500 AS INTEGER) + CAST(age >= 48 AS INTEGER) AS ones FROM sales)
-SELECT {KEYS}, CASE WHEN ones > 4 - ones THEN 1 ELSE 0 END AS prediction FROM v"""
+SELECT {KEYS}, unit, sell, CASE WHEN ones > 4 - ones THEN 1 ELSE 0 END AS prediction FROM v"""
 
 ORACLE["m10_regression_metrics"] = with_(SALES) + """,
 m AS (SELECT avg(sell) AS mu FROM sales)

@@ -464,14 +464,17 @@ def _rule_votes(spark, sf_dir):
         "price": F.col("sell_price") >= 1500,
         "age": F.col("age") >= 48,
     }
-    return s.select(*LINE_KEY, F.explode(F.array(*[
+    return s.select(*VOTE_ID, F.explode(F.array(*[
         F.struct(F.lit(k).alias("model"), v.cast("int").alias("prediction")) for k, v in rules.items()
-    ])).alias("v")).select(*LINE_KEY, "v.model", "v.prediction")
+    ])).alias("v")).select(*VOTE_ID, "v.model", "v.prediction")
+
+
+VOTE_ID = [*LINE_KEY, "unit", "sell"]  # one id per row even where a line key repeats
 
 
 @register("m8_hard_vote")
 def q_hard_vote(spark, sf_dir):
-    return _met.hard_vote(_rule_votes(spark, sf_dir), LINE_KEY)
+    return _met.hard_vote(_rule_votes(spark, sf_dir), VOTE_ID)
 
 
 def _rule_preds(spark, sf_dir):

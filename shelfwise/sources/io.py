@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,10 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = Non
     return reader.load(path)
 
 
-def _file_year() -> Column:
-    return F.nullif(F.regexp_extract(F.col("_metadata.file_path"), YEAR_IN_NAME, 1), F.lit("")).cast("int")
+def _file_year(path: str) -> Column:
+    """Year written in the given file or folder name (not in part-file names)."""
+    m = re.search(YEAR_IN_NAME, os.path.basename(path.rstrip("/")))
+    return F.lit(int(m.group(1)) if m else None).cast("int")
 
 
 def read_yearly(spark: SparkSession, paths: list[str], fmt: str | None = None, year_col: str = "year") -> DataFrame:
@@ -47,7 +52,8 @@ def read_yearly(spark: SparkSession, paths: list[str], fmt: str | None = None, y
     for p in paths:  # a handful of yearly files: the loop is over files, not rows
         df = read_table(spark, p, fmt)
         has_year = year_col in df.columns
-        df = df.withColumn(year_col, F.coalesce(F.col(year_col).cast("int"), _file_year()) if has_year else _file_year())
+        fy = _file_year(p)
+        df = df.withColumn(year_col, F.coalesce(F.col(year_col).cast("int"), fy) if has_year else fy)
         frames.append(df)
     out = frames[0]
     for df in frames[1:]:
