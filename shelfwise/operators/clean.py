@@ -152,12 +152,12 @@ def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5, checkpoint: bool
     left by the previous column, so the lineage is cut between steps (reliable
     checkpoint in the cluster's shared folder)."""
     report = []
-    cur = df
+    cur = cut_lineage(df) if checkpoint else df  # materialise the input once
+    before = cur.count()
     for c in cols:
         if c not in cur.columns:
             continue
-        q1, q3 = exact_quantiles(cur, c, [0.25, 0.75])
-        before = cur.count()
+        q1, q3 = exact_quantiles(cur, c, [0.25, 0.75], rows_upper=before)
         if q1 is None:
             nxt = cur.where(F.lit(False))
             lower = upper = None
@@ -169,7 +169,7 @@ def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5, checkpoint: bool
             nxt = cut_lineage(nxt)
         after = nxt.count()
         report.append({"column": c, "lower": lower, "upper": upper, "removed": before - after})
-        cur = nxt
+        cur, before = nxt, after
     return cur, report
 
 

@@ -57,20 +57,19 @@ def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """F4 core: keep the first row per key by ``order`` (NULL key parts match).
+    """F4 core: keep the first row per key by ``order`` (NULL key parts match);
+    the remaining columns break ties, so the result is the same on every run.
 
-    Written as ``min(struct(order..., row...))`` per key: an aggregate with a
-    map-side partial step, so a key holding a third of all rows is reduced on
-    every executor before the shuffle instead of being sorted in one task.
+    ``row_number() = 1`` over the key lets Catalyst plan a partial
+    ``WindowGroupLimit`` before the exchange: every map task keeps only its
+    first row per key, so a key holding a third of all rows is cut down on
+    each executor before anything is shuffled.
     """
-    payload = [c for c in df.columns if c not in keys]
-    packed = F.struct(
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-        *[F.col(c).alias(f"_p{i}") for i, c in enumerate(payload)],
-    )
-    firsts = df.groupBy(*keys).agg(F.min(packed).alias("_r"))
-    pos = {c: i for i, c in enumerate(payload)}
-    return firsts.select(*[F.col(c) if c in keys else F.col(f"_r._p{pos[c]}").alias(c) for c in df.columns])
+    from pyspark.sql import Window
+
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*[F.col(f"`{c}`") for c in [*order, *rest]])
+    return df.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1).drop("_first")
 
 
 ORDER_KEYS = ["order_date", "customer", "book"]

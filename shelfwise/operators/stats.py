@@ -1,21 +1,21 @@
 """Exact, scalable column statistics used by the fitting steps.
 
 pandas ``quantile`` interpolates linearly between order statistics. Spark's
-``percentile`` does the same, but its buffer holds every value of the group in
-one task, which does not survive a 100 TB column. ``exact_quantiles`` keeps the
-exact answer and bounds what any one task or the driver holds:
+``percentile`` does the same, but its final merge holds every distinct value
+in one task, which neither scales to a 100 TB column nor is fast at 600k rows.
+``exact_quantiles`` keeps the exact answer and bounds what any task or the
+driver holds, with three jobs whatever the number of quantiles:
 
-1. ``count`` gives n and the two ranks needed per quantile;
-2. ``percentile_approx`` (a mergeable sketch, partial aggregation on every
-   executor) gives a bracket [lo, hi] around each rank;
-3. one pass counts the values below ``lo`` and inside the bracket; the bracket
-   is widened until it provably holds both ranks and contains at most
-   ``max_bracket`` values;
-4. only those bracketed values are sorted (range-partitioned) and the two order
-   statistics are picked by their position.
+1. one aggregate: the non-null count and, from a ``percentile_approx`` sketch
+   (mergeable, partially aggregated on every executor), a bracket
+   [lo, hi] around each quantile's rank;
+2. one aggregate: for every bracket the number of values below and inside it;
+   a bracket that provably misses its ranks is widened and re-checked;
+3. one collect of the values inside the brackets only (at most
+   ``max_bracket`` values, checked before collecting); the two order
+   statistics of each quantile are picked by position.
 
-Small inputs (n <= ``max_bracket``) take the exact ``percentile`` aggregate
-directly, since then the whole input is itself a bounded bracket.
+Inputs known to be small (``rows_upper <= small``) use ``percentile`` directly.
 """
 
 from __future__ import annotations
@@ -26,60 +26,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BRACKET = 2_000_000
+SMALL = 20_000
 
 
 def _linear(v_lo: float, v_hi: float, frac: float) -> float:
     return v_lo + (v_hi - v_lo) * frac if frac else v_lo
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], max_bracket: int = MAX_BRACKET) -> list[float | None]:
-    """Exact linear-interpolated quantiles of ``col`` (nulls ignored)."""
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], max_bracket: int = MAX_BRACKET,
+                    rows_upper: int | None = None, small: int = SMALL) -> list[float | None]:
+    """Exact linear-interpolated quantiles of ``col`` (NULL and NaN ignored).
+    ``rows_upper``: a known bound on the row count."""
     x = F.col(col).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = vals.count()
-    if n == 0:
-        return [None for _ in qs]
-    if n <= max_bracket:
+    if rows_upper is not None and rows_upper <= small:
         row = vals.agg(*[F.percentile("x", float(q)).alias(f"q{i}") for i, q in enumerate(qs)]).first()
         return [row[f"q{i}"] for i in range(len(qs))]
 
+    acc, eps = 100_000, None
+    n = None
+    brackets: list[tuple[float, float]] = []
+    todo = list(range(len(qs)))
+    eps_q = [0.0] * len(qs)
+    below = [0] * len(qs)
+    inside = [0] * len(qs)
+    for attempt in range(40):
+        if n is None:
+            first = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")).first()
+            n, mn, mx = first["n"], first["mn"], first["mx"]
+            if n == 0:
+                return [None for _ in qs]
+            if n <= small:
+                row = vals.agg(*[F.percentile("x", float(q)).alias(f"q{i}") for i, q in enumerate(qs)]).first()
+                return [row[f"q{i}"] for i in range(len(qs))]
+            # sketch accuracy so that a bracket holds ~ max_bracket / 4 values at most
+            acc = int(min(max(16.0 * n / max_bracket, 10_000), 10_000_000))
+            eps = 3.0 / acc
+            eps_q = [eps] * len(qs)
+            brackets = [(mn, mx)] * len(qs)
+        probs = []
+        for i in todo:
+            probs += [max(qs[i] - eps_q[i], 0.0), min(qs[i] + eps_q[i], 1.0)]
+        approx = vals.agg(F.percentile_approx("x", probs, acc).alias("b")).first()["b"]
+        for j, i in enumerate(todo):
+            lo = float(approx[2 * j]) if qs[i] - eps_q[i] > 0 else mn
+            hi = float(approx[2 * j + 1]) if qs[i] + eps_q[i] < 1 else mx
+            brackets[i] = (lo, hi)
+        aggs = []
+        for i in todo:
+            lo, hi = brackets[i]
+            aggs += [F.count_if(F.col("x") < F.lit(lo)).alias(f"b{i}"),
+                     F.count_if((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))).alias(f"i{i}")]
+        c = vals.agg(*aggs).first()
+        still = []
+        for i in todo:
+            below[i], inside[i] = c[f"b{i}"], c[f"i{i}"]
+            pos = (n - 1) * qs[i]
+            if not (below[i] <= math.floor(pos) and below[i] + inside[i] > math.ceil(pos)):
+                eps_q[i] = min(eps_q[i] * 4, 1.0)
+                still.append(i)
+        todo = still
+        if not todo:
+            break
+    if sum(inside) > max_bracket:
+        raise ValueError(f"{col}: quantile brackets hold {sum(inside)} values (> {max_bracket}); raise max_bracket")
+    cond = None
+    for lo, hi in brackets:
+        term = (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
+        cond = term if cond is None else (cond | term)
+    window = sorted(r["x"] for r in vals.where(cond).collect())
     out: list[float | None] = []
-    for q in qs:
+    for i, q in enumerate(qs):
+        lo, hi = brackets[i]
+        mine = [v for v in window if lo <= v <= hi]
         pos = (n - 1) * q
         r_lo, r_hi = math.floor(pos), math.ceil(pos)
-        frac = pos - r_lo
-        eps = 0.5 * max_bracket / n
-        while True:
-            acc = int(min(max(10.0 / eps, 10_000), 1e7))
-            p_lo, p_hi = max(q - eps, 0.0), min(q + eps, 1.0)
-            b = vals.agg(F.percentile_approx("x", [p_lo, p_hi], acc).alias("b")).first()["b"]
-            lo, hi = float(b[0]), float(b[1])
-            c = vals.agg(
-                F.count_if(F.col("x") < lo).alias("below"),
-                F.count_if((F.col("x") >= lo) & (F.col("x") <= hi)).alias("inside"),
-            ).first()
-            below, inside = c["below"], c["inside"]
-            holds = below <= r_lo and below + inside > r_hi and (p_lo > 0 or below == 0)
-            if holds and inside <= max_bracket:
-                break
-            if holds:  # too many ties inside the bracket: narrow instead
-                eps = eps / 2
-            else:
-                eps = min(eps * 2, 1.0)
-                if eps >= 1.0:
-                    lo, hi = float("-inf"), float("inf")
-                    below, inside = 0, n
-                    break
-        window = (
-            vals.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            .orderBy("x")
-            .limit(r_hi - below + 1)
-            .orderBy(F.col("x").desc())
-            .limit(r_hi - r_lo + 1)
-            .collect()
-        )
-        top = [r["x"] for r in window]
-        out.append(_linear(top[-1], top[0], frac))
+        out.append(_linear(mine[r_lo - below[i]], mine[r_hi - below[i]], pos - r_lo))
     return out
 
 
