@@ -627,3 +627,34 @@ FROM preds GROUP BY label"""
 ORACLE["m16_feature_medians"] = with_(SALES) + """
 SELECT round(quantile_cont(unit, 0.5), 6) AS unit, round(quantile_cont(sell_price, 0.5), 6) AS sell_price,
        round(quantile_cont(age, 0.5), 6) AS age FROM sales"""
+
+
+# --- T3: Holt-Winters with fixed smoothing (recursive CTE) ----------------------------------------
+ORACLE["t3_holt_winters_fixed"] = "WITH RECURSIVE " + with_(*BASE, monthly_series_sql("filtered", "sell", "v"))[5:] + """,
+s2 AS (SELECT row_number() OVER (ORDER BY ps) - 1 AS idx, period_end, v FROM s),
+ys AS (SELECT list(v ORDER BY idx) AS y, CAST(count(*) AS INTEGER) AS n, max(period_end) AS last_pe FROM s2),
+i1 AS (SELECT *, list_reduce(list_prepend(CAST(0.0 AS DOUBLE), y[1:12]), lambda a, x: a + x) AS s1,
+              list_reduce(list_prepend(CAST(0.0 AS DOUBLE), y[13:24]), lambda a, x: a + x) AS s2 FROM ys),
+i2 AS (SELECT *, s1 / 12 AS l0, (s2 - s1) / 12 / 12 AS b0 FROM i1),
+r AS (
+  SELECT 12 AS t, l0 AS l, b0 AS b, list_transform(y[1:12], lambda x: x - l0) AS se,
+         CAST(NULL AS DOUBLE) AS fit, y, n, last_pe FROM i2
+  UNION ALL
+  SELECT t + 1,
+         CAST(0.3 AS DOUBLE) * (y[t + 1] - se[t % 12 + 1]) + CAST(0.7 AS DOUBLE) * (l + b),
+         CAST(0.1 AS DOUBLE) * ((CAST(0.3 AS DOUBLE) * (y[t + 1] - se[t % 12 + 1]) + CAST(0.7 AS DOUBLE) * (l + b)) - l)
+           + CAST(0.9 AS DOUBLE) * b,
+         list_transform(range(12), lambda i: CASE WHEN i = t % 12
+             THEN CAST(0.2 AS DOUBLE) * (y[t + 1] - l - b) + CAST(0.8 AS DOUBLE) * se[t % 12 + 1]
+             ELSE se[i + 1] END),
+         l + b + se[t % 12 + 1], y, n, last_pe
+  FROM r WHERE t < n),
+fitted AS (SELECT CAST(last_day(last_pe + to_months(CAST(t - n AS INTEGER))) AS DATE) AS period_end,
+                  y[t] AS actual, fit AS fitted FROM r WHERE fit IS NOT NULL),
+fin AS (SELECT * FROM r WHERE t = n),
+future AS (SELECT CAST(last_day(last_pe + to_months(CAST(k AS INTEGER))) AS DATE) AS period_end,
+                  CAST(NULL AS DOUBLE) AS actual, l + k * b + se[(n - 1 + k) % 12 + 1] AS fitted
+           FROM fin, range(1, 7) AS kk(k))
+SELECT period_end, round(actual, 0) AS actual, round(fitted, 0) AS fitted FROM fitted
+UNION ALL
+SELECT period_end, actual, round(fitted, 0) FROM future"""

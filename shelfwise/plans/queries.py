@@ -605,3 +605,34 @@ def q_score_retention(spark, sf_dir):
 
     inputs = VectorAssembler(inputCols=["sell", "unit"], outputCol="features").transform(inputs)
     return _models.score(model, inputs).select("sell", "unit", "prediction", "probability_1", "outcome")
+
+
+# --- T3/T4: forecasting ------------------------------------------------------------------------
+from shelfwise.operators import forecast as _fc  # noqa: E402
+
+HW_FIXED = (0.3, 0.1, 0.2)
+
+
+@register("t3_holt_winters_fixed")
+def q_holt_winters_fixed(spark, sf_dir):
+    rows, _ = _fc.holt_winters(_monthly_sell(spark, sf_dir), "sell", params=HW_FIXED, h=6)
+    return rounded(rows, 0)
+
+
+@register("t3_holt_winters")
+def q_holt_winters(spark, sf_dir):
+    rows, chosen = _fc.holt_winters(_monthly_sell(spark, sf_dir), "sell", h=6)
+    return rounded(rows.where(F.col("actual").isNull()), 0)
+
+
+@register("t3_holt_winters_by_category")
+def q_holt_winters_by_category(spark, sf_dir):
+    m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
+    _, chosen = _fc.holt_winters(m, "sell", keys=["category"], h=6)
+    return rounded(chosen, 6)
+
+
+@register("t4_fourier_forecast")
+def q_fourier_forecast(spark, sf_dir):
+    m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
+    return rounded(_fc.fourier_forecast(m, "sell", keys=["category"], h=6), 0)

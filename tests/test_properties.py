@@ -135,3 +135,46 @@ def test_ridge_classifier_separates(spark):
     m = ridge_classifier(df)
     preds = m.transform(df).select((F.col("prediction") == F.col("label")).cast("int").alias("ok"))
     assert preds.agg(F.avg("ok")).first()[0] == 1.0
+
+
+def _hw_python(y, m, a, b, g):
+    l = sum(y[:m]) / m
+    tr = (sum(y[m:2 * m]) - sum(y[:m])) / m / m
+    s = [v - l for v in y[:m]]
+    fits, sse = [], 0.0
+    for t in range(m, len(y)):
+        p = t % m
+        fit = l + tr + s[p]
+        nl = a * (y[t] - s[p]) + (1 - a) * (l + tr)
+        nb = b * (nl - l) + (1 - b) * tr
+        s[p] = g * (y[t] - l - tr) + (1 - g) * s[p]
+        l, tr = nl, nb
+        fits.append(fit)
+        sse += (y[t] - fit) ** 2
+    fc = [l + k * tr + s[(len(y) - 1 + k) % m] for k in range(1, 4)]
+    return fits, fc, sse
+
+
+def test_holt_winters_matches_brute_force(spark):
+    import datetime as dt
+
+    from shelfwise.operators.forecast import holt_winters
+
+    rnd = random.Random(3)
+    y = [100 + 2 * t + 10 * math.sin(t / 2) + rnd.random() for t in range(40)]
+    ends = []
+    d = dt.date(2020, 1, 31)
+    for _ in y:
+        ends.append(d)
+        d = (dt.date(d.year + (d.month // 12), d.month % 12 + 1, 1) + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1)
+    df = spark.createDataFrame(list(zip(ends, y)), "period_end date, v double")
+    rows, chosen = holt_winters(df, "v", params=(0.3, 0.1, 0.2), h=3)
+    got = [r["fitted"] for r in rows.orderBy("period_end").collect()]
+    fits, fc, sse = _hw_python(y, 12, 0.3, 0.1, 0.2)
+    assert got == pytest.approx(fits + fc, rel=1e-12)
+    assert chosen.first()["sse"] == pytest.approx(sse, rel=1e-12)
+    # the grid search picks the triple with the smallest SSE among the grid
+    _, best = holt_winters(df, "v", h=3, grid=[0.1, 0.5, 0.9])
+    b = best.first()
+    brute = min((_hw_python(y, 12, a, bb, g)[2], a, bb, g) for a in (0.1, 0.5, 0.9) for bb in (0.1, 0.5, 0.9) for g in (0.1, 0.5, 0.9))
+    assert b["sse"] == pytest.approx(brute[0], rel=1e-9)
