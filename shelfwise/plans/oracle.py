@@ -658,3 +658,16 @@ future AS (SELECT CAST(last_day(last_pe + to_months(CAST(k AS INTEGER))) AS DATE
 SELECT period_end, round(actual, 0) AS actual, round(fitted, 0) AS fitted FROM fitted
 UNION ALL
 SELECT period_end, actual, round(fitted, 0) FROM future"""
+
+
+# --- M6: brute-force k nearest neighbours on the small embeddings table ---------------------------
+ORACLE["m6_knn_classify"] = f"""WITH e AS (SELECT vec_id, embedding, label, {mix_hash_sql(['vec_id'])} AS h FROM embeddings),
+sp AS (SELECT *, row_number() OVER (ORDER BY h, vec_id) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS is_test FROM e),
+pairs AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label,
+                 list_sum(list_transform(list_zip(q.embedding, t.embedding),
+                          lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d2
+          FROM sp q, sp t WHERE q.is_test AND NOT t.is_test),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS rn FROM pairs) x WHERE rn <= 5),
+votes AS (SELECT qid, label, count(*) AS c FROM top GROUP BY ALL)
+SELECT qid AS vec_id, CAST(label AS INTEGER) AS prediction
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS r FROM votes) y WHERE r = 1"""

@@ -636,3 +636,16 @@ def q_holt_winters_by_category(spark, sf_dir):
 def q_fourier_forecast(spark, sf_dir):
     m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
     return rounded(_fc.fourier_forecast(m, "sell", keys=["category"], h=6), 0)
+
+
+# --- M6: k-nearest neighbours -------------------------------------------------------------------
+from shelfwise.operators import neighbors as _nn  # noqa: E402
+
+
+@register("m6_knn_classify")
+def q_knn_classify(spark, sf_dir):
+    e = _fx.table(spark, sf_dir, "embeddings")
+    sp = _feat.split(e, ["vec_id"], 0.2, sql_hash=True)
+    train, test = sp.where("is_test = 0"), sp.where("is_test = 1")
+    pred = _nn.knn(train, test, k=5, vec="embedding", id_col="vec_id", label="label")
+    return pred.withColumn("prediction", F.col("prediction").cast("int"))
