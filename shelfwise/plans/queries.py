@@ -649,3 +649,24 @@ def q_knn_classify(spark, sf_dir):
     train, test = sp.where("is_test = 0"), sp.where("is_test = 1")
     pred = _nn.knn(train, test, k=5, vec="embedding", id_col="vec_id", label="label")
     return pred.withColumn("prediction", F.col("prediction").cast("int"))
+
+
+# --- M7c: online linear classifiers (parameter mixing) ---------------------------------------------
+from shelfwise.operators import online as _online  # noqa: E402
+
+
+@register("m7c_online_linear")
+def q_online_linear(spark, sf_dir):
+    t = _clean_texts(spark, sf_dir)
+    w, vocab = _text.char_tfidf(t, max_features=20000)
+    dim = vocab.count()
+    rows = _online.sparse_arrays(w).join(t.select("doc_id", "label"), "doc_id")
+    rows = _feat.stratified_split(rows, "label", ["doc_id"]).persist()
+    train, test = rows.where("is_test = 0"), rows.where("is_test = 1")
+    out = []
+    for loss in _online.LOSSES:
+        wv, b = _online.fit_online(train, dim, loss=loss, epochs=10)
+        preds = _online.predict_online(test, wv, b).join(test.select("doc_id", "label"), "doc_id")
+        r = _met.classification_metrics(preds).first()
+        out.append((loss, float(r["accuracy"]), float(r["precision"]), float(r["recall"]), float(r["f1"])))
+    return spark.createDataFrame(out, "model string, accuracy double, precision double, recall double, f1 double")

@@ -178,3 +178,19 @@ def test_holt_winters_matches_brute_force(spark):
     b = best.first()
     brute = min((_hw_python(y, 12, a, bb, g)[2], a, bb, g) for a in (0.1, 0.5, 0.9) for bb in (0.1, 0.5, 0.9) for g in (0.1, 0.5, 0.9))
     assert b["sse"] == pytest.approx(brute[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("loss", ["log", "perceptron", "passive_aggressive"])
+def test_online_linear_learns_separable_data(spark, loss):
+    from shelfwise.operators.online import fit_online, predict_online
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        y = i % 2
+        rows.append((i, [0, 1 + rnd.randrange(5)], [1.0 if y else -1.0, rnd.random() * 0.1], y))
+    df = spark.createDataFrame(rows, "doc_id long, indices array<int>, values array<double>, label int").repartition(4)
+    w, b = fit_online(df, 6, loss=loss, epochs=5)
+    preds = predict_online(df, w, b).join(df.select("doc_id", "label"), "doc_id")
+    acc = preds.select((F.col("prediction") == F.col("label")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert acc == 1.0
