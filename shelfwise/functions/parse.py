@@ -40,9 +40,14 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The same blanks as one string, for character-set trimming (no regex needed).
+WS_CHARS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(col: Column | str) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), rf"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace (a character-set
+    trim, cheaper than a regex)."""
+    return F.trim(_c(col), F.lit(WS_CHARS))
 
 
 def _is_numeric(df: DataFrame | None, col: Column | str) -> bool:

@@ -111,6 +111,13 @@ def mom(series: DataFrame, col: str = "sell", keys: list[str] | None = None) ->
     return pct_change(series, col, "period_end", keys, "mom_pct")
 
 
+def require_history(series: DataFrame, periods: int, what: str) -> None:
+    """T5: a single series needs ``periods`` points (checked with a bounded count)."""
+    have = series.limit(periods).count()
+    if have < periods:
+        raise ValueError(f"{what} needs at least {periods} periods, the series has {have}")
+
+
 def _trend(col: str, period: int, w: Window) -> Column:
     """Centred moving average: 2 x p for even p (end weights 1/2p), plain p for odd."""
     half = period // 2
@@ -134,6 +141,8 @@ def decompose(series: DataFrame, col: str, period: int = 12, order: str = "perio
     """
     keys = keys or []
     min_periods = min_periods or 2 * period
+    if not keys:
+        require_history(series, min_periods, "seasonal decomposition")
     w = _w(keys, order)
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
     s = series.select(*keys, order, col)

@@ -194,3 +194,16 @@ def test_online_linear_learns_separable_data(spark, loss):
     preds = predict_online(df, w, b).join(df.select("doc_id", "label"), "doc_id")
     acc = preds.select((F.col("prediction") == F.col("label")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert acc == 1.0
+
+
+def test_short_single_series_is_refused(spark):
+    import datetime as dt
+
+    from shelfwise.operators.forecast import holt_winters
+    from shelfwise.operators.series import decompose
+
+    df = spark.createDataFrame([(dt.date(2020, m, 28), float(m)) for m in range(1, 13)], "period_end date, v double")
+    with pytest.raises(ValueError):
+        decompose(df, "v", 12)
+    with pytest.raises(ValueError):
+        holt_winters(df, "v")
