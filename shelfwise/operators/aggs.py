@@ -72,8 +72,10 @@ def top_n(df: DataFrame, key: str, measure: str, n: int = 10, name: str | None =
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count per value, largest first, with its share in percent."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    share = F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy())
+    kept = df.where(F.col(col).isNotNull())
+    total = kept.count()  # a scalar: no one-partition window over many distinct values
+    counts = kept.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    share = F.col("count") * 100.0 / F.lit(total)
     return counts.withColumn("share_pct", share).orderBy(F.col("count").desc(), F.col(col))
 
 
@@ -125,8 +127,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 def rating_distribution(df: DataFrame, col: str = "review") -> DataFrame:
     """Count per rating and its percent of all ratings, 2 decimals."""
     r = df.select(F.col(col).try_cast("double").alias("rating")).where(F.col("rating").isNotNull())
+    total = r.count()
     counts = r.groupBy("rating").agg(F.count(F.lit(1)).alias("count"))
-    pct = F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()), 2)
+    pct = F.round(F.col("count") * 100.0 / F.lit(total), 2)
     return counts.withColumn("percent", pct).orderBy("rating")
 
 

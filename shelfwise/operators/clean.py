@@ -177,12 +177,12 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """code = rank of the value among the column's sorted distinct values
     (0-based); NULL stays NULL. Levels are a small dimension (checked)."""
     from shelfwise.operators.filters import broadcast_if_small
-    from pyspark.sql import Window as W
+    from shelfwise.operators.rank import global_index
 
     out = df
     for c in cols:
         levels = out.select(F.col(c).cast("string").alias("_lvl")).where(F.col("_lvl").isNotNull()).distinct()
-        codes = levels.select("_lvl", (F.dense_rank().over(W.orderBy("_lvl")) - 1).cast("int").alias("_code"))
+        codes = global_index(levels, [F.col("_lvl")], name="_code", start=0).withColumn("_code", F.col("_code").cast("int"))
         codes = broadcast_if_small(codes, 1_000_000)
         target = c + suffix
         out = (

@@ -1,8 +1,9 @@
 """Model inputs (M1-M3, M16, M4b): splits, feature assembly, medians, one-feature fit.
 
 Splits are exact and repeatable: rows are ordered by a hash of their key (and
-the seed) with a distributed index, and the first ceil(frac * n) rows of each
-stratum form the test part. No ``randomSplit`` (its result moves when the
+the seed), and the first ceil(frac * n) rows of each stratum form the test
+part. The cut is found as an exact order statistic of the hash (no sort or
+numbering of the whole input); no ``randomSplit`` (its result moves when the
 input is re-partitioned) and no one-partition window.
 """
 
@@ -10,13 +11,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.clean import numeric_cols, one_hot
 from shelfwise.operators.filters import broadcast_if_small
 from shelfwise.operators.rank import global_index
-from shelfwise.operators.stats import exact_quantiles
+from shelfwise.operators.stats import exact_quantiles, order_statistics
 
 PRIME = 2147483647  # 2^31 - 1
 
@@ -47,23 +48,48 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column | str], nam
     return out.withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
 
 
+def _first_by_hash(df: DataFrame, key: list[str], n_take: int, name: str) -> DataFrame:
+    """Flag the ``n_take`` rows that come first in (``_h``, key) order, without
+    sorting or numbering the whole input: the exact ``n_take``-th smallest hash
+    is an order statistic (sketch bracket, bounded collect); only the rows tied
+    on that hash value are ranked by key (a hash collision set: tiny)."""
+    if n_take <= 0:
+        return df.withColumn(name, F.lit(0)).drop("_h")
+    (h_star,) = order_statistics(df, "_h", [n_take - 1])
+    below = df.where(F.col("_h") < F.lit(h_star)).count()
+    tied = df.where(F.col("_h") == F.lit(h_star)).select(*key)
+    w = Window.orderBy(*[F.col(k) for k in key])
+    chosen = tied.withColumn("_t", F.row_number().over(w)).where(F.col("_t") <= n_take - below).drop("_t")
+    chosen = chosen.withColumn("_tie_pick", F.lit(1))
+    out = df.join(F.broadcast(chosen), key, "left")  # at most the collision set of one hash value
+    flag = (F.col("_h") < F.lit(h_star)) | ((F.col("_h") == F.lit(h_star)) & F.col("_tie_pick").isNotNull())
+    return out.withColumn(name, flag.cast("int")).drop("_h", "_tie_pick")
+
+
 def split(df: DataFrame, key: list[str], test_frac: float = 0.2, seed: int = 42, sql_hash: bool = False,
           name: str = "is_test") -> DataFrame:
-    """M1: exactly ceil(test_frac * n) rows flagged as test, chosen by key hash."""
+    """M1: exactly ceil(test_frac * n) rows flagged as test: the first ones in
+    (key hash, key) order. Repeatable under any partitioning."""
     n = df.count()
-    n_test = math.ceil(test_frac * n)
-    h = split_order(key, seed, sql_hash)
-    ranked = global_index(df.withColumn("_h", h), [F.col("_h"), *[F.col(k) for k in key]], name="_r")
-    return ranked.withColumn(name, (F.col("_r") <= n_test).cast("int")).drop("_h", "_r")
+    return _first_by_hash(df.withColumn("_h", split_order(key, seed, sql_hash)), key, math.ceil(test_frac * n), name)
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], test_frac: float = 0.2, seed: int = 42,
-                     sql_hash: bool = False, name: str = "is_test") -> DataFrame:
-    """M2: per class, ceil(test_frac * class size) rows flagged as test."""
-    h = split_order(key, seed, sql_hash)
-    ranked = rank_within(df.withColumn("_h", h), [label], [F.col("_h"), *[F.col(k) for k in key]], name="_r")
-    limit = F.ceil(F.lit(float(test_frac)) * F.col("_group_n"))
-    return ranked.withColumn(name, (F.col("_r") <= limit).cast("int")).drop("_h", "_r", "_group_n")
+                     sql_hash: bool = False, name: str = "is_test", max_classes: int = 1000) -> DataFrame:
+    """M2: per class, exactly ceil(test_frac * class size) rows flagged as test."""
+    counts = df.groupBy(label).count().limit(max_classes + 1).collect()
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} classes to stratify on")
+    hashed = df.withColumn("_h", split_order(key, seed, sql_hash))
+    parts = []
+    for row in counts:  # one bounded order-statistic job set per class
+        cls = row[label]
+        part = hashed.where(F.col(label).isNull() if cls is None else (F.col(label) == F.lit(cls)))
+        parts.append(_first_by_hash(part, key, math.ceil(test_frac * row["count"]), name))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def feature_medians(df: DataFrame, cols: list[str]) -> DataFrame:

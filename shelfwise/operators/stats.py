@@ -112,3 +112,62 @@ def mean_std_pop(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
     row = df.agg(*aggs).first()
     return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None = None,
+                     max_bracket: int = MAX_BRACKET, small: int = SMALL) -> list:
+    """Exact values at 0-based ``ranks`` of the non-null ``col`` in ascending
+    order, in the column's own type (64-bit keys stay exact). Same three-job
+    bracket scheme as ``exact_quantiles``; small inputs are sorted directly."""
+    vals = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
+    if n is None:
+        n = vals.count()
+    if n == 0:
+        return [None for _ in ranks]
+    if n <= small:
+        ordered = [r["x"] for r in vals.orderBy("x").collect()]
+        return [ordered[r] for r in ranks]
+    acc = int(min(max(16.0 * n / max_bracket, 10_000), 10_000_000))
+    eps_q = [3.0 / acc] * len(ranks)
+    lo_hi: list[tuple] = [(None, None)] * len(ranks)
+    below, inside = [0] * len(ranks), [0] * len(ranks)
+    todo = list(range(len(ranks)))
+    for _ in range(40):
+        probs = []
+        for i in todo:
+            q = ranks[i] / max(n - 1, 1)
+            probs += [max(q - eps_q[i], 0.0), min(q + eps_q[i], 1.0)]
+        approx = vals.agg(F.percentile_approx("x", probs, acc).alias("b")).first()["b"]
+        aggs = []
+        for j, i in enumerate(todo):
+            q = ranks[i] / max(n - 1, 1)
+            lo = None if q - eps_q[i] <= 0 else approx[2 * j]
+            hi = None if q + eps_q[i] >= 1 else approx[2 * j + 1]
+            lo_hi[i] = (lo, hi)
+            lo_c = F.lit(True) if lo is None else (F.col("x") >= F.lit(lo))
+            hi_c = F.lit(True) if hi is None else (F.col("x") <= F.lit(hi))
+            aggs += [F.count_if(F.lit(False) if lo is None else (F.col("x") < F.lit(lo))).alias(f"b{i}"),
+                     F.count_if(lo_c & hi_c).alias(f"i{i}")]
+        c = vals.agg(*aggs).first()
+        still = []
+        for i in todo:
+            below[i], inside[i] = c[f"b{i}"], c[f"i{i}"]
+            if not (below[i] <= ranks[i] < below[i] + inside[i]):
+                eps_q[i] = min(eps_q[i] * 4, 1.0)
+                still.append(i)
+        todo = still
+        if not todo:
+            break
+    if sum(inside) > max_bracket:
+        raise ValueError(f"{col}: order-statistic brackets hold {sum(inside)} values (> {max_bracket})")
+    out = []
+    for i, r in enumerate(ranks):
+        lo, hi = lo_hi[i]
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("x") >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (F.col("x") <= F.lit(hi))
+        window = sorted(row["x"] for row in vals.where(cond).collect())
+        out.append(window[r - below[i]])
+    return out
