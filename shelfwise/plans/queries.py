@@ -325,8 +325,10 @@ def q_one_hot(spark, sf_dir):
 # --- F / J: filters, de-duplication, join ------------------------------------------
 @register("f1_apply_filters")
 def q_apply_filters(spark, sf_dir):
-    f = filters.apply_filters(prepared(spark, sf_dir), year=[1996, 1997, 1998], category=["PROMO", "SMALL"],
-                              gender=None, delivery=filters.ALL)
+    from shelfwise.plans.views import select_then_prepare
+
+    f = select_then_prepare(_fx.sales_view(spark, sf_dir), year=[1996, 1997, 1998], category=["PROMO", "SMALL"],
+                            gender=None, delivery=filters.ALL)
     return f.select(*LINE_KEY, "year", "category")
 
 

@@ -16,6 +16,35 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_sales(sales_view(spark, sf_dir))
 
 
+def select_then_prepare(raw: DataFrame, **lists) -> DataFrame:
+    """F1 with pushdown: an IN-list without 'Unknown' selects the same rows
+    before and after the 'Unknown' fill (filling only changes NULLs), so it is
+    applied to the raw column, where the scan can use it; a year list also
+    becomes order-date ranges (row-group pruning on the date column). The rest
+    (``ALL``, lists naming 'Unknown') is applied after preparing, as before."""
+    from shelfwise.operators.filters import ALL, apply_filters
+
+    early, late = {}, {}
+    for col, values in lists.items():
+        if values is None or values is ALL or "Unknown" in list(values) or col not in raw.columns:
+            late[col] = values
+        else:
+            early[col] = values
+    pre = raw
+    date_typed = "order_date" in raw.columns and isinstance(
+        raw.schema["order_date"].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    if early.get("year") and date_typed:
+        ranges = None
+        for y in sorted(set(int(v) for v in early["year"])):
+            r = (F.col("order_date") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (
+                F.col("order_date") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
+            ranges = r if ranges is None else (ranges | r)
+        # a missing date may still carry its year from the file: keep it for the year test
+        pre = pre.where(ranges | F.col("order_date").isNull())
+    pre = apply_filters(pre, **early)
+    return apply_filters(prepare_sales(pre), **{**early, **late})
+
+
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default dashboard selection (all non-null options) + numeric coercion."""
     return numeric_safe(dashboard_defaults(prepared(spark, sf_dir)))
