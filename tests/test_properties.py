@@ -207,3 +207,22 @@ def test_short_single_series_is_refused(spark):
         decompose(df, "v", 12)
     with pytest.raises(ValueError):
         holt_winters(df, "v")
+
+
+def test_char_ngrams_chunked_equal_whole(spark):
+    from collections import Counter
+
+    from shelfwise.operators.text import char_ngram_counts
+
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("abc  dé€") for _ in range(n)) for n in (0, 1, 2, 7, 50, 333)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["term"]): r["tf"] for r in char_ngram_counts(df, chunk=5).collect()}
+    want = {}
+    import re as _re
+
+    for i, t in enumerate(texts):
+        t = _re.sub(r"\s\s+", " ", t.lower())
+        c = Counter(t[p:p + n] for n in (1, 2, 3) for p in range(len(t) - n + 1))
+        want.update({(i, k): v for k, v in c.items()})
+    assert got == want
