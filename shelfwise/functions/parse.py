@@ -117,13 +117,14 @@ def to_number(col: Column | str, default: float | None = None) -> Column:
 
 
 def to_ts(col: Column | str) -> Column:
-    """``pd.to_datetime(errors='coerce')`` (P3): junk -> NULL instead of an error."""
+    """``pd.to_datetime(errors='coerce')`` (P3): junk -> NULL instead of an error.
+    The result is a wall-clock ``timestamp_ntz`` (no session time-zone shift)."""
     c = _c(col)
     return F.coalesce(
         F.try_to_timestamp(c.cast("string"), F.lit("yyyy-MM-dd HH:mm:ss")),
         F.try_to_timestamp(c.cast("string"), F.lit("yyyy-MM-dd")),
         F.try_to_timestamp(c.cast("string")),
-    )
+    ).cast("timestamp_ntz")
 
 
 def norm_key(col: Column | str) -> Column:

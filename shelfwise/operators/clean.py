@@ -149,8 +149,9 @@ def high_value_flag(df: DataFrame, col: str = "profit", q: float = 0.8, name: st
 
 def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5, checkpoint: bool = True) -> tuple[DataFrame, list[dict]]:
     """Sequential IQR outlier removal. Each column's bounds come from the rows
-    left by the previous column, so the lineage is cut between steps (reliable
-    checkpoint in the cluster's shared folder)."""
+    left by the previous column. The input is materialised once (reliable
+    checkpoint in the cluster's shared folder); later steps only add a filter
+    each over that data, so re-reading them is cheap and needs no new cut."""
     report = []
     cur = cut_lineage(df) if checkpoint else df  # materialise the input once
     before = cur.count()
@@ -165,8 +166,6 @@ def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5, checkpoint: bool
             iqr = q3 - q1
             lower, upper = q1 - k * iqr, q3 + k * iqr
             nxt = cur.where((F.col(c) >= F.lit(lower)) & (F.col(c) <= F.lit(upper)))
-        if checkpoint:
-            nxt = cut_lineage(nxt)
         after = nxt.count()
         report.append({"column": c, "lower": lower, "upper": upper, "removed": before - after})
         cur, before = nxt, after
