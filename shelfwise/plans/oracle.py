@@ -671,3 +671,8 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2
 votes AS (SELECT qid, label, count(*) AS c FROM top GROUP BY ALL)
 SELECT qid AS vec_id, CAST(label AS INTEGER) AS prediction
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS r FROM votes) y WHERE r = 1"""
+
+
+# --- S: round trips through written files equal the view -----------------------------------------
+ORACLE["s1_read_yearly"] = with_(SALES) + f"SELECT {KEYS}, book, sell, year FROM sales"
+ORACLE["s2_read_all_merged"] = with_(SALES) + f"SELECT {KEYS}, sell, year, 1 AS from_file FROM sales"

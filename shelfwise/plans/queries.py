@@ -672,3 +672,40 @@ def q_online_linear(spark, sf_dir):
         r = _met.classification_metrics(preds).first()
         out.append((loss, float(r["accuracy"]), float(r["precision"]), float(r["recall"]), float(r["f1"])))
     return spark.createDataFrame(out, "model string, accuracy double, precision double, recall double, f1 double")
+
+
+# --- S1/S2/S3/S5/S6/S8: sources and sinks, round trip through the shared folder --------------
+import uuid  # noqa: E402
+
+from shelfwise.session import checkpoint_dir  # noqa: E402
+from shelfwise.sources import io as _io  # noqa: E402
+
+
+def _shared_folder(spark, what):
+    """A fresh folder under the cluster's shared checkpoint folder (never a local temp dir)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/shelfwise-{what}-{uuid.uuid4().hex}"
+
+
+@register("s1_read_yearly")
+def q_read_yearly(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "book", "sell", "year")
+    root = _shared_folder(spark, "yearly")
+    years = sorted(r["year"] for r in s.select("year").distinct().collect())  # a handful of files
+    paths = []
+    for y in years:
+        p = f"{root}/Sell - {y}.csv"
+        _io.write_csv(s.where(F.col("year") == y).drop("year"), p)  # S5
+        paths.append(p)
+    back = _io.read_yearly(spark, paths, year_pattern=r"((?:19|20)\d{2})")  # S1 + S3 (CSV by extension)
+    return back.select(*[F.col(k).cast("long" if k != "l_linenumber" else "int").alias(k) for k in LINE_KEY],
+                       "book", _parse.parse_kmb("sell").alias("sell"), "year")
+
+
+@register("s2_read_all_merged")
+def q_read_all_merged(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "sell", "year")
+    root = _shared_folder(spark, "merged")
+    _io.write_merged(s, root)  # S6: parquet partitioned by year
+    back = _io.keep(_io.read_all(spark, f"{root}/*/*.parquet", fmt="parquet", base_path=root))  # S2 + S8
+    return back.select(*LINE_KEY, "sell", F.col("year").cast("int").alias("year"),
+                       F.col("source_file").endswith(".parquet").cast("int").alias("from_file"))

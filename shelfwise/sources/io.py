@@ -21,11 +21,14 @@ def _format_for(path: str) -> str:
     return "csv"
 
 
-def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None, schema=None) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None, schema=None,
+               base_path: str | None = None) -> DataFrame:
     """S3: reader chosen by extension; anything unknown is read as CSV with a header."""
     first = path[0] if isinstance(path, list) else path
     fmt = fmt or _format_for(first)
     reader = spark.read.format(fmt)
+    if base_path:  # keep partition columns (year=...) when reading through a glob
+        reader = reader.option("basePath", base_path)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
@@ -35,24 +38,24 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = Non
     return reader.load(path)
 
 
-def _file_year(path: str) -> Column:
+def _file_year(path: str, pattern: str = YEAR_IN_NAME) -> Column:
     """Year written in the given file or folder name (not in part-file names)."""
-    m = re.search(YEAR_IN_NAME, os.path.basename(path.rstrip("/")))
+    m = re.search(pattern, os.path.basename(path.rstrip("/")))
     return F.lit(int(m.group(1)) if m else None).cast("int")
 
 
-def read_yearly(spark: SparkSession, paths: list[str], fmt: str | None = None, year_col: str = "year") -> DataFrame:
+def read_yearly(spark: SparkSession, paths: list[str], fmt: str | None = None, year_col: str = "year",
+                year_pattern: str = YEAR_IN_NAME) -> DataFrame:
     """Read yearly sales files and union them by column name.
 
-    A ``year`` column is added from the year found in the file path; where the
-    files carry their own year column, a missing value falls back to the path.
-    One scan covers all files, so the read parallelises over files and splits.
+    A ``year`` column is added from the year in each path's file name; where
+    the files carry their own year column, a missing value falls back to it.
     """
     frames = []
     for p in paths:  # a handful of yearly files: the loop is over files, not rows
         df = read_table(spark, p, fmt)
         has_year = year_col in df.columns
-        fy = _file_year(p)
+        fy = _file_year(p, year_pattern)
         df = df.withColumn(year_col, F.coalesce(F.col(year_col).cast("int"), fy) if has_year else fy)
         frames.append(df)
     out = frames[0]
@@ -61,9 +64,9 @@ def read_yearly(spark: SparkSession, paths: list[str], fmt: str | None = None, y
     return out
 
 
-def read_all(spark: SparkSession, pattern: str, fmt: str | None = None) -> DataFrame:
+def read_all(spark: SparkSession, pattern: str, fmt: str | None = None, base_path: str | None = None) -> DataFrame:
     """Every file matching a glob, with the file it came from."""
-    df = read_table(spark, pattern, fmt)
+    df = read_table(spark, pattern, fmt, base_path=base_path)
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
