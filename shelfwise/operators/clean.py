@@ -172,25 +172,42 @@ def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5, checkpoint: bool
     return cur, report
 
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "", max_literal_levels: int = 10_000) -> DataFrame:
     """code = rank of the value among the column's sorted distinct values
-    (0-based); NULL stays NULL. Levels are a small dimension (checked)."""
+    (0-based); NULL stays NULL.
+
+    Levels of all columns are found in one scan (one partially aggregated
+    distinct). When a column has at most ``max_literal_levels`` levels they
+    come back to the driver (bounded) and the code is a literal map lookup, no
+    join; larger level sets are ranked with the distributed index and joined.
+    """
     from shelfwise.operators.filters import broadcast_if_small
     from shelfwise.operators.rank import global_index
 
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    levels = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
+    sizes = {r["c"]: r["n"] for r in levels.groupBy("c").count().withColumnRenamed("count", "n").collect()}
     out = df
     for c in cols:
-        levels = out.select(F.col(c).cast("string").alias("_lvl")).where(F.col("_lvl").isNotNull()).distinct()
-        codes = global_index(levels, [F.col("_lvl")], name="_code", start=0).withColumn("_code", F.col("_code").cast("int"))
-        codes = broadcast_if_small(codes, 1_000_000)
         target = c + suffix
-        out = (
-            out.withColumn("_lvl", F.col(c).cast("string"))
-            .join(codes, "_lvl", "left")
-            .drop("_lvl")
-            .withColumn(target, F.col("_code"))
-            .drop("_code")
-        )
+        if sizes.get(c, 0) <= max_literal_levels:
+            vals = sorted(r["v"] for r in levels.where(F.col("c") == c).collect())
+            if not vals:
+                out = out.withColumn(target, F.lit(None).cast("int"))
+                continue
+            mapping = F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(i))])
+            out = out.withColumn(target, mapping[F.col(c).cast("string")].cast("int"))
+        else:
+            lv = levels.where(F.col("c") == c).select(F.col("v").alias("_lvl"))
+            codes = global_index(lv, [F.col("_lvl")], name="_code", start=0).withColumn("_code", F.col("_code").cast("int"))
+            codes = broadcast_if_small(codes, 1_000_000)
+            out = (
+                out.withColumn("_lvl", F.col(c).cast("string"))
+                .join(codes, "_lvl", "left")
+                .drop("_lvl")
+                .withColumn(target, F.col("_code"))
+                .drop("_code")
+            )
     return out
 
 
