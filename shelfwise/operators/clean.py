@@ -186,12 +186,18 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "", max_literal_l
 
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
     levels = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
+    levels = levels.persist()
     sizes = {r["c"]: r["n"] for r in levels.groupBy("c").count().withColumnRenamed("count", "n").collect()}
+    small = [c for c in cols if sizes.get(c, 0) <= max_literal_levels]
+    fetched: dict[str, list] = {c: [] for c in small}
+    if small:  # one bounded collect for every small level set
+        for r in levels.where(F.col("c").isin(small)).collect():
+            fetched[r["c"]].append(r["v"])
     out = df
     for c in cols:
         target = c + suffix
-        if sizes.get(c, 0) <= max_literal_levels:
-            vals = sorted(r["v"] for r in levels.where(F.col("c") == c).collect())
+        if c in fetched:
+            vals = sorted(fetched[c])
             if not vals:
                 out = out.withColumn(target, F.lit(None).cast("int"))
                 continue
@@ -208,6 +214,7 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "", max_literal_l
                 .withColumn(target, F.col("_code"))
                 .drop("_code")
             )
+    levels.unpersist()
     return out
 
 
