@@ -75,11 +75,20 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 ORDER_KEYS = ["order_date", "customer", "book"]
 
 
-def dedup_orders(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """one row per (order date, customer, book), the first line kept."""
+def dedup_orders(df: DataFrame, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """one row per (order date, customer, book), the first line kept.
+
+    ``columns``: the only other columns the caller needs. They are projected
+    before the de-duplication (in the frame's own column order, so the
+    tie-break order is kept), and the shuffle and sort carry only them.
+    """
     from shelfwise.sources.fixtures import LINE_KEY
 
-    return dedup_first(df, ORDER_KEYS, order or LINE_KEY)
+    order = order or LINE_KEY
+    if columns is not None:
+        keep = set(ORDER_KEYS) | set(order) | set(columns)
+        df = df.select(*[c for c in df.columns if c in keep])
+    return dedup_first(df, ORDER_KEYS, order)
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

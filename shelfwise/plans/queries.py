@@ -30,7 +30,7 @@ def register(name: str):
 # --- flagship: monthly sales of unique orders with 3/6-month means (W1, T1b) ---
 @register("w1_monthly_rolling")
 def monthly_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = series.monthly_sales(unique_orders(spark, sf_dir))
+    m = series.monthly_sales(unique_orders(spark, sf_dir, columns=["unit", "sell"]))
     m = series.rolling_mean(m, "sell", 3, name="rolling_3")
     m = series.rolling_mean(m, "sell", 6, name="rolling_6")
     return rounded(m, 0)
@@ -39,7 +39,8 @@ def monthly_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- G: aggregates ------------------------------------------------------------
 @register("g1_kpis")
 def q_kpis(spark, sf_dir):
-    return rounded(aggs.kpis(unique_orders(spark, sf_dir)), 0, {"repeat_pct": 6})
+    cols = ["unit", "sell_price", "buying_price", "sell", "cost", clean.FLAG]
+    return rounded(aggs.kpis(unique_orders(spark, sf_dir, columns=cols)), 0, {"repeat_pct": 6})
 
 
 @register("g1b_kpis_raw")
@@ -69,7 +70,7 @@ def q_sell_by_gender(spark, sf_dir):
 
 @register("g3_top_books")
 def q_top_books(spark, sf_dir):
-    return rounded(aggs.top_n(unique_orders(spark, sf_dir), "book", "unit", 10, "units_sold"), 0)
+    return rounded(aggs.top_n(unique_orders(spark, sf_dir, columns=["unit"]), "book", "unit", 10, "units_sold"), 0)
 
 
 @register("g4_delivery_counts")
@@ -345,7 +346,7 @@ def q_drop_nulls(spark, sf_dir):
 
 @register("f4_dedup_orders")
 def q_dedup_orders(spark, sf_dir):
-    return filters.dedup_orders(filtered(spark, sf_dir)).select(*LINE_KEY, *filters.ORDER_KEYS)
+    return filters.dedup_orders(filtered(spark, sf_dir), columns=[]).select(*LINE_KEY, *filters.ORDER_KEYS)
 
 
 @register("f5_distinct_rows")

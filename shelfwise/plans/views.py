@@ -50,9 +50,10 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric_safe(dashboard_defaults(prepared(spark, sf_dir)))
 
 
-def unique_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4 over the filtered set: one row per (date, customer, book)."""
-    return dedup_orders(filtered(spark, sf_dir))
+def unique_orders(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """F4 over the filtered set: one row per (date, customer, book); ``columns``
+    narrows the rows carried through the de-duplication."""
+    return dedup_orders(filtered(spark, sf_dir), columns=columns)
 
 
 def rounded(df: DataFrame, digits: int = 2, cols: dict[str, int] | None = None) -> DataFrame:
