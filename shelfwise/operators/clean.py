@@ -153,7 +153,12 @@ def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5, checkpoint: bool
     checkpoint in the cluster's shared folder); later steps only add a filter
     each over that data, so re-reading them is cheap and needs no new cut."""
     report = []
-    cur = cut_lineage(df) if checkpoint else df  # materialise the input once
+    if checkpoint:  # materialise the input once, spread over at least every core
+        par = df.sparkSession.sparkContext.defaultParallelism
+        src = df.repartition(par) if df.rdd.getNumPartitions() < par else df
+        cur = cut_lineage(src)
+    else:
+        cur = df
     before = cur.count()
     for c in cols:
         if c not in cur.columns:
