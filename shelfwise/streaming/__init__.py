@@ -3,9 +3,9 @@
 The reference has no streaming. When new sales sheets keep arriving, the
 dashboard's monthly series can be maintained incrementally with Structured
 Streaming: each micro-batch is cleaned with the batch operators and reduced to
-monthly partial sums (``foreachBatch``, appended to a parquet table, exactly
-once per batch id through the checkpoint); readers combine the partials with
-one small aggregate and the usual calendar/rolling operators.
+monthly partial sums (``foreachBatch``, written to its own ``batch_id=N``
+folder, so a replayed batch overwrites itself: idempotent); readers combine
+the partials with one small aggregate and the usual calendar/rolling operators.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ def start_monthly_stream(spark: SparkSession, source: str, schema: StructType, t
     """Watch ``source`` for new parquet sales files; append monthly partials to
     ``table_path``. ``checkpoint`` must be a shared, reliable folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        monthly_partials(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table_path)
+        # one folder per batch id, overwritten on replay: a batch retried after a
+        # lost executor or a restart writes the same partials again, never twice
+        monthly_partials(batch).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
