@@ -63,3 +63,15 @@ def test_word_tokens_and_pad(spark):
     arr = spark.createDataFrame([([1, 2, 3],)], "a array<int>")
     assert arr.select(pad("a", 5)).first()[0] == [1, 2, 3, 0, 0]
     assert arr.select(pad("a", 2)).first()[0] == [1, 2]
+
+
+def test_word_pieces_keep_tokens_and_order(spark):
+    from shelfwise.functions.text import piece_tokens, word_pieces
+
+    text = "  Alpha, beta!  gamma\\tdelta " + " ".join(f"w{i}" for i in range(50)) + "  end "
+    df = spark.createDataFrame([(text,)], "s string")
+    whole = df.select(word_tokens("s")).first()[0]
+    pieces = df.select(word_pieces("s", chars=16)).first()[0]
+    got = [t for p in pieces for t in spark.createDataFrame([(p,)], "p string").select(piece_tokens("p")).first()[0]]
+    assert got == whole
+    assert len(pieces) > 5
