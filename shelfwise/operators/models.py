@@ -34,6 +34,20 @@ from shelfwise.operators.clean import standardize
 from shelfwise.operators.metrics import classification_metrics, hard_vote, regression_metrics
 
 SEED = 42
+ROWS_PER_PARTITION = 50_000
+
+
+def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION, min_rows: int = 1_000) -> DataFrame:
+    """Iterative fitters run one Spark job per iteration; on a small training
+    set, many tiny partitions make each job pay scheduling for nothing. Merge
+    partitions (``coalesce``: no shuffle) to about ``rows_per_partition`` rows
+    each, but keep every core busy unless partitions would hold fewer than
+    ``min_rows`` rows; large inputs keep their partitioning."""
+    n = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    target = max(1, -(-n // rows_per_partition), min(cores, n // min_rows))
+    out = df.coalesce(target) if target < df.rdd.getNumPartitions() else df
+    return out.persist()
 
 
 def regressors(features: str = "features", label: str = "label", trees: int = 100) -> dict:
@@ -179,7 +193,7 @@ def learning_curve(df: DataFrame, estimator, label: str = "label", id_col: str =
     ranked = ranked.withColumn("_fold", F.pmod(F.col("_r") - 1, F.lit(folds))).drop("_group_n")
     # a second, independent hash decides the growing training subsets
     ranked = ranked.withColumn("_u", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0)
-    ranked = ranked.persist()
+    ranked = right_size(ranked)
     rows = []
     for frac in sizes:
         tr_acc, va_acc, n_used = [], [], []

@@ -525,6 +525,7 @@ def _xy_split(df, target, feats, stratify=False):
         x = _feat.stratified_split(x, "label", LINE_KEY)
     else:
         x = _feat.split(x, LINE_KEY)
+    x = _models.right_size(x)
     return x.where("is_test = 0"), x.where("is_test = 1")
 
 
@@ -555,7 +556,7 @@ def _text_features(spark, sf_dir, max_features=20000):
     size = vocab.count()
     feats = _text.to_sparse(w, size).join(t.select("doc_id", "label"), "doc_id", "right")
     feats = feats.withColumn("features", F.coalesce(F.col("features"), _empty_vector(size)))
-    return _feat.stratified_split(feats, "label", ["doc_id"])
+    return _models.right_size(_feat.stratified_split(feats, "label", ["doc_id"]))
 
 
 def _empty_vector(size):
@@ -570,7 +571,7 @@ def _empty_vector(size):
 
 @register("m7_text_classifiers")
 def q_text_classifiers(spark, sf_dir):
-    data = _text_features(spark, sf_dir).persist()
+    data = _text_features(spark, sf_dir)
     train, test = data.where("is_test = 0"), data.where("is_test = 1")
     models, times = _models.fit_all(_models.text_classifiers(), train)
     models["RidgeClassifier"] = _models.ridge_classifier(train)
@@ -593,7 +594,7 @@ def q_segments(spark, sf_dir):
 def q_learning_curve(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
 
-    data = _text_features(spark, sf_dir).persist()
+    data = _text_features(spark, sf_dir)
     return _models.learning_curve(data, LogisticRegression(maxIter=500), id_col="doc_id")
 
 
@@ -664,7 +665,7 @@ def q_online_linear(spark, sf_dir):
     w, vocab = _text.char_tfidf(t, max_features=20000)
     dim = vocab.count()
     rows = _online.sparse_arrays(w).join(t.select("doc_id", "label"), "doc_id")
-    rows = _feat.stratified_split(rows, "label", ["doc_id"]).persist()
+    rows = _models.right_size(_feat.stratified_split(rows, "label", ["doc_id"]))
     train, test = rows.where("is_test = 0"), rows.where("is_test = 1")
     out = []
     for loss in _online.LOSSES:
