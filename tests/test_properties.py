@@ -226,3 +226,16 @@ def test_char_ngrams_chunked_equal_whole(spark):
         c = Counter(t[p:p + n] for n in (1, 2, 3) for p in range(len(t) - n + 1))
         want.update({(i, k): v for k, v in c.items()})
     assert got == want
+
+
+def test_dedup_hot_key_is_limited_map_side(spark):
+    from shelfwise.operators.filters import dedup_first
+
+    n = 3000
+    rows = [(0 if i % 3 == 0 else i, i, float(i)) for i in range(n)]  # key 0 holds a third of all rows
+    df = spark.createDataFrame(rows, "k long, o long, v double").repartition(6)
+    out = dedup_first(df, ["k"], ["o"])
+    got = dict((r["k"], r["o"]) for r in out.collect())
+    assert got[0] == 0 and len(got) == 1 + sum(1 for i in range(n) if i % 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
