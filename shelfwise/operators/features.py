@@ -48,18 +48,22 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column | str], nam
     return out.withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
 
 
-def _first_by_hash(df: DataFrame, key: list[str], n_take: int, name: str) -> DataFrame:
+def _first_by_hash(df: DataFrame, key: list[str], n_take: int, name: str, n: int | None = None) -> DataFrame:
     """Flag the ``n_take`` rows that come first in (``_h``, key) order, without
     sorting or numbering the whole input: the exact ``n_take``-th smallest hash
-    is an order statistic (sketch bracket, bounded collect); only the rows tied
-    on that hash value are ranked by key (a hash collision set: tiny)."""
+    is an order statistic (sketch bracket, bounded collect), which also gives
+    the rows below it and the rows tied on it. Usually one row holds that hash
+    and the flag is ``_h <= cut``; otherwise only the tied rows (one hash
+    value's collision set) are ranked by key."""
     if n_take <= 0:
         return df.withColumn(name, F.lit(0)).drop("_h")
-    (h_star,) = order_statistics(df, "_h", [n_take - 1])
-    below = df.where(F.col("_h") < F.lit(h_star)).count()
+    ((h_star, below, ties),) = order_statistics(df, "_h", [n_take - 1], n=n, with_counts=True)
+    take_tied = n_take - below
+    if take_tied >= ties:
+        return df.withColumn(name, (F.col("_h") <= F.lit(h_star)).cast("int")).drop("_h")
     tied = df.where(F.col("_h") == F.lit(h_star)).select(*key)
     w = Window.orderBy(*[F.col(k) for k in key])
-    chosen = tied.withColumn("_t", F.row_number().over(w)).where(F.col("_t") <= n_take - below).drop("_t")
+    chosen = tied.withColumn("_t", F.row_number().over(w)).where(F.col("_t") <= take_tied).drop("_t")
     chosen = chosen.withColumn("_tie_pick", F.lit(1))
     out = df.join(F.broadcast(chosen), key, "left")  # at most the collision set of one hash value
     flag = (F.col("_h") < F.lit(h_star)) | ((F.col("_h") == F.lit(h_star)) & F.col("_tie_pick").isNotNull())
@@ -71,7 +75,7 @@ def split(df: DataFrame, key: list[str], test_frac: float = 0.2, seed: int = 42,
     """M1: exactly ceil(test_frac * n) rows flagged as test: the first ones in
     (key hash, key) order. Repeatable under any partitioning."""
     n = df.count()
-    return _first_by_hash(df.withColumn("_h", split_order(key, seed, sql_hash)), key, math.ceil(test_frac * n), name)
+    return _first_by_hash(df.withColumn("_h", split_order(key, seed, sql_hash)), key, math.ceil(test_frac * n), name, n=n)
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], test_frac: float = 0.2, seed: int = 42,
@@ -85,7 +89,7 @@ def stratified_split(df: DataFrame, label: str, key: list[str], test_frac: float
     for row in counts:  # one bounded order-statistic job set per class
         cls = row[label]
         part = hashed.where(F.col(label).isNull() if cls is None else (F.col(label) == F.lit(cls)))
-        parts.append(_first_by_hash(part, key, math.ceil(test_frac * row["count"]), name))
+        parts.append(_first_by_hash(part, key, math.ceil(test_frac * row["count"]), name, n=row["count"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

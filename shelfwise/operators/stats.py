@@ -115,10 +115,12 @@ def mean_std_pop(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float
 
 
 def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None = None,
-                     max_bracket: int = MAX_BRACKET, small: int = SMALL) -> list:
+                     max_bracket: int = MAX_BRACKET, small: int = SMALL, with_counts: bool = False) -> list:
     """Exact values at 0-based ``ranks`` of the non-null ``col`` in ascending
     order, in the column's own type (64-bit keys stay exact). Same three-job
-    bracket scheme as ``exact_quantiles``; small inputs are sorted directly."""
+    bracket scheme as ``exact_quantiles``; small inputs are sorted directly.
+    ``with_counts``: return (value, rows below the value, rows equal to it),
+    read off the collected bracket, so callers need no extra pass."""
     vals = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
     if n is None:
         n = vals.count()
@@ -126,7 +128,10 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None =
         return [None for _ in ranks]
     if n <= small:
         ordered = [r["x"] for r in vals.orderBy("x").collect()]
-        return [ordered[r] for r in ranks]
+        if not with_counts:
+            return [ordered[r] for r in ranks]
+        return [(ordered[r], sum(1 for v in ordered if v < ordered[r]), sum(1 for v in ordered if v == ordered[r]))
+                for r in ranks]
     acc = int(min(max(16.0 * n / max_bracket, 10_000), 10_000_000))
     eps_q = [3.0 / acc] * len(ranks)
     lo_hi: list[tuple] = [(None, None)] * len(ranks)
@@ -169,5 +174,9 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None =
         if hi is not None:
             cond = cond & (F.col("x") <= F.lit(hi))
         window = sorted(row["x"] for row in vals.where(cond).collect())
-        out.append(window[r - below[i]])
+        val = window[r - below[i]]
+        if with_counts:
+            out.append((val, below[i] + sum(1 for v in window if v < val), sum(1 for v in window if v == val)))
+        else:
+            out.append(val)
     return out

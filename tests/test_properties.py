@@ -239,3 +239,13 @@ def test_dedup_hot_key_is_limited_map_side(spark):
     assert got[0] == 0 and len(got) == 1 + sum(1 for i in range(n) if i % 3)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_split_with_hash_ties_takes_exact_count(spark):
+    from shelfwise.operators.features import _first_by_hash
+
+    rows = [(i, i // 10) for i in range(200)]  # every hash value shared by 10 rows
+    df = spark.createDataFrame(rows, "id long, _h long")
+    out = _first_by_hash(df, ["id"], 37, "is_test")
+    picked = sorted(r["id"] for r in out.where("is_test = 1").collect())
+    assert picked == list(range(37))
