@@ -105,7 +105,7 @@ def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys:
     if not keys:  # one series: an internal constant key keeps every step a keyed job
         from shelfwise.operators.series import require_history
 
-        require_history(series, 2 * m, "Holt-Winters")
+        series = require_history(series, 2 * m, "Holt-Winters")
         rows, chosen = holt_winters(series.withColumn("_series", F.lit(1)), value, order, ["_series"], m, h, params,
                                     grid, freq_months)
         return rows.drop("_series"), chosen.drop("_series")

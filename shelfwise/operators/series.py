@@ -111,11 +111,16 @@ def mom(series: DataFrame, col: str = "sell", keys: list[str] | None = None) ->
     return pct_change(series, col, "period_end", keys, "mom_pct")
 
 
-def require_history(series: DataFrame, periods: int, what: str) -> None:
-    """T5: a single series needs ``periods`` points (checked with a bounded count)."""
-    have = series.limit(periods).count()
+def require_history(series: DataFrame, periods: int, what: str) -> DataFrame:
+    """T5: a single series needs ``periods`` points. The series (one row per
+    period: small) is kept, so the check does not make the caller compute it
+    twice; the kept frame is returned for the caller to use."""
+    kept = series.persist()
+    have = kept.limit(periods).count()
     if have < periods:
+        kept.unpersist()
         raise ValueError(f"{what} needs at least {periods} periods, the series has {have}")
+    return kept
 
 
 def _trend(col: str, period: int, w: Window) -> Column:
@@ -142,7 +147,7 @@ def decompose(series: DataFrame, col: str, period: int = 12, order: str = "perio
     keys = keys or []
     min_periods = min_periods or 2 * period
     if not keys:
-        require_history(series, min_periods, "seasonal decomposition")
+        series = require_history(series, min_periods, "seasonal decomposition")
     w = _w(keys, order)
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
     s = series.select(*keys, order, col)
