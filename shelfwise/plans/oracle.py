@@ -676,3 +676,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS r
 # --- S: round trips through written files equal the view -----------------------------------------
 ORACLE["s1_read_yearly"] = with_(SALES) + f"SELECT {KEYS}, book, sell, year FROM sales"
 ORACLE["s2_read_all_merged"] = with_(SALES) + f"SELECT {KEYS}, sell, year, 1 AS from_file FROM sales"
+
+ORACLE["p23_numeric_cols"] = "SELECT column_name FROM (DESCRIBE " + with_(SALES) + """SELECT * FROM sales)
+WHERE column_type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE')
+   OR column_type LIKE 'DECIMAL%'"""

@@ -711,3 +711,9 @@ def q_read_all_merged(spark, sf_dir):
     back = _io.keep(_io.read_all(spark, f"{root}/*/*.parquet", fmt="parquet", base_path=root))  # S2 + S8
     return back.select(*LINE_KEY, "sell", F.col("year").cast("int").alias("year"),
                        F.col("source_file").endswith(".parquet").cast("int").alias("from_file"))
+
+
+@register("p23_numeric_cols")
+def q_numeric_cols(spark, sf_dir):
+    s = _fx.sales_view(spark, sf_dir)
+    return spark.createDataFrame([(c,) for c in clean.numeric_cols(s)], "column_name string")
