@@ -715,5 +715,9 @@ def q_read_all_merged(spark, sf_dir):
 
 @register("p23_numeric_cols")
 def q_numeric_cols(spark, sf_dir):
+    """The numeric columns by type, each with its non-null count (one scan)."""
     s = _fx.sales_view(spark, sf_dir)
-    return spark.createDataFrame([(c,) for c in clean.numeric_cols(s)], "column_name string")
+    cols = clean.numeric_cols(s)
+    counts = s.agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(cols)])
+    pairs = ", ".join(f"'{c}', _n{i}" for i, c in enumerate(cols))
+    return counts.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, non_null)")
