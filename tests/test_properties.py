@@ -249,3 +249,18 @@ def test_split_with_hash_ties_takes_exact_count(spark):
     out = _first_by_hash(df, ["id"], 37, "is_test")
     picked = sorted(r["id"] for r in out.where("is_test = 1").collect())
     assert picked == list(range(37))
+
+
+def test_broadcast_only_when_proven_small(spark):
+    from shelfwise.operators.filters import broadcast_if_small
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # isolate the explicit hint
+    try:
+        big = spark.range(1000).withColumnRenamed("id", "k")
+        fact = spark.range(5000).select((F.col("id") % 1000).alias("k"))
+        small_plan = fact.join(broadcast_if_small(big, 10_000), "k")._jdf.queryExecution().executedPlan().toString()
+        large_plan = fact.join(broadcast_if_small(big, 10), "k")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in small_plan
+        assert "BroadcastHashJoin" not in large_plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
