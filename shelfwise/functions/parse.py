@@ -36,6 +36,12 @@ NO_WORDS_EN = ["no", "n", "false", "0"]
 WS_CLASS = r"[\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+# The suffix patterns as the JVM (and RE2) must run them: Python's \s is the
+# Unicode blank class, theirs is ASCII only.
+KMB_REGEX = KMB_PATTERN.replace(r"\s", WS_CLASS)
+KMB_REGEX_STRICT = KMB_PATTERN_STRICT.replace(r"\s", WS_CLASS)
+
+
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -81,11 +87,11 @@ def parse_kmb(col: Column | str, df: DataFrame | None = None) -> Column:
     raw = _c(col).cast("string")
     s = py_strip(raw)
     cleaned = _strip_noise(s)
-    suffix = F.regexp_extract(cleaned, KMB_PATTERN, 2)
+    suffix = F.regexp_extract(cleaned, KMB_REGEX, 2)
     first = F.regexp_extract(cleaned, FIRST_NUMBER, 0)
     return (
         F.when(raw.isNull() | (s == ""), F.lit(None).cast("double"))
-        .when(suffix != "", _suffix_value(F.regexp_extract(cleaned, KMB_PATTERN, 1), suffix))
+        .when(suffix != "", _suffix_value(F.regexp_extract(cleaned, KMB_REGEX, 1), suffix))
         .otherwise(F.nullif(first, F.lit("")).try_cast("double"))
     )
 
@@ -98,8 +104,8 @@ def parse_kmb_strict(col: Column | str, df: DataFrame | None = None) -> Column:
     raw = _c(col).cast("string")
     s = py_strip(raw)
     cleaned = _strip_noise(s)
-    suffix = F.regexp_extract(cleaned, KMB_PATTERN_STRICT, 2)
-    suffix_num = F.regexp_extract(cleaned, KMB_PATTERN_STRICT, 1).try_cast("double")
+    suffix = F.regexp_extract(cleaned, KMB_REGEX_STRICT, 2)
+    suffix_num = F.regexp_extract(cleaned, KMB_REGEX_STRICT, 1).try_cast("double")
     fallback = F.nullif(F.regexp_extract(raw, FIRST_DIGITS, 0), F.lit("")).try_cast("double")
     direct = py_strip(cleaned).try_cast("double")
     return (

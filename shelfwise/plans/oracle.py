@@ -251,7 +251,9 @@ ORACLE["t2_decompose_by_category"] = with_(*BASE, _calendar_sql(
 
 
 # --- P: projections and cleaning -------------------------------------------------------
-from shelfwise.functions.parse import FIRST_DIGITS, FIRST_NUMBER, KMB_PATTERN, KMB_PATTERN_STRICT, WS_CLASS  # noqa: E402
+from shelfwise.functions.parse import FIRST_DIGITS, FIRST_NUMBER, WS_CLASS  # noqa: E402
+from shelfwise.functions.parse import KMB_REGEX as KMB_PATTERN  # noqa: E402
+from shelfwise.functions.parse import KMB_REGEX_STRICT as KMB_PATTERN_STRICT  # noqa: E402
 
 STRIP = f"^{WS_CLASS}+|{WS_CLASS}+$"
 KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"

@@ -75,3 +75,7 @@ def test_word_pieces_keep_tokens_and_order(spark):
     got = [t for p in pieces for t in spark.createDataFrame([(p,)], "p string").select(piece_tokens("p")).first()[0]]
     assert got == whole
     assert len(pieces) > 5
+
+
+def test_parse_kmb_unicode_blank_before_suffix(spark):
+    assert _eval(spark, ["1.5\u00a0k", "2\u2003m", "3 b"], parse_kmb) == [1500.0, 2e6, 3e9]
