@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = [round(0.05 + 0.1 * i, 2) for i in range(10)]  # 0.05 .. 0.95
+FINE_STEP, FINE_SPAN = 0.01, 5  # second search: best coarse value +- 5 steps of 0.01
 
 
 def _series_arrays(series: DataFrame, value: str, order: str, keys: list[str], min_len: int) -> DataFrame:
@@ -93,12 +94,14 @@ def _to_rows(packed: DataFrame, keys: list[str], order: str, m: int, h: int, fre
 
 def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys: list[str] | None = None,
                  m: int = 12, h: int = 6, params: tuple[float, float, float] | None = None,
-                 grid: list[float] | None = None, freq_months: int = 1) -> tuple[DataFrame, DataFrame]:
+                 grid: list[float] | None = None, freq_months: int = 1, refine: bool = True) -> tuple[DataFrame, DataFrame]:
     """Additive-trend, additive-season Holt-Winters per series.
 
     ``params=(alpha, beta, gamma)`` fixes the smoothing; otherwise every grid
     triple is tried per series and the one with the smallest one-step SSE
-    kept. Series with fewer than two seasons are left out (T5). Returns
+    kept, then (``refine``) a finer grid of 0.01 steps around that triple is
+    searched the same way, per series row. Series with fewer than two seasons
+    are left out (T5). Returns
     (rows: keys, period, actual, fitted — forecasts have NULL actual;
     chosen parameters per series).
     """
@@ -107,7 +110,7 @@ def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys:
 
         series = require_history(series, 2 * m, "Holt-Winters")
         rows, chosen = holt_winters(series.withColumn("_series", F.lit(1)), value, order, ["_series"], m, h, params,
-                                    grid, freq_months)
+                                    grid, freq_months, refine)
         return rows.drop("_series"), chosen.drop("_series")
     packed = _series_arrays(series, value, order, keys, 2 * m)
     if params is not None:
@@ -126,6 +129,20 @@ def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys:
             "sse", _fold(F.col("ys"), m, p["a"], p["b"], p["g"], 1 - p["a"], 1 - p["b"], 1 - p["g"])["sse"]
         )
         best = trials.groupBy(*keys).agg(F.min_by("p", "sse").alias("p"), F.min("sse").alias("sse"))
+        if refine:
+            offs = F.sequence(F.lit(-FINE_SPAN), F.lit(FINE_SPAN))
+
+            def around(c: Column) -> Column:  # fine values around the coarse best, kept inside (0, 1)
+                return F.filter(F.transform(offs, lambda o: F.round(c + o * FINE_STEP, 4)), lambda v: (v > 0) & (v < 1))
+
+            fine = packed.join(best.select(*keys, "p"), keys).select(
+                *keys, "ys", F.explode(around(F.col("p.a"))).alias("a"), "p")
+            fine = fine.select(*keys, "ys", "a", F.explode(around(F.col("p.b"))).alias("b"), "p")
+            fine = fine.select(*keys, "ys", "a", "b", F.explode(around(F.col("p.g"))).alias("g"))
+            fine = fine.withColumn("p", F.struct("a", "b", "g")).withColumn(
+                "sse", _fold(F.col("ys"), m, F.col("a"), F.col("b"), F.col("g"), 1 - F.col("a"), 1 - F.col("b"),
+                             1 - F.col("g"))["sse"])
+            best = fine.groupBy(*keys).agg(F.min_by("p", "sse").alias("p"), F.min("sse").alias("sse"))
         chosen = best.select(*keys, F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"), F.col("p.g").alias("gamma"), "sse")
         packed = packed.join(chosen.select(*keys, "alpha", "beta", "gamma"), keys)
         packed = packed.withColumn("state", _fold(

@@ -174,7 +174,7 @@ def test_holt_winters_matches_brute_force(spark):
     assert got == pytest.approx(fits + fc, rel=1e-12)
     assert chosen.first()["sse"] == pytest.approx(sse, rel=1e-12)
     # the grid search picks the triple with the smallest SSE among the grid
-    _, best = holt_winters(df, "v", h=3, grid=[0.1, 0.5, 0.9])
+    _, best = holt_winters(df, "v", h=3, grid=[0.1, 0.5, 0.9], refine=False)
     b = best.first()
     brute = min((_hw_python(y, 12, a, bb, g)[2], a, bb, g) for a in (0.1, 0.5, 0.9) for bb in (0.1, 0.5, 0.9) for g in (0.1, 0.5, 0.9))
     assert b["sse"] == pytest.approx(brute[0], rel=1e-9)
@@ -264,3 +264,22 @@ def test_broadcast_only_when_proven_small(spark):
         assert "BroadcastHashJoin" not in large_plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+
+def test_holt_winters_refinement_never_worse(spark):
+    import datetime as dt
+
+    from shelfwise.operators.forecast import holt_winters
+
+    rnd = random.Random(9)
+    y = [50 + 0.5 * t + 8 * math.cos(t / 1.9) + rnd.gauss(0, 1) for t in range(36)]
+    ends, d = [], dt.date(2019, 1, 31)
+    for _ in y:
+        ends.append(d)
+        d = (dt.date(d.year + (d.month // 12), d.month % 12 + 1, 1) + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1)
+    df = spark.createDataFrame(list(zip(ends, y)), "period_end date, v double")
+    coarse = holt_winters(df, "v", refine=False)[1].first()["sse"]
+    fine = holt_winters(df, "v", refine=True)[1].first()
+    assert fine["sse"] <= coarse + 1e-9
+    assert 0 < fine["alpha"] < 1 and 0 < fine["beta"] < 1 and 0 < fine["gamma"] < 1
