@@ -3,10 +3,10 @@ passive-aggressive, trained by iterative parameter mixing.
 
 Rows never move: every epoch, each partition runs one pass of the online
 update over its own rows (numpy inside ``mapInPandas``), starting from the
-current weights, and returns its weight vector and row count. The driver
-averages them (a vector of the feature dimension, bounded by the vocabulary)
-and broadcasts the result for the next epoch. Prediction is another
-``mapInPandas`` pass.
+current weights, and returns its weight vector and row count. The
+row-weighted average is summed on the executors; only the averaged vector
+(the feature dimension, bounded by the vocabulary) reaches the driver, which
+broadcasts it for the next epoch. Prediction is another ``mapInPandas`` pass.
 
 Input rows carry a sparse vector as two arrays (``indices``, ``values``) and a
 0/1 label.
@@ -75,15 +75,23 @@ def fit_online(data: DataFrame, dim: int, loss: str = "log", epochs: int = 20, a
     for _ in range(epochs):
         wb = spark.sparkContext.broadcast((w, b, t))
         run = _epoch(loss, dim, alpha, c, t0)
-        parts = rows.mapInPandas(lambda it, wb=wb, run=run: run(it, wb), "w array<double>, b double, n long").collect()
+        parts = rows.mapInPandas(lambda it, wb=wb, run=run: run(it, wb), "w array<double>, b double, n long")
+        # weighted sum on the executors: every partition's n*w, n*b and n are
+        # spread by index and summed (partial aggregation per executor), so the
+        # driver receives dim + 2 numbers whatever the number of partitions
+        packed = F.concat(F.transform("w", lambda x: x * F.col("n")), F.array(F.col("b") * F.col("n"), F.col("n").cast("double")))
+        sums = parts.select(F.posexplode(packed).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).collect()
         wb.unpersist()
-        total = sum(p["n"] for p in parts if p["n"])
+        vec = np.zeros(dim + 2)
+        for r in sums:
+            vec[r["i"]] = r["s"]
+        total = vec[dim + 1]
         if not total:
             break
-        new_w = sum(np.asarray(p["w"]) * p["n"] for p in parts if p["n"]) / total
-        new_b = sum(p["b"] * p["n"] for p in parts if p["n"]) / total
+        shards = rows.rdd.getNumPartitions()
+        new_w, new_b = vec[:dim] / total, vec[dim] / total
         change = float(np.abs(new_w - w).mean())
-        w, b, t = new_w, new_b, t + total / max(len(parts), 1)
+        w, b, t = new_w, new_b, t + total / max(shards, 1)
         if change < tol * 1e-3:
             break
     return w, b
