@@ -123,28 +123,32 @@ def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys:
         grid = grid or GRID
         triples = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.lit(z).alias("g"))
                             for x, y, z in itertools.product(grid, grid, grid)])
-        trials = packed.select(*keys, "ys", F.explode(triples).alias("p"))
+        trials = packed.select(*keys, "ys", "last", F.explode(triples).alias("p"))
         p = F.col("p")
         trials = trials.withColumn(
             "sse", _fold(F.col("ys"), m, p["a"], p["b"], p["g"], 1 - p["a"], 1 - p["b"], 1 - p["g"])["sse"]
         )
-        best = trials.groupBy(*keys).agg(F.min_by("p", "sse").alias("p"), F.min("sse").alias("sse"))
+        # the series rides along in min_by: no join back to the input
+        pick = F.min_by(F.struct("p", "ys", "last"), "sse")
+        best = trials.groupBy(*keys).agg(pick.alias("_w"), F.min("sse").alias("sse"))
+        best = best.select(*keys, "_w.p", "_w.ys", "_w.last", "sse")
         if refine:
             offs = F.sequence(F.lit(-FINE_SPAN), F.lit(FINE_SPAN))
 
             def around(c: Column) -> Column:  # fine values around the coarse best, kept inside (0, 1)
                 return F.filter(F.transform(offs, lambda o: F.round(c + o * FINE_STEP, 4)), lambda v: (v > 0) & (v < 1))
 
-            fine = packed.join(best.select(*keys, "p"), keys).select(
-                *keys, "ys", F.explode(around(F.col("p.a"))).alias("a"), "p")
-            fine = fine.select(*keys, "ys", "a", F.explode(around(F.col("p.b"))).alias("b"), "p")
-            fine = fine.select(*keys, "ys", "a", "b", F.explode(around(F.col("p.g"))).alias("g"))
+            fine = best.select(*keys, "ys", "last", "p", F.explode(around(F.col("p.a"))).alias("a"))
+            fine = fine.select(*keys, "ys", "last", "p", "a", F.explode(around(F.col("p.b"))).alias("b"))
+            fine = fine.select(*keys, "ys", "last", "a", "b", F.explode(around(F.col("p.g"))).alias("g"))
             fine = fine.withColumn("p", F.struct("a", "b", "g")).withColumn(
                 "sse", _fold(F.col("ys"), m, F.col("a"), F.col("b"), F.col("g"), 1 - F.col("a"), 1 - F.col("b"),
                              1 - F.col("g"))["sse"])
-            best = fine.groupBy(*keys).agg(F.min_by("p", "sse").alias("p"), F.min("sse").alias("sse"))
+            best = fine.groupBy(*keys).agg(pick.alias("_w"), F.min("sse").alias("sse"))
+            best = best.select(*keys, "_w.p", "_w.ys", "_w.last", "sse")
         chosen = best.select(*keys, F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"), F.col("p.g").alias("gamma"), "sse")
-        packed = packed.join(chosen.select(*keys, "alpha", "beta", "gamma"), keys)
+        packed = best.select(*keys, "ys", "last", F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"),
+                             F.col("p.g").alias("gamma"))
         packed = packed.withColumn("state", _fold(
             F.col("ys"), m, F.col("alpha"), F.col("beta"), F.col("gamma"),
             1 - F.col("alpha"), 1 - F.col("beta"), 1 - F.col("gamma"),

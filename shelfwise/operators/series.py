@@ -62,12 +62,18 @@ def resample(df: DataFrame, value: Column | str, freq: str = "month", date_col:
         .groupBy(*keys, "_ps")
         .agg(F.sum("_v").alias("_v"))
     )
-    bounds = agg.groupBy(*keys).agg(F.min("_ps").alias("_a"), F.max("_ps").alias("_b"))
-    calendar = bounds.select(*keys, F.explode(F.sequence("_a", "_b", _step(freq))).alias("_ps"))
-    return calendar.join(agg, [*keys, "_ps"], "left").select(
+    # one row per series: its bounds and a period -> value map (bounded by the
+    # number of periods); the calendar is generated from it and looked up in
+    # it, so the aggregated input is used once (no self-join recomputing it)
+    per = agg.groupBy(*keys).agg(
+        F.min("_ps").alias("_a"), F.max("_ps").alias("_b"),
+        F.map_from_entries(F.collect_list(F.struct("_ps", "_v"))).alias("_m"),
+    )
+    cal = per.select(*keys, "_m", F.explode(F.sequence("_a", "_b", _step(freq))).alias("_ps"))
+    return cal.select(
         *keys,
         _period_end(F.col("_ps"), freq).alias("period_end"),
-        F.coalesce(F.col("_v"), F.lit(0.0)).alias(name),
+        F.coalesce(F.col("_m")[F.col("_ps")], F.lit(0.0)).alias(name),
     )
 
 
@@ -176,9 +182,14 @@ def decompose(series: DataFrame, col: str, period: int = 12, order: str = "perio
             .otherwise(F.col("trend")),
         )
     s = s.withColumn("_phase", F.col("_idx") % period).withColumn("_detr", F.col(col) - F.col("trend"))
-    phase_avg = s.groupBy(*keys, "_phase").agg(F.avg("_detr").alias("_pm"))
-    phase_avg = phase_avg.withColumn("seasonal", F.col("_pm") - F.avg("_pm").over(Window.partitionBy(*keys)))
-    out = s.join(phase_avg.select(*keys, "_phase", "seasonal"), [*keys, "_phase"], "left")
+    # phase means and their mean, with windows only (the series is used once):
+    # each row adds pm / rows-in-its-phase, so the sum over a series is the sum
+    # of its phase means; dividing by the number of phases gives their mean
+    by_phase = Window.partitionBy(*keys, "_phase")
+    s = s.withColumn("_pm", F.avg("_detr").over(by_phase)).withColumn("_pc", F.count(F.lit(1)).over(by_phase))
+    s = s.withColumn("_pn", F.size(F.collect_set("_phase").over(whole)))
+    mean_pm = F.sum(F.col("_pm") / F.col("_pc")).over(whole) / F.col("_pn")
+    out = s.withColumn("seasonal", F.col("_pm") - mean_pm)
     return out.select(
         *keys,
         order,
