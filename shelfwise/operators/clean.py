@@ -270,23 +270,18 @@ def null_summary(df: DataFrame) -> DataFrame:
 
 
 def non_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct non-null values that do not read as numbers, per column."""
-    parts = []
-    for c in cols:
-        if c not in df.columns:
-            continue
-        v = F.col(c).cast("string")
-        parts.append(
-            df.select(F.lit(c).alias("column_name"), v.alias("value")).where(
-                F.col("value").isNotNull() & F.col("value").try_cast("double").isNull()
-            )
-        )
-    if not parts:
+    """Distinct non-null values that do not read as numbers, per column.
+    One scan for all columns: (column, value) pairs are exploded per row, and
+    one partially aggregated distinct follows."""
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
+    return (
+        df.select(F.inline(pairs))
+        .where(F.col("value").isNotNull() & F.col("value").try_cast("double").isNull())
+        .distinct()
+    )
 
 
 def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True, max_levels: int = 10_000) -> DataFrame:
