@@ -286,14 +286,23 @@ def non_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True, max_levels: int = 10_000) -> DataFrame:
     """0/1 column per level (sorted), the first level dropped; the source
-    column is replaced. Levels are fetched once (bounded by ``max_levels``)."""
+    column is replaced. The levels of all columns come from one scan and one
+    bounded collect (at most ``max_levels`` per column, checked)."""
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    found = (df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
+             .limit(max_levels * len(cols) + 1).collect())
+    levels: dict[str, list[str]] = {c: [] for c in cols}
+    for r in found:
+        levels[r["c"]].append(r["v"])
     out = df
     for c in cols:
-        rows = out.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(max_levels + 1).collect()
-        if len(rows) > max_levels:
+        if len(levels[c]) > max_levels or len(found) > max_levels * len(cols):
             raise ValueError(f"{c}: more than {max_levels} levels; use a hashed or indexed encoding")
-        levels = [r["v"] for r in rows]
-        keep = levels[1:] if drop_first else levels
+        vals = sorted(levels[c])
+        keep = vals[1:] if drop_first else vals
         src = F.col(c).cast("string")
         out = out.select("*", *[(src == F.lit(v)).cast("int").alias(f"{c}_{v}") for v in keep]).drop(c)
     return out
