@@ -85,3 +85,28 @@ def test_read_yearly_keeps_own_year_column(spark, tmpdir_fresh):
     write_csv(a, p)
     got = {r["id"]: r["year"] for r in read_yearly(spark, [p]).collect()}
     assert got == {"1": 2022, "2": 2023}
+
+
+def test_period_labels_follow_pandas(spark):
+    from shelfwise.operators.series import resample
+
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1.0), (dt.datetime(2024, 1, 7), 2.0),
+                                (dt.datetime(2024, 1, 8), 4.0), (dt.datetime(2025, 3, 2), 8.0)], "order_date timestamp_ntz, v double")
+    weeks = resample(df, "v", "week", name="v").orderBy("period_end").collect()
+    assert weeks[0]["period_end"] == dt.date(2024, 1, 7) and weeks[0]["v"] == 3.0  # Mon 1st .. Sun 7th
+    assert weeks[1]["period_end"] == dt.date(2024, 1, 14) and weeks[1]["v"] == 4.0
+    assert all(r["period_end"].weekday() == 6 for r in weeks)
+    years = resample(df, "v", "year", name="v").orderBy("period_end").collect()
+    assert [(r["period_end"], r["v"]) for r in years] == [(dt.date(2024, 12, 31), 7.0), (dt.date(2025, 12, 31), 8.0)]
+    months = resample(df, "v", "month", name="v").collect()
+    assert len(months) == 15 and sum(r["v"] for r in months) == 15.0
+
+
+def test_rolling_and_growth_edges(spark):
+    from shelfwise.operators.series import pct_change, rolling_mean
+
+    df = spark.createDataFrame([(1, 0.0), (2, 2.0), (3, 4.0), (4, 6.0)], "t int, v double")
+    r = rolling_mean(df, "v", 3, order="t", name="r").orderBy("t").collect()
+    assert [x["r"] for x in r] == [None, None, 2.0, 4.0]
+    g = pct_change(df, "v", "t", name="g").orderBy("t").collect()
+    assert [x["g"] for x in g] == [None, None, 100.0, 50.0]  # zero base -> NULL, not inf
