@@ -110,3 +110,26 @@ def test_rolling_and_growth_edges(spark):
     assert [x["r"] for x in r] == [None, None, 2.0, 4.0]
     g = pct_change(df, "v", "t", name="g").orderBy("t").collect()
     assert [x["g"] for x in g] == [None, None, 100.0, 50.0]  # zero base -> NULL, not inf
+
+
+def test_metrics_against_hand_values(spark):
+    from shelfwise.operators.metrics import binary_metrics, classification_metrics, confusion, regression_metrics
+
+    y = [0, 0, 1, 1, 1, 2]
+    p = [0, 1, 1, 1, 0, 1]  # class 2 never predicted -> its precision counts 0
+    df = spark.createDataFrame(list(zip(y, p)), "label int, prediction int")
+    m = classification_metrics(df).first()
+    # per class: 0: p=1/2 r=1/2; 1: p=2/4 r=2/3; 2: p=0 r=0; supports 2, 3, 1
+    prec = (2 * 0.5 + 3 * 0.5 + 1 * 0) / 6
+    rec = (2 * 0.5 + 3 * (2 / 3) + 0) / 6
+    f1 = (2 * 0.5 + 3 * (2 * 0.5 * (2 / 3) / (0.5 + 2 / 3)) + 0) / 6
+    assert m["accuracy"] == pytest.approx(3 / 6)
+    assert (m["precision"], m["recall"], m["f1"]) == pytest.approx((prec, rec, f1))
+    cm = {r["label"]: (r["pred_0"], r["pred_1"], r["pred_2"]) for r in confusion(df).collect()}
+    assert cm == {0: (1, 1, 0), 1: (1, 2, 0), 2: (0, 1, 0)}
+    scores = spark.createDataFrame([(1, 0.9), (1, 0.4), (0, 0.6), (0, 0.1)], "label int, score double")
+    b = binary_metrics(scores).first()
+    assert (b["accuracy"], b["precision"], b["recall"], b["f1"]) == pytest.approx((0.5, 0.5, 0.5, 0.5))
+    reg = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5)], "label double, prediction double")
+    r = regression_metrics(reg).first()
+    assert r["r2"] == pytest.approx(1 - 0.5 / 2.0) and r["rmse"] == pytest.approx((0.5 / 3) ** 0.5)
