@@ -133,3 +133,19 @@ def test_metrics_against_hand_values(spark):
     reg = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5)], "label double, prediction double")
     r = regression_metrics(reg).first()
     assert r["r2"] == pytest.approx(1 - 0.5 / 2.0) and r["rmse"] == pytest.approx((0.5 / 3) ** 0.5)
+
+
+def test_text_vocab_and_sequences(spark):
+    from shelfwise.operators.text import fit_vocab, padded_sequences, prepare_texts, to_sequences
+
+    raw = spark.createDataFrame([(3, "b a, a!", 1), (1, "b a, a!", 1), (2, "b a, a!", 0), (4, "c  a", 1), (5, None, 1)],
+                                "doc_id long, text string, label int")
+    t = prepare_texts(raw)
+    assert sorted((r["doc_id"], r["text"]) for r in t.collect()) == [(1, "b a a"), (2, "b a a"), (4, "c a")]
+    vocab = {r["word"]: (r["count"], r["index"]) for r in fit_vocab(t).collect()}
+    assert vocab["<OOV>"] == (None, 1)
+    assert vocab["a"] == (5, 2) and vocab["b"] == (2, 3) and vocab["c"] == (1, 4)
+    seqs = {r["doc_id"]: r["sequence"] for r in to_sequences(t, fit_vocab(t), num_words=4).collect()}
+    assert seqs == {1: [3, 2, 2], 2: [3, 2, 2], 4: [1, 2]}  # index 4 >= num_words -> OOV (1)
+    padded = {r["doc_id"]: r["sequence"] for r in padded_sequences(to_sequences(t, fit_vocab(t)), 4).collect()}
+    assert padded[4] == [4, 2, 0, 0]
