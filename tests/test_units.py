@@ -149,3 +149,25 @@ def test_text_vocab_and_sequences(spark):
     assert seqs == {1: [3, 2, 2], 2: [3, 2, 2], 4: [1, 2]}  # index 4 >= num_words -> OOV (1)
     padded = {r["doc_id"]: r["sequence"] for r in padded_sequences(to_sequences(t, fit_vocab(t)), 4).collect()}
     assert padded[4] == [4, 2, 0, 0]
+
+
+def test_aggregate_edges(spark):
+    from shelfwise.operators import aggs
+
+    h = aggs.histogram(spark.createDataFrame([(0.0,), (1.0,), (10.0,), (None,)], "age double"), "age", 5).collect()
+    assert [r["count"] for r in h] == [2, 0, 0, 0, 1]  # max lands in the last bin, empty bins kept
+    assert h[-1]["bin_end"] == pytest.approx(10.0)
+
+    sales = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 10), 5.0, "x", 2.0), (1, dt.datetime(2024, 3, 1), 7.0, "y", 2.0),
+         (2, dt.datetime(2024, 2, 1), 12.0, "x", 1.0), (3, dt.datetime(2024, 3, 1), 12.0, "z", 3.0)],
+        "customer int, order_date timestamp_ntz, sell double, book string, unit double")
+    r = aggs.rfm(sales, as_of=dt.date(2024, 3, 31), n=None).collect()
+    assert [(x["customer"], x["frequency"], x["monetary"], x["recency_days"]) for x in r] == [
+        (1, 2, 12.0, 30), (2, 1, 12.0, 59), (3, 1, 12.0, 30)]  # monetary ties -> customer order
+    top = aggs.top_n(sales, "book", "unit", 2, "units").collect()
+    assert [(x["book"], x["units"]) for x in top] == [("x", 3.0), ("z", 3.0)]
+    moy = {x["month"]: x["total_sell"] for x in aggs.month_of_year(sales).collect()}
+    assert len(moy) == 12 and moy[3] == 19.0 and moy[12] == 0.0
+    piv = aggs.year_month_pivot(sales).first()
+    assert (piv["year"], piv["m1"], piv["m2"], piv["m3"], piv["m4"]) == (2024, 5.0, 12.0, 19.0, 0.0)
