@@ -171,3 +171,22 @@ def test_aggregate_edges(spark):
     assert len(moy) == 12 and moy[3] == 19.0 and moy[12] == 0.0
     piv = aggs.year_month_pivot(sales).first()
     assert (piv["year"], piv["m1"], piv["m2"], piv["m3"], piv["m4"]) == (2024, 5.0, 12.0, 19.0, 0.0)
+
+
+def test_cleaning_helpers(spark):
+    from shelfwise.operators import clean
+
+    df = spark.createDataFrame([(1.0, 3.0, 2.0, " Male "), (5.0, 1.0, 1.0, "x"), (2.0, 2.0, None, None)],
+                               "sell double, cost double, unit double, gender string")
+    flagged, thr = clean.high_value_flag(clean.with_profit(df), "profit", 0.5)
+    assert thr == 0.0 and [r["high_value_customer"] for r in flagged.collect()] == [0, 1, 1]  # >= threshold
+    clipped = [r[0] for r in df.select(clean.clipped_profit_expr(df)).collect()]
+    assert clipped == [0.0, 4.0, 0.0]  # sell/cost stand in for the prices; unit NULL counts 1
+    assert clean.total_amount(df.withColumn("total_amount", F.lit(1.0)), "unit", "sell").first()["total_amount"] == 1.0
+    assert clean.drop_cols(df, ["cost", "nope"]).columns == ["sell", "unit", "gender"]
+    ns = {r["column_name"]: (r["null_count"], r["row_count"]) for r in clean.null_summary(df).collect()}
+    assert ns == {"sell": (0, 3), "cost": (0, 3), "unit": (1, 3), "gender": (1, 3)}
+    nn = clean.non_numeric(df.withColumn("t", F.lit("7")), ["gender", "t"]).collect()
+    assert sorted((r["column_name"], r["value"]) for r in nn) == [("gender", " Male "), ("gender", "x")]
+    cats = [r[0] for r in df.select(clean.standardize_category("gender", ["male", "female"])).collect()]
+    assert cats == ["male", "unknown", "unknown"]
