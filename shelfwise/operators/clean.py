@@ -20,7 +20,7 @@ from shelfwise.functions.parse import (
     to_number,
     to_ts,
 )
-from shelfwise.operators.stats import exact_quantiles, mean_std_pop
+from shelfwise.operators.stats import exact_medians, exact_quantiles, mean_std_pop
 from shelfwise.session import cut_lineage
 
 NUMERIC_SALES = ["sell", "cost", "unit", "price", "discount_pct", "sell_price", "buying_price"]
@@ -97,7 +97,7 @@ def fill_zero(df: DataFrame) -> DataFrame:
 def fill_median(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, dict[str, float]]:
     """Numeric NULLs -> the column's exact median."""
     cols = cols or numeric_cols(df)
-    med = {c: exact_quantiles(df, c, [0.5])[0] for c in cols}
+    med = exact_medians(df, cols)
     out = df
     for c in cols:
         if med[c] is not None:

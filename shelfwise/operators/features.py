@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators.clean import numeric_cols, one_hot
 from shelfwise.operators.filters import broadcast_if_small
 from shelfwise.operators.rank import global_index
-from shelfwise.operators.stats import exact_quantiles, order_statistics
+from shelfwise.operators.stats import exact_medians, order_statistics
 
 PRIME = 2147483647  # 2^31 - 1
 
@@ -98,7 +98,7 @@ def stratified_split(df: DataFrame, label: str, key: list[str], test_frac: float
 
 def feature_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row holding each column's exact median (default inputs for scoring)."""
-    med = {c: exact_quantiles(df, c, [0.5])[0] for c in cols}
+    med = exact_medians(df, cols)
     return df.sparkSession.createDataFrame([tuple(float(med[c]) if med[c] is not None else None for c in cols)],
                                            ", ".join(f"`{c}` double" for c in cols))
 
@@ -115,7 +115,7 @@ def prepare_xy(df: DataFrame, target: str, features: list[str] | None = None, ke
     if text_feats:
         x = one_hot(x, text_feats)
     names = [c for c in x.columns if c not in keep and c != target]
-    meds = {c: exact_quantiles(x, c, [0.5])[0] for c in names}
+    meds = exact_medians(x, names)
     x = x.select(*keep, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(meds[c])).alias(c) if meds[c] is not None
                           else F.col(f"`{c}`").cast("double").alias(c) for c in names], target)
     if vector:

@@ -105,6 +105,20 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], max_bracket: int =
     return out
 
 
+def exact_medians(df: DataFrame, cols: list[str], small: int = SMALL) -> dict[str, float | None]:
+    """Exact medians of several columns: one job for all of them when a row
+    count proves the input small, else the sketch-bracket path per column."""
+    if not cols:
+        return {}
+    n = df.count()
+    if n <= small:
+        aggs = [F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), 0.5).alias(f"m{i}")
+                for i, c in enumerate(cols)]
+        row = df.agg(*aggs).first()
+        return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    return {c: exact_quantiles(df, c, [0.5], rows_upper=n, small=small)[0] for c in cols}
+
+
 def mean_std_pop(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation of each column, one pass."""
     aggs = []

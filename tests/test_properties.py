@@ -283,3 +283,14 @@ def test_holt_winters_refinement_never_worse(spark):
     fine = holt_winters(df, "v", refine=True)[1].first()
     assert fine["sse"] <= coarse + 1e-9
     assert 0 < fine["alpha"] < 1 and 0 < fine["beta"] < 1 and 0 < fine["gamma"] < 1
+
+
+def test_exact_medians_both_paths(spark):
+    from shelfwise.operators.stats import exact_medians
+
+    rnd = random.Random(1)
+    rows = [(rnd.random(), float(rnd.randrange(10)) if i % 5 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    want = {"a": float(np.median([r[0] for r in rows])), "b": float(np.median([r[1] for r in rows if r[1] is not None]))}
+    assert exact_medians(df, ["a", "b"]) == pytest.approx(want)
+    assert exact_medians(df, ["a", "b"], small=10) == pytest.approx(want)
