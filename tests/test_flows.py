@@ -41,3 +41,14 @@ def test_text_study(spark):
     assert {r["model"] for r in board} >= {"LinearSVC", "LogisticRegression", "RandomForest", "RidgeClassifier"}
     assert all(0.0 <= r["accuracy"] <= 1.0 for r in board)
     assert out["ensemble"].count() == 1
+
+
+def test_dashboard_customers_tab(spark):
+    from shelfwise.plans.dashboard import Dashboard
+    from shelfwise.sources import sales_view
+
+    tabs = Dashboard.from_sales(sales_view(spark, SF_SMALL)).customers(k=3, bins=12)
+    assert tabs["segments"].count() == 3
+    assert tabs["age_histogram"].count() == 12
+    assert tabs["rfm"].count() == 20
+    assert abs(sum(r["percent"] for r in tabs["ratings"].collect()) - 100.0) < 0.05
