@@ -2,4 +2,63 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+#: The ten kinds written out again, independent of the operator: kind, pattern, group, least length.
+_SECRET_KINDS = """
+    (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+    (1, 'access', 'AKIA[A-Z0-9]+', 0, 18),
+    (2, 'hex', '[0-9a-f]+', 0, 16),
+    (3, 'pem', '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\x20\\t\\r\\n]*', 0, 40),
+    (4, 'github', 'gh[opsru]_[A-Za-z0-9]{20,}', 0, 24),
+    (5, 'slack', 'xox[abprs]-[A-Za-z0-9-]{10,}', 0, 15),
+    (6, 'google', 'AIza[A-Za-z0-9_-]{30,}', 0, 34),
+    (7, 'stripe', '[rs]k_live_[A-Za-z0-9]{16,}', 0, 24),
+    (8, 'jwt', 'eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}', 0, 29),
+    (9, 'url', '://[A-Za-z0-9_.%-]+:([A-Za-z0-9_.%+!$-]+)@', 1, 8)
+"""
+
+
+def _matches() -> str:
+    """One SELECT for each kind: DuckDB wants constant patterns."""
+    import ast
+
+    one = []
+    for no, kind, pattern, group, least in ast.literal_eval(f"[{_SECRET_KINDS.replace(chr(92), chr(92) * 2).replace(chr(39) * 2, chr(92) + chr(39))}]"):
+        p = pattern.replace("'", "''")
+        one.append(
+            f"SELECT rid, {no} AS no, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS ms, "
+            f"regexp_extract_all(t, '{p}', {group}) AS gs, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')"
+        )
+    return " UNION ALL ".join(one)
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({_matches()}),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (
+  SELECT rid, no, kind, least, gs[i] AS value,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT
+         + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0)::BIGINT AS b, length(ms[i]) AS n
+  FROM i),
+c AS (SELECT rid, no, kind, b, b + n AS e, value FROM s WHERE length(value) >= least),
+o AS (
+  SELECT value, count(DISTINCT coalesce(source, '')) AS owners,
+         len(list_distinct(regexp_extract_all(value, '(?s).'))) >= 6
+         AND NOT regexp_matches(value, '(?i)example|sample|placeholder|changeme|change_me|your_|xxxx|dummy|0123456789|123456789|abcdefgh') AS looks
+  FROM c JOIN d USING (rid) GROUP BY value),
+v AS (SELECT c.*, o.owners < 3 AND o.looks AS live, o.owners >= 3 AS copied FROM c JOIN o USING (value)),
+g AS (
+  SELECT rid, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+         string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no) FILTER (no < 3) AS base,
+         string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no) FILTER (no < 3 OR live) AS spans,
+         count(DISTINCT value) FILTER (live) AS n_live, count(DISTINCT value) FILTER (copied) AS n_copied
+  FROM v GROUP BY rid)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN g USING (rid)
+"""
+
+ORACLE: dict[str, str] = {
+    "op10_secret_scans": SECRETS,
+}

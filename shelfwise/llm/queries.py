@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import simhash
+from shelfwise.llm import secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,25 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner: the document's source; repository: the document. Beside the contract's columns: distinct live and copied secrets."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan_secrets(docs, "doc_id", "text", owner_col="source", repo_col="doc_id", copied_owners=3)
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k, *_ in secrets.BASE],
+        F.sha2(secrets.span_list(F.col("base")), 256).alias("base_sha256"),
+        secrets.span_list(F.col("spans")).alias("spans"),
+        F.size("live").cast("long").alias("n_live"),
+        F.size("copied").cast("long").alias("n_copied"),
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op10_secret_scans": op10_secret_scans,
 }
