@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import langid, packing, secrets, simhash
+from shelfwise.llm import langid, licenses, packing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,33 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(), "doc_id", "text", window=2048, end_id=1)
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licences(docs, "text", "found")
+    base, notices = F.col("found.base"), F.col("found.notices")
+    base_labels = F.array_distinct(base["label"])
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["word"]).alias("first_word"),
+        F.array_max(base["word"]).alias("last_word"),
+        joined(base_labels).alias("base_labels"),
+        joined(F.concat(base_labels, notices["label"])).alias("labels"),
+        licenses.score(F.col("found")).alias("score"),
+        F.size(notices).cast("long").alias("n_notices"),
+        F.array_min(notices["edits"]).cast("long").alias("least_edits"),
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_license_scans": op4_license_scans,
     "op8_packing": op8_packing,
     "op10_secret_scans": op10_secret_scans,
 }
