@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import langid, licenses, packing, secrets, simhash
+from shelfwise.llm import html_extract, langid, licenses, packing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +76,17 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    text = html_extract.main_text_of(F.col("html"), spark).alias("text")
+    return pages.select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_license_scans": op4_license_scans,
+    "op5_html_extraction": op5_html_extraction,
     "op8_packing": op8_packing,
     "op10_secret_scans": op10_secret_scans,
 }
