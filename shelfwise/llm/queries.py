@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import html_extract, langid, licenses, packing, secrets, simhash
+from shelfwise.llm import hnsw, html_extract, langid, licenses, packing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +82,17 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hnsw.nearest(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding", k=20, ef=160)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_license_scans": op4_license_scans,
     "op5_html_extraction": op5_html_extraction,
+    "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours,
     "op8_packing": op8_packing,
     "op10_secret_scans": op10_secret_scans,
 }
