@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import hnsw, html_extract, langid, licenses, packing, secrets, simhash
+from shelfwise.llm import hnsw, html_extract, langid, licenses, multi_index, packing, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,11 @@ def op6_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> Data
     return hnsw.nearest(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding", k=20, ef=160)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.near_duplicates(rows, "vec_id", "embedding", threshold=0.95)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_language_id": op3_language_id,
@@ -94,5 +99,6 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours,
     "op8_packing": op8_packing,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
