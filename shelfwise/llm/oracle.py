@@ -59,6 +59,39 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN g USING (rid)
 """
 
+#: As of the fetch day, by the last entry of each pattern up to that day instead of intervals.
+URLS = r"""
+WITH c AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 365)::INTEGER AS fetched_on,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+f AS (SELECT host, min(page_id) AS k, arg_min(path, page_id) AS path FROM c WHERE host <> '' GROUP BY host),
+l AS (
+  SELECT k, (k % 3)::INTEGER AS kind, ['spam', 'malware', 'adult', 'piracy', 'phishing'][(k % 5)::INTEGER + 1] AS category,
+         CASE k % 3 WHEN 0 THEN host WHEN 1 THEN regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1)
+              ELSE host || regexp_extract(path, '^/+([^/]+)', 0) END AS pattern
+  FROM f),
+log AS (
+  SELECT kind, pattern, category, 1 AS listed, k * 7 % 300 AS day FROM l WHERE pattern <> ''
+  UNION SELECT kind, pattern, category, 0, k * 7 % 300 + 60 FROM l WHERE kind > 0 AND pattern <> ''
+  UNION SELECT kind, pattern, category, 1, k * 7 % 300 + 120 FROM l WHERE kind = 1 AND pattern <> ''),
+p AS (SELECT DISTINCT kind, pattern FROM log),
+m AS (
+  SELECT c.page_id, p.kind, p.pattern FROM c JOIN p ON
+    (p.kind = 0 AND c.host = p.pattern)
+    OR (p.kind = 1 AND (c.host = p.pattern OR suffix(c.host, '.' || p.pattern)))
+    OR (p.kind = 2 AND (c.host || c.path = p.pattern OR starts_with(c.host || c.path, p.pattern || '/')))),
+s AS (
+  SELECT m.page_id, m.kind, m.pattern, log.category, arg_max(log.listed, log.day * 2 + (1 - log.listed)) AS listed
+  FROM m JOIN log USING (kind, pattern) JOIN c USING (page_id)
+  WHERE DATE '2024-01-01' + log.day::INTEGER <= c.fetched_on GROUP BY ALL),
+g AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM s WHERE listed = 1 GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched_on, coalesce(g.n, 0) > 0 AS blocked, coalesce(g.n, 0) AS n_entries, coalesce(g.categories, '') AS categories
+FROM c LEFT JOIN g USING (page_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_url_filters": URLS,
     "op10_secret_scans": SECRETS,
 }

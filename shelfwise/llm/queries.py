@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import hnsw, html_extract, langid, licenses, multi_index, packing, secrets, simhash
+from shelfwise.llm import hnsw, html_extract, langid, licenses, multi_index, packing, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,8 +92,47 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(rows, "vec_id", "embedding", threshold=0.95)
 
 
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list derived from the pages' own hosts: ``(kind, pattern, category, action, at)``.
+
+    The host whose first page has id ``k`` is listed as a host, a domain or a path prefix by ``k`` mod 3,
+    some entries are removed later and some of those added again.
+    """
+    at = F.to_date(F.lit("2024-01-01"))
+    host = url_filter.host_of(F.col("url"))
+    first = pages.filter(host != "").groupBy(host.alias("host")).agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("p"))
+    first = first.select("host", F.col("p.page_id").alias("k"), F.element_at(url_filter.directories_of(F.col("p.url")), 1).alias("folder"))
+    kind = F.element_at(F.array(*map(F.lit, url_filter.KINDS)), (F.col("k") % 3 + 1).cast("int"))
+    names = F.array(*map(F.lit, ("spam", "malware", "adult", "piracy", "phishing")))
+    listed = first.select(
+        kind.alias("kind"),
+        F.when(kind == "host", F.col("host")).when(kind == "domain", F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1)).otherwise(F.concat("host", "folder")).alias("pattern"),
+        F.element_at(names, (F.col("k") % 5 + 1).cast("int")).alias("category"),
+        "k",
+    ).filter("pattern <> ''")
+
+    def log(kinds: tuple, action: str, days) -> DataFrame:
+        return listed.filter(F.col("kind").isin(*kinds)).select("kind", "pattern", "category", F.lit(action).alias("action"), F.date_add(at, days.cast("int")).alias("at"))
+
+    added = F.col("k") * 7 % 300
+    return (
+        log(url_filter.KINDS, "add", added)
+        .unionByName(log(("domain", "prefix"), "remove", added + 60))
+        .unionByName(log(("domain",), "add", added + 120))
+    )
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures: every page, fetched on a day of 2024 that follows from its id."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") * 37 % 365).cast("int"))
+    judged = url_filter.filter_urls(pages.withColumn("fetched_on", day), url_list(pages), "url", "fetched_on")
+    return judged.withColumn("categories", F.array_join("categories", ","))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
     "op4_license_scans": op4_license_scans,
     "op5_html_extraction": op5_html_extraction,
