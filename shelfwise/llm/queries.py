@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import hnsw, html_extract, langid, licenses, multi_index, packing, secrets, simhash, url_filter
+from shelfwise.llm import hnsw, html_extract, langid, licenses, multi_index, packing, piece_fst, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document's piece ids, and whether decoding gives its text back."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = piece_fst.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = piece_fst.decode(docs, model)
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), piece_fst.MARK, " ")
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        (F.col("decoded") == plain).alias("round_trip"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path(), "doc_id", "text", window=2048, end_id=1)
@@ -137,6 +151,7 @@ QUERIES = {
     "op4_license_scans": op4_license_scans,
     "op5_html_extraction": op5_html_extraction,
     "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_packing": op8_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scans": op10_secret_scans,

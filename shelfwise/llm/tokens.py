@@ -28,17 +28,21 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Unit to its ids as bytes; emptied when ``limit`` units are held, long units are not held."""
+class UnitCache(dict):
+    """Unit to its ids as bytes. When ``limit`` units are held they become the old generation, from
+    which used ones come back; long units are not held."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = array("i", self.encode(" " + unit)).tobytes()
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = array("i", self.encode(unit)).tobytes()
         if len(unit) <= 48:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[unit] = ids
         return ids
@@ -67,7 +71,7 @@ class Encoder:
             t = Tokenizer.from_file(path)
             t.encode_special_tokens = True
             self._plain = lambda s: t.encode(s, add_special_tokens=False).ids
-        self._cache = _Cache(self._plain, cache_units)
+        self._cache = UnitCache(lambda unit: self._plain(" " + unit), cache_units)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
