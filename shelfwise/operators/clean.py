@@ -21,7 +21,7 @@ from shelfwise.functions.parse import (
     to_ts,
 )
 from shelfwise.operators.stats import exact_medians, exact_quantiles, mean_std_pop
-from shelfwise.session import cut_lineage
+from shelfwise.session import shared_table
 
 NUMERIC_SALES = ["sell", "cost", "unit", "price", "discount_pct", "sell_price", "buying_price"]
 FLAG = "repeated_customer_flag"
@@ -105,31 +105,24 @@ def fill_median(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame
     return out, med
 
 
-def column_mode(df: DataFrame, col: str) -> object | None:
-    """Most frequent non-null value; ties -> the smallest value (pandas ``mode()[0]``).
-    Partial counts per executor, then a bounded top-1."""
-    row = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(col)
-        .count()
-        .orderBy(F.col("count").desc(), F.col(col).asc())
-        .limit(1)
-        .first()
-    )
-    return None if row is None else row[col]
+def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
+    """Most frequent non-null value of each column; ties -> the smallest value (pandas
+    ``mode()[0]``). One scan: (column, value) pairs are counted with partial
+    aggregation and each column keeps its best pair."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols)])
+    counts = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("k"), "v")).alias("b"))
+    return {cols[r["i"]]: r["b"]["v"] for r in best.collect()}
 
 
 def fill_mode(df: DataFrame, cols: list[str] | None = None, default: str = "unknown") -> tuple[DataFrame, dict]:
-    """Categorical NULLs -> the column's mode, ``default`` when it has none."""
+    """NULLs of text columns -> the column's mode, ``default`` when it has none."""
     cols = cols or _string_cols(df)
-    modes = {}
+    found = column_modes(df, cols) if cols else {}
+    modes = {c: found.get(c, default) for c in cols}
     out = df
     for c in cols:
-        if df.where(F.col(c).isNull()).limit(1).count() == 0:
-            continue
-        m = column_mode(df, c)
-        modes[c] = default if m is None else m
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(modes[c])))
+        out = out.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(modes[c])))
     return out, modes
 
 
@@ -147,79 +140,53 @@ def high_value_flag(df: DataFrame, col: str = "profit", q: float = 0.8, name: st
     return df.withColumn(name, flag.cast("int")), thr
 
 
-def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5, checkpoint: bool = True) -> tuple[DataFrame, list[dict]]:
+def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5) -> tuple[DataFrame, list[dict]]:
     """Sequential IQR outlier removal. Each column's bounds come from the rows
-    left by the previous column. The input is materialised once (reliable
-    checkpoint in the cluster's shared folder); later steps only add a filter
-    each over that data, so re-reading them is cheap and needs no new cut."""
-    report = []
-    if checkpoint:  # materialise the input once, spread over at least every core
-        par = df.sparkSession.sparkContext.defaultParallelism
-        src = df.repartition(par) if df.rdd.getNumPartitions() < par else df
-        cur = cut_lineage(src)
-    else:
-        cur = df
-    before = cur.count()
-    for c in cols:
-        if c not in cur.columns:
-            continue
-        q1, q3 = exact_quantiles(cur, c, [0.25, 0.75], rows_upper=before)
-        if q1 is None:
-            nxt = cur.where(F.lit(False))
-            lower = upper = None
-        else:
-            iqr = q3 - q1
-            lower, upper = q1 - k * iqr, q3 + k * iqr
-            nxt = cur.where((F.col(c) >= F.lit(lower)) & (F.col(c) <= F.lit(upper)))
-        after = nxt.count()
-        report.append({"column": c, "lower": lower, "upper": upper, "removed": before - after})
-        cur, before = nxt, after
-    return cur, report
+    left by the previous column.
 
-
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "", max_literal_levels: int = 10_000) -> DataFrame:
+    Bounds are fitted on the listed columns alone, kept in memory (or spilled) for
+    the fit and released after it; the input itself is never copied: the result is
+    the input with the filters on it.
+    """
+    cols = [c for c in cols if c in df.columns]
+    report, kept = [], F.lit(True)
+    slim = df.select(*[F.col(f"`{c}`") for c in cols]).persist()
+    try:
+        left = slim.count()
+        for c in cols:
+            q1, q3 = exact_quantiles(slim.where(kept), c, [0.25, 0.75])
+            lower = upper = None
+            if q1 is None:
+                kept = F.lit(False)
+            else:
+                lower, upper = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+                kept = kept & (F.col(f"`{c}`") >= F.lit(lower)) & (F.col(f"`{c}`") <= F.lit(upper))
+            after = slim.where(kept).count()
+            report.append({"column": c, "lower": lower, "upper": upper, "removed": left - after})
+            left = after
+    finally:
+        slim.unpersist()
+    return df.where(kept), report
+
+
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """code = rank of the value among the column's sorted distinct values
     (0-based); NULL stays NULL.
 
-    Levels of all columns are found in one scan (one partially aggregated
-    distinct). When a column has at most ``max_literal_levels`` levels they
-    come back to the driver (bounded) and the code is a literal map lookup, no
-    join; larger level sets are ranked with the distributed index and joined.
+    The levels of all columns come from one scan (one partially aggregated distinct),
+    are ranked together by the distributed index and joined back per column; the
+    planner broadcasts a level table whose size it knows to be small.
     """
-    from shelfwise.operators.filters import broadcast_if_small
-    from shelfwise.operators.rank import global_index
+    from shelfwise.operators.rank import rank_within
 
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
-    levels = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
-    levels = levels.persist()
-    sizes = {r["c"]: r["n"] for r in levels.groupBy("c").count().withColumnRenamed("count", "n").collect()}
-    small = [c for c in cols if sizes.get(c, 0) <= max_literal_levels]
-    fetched: dict[str, list] = {c: [] for c in small}
-    if small:  # one bounded collect for every small level set
-        for r in levels.where(F.col("c").isin(small)).collect():
-            fetched[r["c"]].append(r["v"])
+    pairs = F.array(*[F.struct(F.lit(i).alias("_col"), F.col(f"`{c}`").cast("string").alias("_lvl")) for i, c in enumerate(cols)])
+    levels = df.select(F.inline(pairs)).where(F.col("_lvl").isNotNull()).distinct()
+    ranked = shared_table(rank_within(levels, ["_col"], ["_lvl"], name="_code"))
     out = df
-    for c in cols:
-        target = c + suffix
-        if c in fetched:
-            vals = sorted(fetched[c])
-            if not vals:
-                out = out.withColumn(target, F.lit(None).cast("int"))
-                continue
-            mapping = F.create_map(*[x for i, v in enumerate(vals) for x in (F.lit(v), F.lit(i))])
-            out = out.withColumn(target, mapping[F.col(c).cast("string")].cast("int"))
-        else:
-            lv = levels.where(F.col("c") == c).select(F.col("v").alias("_lvl"))
-            codes = global_index(lv, [F.col("_lvl")], name="_code", start=0).withColumn("_code", F.col("_code").cast("int"))
-            codes = broadcast_if_small(codes, 1_000_000)
-            out = (
-                out.withColumn("_lvl", F.col(c).cast("string"))
-                .join(codes, "_lvl", "left")
-                .drop("_lvl")
-                .withColumn(target, F.col("_code"))
-                .drop("_code")
-            )
-    levels.unpersist()
+    for i, c in enumerate(cols):
+        codes = ranked.where(F.col("_col") == i).select(F.col("_lvl").alias("_lvl_"), (F.col("_code") - 1).cast("int").alias("_code_"))
+        joined = out.join(codes, F.col(f"`{c}`").cast("string") == F.col("_lvl_"), "left")
+        out = joined.withColumn(c + suffix, F.col("_code_")).drop("_lvl_", "_code_")
     return out
 
 

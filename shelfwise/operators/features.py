@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.clean import numeric_cols, one_hot
-from shelfwise.operators.filters import broadcast_if_small
-from shelfwise.operators.rank import global_index
+from shelfwise.operators.rank import rank_within
 from shelfwise.operators.stats import exact_medians, order_statistics
 
 PRIME = 2147483647  # 2^31 - 1
@@ -27,7 +26,8 @@ def mix_hash(cols: list[str], seed: int = 42) -> Column:
     engine), for splits that must be checkable outside Spark."""
     h = F.lit(seed % PRIME).cast("long")
     for c in cols:
-        h = (h * 1000003 + F.pmod(F.col(c).cast("long"), F.lit(PRIME))) % PRIME
+        # a missing key part counts as a value of its own, so its row still gets a hash
+        h = (h * 1000003 + F.coalesce(F.pmod(F.col(c).cast("long"), F.lit(PRIME)), F.lit(PRIME - 1).cast("long"))) % PRIME
         h = (h * 48271) % PRIME
     return (h * 69621) % PRIME
 
@@ -36,19 +36,7 @@ def split_order(cols: list[str], seed: int = 42, sql_hash: bool = False) -> Colu
     return mix_hash(cols, seed) if sql_hash else F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
 
 
-def rank_within(df: DataFrame, groups: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
-    """1-based rank inside each group by ``order`` (total), computed with one
-    distributed index and per-group offsets (a small table)."""
-    idx = global_index(df, [*[F.col(g) for g in groups], *order], name="_gidx")
-    if not groups:
-        return idx.withColumnRenamed("_gidx", name)
-    starts = idx.groupBy(*groups).agg(F.min("_gidx").alias("_start"), F.count(F.lit(1)).alias("_group_n"))
-    starts = broadcast_if_small(starts, 100_000)
-    out = idx.join(starts, groups)
-    return out.withColumn(name, F.col("_gidx") - F.col("_start") + 1).drop("_gidx", "_start")
-
-
-def _first_by_hash(df: DataFrame, key: list[str], n_take: int, name: str, n: int | None = None) -> DataFrame:
+def _first_by_hash(df: DataFrame, key: list[str], n_take: int, name: str) -> DataFrame:
     """Flag the ``n_take`` rows that come first in (``_h``, key) order, without
     sorting or numbering the whole input: the exact ``n_take``-th smallest hash
     is an order statistic (sketch bracket, bounded collect), which also gives
@@ -57,17 +45,30 @@ def _first_by_hash(df: DataFrame, key: list[str], n_take: int, name: str, n: int
     value's collision set) are ranked by key."""
     if n_take <= 0:
         return df.withColumn(name, F.lit(0)).drop("_h")
-    ((h_star, below, ties),) = order_statistics(df, "_h", [n_take - 1], n=n, with_counts=True)
+    ((h_star, below, ties),) = order_statistics(df, "_h", [n_take - 1], with_counts=True)
     take_tied = n_take - below
     if take_tied >= ties:
         return df.withColumn(name, (F.col("_h") <= F.lit(h_star)).cast("int")).drop("_h")
-    tied = df.where(F.col("_h") == F.lit(h_star)).select(*key)
+    # rows tied on one hash value are one key's copies: any of them serve alike, so each distinct
+    # key of the tie gets a quota, and rows beyond it stay out
+    tied = df.where(F.col("_h") == F.lit(h_star)).groupBy(*key).agg(F.count(F.lit(1)).alias("_copies"))
     w = Window.orderBy(*[F.col(k) for k in key])
-    chosen = tied.withColumn("_t", F.row_number().over(w)).where(F.col("_t") <= take_tied).drop("_t")
-    chosen = chosen.withColumn("_tie_pick", F.lit(1))
-    out = df.join(F.broadcast(chosen), key, "left")  # at most the collision set of one hash value
-    flag = (F.col("_h") < F.lit(h_star)) | ((F.col("_h") == F.lit(h_star)) & F.col("_tie_pick").isNotNull())
-    return out.withColumn(name, flag.cast("int")).drop("_h", "_tie_pick")
+    before = F.sum("_copies").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    quota = tied.withColumn("_quota", F.lit(take_tied) - F.coalesce(before, F.lit(0))).where("_quota > 0").drop("_copies")
+    rest = [c for c in df.columns if c not in key and c != "_h"]
+    mine = df.where(F.col("_h") == F.lit(h_star))
+    for k in key:
+        quota = quota.withColumnRenamed(k, f"_q_{k}")
+    same = None
+    for k in key:
+        term = F.col(k).eqNullSafe(F.col(f"_q_{k}"))
+        same = term if same is None else same & term
+    mine = mine.join(quota, same, "left")
+    order = Window.partitionBy(*key).orderBy(*[F.col(c) for c in rest]) if rest else Window.partitionBy(*key).orderBy(F.lit(1))
+    mine = mine.withColumn(name, (F.row_number().over(order) <= F.coalesce("_quota", F.lit(0))).cast("int"))
+    others = df.where(F.col("_h") != F.lit(h_star)).withColumn(name, (F.col("_h") < F.lit(h_star)).cast("int"))
+    cols = [c for c in df.columns if c != "_h"]
+    return others.select(*cols, name).unionByName(mine.select(*cols, name))
 
 
 def split(df: DataFrame, key: list[str], test_frac: float = 0.2, seed: int = 42, sql_hash: bool = False,
@@ -75,25 +76,17 @@ def split(df: DataFrame, key: list[str], test_frac: float = 0.2, seed: int = 42,
     """M1: exactly ceil(test_frac * n) rows flagged as test: the first ones in
     (key hash, key) order. Repeatable under any partitioning."""
     n = df.count()
-    return _first_by_hash(df.withColumn("_h", split_order(key, seed, sql_hash)), key, math.ceil(test_frac * n), name, n=n)
+    return _first_by_hash(df.withColumn("_h", split_order(key, seed, sql_hash)), key, math.ceil(test_frac * n), name)
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], test_frac: float = 0.2, seed: int = 42,
-                     sql_hash: bool = False, name: str = "is_test", max_classes: int = 1000) -> DataFrame:
-    """M2: per class, exactly ceil(test_frac * class size) rows flagged as test."""
-    counts = df.groupBy(label).count().limit(max_classes + 1).collect()
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} classes to stratify on")
+                     sql_hash: bool = False, name: str = "is_test") -> DataFrame:
+    """M2: per class, exactly ceil(test_frac * class size) rows flagged as test: the first ones in
+    (key hash, key) order. One ranking for all classes, whatever their number; a missing
+    label is a class of its own."""
     hashed = df.withColumn("_h", split_order(key, seed, sql_hash))
-    parts = []
-    for row in counts:  # one bounded order-statistic job set per class
-        cls = row[label]
-        part = hashed.where(F.col(label).isNull() if cls is None else (F.col(label) == F.lit(cls)))
-        parts.append(_first_by_hash(part, key, math.ceil(test_frac * row["count"]), name, n=row["count"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ranked = rank_within(hashed, [label], ["_h", *key], name="_rank", size="_size")
+    return ranked.withColumn(name, (F.col("_rank") <= F.ceil(F.lit(test_frac) * F.col("_size"))).cast("int")).drop("_h", "_rank", "_size")
 
 
 def feature_medians(df: DataFrame, cols: list[str]) -> DataFrame:

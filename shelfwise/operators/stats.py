@@ -2,121 +2,149 @@
 
 pandas ``quantile`` interpolates linearly between order statistics. Spark's
 ``percentile`` does the same, but its final merge holds every distinct value
-in one task, which neither scales to a 100 TB column nor is fast at 600k rows.
-``exact_quantiles`` keeps the exact answer and bounds what any task or the
-driver holds, with three jobs whatever the number of quantiles:
-
-1. one aggregate: the non-null count and, from a ``percentile_approx`` sketch
-   (mergeable, partially aggregated on every executor), a bracket
-   [lo, hi] around each quantile's rank;
-2. one aggregate: for every bracket the number of values below and inside it;
-   a bracket that provably misses its ranks is widened and re-checked;
-3. one collect of the values inside the brackets only (at most
-   ``max_bracket`` values, checked before collecting); the two order
-   statistics of each quantile are picked by position.
-
-Inputs known to be small (``rows_upper <= small``) use ``percentile`` directly.
+in one task. Here an order statistic is closed in on by counting alone:
+
+1. one aggregate gives each column's count;
+2. in rounds, a coarse ``percentile_approx`` sketch of the rows still inside a
+   bracket proposes split points, and one aggregate counts the rows below and up
+   to each of them, which is exact; a split point is the value sought (however
+   often it ties) or the bracket's new end;
+3. brackets of few rows are read off as (value, count) pairs.
+
+Every round serves all columns and ranks together, so the number of jobs does not
+grow with them; nothing but counts and the last few thousand distinct values
+leaves the executors, at any size and with any ties.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-MAX_BRACKET = 2_000_000
-SMALL = 20_000
-
-
-def _linear(v_lo: float, v_hi: float, frac: float) -> float:
-    return v_lo + (v_hi - v_lo) * frac if frac else v_lo
-
-
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], max_bracket: int = MAX_BRACKET,
-                    rows_upper: int | None = None, small: int = SMALL) -> list[float | None]:
-    """Exact linear-interpolated quantiles of ``col`` (NULL and NaN ignored).
-    ``rows_upper``: a known bound on the row count."""
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    if rows_upper is not None and rows_upper <= small:
-        row = vals.agg(*[F.percentile("x", float(q)).alias(f"q{i}") for i, q in enumerate(qs)]).first()
-        return [row[f"q{i}"] for i in range(len(qs))]
-
-    acc, eps = 100_000, None
-    n = None
-    brackets: list[tuple[float, float]] = []
-    todo = list(range(len(qs)))
-    eps_q = [0.0] * len(qs)
-    below = [0] * len(qs)
-    inside = [0] * len(qs)
-    for attempt in range(40):
-        if n is None:
-            first = vals.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")).first()
-            n, mn, mx = first["n"], first["mn"], first["mx"]
-            if n == 0:
-                return [None for _ in qs]
-            if n <= small:
-                row = vals.agg(*[F.percentile("x", float(q)).alias(f"q{i}") for i, q in enumerate(qs)]).first()
-                return [row[f"q{i}"] for i in range(len(qs))]
-            # sketch accuracy so that a bracket holds ~ max_bracket / 4 values at most
-            acc = int(min(max(16.0 * n / max_bracket, 10_000), 10_000_000))
-            eps = 3.0 / acc
-            eps_q = [eps] * len(qs)
-            brackets = [(mn, mx)] * len(qs)
-        probs = []
-        for i in todo:
-            probs += [max(qs[i] - eps_q[i], 0.0), min(qs[i] + eps_q[i], 1.0)]
-        approx = vals.agg(F.percentile_approx("x", probs, acc).alias("b")).first()["b"]
-        for j, i in enumerate(todo):
-            lo = float(approx[2 * j]) if qs[i] - eps_q[i] > 0 else mn
-            hi = float(approx[2 * j + 1]) if qs[i] + eps_q[i] < 1 else mx
-            brackets[i] = (lo, hi)
-        aggs = []
-        for i in todo:
-            lo, hi = brackets[i]
-            aggs += [F.count_if(F.col("x") < F.lit(lo)).alias(f"b{i}"),
-                     F.count_if((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))).alias(f"i{i}")]
-        c = vals.agg(*aggs).first()
-        still = []
-        for i in todo:
-            below[i], inside[i] = c[f"b{i}"], c[f"i{i}"]
-            pos = (n - 1) * qs[i]
-            if not (below[i] <= math.floor(pos) and below[i] + inside[i] > math.ceil(pos)):
-                eps_q[i] = min(eps_q[i] * 4, 1.0)
-                still.append(i)
-        todo = still
-        if not todo:
-            break
-    if sum(inside) > max_bracket:
-        raise ValueError(f"{col}: quantile brackets hold {sum(inside)} values (> {max_bracket}); raise max_bracket")
-    cond = None
-    for lo, hi in brackets:
-        term = (F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi))
-        cond = term if cond is None else (cond | term)
-    window = sorted(r["x"] for r in vals.where(cond).collect())
-    out: list[float | None] = []
-    for i, q in enumerate(qs):
-        lo, hi = brackets[i]
-        mine = [v for v in window if lo <= v <= hi]
-        pos = (n - 1) * q
-        r_lo, r_hi = math.floor(pos), math.ceil(pos)
-        out.append(_linear(mine[r_lo - below[i]], mine[r_hi - below[i]], pos - r_lo))
+from pyspark.sql import types as T
+
+#: Rows of one bracket that are read off instead of narrowed further.
+READ_OFF = 5_000
+#: Sketch accuracy of a round (small, since the counts decide) and the reach of its split points.
+ACCURACY = 2_000
+REACH = (0.05, 0.002)
+
+
+@dataclass
+class _Target:
+    """One 0-based rank of a column and the open bracket that holds it (None: no end yet)."""
+
+    col: str
+    rank: int
+    inside: int
+    lo: object = None
+    hi: object = None
+    below: int = 0  # rows up to and with ``lo``
+    found: tuple | None = None  # (value, rows below it, rows equal to it)
+
+    def holds(self):
+        x = F.col(self.col)
+        held = x.isNotNull()
+        if self.lo is not None:
+            held = held & (x > F.lit(self.lo))
+        return held if self.hi is None else held & (x < F.lit(self.hi))
+
+
+def _narrow(vals: DataFrame, todo: list[_Target]) -> None:
+    """One round: propose split points, count around them, shrink every bracket.
+
+    A split point is a value inside the bracket, so each either is the rank's value or
+    becomes an end that leaves its own rows out: a round always gains.
+    """
+    sketches = []
+    for i, t in enumerate(todo):
+        p = (t.rank - t.below + 0.5) / t.inside
+        probs = sorted({min(max(p + d, 0.0), 1.0) for r in REACH for d in (-r, r)} | {p})
+        sketches.append(F.percentile_approx(F.when(t.holds(), F.col(t.col)), probs, ACCURACY).alias(f"s{i}"))
+    proposed = vals.agg(*sketches).first()
+    splits = [sorted(set(proposed[f"s{i}"])) for i in range(len(todo))]
+    counts = []
+    for i, t in enumerate(todo):
+        for j, s in enumerate(splits[i]):
+            counts.append(F.count_if(F.col(t.col) < F.lit(s)).alias(f"b{i}_{j}"))
+            counts.append(F.count_if(F.col(t.col) <= F.lit(s)).alias(f"u{i}_{j}"))
+    got = vals.agg(*counts).first()
+    for i, t in enumerate(todo):
+        end = t.below + t.inside
+        for j, s in enumerate(splits[i]):
+            under, upto = got[f"b{i}_{j}"], got[f"u{i}_{j}"]
+            if t.rank < under:
+                t.hi, end = s, under
+                break
+            if t.rank < upto:
+                t.found = (s, under, upto - under)
+                break
+            t.lo, t.below = s, upto
+        t.inside = end - t.below
+
+
+def _settle(vals: DataFrame, targets: list[_Target]) -> list[tuple]:
+    """For each target: (value, rows below it, rows equal to it)."""
+    while todo := [t for t in targets if t.found is None and t.inside > READ_OFF]:
+        _narrow(vals, todo)
+    read = [(i, t) for i, t in enumerate(targets) if t.found is None]
+    for kind in {vals.schema[t.col].dataType.simpleString() for _, t in read}:  # one job for each value type
+        same = [F.when(t.holds(), F.struct(F.lit(i).alias("t"), F.col(t.col).alias("x")))
+                for i, t in read if vals.schema[t.col].dataType.simpleString() == kind]
+        rows = vals.select(F.explode(F.filter(F.array(*same), lambda s: s.isNotNull())).alias("s"))
+        pairs = rows.groupBy("s.t", "s.x").agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(pairs, key=lambda r: (r["t"], r["x"])):
+            t = targets[r["t"]]
+            if t.found is None and t.rank < t.below + r["n"]:
+                t.found = (r["x"], t.below, r["n"])
+            t.below += r["n"]
+    return [t.found for t in targets]
+
+
+def _sizes(vals: DataFrame) -> dict[str, int]:
+    """Non-null count of every column, one aggregate."""
+    row = vals.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(vals.columns)]).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(vals.columns)}
+
+
+def _as_double(df: DataFrame, cols: list[str]) -> DataFrame:
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    return df.select(*[F.when(~F.isnan(v), v).alias(f"x{i}") for i, v in enumerate(x)])
+
+
+def exact_quantiles_by(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several columns (NULL and NaN ignored); None for an empty column."""
+    cols = list(wanted)
+    if not cols:
+        return {}
+    vals = _as_double(df, cols)
+    known = _sizes(vals)
+    targets, where = [], []
+    for i, c in enumerate(cols):
+        n = known[f"x{i}"]
+        for j, q in enumerate(wanted[c]):
+            if n:
+                pos = (n - 1) * q
+                targets += [_Target(f"x{i}", math.floor(pos), n), _Target(f"x{i}", math.ceil(pos), n)]
+                where.append((c, j, pos - math.floor(pos)))
+    got = _settle(vals, targets)
+    out: dict[str, list] = {c: [None] * len(wanted[c]) for c in cols}
+    for k, (c, j, part) in enumerate(where):
+        low, high = got[2 * k][0], got[2 * k + 1][0]
+        out[c][j] = low + (high - low) * part if part else low
     return out
 
 
-def exact_medians(df: DataFrame, cols: list[str], small: int = SMALL) -> dict[str, float | None]:
-    """Exact medians of several columns: one job for all of them when a row
-    count proves the input small, else the sketch-bracket path per column."""
-    if not cols:
-        return {}
-    n = df.count()
-    if n <= small:
-        aggs = [F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), 0.5).alias(f"m{i}")
-                for i, c in enumerate(cols)]
-        row = df.agg(*aggs).first()
-        return {c: row[f"m{i}"] for i, c in enumerate(cols)}
-    return {c: exact_quantiles(df, c, [0.5], rows_upper=n, small=small)[0] for c in cols}
+def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
+    """Exact linear-interpolated quantiles of ``col`` (NULL and NaN ignored)."""
+    return exact_quantiles_by(df, {col: list(qs)})[col]
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians of several columns, all closed in on together."""
+    return {c: v[0] for c, v in exact_quantiles_by(df, {c: [0.5] for c in cols}).items()}
 
 
 def mean_std_pop(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
@@ -128,69 +156,14 @@ def mean_std_pop(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float
     return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int], n: int | None = None,
-                     max_bracket: int = MAX_BRACKET, small: int = SMALL, with_counts: bool = False) -> list:
-    """Exact values at 0-based ``ranks`` of the non-null ``col`` in ascending
-    order, in the column's own type (64-bit keys stay exact). Same three-job
-    bracket scheme as ``exact_quantiles``; small inputs are sorted directly.
-    ``with_counts``: return (value, rows below the value, rows equal to it),
-    read off the collected bracket, so callers need no extra pass."""
-    vals = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
-    if n is None:
-        n = vals.count()
-    if n == 0:
-        return [None for _ in ranks]
-    if n <= small:
-        ordered = [r["x"] for r in vals.orderBy("x").collect()]
-        if not with_counts:
-            return [ordered[r] for r in ranks]
-        return [(ordered[r], sum(1 for v in ordered if v < ordered[r]), sum(1 for v in ordered if v == ordered[r]))
-                for r in ranks]
-    acc = int(min(max(16.0 * n / max_bracket, 10_000), 10_000_000))
-    eps_q = [3.0 / acc] * len(ranks)
-    lo_hi: list[tuple] = [(None, None)] * len(ranks)
-    below, inside = [0] * len(ranks), [0] * len(ranks)
-    todo = list(range(len(ranks)))
-    for _ in range(40):
-        probs = []
-        for i in todo:
-            q = ranks[i] / max(n - 1, 1)
-            probs += [max(q - eps_q[i], 0.0), min(q + eps_q[i], 1.0)]
-        approx = vals.agg(F.percentile_approx("x", probs, acc).alias("b")).first()["b"]
-        aggs = []
-        for j, i in enumerate(todo):
-            q = ranks[i] / max(n - 1, 1)
-            lo = None if q - eps_q[i] <= 0 else approx[2 * j]
-            hi = None if q + eps_q[i] >= 1 else approx[2 * j + 1]
-            lo_hi[i] = (lo, hi)
-            lo_c = F.lit(True) if lo is None else (F.col("x") >= F.lit(lo))
-            hi_c = F.lit(True) if hi is None else (F.col("x") <= F.lit(hi))
-            aggs += [F.count_if(F.lit(False) if lo is None else (F.col("x") < F.lit(lo))).alias(f"b{i}"),
-                     F.count_if(lo_c & hi_c).alias(f"i{i}")]
-        c = vals.agg(*aggs).first()
-        still = []
-        for i in todo:
-            below[i], inside[i] = c[f"b{i}"], c[f"i{i}"]
-            if not (below[i] <= ranks[i] < below[i] + inside[i]):
-                eps_q[i] = min(eps_q[i] * 4, 1.0)
-                still.append(i)
-        todo = still
-        if not todo:
-            break
-    if sum(inside) > max_bracket:
-        raise ValueError(f"{col}: order-statistic brackets hold {sum(inside)} values (> {max_bracket})")
-    out = []
-    for i, r in enumerate(ranks):
-        lo, hi = lo_hi[i]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("x") >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.col("x") <= F.lit(hi))
-        window = sorted(row["x"] for row in vals.where(cond).collect())
-        val = window[r - below[i]]
-        if with_counts:
-            out.append((val, below[i] + sum(1 for v in window if v < val), sum(1 for v in window if v == val)))
-        else:
-            out.append(val)
-    return out
+def order_statistics(df: DataFrame, col: str, ranks: list[int], with_counts: bool = False) -> list:
+    """Exact values at 0-based ``ranks`` of the non-null ``col`` in ascending order, in the column's
+    own integer or floating type (64-bit keys stay exact). ``with_counts``: (value, rows below
+    the value, rows equal to it)."""
+    vals = df.select(F.col(col).alias("x"))
+    if not isinstance(vals.schema["x"].dataType, (T.IntegralType, T.FractionalType)):
+        raise TypeError(f"{col}: order statistics need a numeric column")
+    n = _sizes(vals)["x"]
+    got = _settle(vals, [_Target("x", r, n) for r in ranks if r < n])
+    found = [g if with_counts else g[0] for g in got]
+    return found + [None] * (len(ranks) - len(found))

@@ -11,18 +11,59 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 
 
-def test_exact_quantiles_bracket_path_matches_numpy(spark):
+def test_exact_quantiles_match_numpy(spark, monkeypatch):
+    from shelfwise.operators import stats
     from shelfwise.operators.stats import exact_quantiles
 
     rnd = random.Random(7)
     vals = [rnd.gauss(0, 1) for _ in range(5000)] + [5.0] * 300  # a heavy tie too
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(7)
     qs = [0.0, 0.1, 0.25, 0.5, 0.8, 0.97, 1.0]
-    small = exact_quantiles(df, "x", qs)  # exact aggregate path
-    bracket = exact_quantiles(df, "x", qs, max_bracket=2000, small=0)  # sketch + bracket path
     want = np.quantile(np.array(vals), qs)
-    assert small == pytest.approx(list(want), abs=1e-12)
-    assert bracket == pytest.approx(list(want), abs=1e-12)
+    for read_off in (5000, 40):  # few rows left to read, and many rounds of narrowing
+        monkeypatch.setattr(stats, "READ_OFF", read_off)
+        assert exact_quantiles(df, "x", qs) == pytest.approx(list(want), abs=1e-12)
+
+
+def test_quantiles_of_tied_and_extreme_columns_in_few_jobs(spark):
+    from shelfwise.operators.features import prepare_xy
+    from shelfwise.operators.stats import exact_quantiles_by, order_statistics
+
+    n = 5_000_000
+    df = spark.range(n).select(
+        F.expr("cast(id % 10 = 0 as int)").alias("bit"), (F.col("id") % 10).alias("ten"), F.lit(7.0).alias("one"),
+        F.when(F.col("id") % 2 == 0, F.lit(1e300)).otherwise(F.col("id").cast("double") * -1e-300).alias("wide"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    qs = [0.25, 0.5, 0.9, 0.95]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles", "quantiles")
+    got = exact_quantiles_by(df, {c: qs for c in df.columns})
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs.getJobIdsForGroup("quantiles")) <= 40  # for 20 quantiles of 5 columns
+    assert got["bit"] == [0.0, 0.0, 0.0 + 0.9 * (n - 1) - np.floor(0.9 * (n - 1)), 1.0]
+    assert got["ten"] == [2.0, 4.5, 8.0 + 0.9 * (n - 1) - np.floor(0.9 * (n - 1)), 9.0]
+    assert got["one"] == [7.0] * 4 and got["none"] == [None] * 4
+    wide = np.concatenate([np.full(n // 2, 1e300), -1e-300 * np.arange(1, n, 2)])
+    assert got["wide"] == pytest.approx(list(np.quantile(wide, qs)), rel=1e-9)
+    big = spark.range(100).select((F.col("id") + 2**62).alias("k"))
+    assert order_statistics(big, "k", [0, 57, 99], with_counts=True) == [(2**62, 0, 1), (2**62 + 57, 57, 1), (2**62 + 99, 99, 1)]
+    kind = F.element_at(F.array(*map(F.lit, "abc")), (F.col("ten") % 3 + 1).cast("int"))
+    x, names = prepare_xy(df.withColumn("kind", kind), "one", ["bit", "kind"], vector=None)
+    assert names == ["bit", "kind_b", "kind_c"] and x.count() == n
+
+
+def test_split_keeps_rows_with_missing_and_repeated_keys(spark):
+    from shelfwise.operators.features import split, stratified_split
+
+    df = spark.range(100).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("a"), F.lit(1).alias("b"), (F.col("id") % 3).alias("c"))
+    df = df.unionByName(df.limit(7))
+    for sql_hash in (True, False):
+        out = split(df, ["a", "b"], 0.3, sql_hash=sql_hash)
+        got = {r["is_test"]: r["count"] for r in out.groupBy("is_test").count().collect()}
+        assert got == {1: math.ceil(0.3 * 107), 0: 107 - math.ceil(0.3 * 107)}
+        many = stratified_split(df.withColumn("label", F.col("a")), "label", ["a", "b"], 0.5, sql_hash=sql_hash)
+        assert many.count() == 107 and many.where("is_test IS NULL").count() == 0
 
 
 def test_global_index_is_a_permutation(spark):
@@ -285,7 +326,7 @@ def test_holt_winters_refinement_never_worse(spark):
     assert 0 < fine["alpha"] < 1 and 0 < fine["beta"] < 1 and 0 < fine["gamma"] < 1
 
 
-def test_exact_medians_both_paths(spark):
+def test_exact_medians(spark):
     from shelfwise.operators.stats import exact_medians
 
     rnd = random.Random(1)
@@ -293,4 +334,3 @@ def test_exact_medians_both_paths(spark):
     df = spark.createDataFrame(rows, "a double, b double")
     want = {"a": float(np.median([r[0] for r in rows])), "b": float(np.median([r[1] for r in rows if r[1] is not None]))}
     assert exact_medians(df, ["a", "b"]) == pytest.approx(want)
-    assert exact_medians(df, ["a", "b"], small=10) == pytest.approx(want)
