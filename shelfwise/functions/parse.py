@@ -25,7 +25,7 @@ FIRST_NUMBER = r"[-+]?[0-9]*\.?[0-9]+"
 FIRST_DIGITS = r"[0-9.]+"
 SUFFIX_MULTIPLIER = {"k": 1_000.0, "m": 1_000_000.0, "b": 1_000_000_000.0}
 # yes/no spellings of the repeated-customer answer (English and Bangla).
-YES_WORDS = ["yes", "y", "true", "1", "হ্যাঁ", "yes "]
+YES_WORDS = ["yes", "y", "true", "1", "হ্যাঁ"]
 NO_WORDS = ["no", "n", "false", "0", "না"]
 YES_WORDS_EN = ["yes", "y", "true", "1"]
 NO_WORDS_EN = ["no", "n", "false", "0"]
@@ -116,21 +116,37 @@ def parse_kmb_strict(col: Column | str, df: DataFrame | None = None) -> Column:
     )
 
 
+#: Text that reads as a decimal number (Spark's own cast also takes a trailing d or f).
+NUMBER_TEXT = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$|^(?i)[-+]?(inf|infinity|nan)$"
+
+
+def number_of(col: Column | str) -> Column:
+    """Text -> double if it is spelled as a number; other types are cast. The type test is folded by the planner."""
+    c = _c(col)
+    text = py_strip(c.cast("string"))
+    return F.when((F.typeof(c) != "string") | text.rlike(NUMBER_TEXT), c.try_cast("double"))
+
+
 def to_number(col: Column | str, default: float | None = None) -> Column:
     """``pd.to_numeric(errors='coerce')`` with an optional fill value."""
-    v = _c(col).try_cast("double")
+    v = number_of(col)
     return F.coalesce(v, F.lit(float(default))) if default is not None else v
 
 
+# Date spellings of the sheets, tried in this order; of the two slash orders month first wins.
+DATE_FORMATS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
+    "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d.M.yyyy",
+]
+
+
 def to_ts(col: Column | str) -> Column:
     """``pd.to_datetime(errors='coerce')`` (P3): junk -> NULL instead of an error.
     The result is a wall-clock ``timestamp_ntz`` (no session time-zone shift)."""
-    c = _c(col)
-    return F.coalesce(
-        F.try_to_timestamp(c.cast("string"), F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(c.cast("string"), F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(c.cast("string")),
-    ).cast("timestamp_ntz")
+    c = py_strip(_c(col).cast("string"))
+    tries = [F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS[:2]] + [F.try_to_timestamp(c)]
+    tries += [F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS[2:]]
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def norm_key(col: Column | str) -> Column:
@@ -143,7 +159,7 @@ def repeat_flag_expr(col: Column | str, bangla: bool = True) -> Column:
     number (truncated); anything else, including NULL, is 0."""
     s = F.lower(py_strip(_c(col).cast("string")))
     yes, no = (YES_WORDS, NO_WORDS) if bangla else (YES_WORDS_EN, NO_WORDS_EN)
-    numeric = s.try_cast("double").try_cast("int")
+    numeric = number_of(s).try_cast("int")
     return (
         F.when(s.isin(*yes), F.lit(1))
         .when(s.isin(*no), F.lit(0))

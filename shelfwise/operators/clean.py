@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.parse import (
     find_repeat_column,
+    number_of,
     parse_kmb,
     py_strip,
     repeat_flag_expr,
@@ -246,28 +247,25 @@ def non_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
     return (
         df.select(F.inline(pairs))
-        .where(F.col("value").isNotNull() & F.col("value").try_cast("double").isNull())
+        .where(F.col("value").isNotNull() & number_of("value").isNull())
         .distinct()
     )
 
 
-def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True, max_levels: int = 10_000) -> DataFrame:
+def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True) -> DataFrame:
     """0/1 column per level (sorted), the first level dropped; the source
-    column is replaced. The levels of all columns come from one scan and one
-    bounded collect (at most ``max_levels`` per column, checked)."""
+    column is replaced. The levels of all columns come from one scan; each becomes a
+    column, so what comes to the driver is the result's own header."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
-    found = (df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct()
-             .limit(max_levels * len(cols) + 1).collect())
+    found = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().collect()
     levels: dict[str, list[str]] = {c: [] for c in cols}
     for r in found:
         levels[r["c"]].append(r["v"])
     out = df
     for c in cols:
-        if len(levels[c]) > max_levels or len(found) > max_levels * len(cols):
-            raise ValueError(f"{c}: more than {max_levels} levels; use a hashed or indexed encoding")
         vals = sorted(levels[c])
         keep = vals[1:] if drop_first else vals
         src = F.col(c).cast("string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.parse import norm_key
+from shelfwise.sources.io import ROW_KEY
 
 
 class _All:
@@ -78,13 +79,15 @@ ORDER_KEYS = ["order_date", "customer", "book"]
 def dedup_orders(df: DataFrame, order: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """one row per (order date, customer, book), the first line kept.
 
+    ``order`` says what first means (default: the files' own order, if the reader
+    kept it); the remaining columns break ties.
+
     ``columns``: the only other columns the caller needs. They are projected
     before the de-duplication (in the frame's own column order, so the
     tie-break order is kept), and the shuffle and sort carry only them.
     """
-    from shelfwise.sources.fixtures import LINE_KEY
-
-    order = order or LINE_KEY
+    if order is None:
+        order = [c for c in ROW_KEY if c in df.columns]
     if columns is not None:
         keep = set(ORDER_KEYS) | set(order) | set(columns)
         df = df.select(*[c for c in df.columns if c in keep])

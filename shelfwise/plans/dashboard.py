@@ -18,21 +18,23 @@ from shelfwise.operators.clean import numeric_safe, prepare_sales
 from shelfwise.operators.filters import ALL, DASHBOARD_DIMS, apply_filters, dedup_orders, filter_options
 from shelfwise.operators.forecast import fourier_forecast, holt_winters
 from shelfwise.operators.models import segment
-from shelfwise.sources.io import read_yearly, write_csv
+from shelfwise.sources.io import logical_names, read_yearly, write_csv
 
 
 class Dashboard:
-    def __init__(self, prepared: DataFrame):
+    def __init__(self, prepared: DataFrame, order: list[str] | None = None):
+        self.order = order  # which line of an order comes first
         self.prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
         self.filtered = numeric_safe(apply_filters(self.prepared, **{d: ALL for d in DASHBOARD_DIMS}))
 
     @classmethod
-    def from_sales(cls, raw: DataFrame) -> "Dashboard":
-        return cls(prepare_sales(raw))
+    def from_sales(cls, raw: DataFrame, order: list[str] | None = None) -> "Dashboard":
+        return cls(prepare_sales(raw), order)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, paths: list[str]) -> "Dashboard":
-        return cls.from_sales(read_yearly(spark, paths))
+    def from_files(cls, spark: SparkSession, paths: list[str], multiline: bool = False) -> "Dashboard":
+        """Yearly sheets with their own headers (``sources.io.HEADERS``)."""
+        return cls.from_sales(logical_names(read_yearly(spark, paths, multiline=multiline, row_key=True)))
 
     # sidebar ------------------------------------------------------------------
     def options(self) -> DataFrame:
@@ -46,7 +48,7 @@ class Dashboard:
 
     # tabs ---------------------------------------------------------------------
     def overview(self, top_n: int = 10) -> dict[str, DataFrame]:
-        orders = dedup_orders(self.filtered)
+        orders = dedup_orders(self.filtered, self.order)
         monthly = series.rolling_mean(series.rolling_mean(series.monthly_sales(orders), "sell", 3, name="rolling_3"),
                                       "sell", 6, name="rolling_6")
         return {"kpis": aggs.kpis(orders), "monthly": monthly,

@@ -31,7 +31,7 @@ SALES = """sales AS (
   JOIN part p ON l.l_partkey = p.p_partkey
   JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
-FLAG_SQL = """CASE WHEN lower(trim(repeated_customer)) IN ('yes', 'y', 'true', '1', 'হ্যাঁ', 'yes ') THEN 1
+FLAG_SQL = """CASE WHEN lower(trim(repeated_customer)) IN ('yes', 'y', 'true', '1', 'হ্যাঁ') THEN 1
        WHEN lower(trim(repeated_customer)) IN ('no', 'n', 'false', '0', 'না') THEN 0
        ELSE coalesce(TRY_CAST(trunc(TRY_CAST(lower(trim(repeated_customer)) AS DOUBLE)) AS INTEGER), 0) END"""
 
@@ -434,6 +434,10 @@ ORACLE["f1_apply_filters"] = with_(SALES, PREPARED) + f"""
 SELECT {KEYS}, year, category FROM prepared
 WHERE year IN (1996, 1997, 1998) AND category IN ('PROMO', 'SMALL') AND delivery IS NOT NULL"""
 
+ORACLE["f1_year_of_order_date"] = with_(SALES) + f"""
+SELECT {KEYS}, order_date, CAST(year(order_date) AS INTEGER) AS year FROM sales
+WHERE year(order_date) IN (1996, 1998) AND gender IS NOT NULL"""
+
 ORACLE["f2_filter_options"] = with_(SALES, PREPARED) + """
 SELECT DISTINCT 'year' AS dimension, CAST(year AS VARCHAR) AS value FROM prepared WHERE year IS NOT NULL
 UNION SELECT DISTINCT 'category', category FROM prepared WHERE category IS NOT NULL
@@ -677,6 +681,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS r
 
 # --- S: round trips through written files equal the view -----------------------------------------
 ORACLE["s1_read_yearly"] = with_(SALES) + f"SELECT {KEYS}, book, sell, year FROM sales"
+ORACLE["s1_sales_sheets"] = with_(SALES, """sheet AS (
+  SELECT *, 'He said "hi", ' || book || chr(10) || 'vol. 2' AS title FROM sales),
+f AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, title AS folder_book,
+             CASE WHEN year(order_date) >= 1996 THEN CAST(customer AS VARCHAR) END AS folder_customer FROM sheet)""") + f"""
+SELECT {KEYS}, CAST(order_date AS DATE) AS order_date, title AS book, sell,
+       CAST(year(order_date) AS INTEGER) AS year,
+       {FLAG_SQL} AS repeated_customer_flag, folder_book, folder_customer
+FROM sheet JOIN f USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)"""
+
 ORACLE["s2_read_all_merged"] = with_(SALES) + f"SELECT {KEYS}, sell, year, 1 AS from_file FROM sales"
 
 _NUMERIC_SALES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "customer", "age", "unit", "sell_price",

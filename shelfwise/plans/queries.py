@@ -333,6 +333,17 @@ def q_apply_filters(spark, sf_dir):
     return f.select(*LINE_KEY, "year", "category")
 
 
+@register("f1_year_of_order_date")
+def q_year_of_order_date(spark, sf_dir):
+    """The sheet's own year is missing or off by one on two thirds of the rows; the order date decides."""
+    from shelfwise.plans.views import select_then_prepare
+
+    s = _fx.sales_view(spark, sf_dir)
+    own = F.when(F.col("l_orderkey") % 3 == 1, F.col("year") - 1).when(F.col("l_orderkey") % 3 == 0, F.col("year"))
+    f = select_then_prepare(s.withColumn("year", own), year=[1996, 1998], gender=filters.ALL)
+    return f.select(*LINE_KEY, "order_date", "year")
+
+
 @register("f2_filter_options")
 def q_filter_options(spark, sf_dir):
     return filters.filter_options(prepared(spark, sf_dir))
@@ -346,7 +357,7 @@ def q_drop_nulls(spark, sf_dir):
 
 @register("f4_dedup_orders")
 def q_dedup_orders(spark, sf_dir):
-    return filters.dedup_orders(filtered(spark, sf_dir), columns=[]).select(*LINE_KEY, *filters.ORDER_KEYS)
+    return filters.dedup_orders(filtered(spark, sf_dir), LINE_KEY, columns=[]).select(*LINE_KEY, *filters.ORDER_KEYS)
 
 
 @register("f5_distinct_rows")
@@ -692,17 +703,44 @@ def _shared_folder(spark, what):
 def q_read_yearly(spark, sf_dir):
     s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "book", "sell", "year")
     root = _shared_folder(spark, "yearly")
-    years = sorted(r["year"] for r in s.select("year").distinct().collect())  # a handful of files
+    years = sorted(r["year"] for r in s.select("year").distinct().collect() if r["year"] is not None)  # a handful of files
     paths = []
-    for y in years:
-        p = f"{root}/Sell - {y}.csv"
-        _io.write_csv(s.where(F.col("year") == y).drop("year"), p)  # S5
+    for y in [*years, None]:  # rows without a year have a file of their own
+        p = f"{root}/Sell - {y if y is not None else 'undated'}.csv"
+        _io.write_csv(s.where(F.col("year").eqNullSafe(F.lit(y))).drop("year"), p)  # S5
         paths.append(p)
     back = _io.read_yearly(spark, paths, year_pattern=r"((?:19|20)\d{2})")  # S1 + S3 (CSV by extension)
     return back.select(*[F.col(k).cast("long" if k != "l_linenumber" else "int").alias(k) for k in LINE_KEY],
                        "book", _parse.parse_kmb("sell").alias("sell"), "year")
 
 
+def _as_sheet(df, columns):
+    """Logical columns under the sheets' own headers, in the order given."""
+    header = {v: k for k, v in {h.title(): c for h, c in _io.HEADERS.items()}.items()}
+    return df.select(*[F.col(c).cast("string").alias(header.get(c, c)) for c in columns])
+
+
+@register("s1_sales_sheets")
+def q_sales_sheets(spark, sf_dir):
+    """Sheets as shops keep them: own headers, columns in another order in each, one with its own
+    year, quotes and line breaks inside fields; read by folder and by year, then prepared."""
+    s = _fx.sales_view(spark, sf_dir).withColumn(
+        "book", F.concat(F.lit('He said "hi", '), F.col("book"), F.lit("\nvol. 2"))).withColumn("date", F.col("order_date"))
+    s = s.withColumn("order_date", F.date_format("order_date", "M/d/yyyy"))
+    root = _shared_folder(spark, "sheets")
+    first = [*LINE_KEY, "order_date", "book", "sell", "repeated_customer"]
+    second = ["sell", "book", "customer", *reversed(LINE_KEY), "order_date", "year", "repeated_customer"]
+    half = F.year("date") < 1996
+    _io.write_csv(_as_sheet(s.where(half | F.col("date").isNull()), first), f"{root}/Sell - 2023.csv")
+    _io.write_csv(_as_sheet(s.where(~half), second), f"{root}/Sell - 2024.csv")
+    raw = _io.logical_names(_io.read_yearly(spark, [f"{root}/Sell - 2023.csv", f"{root}/Sell - 2024.csv"], multiline=True, row_key=True))
+    folder = _io.read_all(spark, f"{root}/*/*.csv", fmt="csv", multiline=True)
+    whole = _io.logical_names(folder).select(*LINE_KEY, F.col("book").alias("folder_book"), F.col("customer").alias("folder_customer")).distinct()
+    p = clean.prepare_sales(raw).join(whole, LINE_KEY)
+    return p.select(*[F.col(k).cast("long").alias(k) for k in LINE_KEY], F.col("order_date").cast("date").alias("order_date"), "book",
+                    "sell", "year", clean.FLAG, "folder_book", "folder_customer")
+
+
 @register("s2_read_all_merged")
 def q_read_all_merged(spark, sf_dir):
     s = _fx.sales_view(spark, sf_dir).select(*LINE_KEY, "sell", "year")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shelfwise.operators.clean import numeric_safe, prepare_sales
 from shelfwise.operators.filters import dashboard_defaults, dedup_orders
-from shelfwise.sources.fixtures import sales_view
+from shelfwise.sources.fixtures import LINE_KEY, sales_view
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,30 +19,23 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_then_prepare(raw: DataFrame, **lists) -> DataFrame:
     """F1 with pushdown: an IN-list without 'Unknown' selects the same rows
     before and after the 'Unknown' fill (filling only changes NULLs), so it is
-    applied to the raw column, where the scan can use it; a year list also
-    becomes order-date ranges (row-group pruning on the date column). The rest
+    applied to the raw column, where the scan can use it. The year is that of the
+    order date, whatever the sheet's own year says, so a year list is tested after
+    preparing; before it only becomes order-date ranges (row-group pruning). The rest
     (``ALL``, lists naming 'Unknown') is applied after preparing, as before."""
     from shelfwise.operators.filters import ALL, apply_filters
 
-    early, late = {}, {}
-    for col, values in lists.items():
-        if values is None or values is ALL or "Unknown" in list(values) or col not in raw.columns:
-            late[col] = values
-        else:
-            early[col] = values
+    early = {c: v for c, v in lists.items()
+             if c != "year" and v is not None and v is not ALL and "Unknown" not in list(v) and c in raw.columns}
     pre = raw
-    date_typed = "order_date" in raw.columns and isinstance(
-        raw.schema["order_date"].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-    if early.get("year") and date_typed:
-        ranges = None
-        for y in sorted(set(int(v) for v in early["year"])):
-            r = (F.col("order_date") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (
-                F.col("order_date") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
-            ranges = r if ranges is None else (ranges | r)
-        # a missing date may still carry its year from the file: keep it for the year test
-        pre = pre.where(ranges | F.col("order_date").isNull())
-    pre = apply_filters(pre, **early)
-    return apply_filters(prepare_sales(pre), **{**early, **late})
+    years, date = lists.get("year"), dict(raw.dtypes).get("order_date", "")
+    if years is not None and years is not ALL and len(years) > 0 and (date == "date" or date.startswith("timestamp")):
+        ranges = F.col("order_date").isNull()  # a missing date may still get its year from the file
+        for y in sorted(set(int(v) for v in years)):
+            ranges = ranges | ((F.col("order_date") >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (
+                F.col("order_date") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
+        pre = pre.where(ranges)
+    return apply_filters(prepare_sales(apply_filters(pre, **early)), **lists)
 
 
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +46,7 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_orders(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """F4 over the filtered set: one row per (date, customer, book); ``columns``
     narrows the rows carried through the de-duplication."""
-    return dedup_orders(filtered(spark, sf_dir), columns=columns)
+    return dedup_orders(filtered(spark, sf_dir), LINE_KEY, columns=columns)
 
 
 def rounded(df: DataFrame, digits: int = 2, cols: dict[str, int] | None = None) -> DataFrame:

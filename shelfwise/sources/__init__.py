@@ -9,8 +9,11 @@ from shelfwise.sources.fixtures import (
     texts_view,
 )
 from shelfwise.sources.io import (
+    HEADERS,
+    ROW_KEY,
     clean_columns,
     keep,
+    logical_names,
     preview,
     read_all,
     read_table,
@@ -20,10 +23,13 @@ from shelfwise.sources.io import (
 )
 
 __all__ = [
+    "HEADERS",
     "LINE_KEY",
+    "ROW_KEY",
     "clean_columns",
     "dirty_sales_view",
     "keep",
+    "logical_names",
     "number_text_view",
     "preview",
     "read_all",

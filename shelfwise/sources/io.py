@@ -22,8 +22,12 @@ def _format_for(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None, schema=None,
-               base_path: str | None = None) -> DataFrame:
-    """S3: reader chosen by extension; anything unknown is read as CSV with a header."""
+               base_path: str | None = None, multiline: bool = False) -> DataFrame:
+    """S3: reader chosen by extension; anything unknown is read as CSV with a header.
+
+    CSV fields follow the usual dialect (quotes doubled inside quotes). ``multiline`` also
+    allows line breaks inside quotes; it makes a file one task's work, so it is off unless asked for.
+    """
     first = path[0] if isinstance(path, list) else path
     fmt = fmt or _format_for(first)
     reader = spark.read.format(fmt)
@@ -32,12 +36,62 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = Non
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", False)
+        reader = reader.option("header", True).option("multiLine", multiline).option("quote", '"').option("escape", '"')
         if schema is None:
             reader = reader.option("inferSchema", False)
+    if fmt in ("parquet", "orc") and schema is None:
+        reader = reader.option("mergeSchema", True)
     return reader.load(path)
 
 
+# The sheets' headers and the logical names of the columns.
+HEADERS = {
+    "order date": "order_date",
+    "customer phone": "customer",
+    "name of books": "book",
+    "category of books": "category",
+    "gender": "gender",
+    "age": "age",
+    "delivery method": "delivery",
+    "unit": "unit",
+    "price": "price",
+    "discount %": "discount_pct",
+    "sell": "sell",
+    "cost": "cost",
+    "sell price": "sell_price",
+    "buying price": "buying_price",
+    "repeated customer?": "repeated_customer",
+    "review(out of 5)": "review",
+    "year": "year",
+}
+
+
+def logical_names(df: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
+    """A sheet's headers (blanks and case aside) translated to the logical column names; others stay,
+    trimmed. A header is left alone where its logical name is a column already."""
+    headers = headers or HEADERS
+    have = {c.strip() for c in df.columns}
+    names = []
+    for c in df.columns:
+        to = headers.get(" ".join(c.split()).lower())
+        names.append(to if to and (to not in have or c.strip() == to) and to not in names else c.strip())
+    return df.toDF(*names)
+
+
+#: Columns that say where a row stood: file, block of the file, place in it. Their order is the files' order.
+ROW_KEY = ["row_file", "row_block", "row_no"]
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Add ``ROW_KEY`` to rows just read from files."""
+    return df.select(
+        "*",
+        F.col("_metadata.file_name").alias("row_file"),
+        F.col("_metadata.file_block_start").alias("row_block"),
+        F.monotonically_increasing_id().alias("row_no"),
+    )
+
+
 def _file_year(path: str, pattern: str = YEAR_IN_NAME) -> Column:
     """Year written in the given file or folder name (not in part-file names)."""
     m = re.search(pattern, os.path.basename(path.rstrip("/")))
@@ -45,18 +99,25 @@ def _file_year(path: str, pattern: str = YEAR_IN_NAME) -> Column:
 
 
 def read_yearly(spark: SparkSession, paths: list[str], fmt: str | None = None, year_col: str = "year",
-                year_pattern: str = YEAR_IN_NAME) -> DataFrame:
+                year_pattern: str = YEAR_IN_NAME, multiline: bool = False, row_key: bool = False) -> DataFrame:
     """Read yearly sales files and union them by column name.
 
-    A ``year`` column is added from the year in each path's file name; where
-    the files carry their own year column, a missing value falls back to it.
+    A file's own year column (in any case) is kept, and a missing value in it falls back to
+    the year in the file name; without one the file name gives the column. ``row_key`` adds
+    ``ROW_KEY``, the files' own order.
     """
     frames = []
     for p in paths:  # a handful of yearly files: the loop is over files, not rows
-        df = read_table(spark, p, fmt)
-        has_year = year_col in df.columns
+        df = read_table(spark, p, fmt, multiline=multiline)
+        if row_key:
+            df = with_row_key(df)
+        own = next((c for c in df.columns if c.strip().lower() == year_col.lower()), None)
         fy = _file_year(p, year_pattern)
-        df = df.withColumn(year_col, F.coalesce(F.col(year_col).cast("int"), fy) if has_year else fy)
+        if own is None:
+            df = df.withColumn(year_col, fy)
+        else:
+            kept = F.coalesce(F.col(f"`{own}`").try_cast("int"), fy)
+            df = df.select(*[kept.alias(year_col) if c == own else F.col(f"`{c}`") for c in df.columns])
         frames.append(df)
     out = frames[0]
     for df in frames[1:]:
@@ -64,10 +125,27 @@ def read_yearly(spark: SparkSession, paths: list[str], fmt: str | None = None, y
     return out
 
 
-def read_all(spark: SparkSession, pattern: str, fmt: str | None = None, base_path: str | None = None) -> DataFrame:
-    """Every file matching a glob, with the file it came from."""
-    df = read_table(spark, pattern, fmt, base_path=base_path)
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+def read_all(spark: SparkSession, pattern: str, fmt: str | None = None, base_path: str | None = None,
+             multiline: bool = False) -> DataFrame:
+    """Every file matching a glob, with the file it came from, united by column name.
+
+    CSV files are grouped by their header line and each group is read at once; a column that
+    a file lacks is NULL for its rows. Parquet merges the files' schemas.
+    """
+    fmt = fmt or _format_for(pattern)
+    name = F.col("_metadata.file_name").alias("source_file")
+    if fmt != "csv":
+        return read_table(spark, pattern, fmt, base_path=base_path).select("*", name)
+    listed = spark.read.format("binaryFile").load(pattern).select("path")  # names only, no content is read
+    by_header: dict[tuple, list[str]] = {}
+    for r in listed.collect():
+        by_header.setdefault(tuple(read_table(spark, r["path"], fmt, multiline=multiline).columns), []).append(r["path"])
+    frames = [read_table(spark, sorted(files), fmt, base_path=base_path, multiline=multiline).select("*", name)
+              for _, files in sorted(by_header.items(), key=lambda g: min(g[1]))]
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def clean_columns(df: DataFrame, underscore: bool = False) -> DataFrame:
@@ -84,7 +162,7 @@ def clean_columns(df: DataFrame, underscore: bool = False) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Export rows as CSV with a header (one folder of part files)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_merged(df: DataFrame, path: str, partition_by: str | None = "year", mode: str = "overwrite") -> None:
