@@ -11,6 +11,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.session import shared_table
+
 from shelfwise.operators.clean import FLAG, clipped_profit_expr
 
 MONTHS = list(range(1, 13))
@@ -73,8 +75,8 @@ def top_n(df: DataFrame, key: str, measure: str, n: int = 10, name: str | None =
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count per value, largest first, with its share in percent."""
     kept = df.where(F.col(col).isNotNull())
-    total = kept.count()  # a scalar: no one-partition window over many distinct values
-    counts = kept.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    counts = shared_table(kept.groupBy(col).agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.sum("count")).first()[0] or 1  # from the counts: the input is read once
     share = F.col("count") * 100.0 / F.lit(total)
     return counts.withColumn("share_pct", share).orderBy(F.col("count").desc(), F.col(col))
 
@@ -127,8 +129,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 def rating_distribution(df: DataFrame, col: str = "review") -> DataFrame:
     """Count per rating and its percent of all ratings, 2 decimals."""
     r = df.select(F.col(col).try_cast("double").alias("rating")).where(F.col("rating").isNotNull())
-    total = r.count()
-    counts = r.groupBy("rating").agg(F.count(F.lit(1)).alias("count"))
+    counts = shared_table(r.groupBy("rating").agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.sum("count")).first()[0] or 1
     pct = F.round(F.col("count") * 100.0 / F.lit(total), 2)
     return counts.withColumn("percent", pct).orderBy("rating")
 
@@ -138,18 +140,16 @@ def rfm(df: DataFrame, as_of: _dt.date | _dt.datetime | None = None, n: int | No
     """Per customer: frequency, monetary, last order, recency in days against
     ``as_of`` (default: the latest order date, never the wall clock); top ``n``
     by monetary (``n=None`` keeps every customer)."""
-    if as_of is None:
-        as_of = df.agg(F.max(date_col)).first()[0]
-    per = (
-        df.where(F.col(customer).isNotNull())
-        .groupBy(customer)
-        .agg(
-            F.count(date_col).alias("frequency"),
-            F.coalesce(F.sum("sell"), F.lit(0.0)).alias("monetary"),
-            F.max(date_col).alias("last_order"),
-        )
-        .withColumn("recency_days", F.datediff(F.lit(as_of).cast("date"), F.col("last_order").cast("date")))
+    per = df.groupBy(customer).agg(
+        F.count(date_col).alias("frequency"),
+        F.coalesce(F.sum("sell"), F.lit(0.0)).alias("monetary"),
+        F.max(date_col).alias("last_order"),
     )
+    if as_of is None:
+        per = shared_table(per)
+        as_of = per.agg(F.max("last_order")).first()[0]  # from the customers' last orders: the input is read once
+    per = per.where(F.col(customer).isNotNull()).withColumn(
+        "recency_days", F.datediff(F.lit(as_of).cast("date"), F.col("last_order").cast("date")))
     ranked = per.orderBy(F.col("monetary").desc(), F.col(customer))
     return ranked.limit(n) if n else ranked
 

@@ -116,6 +116,11 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
     return {cols[r["i"]]: r["b"]["v"] for r in best.collect()}
 
 
+def column_mode(df: DataFrame, col: str) -> object | None:
+    """The mode of one text column."""
+    return column_modes(df, [col]).get(col)
+
+
 def fill_mode(df: DataFrame, cols: list[str] | None = None, default: str = "unknown") -> tuple[DataFrame, dict]:
     """NULLs of text columns -> the column's mode, ``default`` when it has none."""
     cols = cols or _string_cols(df)

@@ -158,7 +158,7 @@ def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys:
 
 def fourier_forecast(series: DataFrame, value: str, order: str = "period_end", keys: list[str] | None = None,
                      h: int = 6, harmonics: int = 3, period: float = 12.0, interval: float = 0.8,
-                     min_len: int = 24) -> DataFrame:
+                     min_len: int = 12) -> DataFrame:
     """T4 (re-aimed): linear trend + yearly Fourier terms, least squares per
     series, with a normal interval from the residual standard deviation.
     Output per period: keys, ds, y (NULL for the future), yhat, yhat_lower, yhat_upper.
@@ -187,6 +187,8 @@ def fourier_forecast(series: DataFrame, value: str, order: str = "period_end", k
         for k in range(1, harmonics + 1):
             cols += [np.sin(2 * np.pi * k * t_all / period), np.cos(2 * np.pi * k * t_all / period)]
         X = np.column_stack(cols)
+        if n < 2 * period:  # under two seasons trend and season are not told apart: least norm on a centred trend
+            X[:, 1] = (X[:, 1] - (n - 1) / 2) / n
         y = pdf[value].to_numpy(dtype=float)
         coef, *_ = np.linalg.lstsq(X[:n], y, rcond=None)
         yhat = X @ coef

@@ -50,25 +50,27 @@ def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION, min_
     return out.persist()
 
 
-def regressors(features: str = "features", label: str = "label", trees: int = 100) -> dict:
+def regressors(features: str = "features", label: str = "label", trees: int = 100, tree_depth: int = 30,
+               forest_depth: int = 12, boost_depth: int = 6, step: float = 0.3) -> dict:
     """M4: linear, tree, forest and boosted regressors."""
     common = {"featuresCol": features, "labelCol": label}
     return {
         "LinearRegression": LinearRegression(**common),
-        "DecisionTree": DecisionTreeRegressor(seed=SEED, **common),
-        "RandomForest": RandomForestRegressor(numTrees=trees, seed=SEED, **common),
-        "GradientBoosting": GBTRegressor(maxIter=trees, seed=SEED, **common),
+        "DecisionTree": DecisionTreeRegressor(seed=SEED, maxDepth=tree_depth, maxBins=64, **common),
+        "RandomForest": RandomForestRegressor(numTrees=trees, maxDepth=forest_depth, seed=SEED, **common),
+        "GradientBoosting": GBTRegressor(maxIter=trees, maxDepth=boost_depth, stepSize=step, seed=SEED, **common),
     }
 
 
-def classifiers(features: str = "features", label: str = "label", trees: int = 100) -> dict:
+def classifiers(features: str = "features", label: str = "label", trees: int = 100, tree_depth: int = 30,
+                forest_depth: int = 12, boost_depth: int = 6, step: float = 0.3) -> dict:
     """M5: logistic, tree, forest and boosted classifiers."""
     common = {"featuresCol": features, "labelCol": label}
     return {
         "LogisticRegression": LogisticRegression(maxIter=1000, **common),
-        "DecisionTree": DecisionTreeClassifier(seed=SEED, **common),
-        "RandomForest": RandomForestClassifier(numTrees=trees, seed=SEED, **common),
-        "GradientBoosting": GBTClassifier(maxIter=trees, seed=SEED, **common),
+        "DecisionTree": DecisionTreeClassifier(seed=SEED, maxDepth=tree_depth, maxBins=64, **common),
+        "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=SEED, **common),
+        "GradientBoosting": GBTClassifier(maxIter=trees, maxDepth=boost_depth, stepSize=step, seed=SEED, **common),
     }
 
 
@@ -119,13 +121,15 @@ class RidgeClassifierModel:
 
 
 def ridge_classifier(train: DataFrame, features: str = "features", label: str = "label", alpha: float = 1.0) -> RidgeClassifierModel:
-    """sum((y - Xw - b)^2) + alpha |w|^2 equals MLlib's (1/2n) sum(...) + (reg/2)|w|^2
-    with reg = alpha / n, no standardisation, unpenalised intercept."""
-    n = train.count()
-    lr = LinearRegression(featuresCol=features, labelCol="_pm1", regParam=alpha / max(n, 1), elasticNetParam=0.0,
+    """sum((y - Xw - b)^2) + alpha |w|^2, y = +-1, unpenalised intercept.
+
+    MLlib minimises (1/2n) sum(...) + (reg/2)|w|^2 on a label scaled to unit deviation, which
+    weakens the penalty by that deviation; reg = alpha std(y) / n undoes it."""
+    target = train.withColumn("_pm1", F.when(F.col(label) > 0, 1.0).otherwise(-1.0))
+    n, std = target.agg(F.count(F.lit(1)), F.stddev_pop("_pm1")).first()
+    lr = LinearRegression(featuresCol=features, labelCol="_pm1", regParam=alpha * (std or 1.0) / max(n, 1), elasticNetParam=0.0,
                           standardization=False, solver="auto")
-    model = lr.fit(train.withColumn("_pm1", F.when(F.col(label) > 0, 1.0).otherwise(-1.0)))
-    return RidgeClassifierModel(model, features)
+    return RidgeClassifierModel(lr.fit(target), features)
 
 
 def text_classifiers(features: str = "features", label: str = "label", trees: int = 100) -> dict:
@@ -186,11 +190,12 @@ def learning_curve(df: DataFrame, estimator, label: str = "label", id_col: str =
     """Mean train and validation accuracy over ``folds`` stratified folds at
     growing training sizes. Fold = rank inside the class mod ``folds`` (by hash);
     each size takes the first share of the training part in hash order."""
-    from shelfwise.operators.features import rank_within, split_order
+    from shelfwise.operators.features import split_order
+    from shelfwise.operators.rank import rank_within
 
     h = split_order([id_col], seed)
     ranked = rank_within(df.withColumn("_h", h), [label], [F.col("_h"), F.col(id_col)], name="_r")
-    ranked = ranked.withColumn("_fold", F.pmod(F.col("_r") - 1, F.lit(folds))).drop("_group_n")
+    ranked = ranked.withColumn("_fold", F.pmod(F.col("_r") - 1, F.lit(folds)))
     # a second, independent hash decides the growing training subsets
     ranked = ranked.withColumn("_u", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0)
     ranked = right_size(ranked)

@@ -1,11 +1,11 @@
-"""Exact k-nearest neighbours (M6) without a cross join.
-
-The training rows stay where they are. Query points go out in chunks of
-bounded size (a broadcast of at most ``chunk_rows`` vectors per job); every
-task computes the distances between its training rows and the chunk with
-numpy and keeps only a running top-k per query point, so no task ever emits all
-pairs. A ``row_number() <= k`` window (with a map-side group limit) merges the
-per-task candidates into the exact k nearest per query point.
+"""Exact k-nearest neighbours (M6) by pivot partitioning.
+
+Training rows are dealt to the nearest of a bounded number of pivots; each cell's count and
+radius (one row for each pivot) bound the k-th distance of every query by the triangle
+inequality, and a query is sent only to cells that can hold a neighbour. Cells and queries
+meet in blocks of bounded size, each block keeps the k nearest of its rows for each of its
+queries, and a ``row_number() <= k`` window (with a map-side group limit) merges them. Only
+pivots and cell bounds pass through the driver; the plan's size does not depend on the rows.
 """
 
 from __future__ import annotations
@@ -17,66 +17,105 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 64  # queries per numpy block inside a task (bounds task memory)
+from shelfwise.session import shared_table
+
+SPAN = 1 << 30
+
+
+def _pivots(train: DataFrame, n: int, pivots: int) -> np.ndarray:
+    """About ``pivots`` training vectors drawn by the hash of their id."""
+    rate = min(SPAN, SPAN * pivots // max(n, 1) + 1)
+    drawn = train.where(F.pmod(F.xxhash64("id"), F.lit(SPAN)) < F.lit(rate)).select("v").collect()
+    drawn = drawn or train.select("v").limit(1).collect()
+    return np.unique(np.array([r["v"] for r in drawn], np.float64), axis=0)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
+
+
+def _bounds_to_visit(d: np.ndarray, count: np.ndarray, radius: np.ndarray, k: int) -> np.ndarray:
+    """For each query row of pivot distances the cells that can hold one of its k nearest."""
+    far = d + radius
+    order = np.argsort(far, axis=1)
+    enough = np.cumsum(count[order], axis=1) >= min(k, count.sum())
+    limit = np.take_along_axis(far, order, axis=1)[np.arange(len(d)), enough.argmax(axis=1)]
+    return (d - radius <= limit[:, None] * (1 + 1e-9) + 1e-12) & (count > 0)
+
+
+def _block_nearest(k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, q = pdf[pdf["query"] == 0], pdf[pdf["query"] == 1]
+        cols = ["query_id", "neighbor_id", "dist2", "neighbor_label"]
+        if not len(t) or not len(q):
+            return pd.DataFrame({c: np.empty(0, np.int64 if c.endswith("id") else float) for c in cols})
+        t_ids, t_lab = t["id"].to_numpy(np.int64), t["label"].to_numpy(float)
+        t_mat, q_mat = np.stack(t["v"].to_numpy()), np.stack(q["v"].to_numpy())
+        out = []
+        for lo in range(0, len(q), 64):
+            d2 = ((q_mat[lo:lo + 64, None, :] - t_mat[None, :, :]) ** 2).sum(axis=2)
+            near = np.lexsort((np.broadcast_to(t_ids, d2.shape), d2), axis=1)[:, :k]
+            rows = np.arange(len(near))[:, None]
+            ids = np.repeat(q["id"].to_numpy(np.int64)[lo:lo + 64], near.shape[1])
+            out.append(pd.DataFrame({"query_id": ids, "neighbor_id": t_ids[near].ravel(), "dist2": d2[rows, near].ravel(),
+                                     "neighbor_label": t_lab[near].ravel()}))
+        return pd.concat(out)
 
+    return run
 
-def _candidates(train: DataFrame, chunk: list, k: int, vec: str, id_col: str, label: str) -> DataFrame:
+
+def nearest(train: DataFrame, query: DataFrame, k: int, vec: str, id_col: str, label: str,
+            pivots: int = 64, block_rows: int = 4096) -> DataFrame:
+    """(query_id, neighbor_id, dist2, neighbor_label): the exact k nearest (Euclidean), ties to the smaller id."""
     spark = train.sparkSession
-    q_ids = np.array([r[0] for r in chunk], dtype=np.int64)
-    q_mat = np.array([r[1] for r in chunk], dtype=np.float64)
-    bq = spark.sparkContext.broadcast((q_ids, q_mat))
-
-    def run(batches):
-        ids, mat = bq.value
-        best_d = np.full((len(ids), k), np.inf)
-        best_i = np.full((len(ids), k), np.iinfo(np.int64).max, dtype=np.int64)
-        best_l = np.zeros((len(ids), k), dtype=np.float64)
+    t = train.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("label"))
+    q = query.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    n_train, n_query = t.count(), q.count()
+    schema = "query_id long, neighbor_id long, dist2 double, neighbor_label double"
+    if not n_train or not n_query:
+        return spark.createDataFrame([], schema)
+    book = spark.sparkContext.broadcast(_pivots(t, n_train, pivots))
+
+    def place(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            t_ids = pdf[id_col].to_numpy(dtype=np.int64)
-            t_lab = pdf[label].to_numpy(dtype=np.float64)
-            t_mat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            for s in range(0, len(ids), QUERY_BLOCK):
-                qb = mat[s:s + QUERY_BLOCK]
-                d2 = ((qb[:, None, :] - t_mat[None, :, :]) ** 2).sum(axis=2)
-                all_d = np.concatenate([best_d[s:s + QUERY_BLOCK], d2], axis=1)
-                all_i = np.concatenate([best_i[s:s + QUERY_BLOCK], np.broadcast_to(t_ids, d2.shape)], axis=1)
-                all_l = np.concatenate([best_l[s:s + QUERY_BLOCK], np.broadcast_to(t_lab, d2.shape)], axis=1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                rows = np.arange(order.shape[0])[:, None]
-                best_d[s:s + QUERY_BLOCK] = all_d[rows, order]
-                best_i[s:s + QUERY_BLOCK] = all_i[rows, order]
-                best_l[s:s + QUERY_BLOCK] = all_l[rows, order]
-        keep = np.isfinite(best_d)
-        qi = np.repeat(ids, k).reshape(len(ids), k)
-        yield pd.DataFrame({"query_id": qi[keep], "neighbor_id": best_i[keep], "dist2": best_d[keep], "neighbor_label": best_l[keep]})
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo:lo + 512]
+                d = _distances(np.stack(part["v"].to_numpy()), book.value)
+                yield part.assign(cell=d.argmin(axis=1), dist=d.min(axis=1))
 
-    schema = "query_id long, neighbor_id long, dist2 double, neighbor_label double"
-    return train.select(id_col, vec, label).mapInPandas(run, schema)
+    placed = shared_table(t.mapInPandas(place, "id long, v array<double>, label double, cell long, dist double"))
+    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()}
+    cells = range(len(book.value))
+    count = np.array([stats[c]["n"] if c in stats else 0 for c in cells])
+    radius = np.array([stats[c]["r"] if c in stats else 0.0 for c in cells])
+    blocks = [max(1, math.ceil(n / block_rows)) for n in count.tolist()]
+    q_blocks = max(1, math.ceil(n_query / block_rows))
+
+    def visit(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo:lo + 512]
+                go = _bounds_to_visit(_distances(np.stack(part["v"].to_numpy()), book.value), count, radius, k)
+                yield part.assign(cells=[np.flatnonzero(g) for g in go])
+
+    n_of = F.create_map(*[F.lit(x) for c in cells for x in (c, blocks[c])])
+    sent = q.mapInPandas(visit, "id long, v array<double>, cells array<long>").select("id", "v", F.explode("cells").alias("cell"))
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), n_of[F.col("cell").cast("int")] - 1)))
+    sent = sent.select(F.lit(1).alias("query"), "id", "v", F.lit(0.0).alias("label"), "cell", "block", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("q_block"))
+    held = placed.withColumn("block", F.pmod(F.xxhash64("id"), n_of[F.col("cell").cast("int")].cast("long")).cast("int"))
+    held = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    work = held.select(F.lit(0).alias("query"), "id", "v", "label", "cell", "block", "q_block").unionByName(sent)
+    found = work.groupBy("cell", "block", "q_block").applyInPandas(_block_nearest(k), schema)
+    w = Window.partitionBy("query_id").orderBy("dist2", "neighbor_id")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def knn(train: DataFrame, query: DataFrame, k: int = 5, vec: str = "embedding", id_col: str = "id",
-        label: str = "label", task: str = "classify", chunk_rows: int = 5_000) -> DataFrame:
+        label: str = "label", task: str = "classify", pivots: int = 64, block_rows: int = 4096) -> DataFrame:
     """M6: exact k nearest training rows (Euclidean) for every query row, then
     the majority label (ties -> smallest label) or the mean label.
     Output: id, prediction."""
-    n_query = query.count()
-    n_chunks = max(1, math.ceil(n_query / chunk_rows))
-    q = query.select(F.col(id_col).cast("long").alias("_qid"), F.col(vec).alias("_qv"))
-    q = q.withColumn("_chunk", F.pmod(F.xxhash64("_qid"), F.lit(n_chunks)))
-    parts = []
-    for c in range(n_chunks):  # each chunk is at most ~chunk_rows vectors (hash-balanced)
-        chunk = [(r["_qid"], list(r["_qv"])) for r in q.where(F.col("_chunk") == c).select("_qid", "_qv").collect()]
-        if chunk:
-            parts.append(_candidates(train, chunk, k, vec, id_col, label))
-    if not parts:
-        return query.sparkSession.createDataFrame([], f"{id_col} long, prediction double")
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy("dist2", "neighbor_id")
-    top = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    top = nearest(train, query, k, vec, id_col, label, pivots, block_rows)
     if task == "regress":
         pred = top.groupBy("query_id").agg(F.avg("neighbor_label").alias("prediction"))
     else:

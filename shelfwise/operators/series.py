@@ -62,18 +62,16 @@ def resample(df: DataFrame, value: Column | str, freq: str = "month", date_col:
         .groupBy(*keys, "_ps")
         .agg(F.sum("_v").alias("_v"))
     )
-    # one row per series: its bounds and a period -> value map (bounded by the
-    # number of periods); the calendar is generated from it and looked up in
-    # it, so the aggregated input is used once (no self-join recomputing it)
-    per = agg.groupBy(*keys).agg(
-        F.min("_ps").alias("_a"), F.max("_ps").alias("_b"),
-        F.map_from_entries(F.collect_list(F.struct("_ps", "_v"))).alias("_m"),
-    )
-    cal = per.select(*keys, "_m", F.explode(F.sequence("_a", "_b", _step(freq))).alias("_ps"))
+    # each period is followed by the empty ones before the next: linear in the calendar, and the
+    # aggregated input is used once
+    nxt = F.lead("_ps").over(_w(keys, "_ps"))
+    run = F.when(F.col("_n").isNull(), F.array("_ps")).otherwise(
+        F.slice(F.sequence("_ps", "_n", _step(freq)), F.lit(1), F.size(F.sequence("_ps", "_n", _step(freq))) - 1))
+    cal = agg.withColumn("_n", nxt).select(*keys, "_ps", "_v", F.explode(run).alias("_p"))
     return cal.select(
         *keys,
-        _period_end(F.col("_ps"), freq).alias("period_end"),
-        F.coalesce(F.col("_m")[F.col("_ps")], F.lit(0.0)).alias(name),
+        _period_end(F.col("_p"), freq).alias("period_end"),
+        F.when(F.col("_p") == F.col("_ps"), F.coalesce(F.col("_v"), F.lit(0.0))).otherwise(F.lit(0.0)).alias(name),
     )
 
 
@@ -118,15 +116,11 @@ def mom(series: DataFrame, col: str = "sell", keys: list[str] | None = None) ->
 
 
 def require_history(series: DataFrame, periods: int, what: str) -> DataFrame:
-    """T5: a single series needs ``periods`` points. The series (one row per
-    period: small) is kept, so the check does not make the caller compute it
-    twice; the kept frame is returned for the caller to use."""
-    kept = series.persist()
-    have = kept.limit(periods).count()
+    """T5: a single series needs ``periods`` points; returns the series (nothing is kept in memory)."""
+    have = series.limit(periods).count()
     if have < periods:
-        kept.unpersist()
         raise ValueError(f"{what} needs at least {periods} periods, the series has {have}")
-    return kept
+    return series
 
 
 def _trend(col: str, period: int, w: Window) -> Column:

@@ -667,6 +667,15 @@ SELECT period_end, actual, round(fitted, 0) FROM future"""
 
 
 # --- M6: brute-force k nearest neighbours on the small embeddings table ---------------------------
+ORACLE["m6_knn_regress"] = with_(SALES) + f""",
+c AS (SELECT customer, CAST(count(*) AS DOUBLE) AS lines, CAST(sum(unit) AS DOUBLE) AS units, sum(sell) AS revenue FROM sales GROUP BY customer),
+e AS (SELECT *, {mix_hash_sql(['customer'])} AS h FROM c),
+sp AS (SELECT *, row_number() OVER (ORDER BY h, customer) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS is_test FROM e),
+pairs AS (SELECT q.customer AS qid, t.customer AS tid, t.revenue, (q.lines - t.lines) ** 2 + (q.units - t.units) ** 2 AS d2
+          FROM sp q, sp t WHERE q.is_test AND NOT t.is_test),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, tid) AS rn FROM pairs) x WHERE rn <= 5)
+SELECT qid AS customer, round(avg(revenue), 0) AS prediction FROM top GROUP BY qid"""
+
 ORACLE["m6_knn_classify"] = f"""WITH e AS (SELECT vec_id, embedding, label, {mix_hash_sql(['vec_id'])} AS h FROM embeddings),
 sp AS (SELECT *, row_number() OVER (ORDER BY h, vec_id) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS is_test FROM e),
 pairs AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label,

@@ -666,6 +666,17 @@ def q_knn_classify(spark, sf_dir):
     return pred.withColumn("prediction", F.col("prediction").cast("int"))
 
 
+@register("m6_knn_regress")
+def q_knn_regress(spark, sf_dir):
+    """A customer's revenue from the number of lines and units, by the five customers nearest in both."""
+    s = _fx.sales_view(spark, sf_dir).groupBy("customer").agg(
+        F.count(F.lit(1)).cast("double").alias("lines"), F.sum("unit").cast("double").alias("units"), F.sum("sell").alias("revenue"))
+    s = s.withColumn("vec", F.array("lines", "units"))
+    sp = _feat.split(s, ["customer"], 0.2, sql_hash=True)
+    pred = _nn.knn(sp.where("is_test = 0"), sp.where("is_test = 1"), k=5, vec="vec", id_col="customer", label="revenue", task="regress")
+    return rounded(pred, 0)
+
+
 # --- M7c: online linear classifiers (parameter mixing) ---------------------------------------------
 from shelfwise.operators import online as _online  # noqa: E402
 

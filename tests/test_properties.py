@@ -334,3 +334,42 @@ def test_exact_medians(spark):
     df = spark.createDataFrame(rows, "a double, b double")
     want = {"a": float(np.median([r[0] for r in rows])), "b": float(np.median([r[1] for r in rows if r[1] is not None]))}
     assert exact_medians(df, ["a", "b"]) == pytest.approx(want)
+
+
+def test_ridge_equals_the_closed_form_on_unbalanced_labels(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from shelfwise.operators.models import ridge_classifier
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3)) * [1.0, 5.0, 0.3]
+    y = (x[:, 0] + 0.2 * x[:, 1] + rng.normal(size=600) > 2.0).astype(int)  # a small share of positives
+    df = spark.createDataFrame([(Vectors.dense(v), int(c)) for v, c in zip(x.tolist(), y)], ["features", "label"])
+    for alpha in (1.0, 400.0):
+        t = np.where(y > 0, 1.0, -1.0)
+        xc = x - x.mean(axis=0)
+        want = np.linalg.solve(xc.T @ xc + alpha * np.eye(3), xc.T @ (t - t.mean()))
+        assert ridge_classifier(df, alpha=alpha).model.coefficients.toArray() == pytest.approx(want, rel=1e-4)
+
+
+def test_fourier_forecast_from_one_year_of_history(spark):
+    import datetime as dt
+
+    from shelfwise.operators.forecast import fourier_forecast
+
+    for n in (11, 12, 18):
+        months = [(2023 + i // 12, i % 12 + 1) for i in range(n)]
+        ends = [(dt.date(y + (m // 12), m % 12 + 1, 1) - dt.timedelta(days=1)) for y, m in months]
+        df = spark.createDataFrame([(d, 100.0 + 3 * i + (20 if d.month == 12 else 0)) for i, d in enumerate(ends)], "period_end date, v double")
+        out = fourier_forecast(df, "v", h=6).collect()
+        assert len(out) == (0 if n < 12 else n + 6)
+        assert all(np.isfinite(r["yhat"]) for r in out)
+
+
+def test_confusion_and_metrics_of_many_classes(spark):
+    from shelfwise.operators.metrics import classification_metrics, confusion_counts
+
+    df = spark.range(40_000).select((F.col("id") % 20_000).cast("int").alias("label"), F.when(F.col("id") % 4 > 0, F.col("id") % 20_000).otherwise(F.lit(7)).cast("int").alias("prediction"))
+    assert confusion_counts(df).count() == 20_000
+    m = classification_metrics(df).first()
+    assert m["accuracy"] == pytest.approx(0.75) and m["recall"] == pytest.approx(0.75)

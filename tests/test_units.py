@@ -202,7 +202,7 @@ def test_knn_regression_matches_brute_force(spark):
     query = [(1000 + i, [rnd.random(), rnd.random()], 0.0) for i in range(30)]
     tdf = spark.createDataFrame(train, "id long, embedding array<double>, label double").repartition(4)
     qdf = spark.createDataFrame(query, "id long, embedding array<double>, label double")
-    got = {r["id"]: r["prediction"] for r in knn(tdf, qdf, k=3, id_col="id", task="regress", chunk_rows=7).collect()}
+    got = {r["id"]: r["prediction"] for r in knn(tdf, qdf, k=3, id_col="id", task="regress", pivots=6, block_rows=7).collect()}
     for qid, qv, _ in query:
         d = sorted((((qv[0] - v[0]) ** 2 + (qv[1] - v[1]) ** 2), i, y) for i, v, y in train)[:3]
         assert got[qid] == pytest.approx(sum(y for _, _, y in d) / 3)
