@@ -75,6 +75,16 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
     return F.when(maybe & text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
+def may_hold(text: Column) -> Column:
+    """Does any pattern match? One cheap test for the many texts that hold no candidate."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    found = F.lit(False)
+    for kind, pattern, *_ in BASE + ADDED:
+        one = text.rlike(pattern)
+        found = found | ((text.contains(HINT[kind]) & one) if kind in HINT else one)
+    return found
+
+
 def candidates(text: Column, kinds: list[tuple] | None = None) -> Column:
     """All spans of ``kinds`` (default: base and added), by start, then kind as listed."""
     text = F.coalesce(text.cast("string"), F.lit(""))
@@ -184,15 +194,14 @@ def redact_secrets(
     Overlapping spans are masked once. Copied examples and rows without a live secret stay
     as they are. Only rows that hold candidates are shuffled; other texts pass straight through.
     """
-    rows = _rows(df, id_col, text_col, owner_col, repo_col)
-    verdicts = shared_table(_verdicts(shared_table(rows.filter("key <> ''")), copied_owners).filter("size(live) > 0"))
-    packed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    maybe = may_hold(F.col(text_col))
+    rows = shared_table(_rows(df.filter(maybe), id_col, text_col, owner_col, repo_col))
+    verdicts = shared_table(_verdicts(rows, copied_owners).filter("size(live) > 0"))
+    packed = df.filter(maybe).select(F.struct(*[F.col(c) for c in df.columns]).alias("row"))
     packed = packed.withColumn("spans", candidates(F.col("row")[text_col]))
     packed = packed.withColumn("key", _key(F.col("spans")))
-    clean = packed.filter("key = ''").select("row.*")
-    joined = packed.filter("key <> ''").join(
-        verdicts, F.col("row")[id_col].eqNullSafe(F.col("v_id")) & (F.col("key") == F.col("v_key")), "left"
-    )
+    clean = df.filter(~maybe)
+    joined = packed.join(verdicts, F.col("row")[id_col].eqNullSafe(F.col("v_id")) & (F.col("key") == F.col("v_key")), "left")
     live = F.filter("spans", lambda s: F.coalesce(F.array_contains(F.col("live"), F.sha2(s["value"], 256)), F.lit(False)))
     text = F.col("row")[text_col]
 
