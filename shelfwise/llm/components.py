@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # large star: every larger neighbour of u points at the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
+        low = shared_table(low.select("u", F.least("u", "m").alias("m")))  # both sides dealt anew: a hub is split
         large = (
             both.filter("b > a")
             .join(low, F.col("a") == F.col("u"))
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         )
         large = shared_table(large)
         # small star: u and its smaller neighbours point at the smallest of them
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        low = shared_table(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
         small = (
             large.join(low, F.col("a") == F.col("u"))
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
