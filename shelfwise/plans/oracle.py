@@ -513,6 +513,12 @@ cleaned AS (
              {_lit(WS_CLASS + '+')}, ' ', 'g'), '^ | $', '', 'g') AS text
   FROM u)"""
 
+_LABELLED = CLEANED_TEXTS
+# X1 to X5 run over every document; the language stands in for the label
+CLEANED_TEXTS = _LABELLED.replace(
+    "SELECT d.doc_id, d.text, l.quality AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id\n  WHERE d.text IS NOT NULL AND l.quality IS NOT NULL",
+    "SELECT d.doc_id, d.text, d.lang AS label FROM documents d WHERE d.text IS NOT NULL AND d.lang IS NOT NULL")
+
 ORACLE["x1_clean_texts"] = with_(CLEANED_TEXTS) + "SELECT doc_id, label, text FROM cleaned"
 
 ORACLE["x2_char_tfidf"] = with_(CLEANED_TEXTS) + f""",
@@ -571,7 +577,7 @@ h AS (SELECT {KEYS}, {mix_hash_sql(KEYS.split(', '))} AS h FROM sales),
 n AS (SELECT CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS nt FROM sales)
 SELECT {KEYS}, CAST(row_number() OVER (ORDER BY h, {KEYS}) <= nt AS INTEGER) AS is_test FROM h, n"""
 
-ORACLE["m2_stratified_split"] = with_(CLEANED_TEXTS) + f""",
+ORACLE["m2_stratified_split"] = with_(_LABELLED) + f""",
 h AS (SELECT doc_id, label, {mix_hash_sql(['doc_id'])} AS h FROM cleaned)
 SELECT doc_id, label,
        CAST(row_number() OVER (PARTITION BY label ORDER BY h, doc_id)
@@ -590,6 +596,35 @@ ORACLE["m4b_fit_linear"] = with_(SALES) + """
 SELECT round(regr_slope(sell, unit), 6) AS slope, round(regr_intercept(sell, unit), 6) AS intercept,
        round(regr_r2(sell, unit), 6) AS r2, CAST(regr_count(sell, unit) AS BIGINT) AS n FROM sales"""
 
+def _two_feature_fit(target: str, f1: str, f2: str, where: str, alpha: str = "0") -> str:
+    """Least squares (with an L2 penalty) of two features in closed form on the hash split's training rows."""
+    return f"""d AS (SELECT {KEYS}, CAST({f1} AS DOUBLE) AS x, CAST({f2} AS DOUBLE) AS z, CAST({target} AS DOUBLE) AS y,
+      {mix_hash_sql(KEYS.split(', '))} AS h FROM filtered WHERE {where}),
+sp AS (SELECT *, row_number() OVER (ORDER BY h, {KEYS}) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS is_test FROM d),
+tr AS (SELECT * FROM sp WHERE NOT is_test),
+mo AS (SELECT count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, count(*) * var_pop(x) + {alpha} AS sxx, count(*) * var_pop(z) + {alpha} AS szz,
+              count(*) * covar_pop(x, z) AS sxz, count(*) * covar_pop(x, y) AS sxy, count(*) * covar_pop(z, y) AS szy FROM tr),
+co AS (SELECT *, (szz * sxy - sxz * szy) / (sxx * szz - sxz * sxz) AS b1, (sxx * szy - sxz * sxy) / (sxx * szz - sxz * sxz) AS b2 FROM mo),
+fit AS (SELECT *, my - b1 * mx - b2 * mz AS b0 FROM co)"""
+
+
+ORACLE["m4_linear_coefficients"] = with_(*BASE, _two_feature_fit("sell", "unit", "sell_price", "unit IS NOT NULL AND sell_price IS NOT NULL AND sell IS NOT NULL")) + """
+SELECT round(any_value(b0), 2) AS intercept, round(any_value(b1), 3) AS unit, round(any_value(b2), 3) AS sell_price,
+       round(1 - sum((y - b0 - b1 * x - b2 * z) ** 2) / (var_pop(y) * count(*)), 6) AS r2,
+       round(sqrt(avg((y - b0 - b1 * x - b2 * z) ** 2)), 2) AS rmse, count(*) AS n
+FROM sp, fit WHERE is_test"""
+
+ORACLE["m7b_ridge_classifier"] = with_(*BASE, _two_feature_fit("CASE WHEN discount_pct >= 8.5 THEN 1 ELSE -1 END", "unit", "age", "unit IS NOT NULL AND age IS NOT NULL", "1000")) + """
+SELECT round(any_value(b1), 6) AS unit, round(any_value(b2), 6) AS age, round(any_value(b0), 6) AS intercept,
+       round(avg(CASE WHEN (b0 + b1 * x + b2 * z > 0) = (y > 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM sp, fit WHERE is_test"""
+
+ORACLE["m15_score_sell_profit"] = with_(*BASE) + " UNION ALL ".join(
+    f"""SELECT * FROM (WITH {_two_feature_fit(t, a, b, f"{a} IS NOT NULL AND {b} IS NOT NULL AND {t} IS NOT NULL")}
+SELECT '{t}' AS target, round(i1, 2) AS input_1, round(i2, 2) AS input_2, round(b0 + b1 * i1 + b2 * i2, 1) AS expected
+FROM fit, (SELECT quantile_cont(x, 0.5) AS i1, quantile_cont(z, 0.5) AS i2 FROM tr) m)"""
+    for t, a, b in (("sell", "unit", "sell_price"), ("profit", "sell", "unit")))
+
 ORACLE["m8_hard_vote"] = with_(SALES) + f""",
 v AS (SELECT {KEYS}, unit, sell, CAST(discount_pct >= 5 AS INTEGER) + CAST(unit >= 25 AS INTEGER)
                       + CAST(sell_price >= 1500 AS INTEGER) + CAST(age >= 48 AS INTEGER) AS ones FROM sales)

@@ -408,20 +408,24 @@ def _clean_texts(spark, sf_dir):
     return _text.prepare_texts(_fx.texts_view(spark, sf_dir))
 
 
+def _all_clean_texts(spark, sf_dir):
+    return _text.prepare_texts(_fx.all_texts_view(spark, sf_dir))
+
+
 @register("x1_clean_texts")
-def q_clean_texts(spark, sf_dir):
-    return _clean_texts(spark, sf_dir).select("doc_id", "label", "text")
+def q_all_clean_texts(spark, sf_dir):
+    return _all_clean_texts(spark, sf_dir).select("doc_id", "label", "text")
 
 
 @register("x2_char_tfidf")
 def q_char_tfidf(spark, sf_dir):
-    w, _ = _text.char_tfidf(_clean_texts(spark, sf_dir), max_features=20000)
+    w, _ = _text.char_tfidf(_all_clean_texts(spark, sf_dir), max_features=20000)
     return rounded(w.select("doc_id", "term", "feature_index", "tf", "tfidf"), 8)
 
 
 @register("x3_fit_vocab")
 def q_fit_vocab(spark, sf_dir):
-    return _text.fit_vocab(_clean_texts(spark, sf_dir))
+    return _text.fit_vocab(_all_clean_texts(spark, sf_dir))
 
 
 def _seq_text(df, col="sequence"):
@@ -430,14 +434,14 @@ def _seq_text(df, col="sequence"):
 
 @register("x4_to_sequences")
 def q_to_sequences(spark, sf_dir):
-    t = _clean_texts(spark, sf_dir)
+    t = _all_clean_texts(spark, sf_dir)
     return _seq_text(_text.to_sequences(t, _text.fit_vocab(t), num_words=15000))
 
 
 @register("x5_pad_sequences")
 def q_pad_sequences(spark, sf_dir):
-    t = _clean_texts(spark, sf_dir)
-    seqs = _text.to_sequences(t, _text.fit_vocab(t), num_words=15000)
+    t = _all_clean_texts(spark, sf_dir)
+    seqs = _text.to_sequences(t, _text.fit_vocab(t), num_words=15000, max_len=100)
     return _seq_text(_text.padded_sequences(seqs, 100))
 
 
@@ -547,6 +551,37 @@ def q_sell_regressors(spark, sf_dir):
     return _models.regression_leaderboard(models, test)
 
 
+def _sql_split(df, target, feats):
+    """Complete rows, split by the SQL-expressible hash, assembled."""
+    from pyspark.ml.feature import VectorAssembler
+
+    d = df.select(*LINE_KEY, *feats, F.col(target).cast("double").alias("label")).na.drop(subset=[*feats, "label"])
+    d = _feat.split(d, LINE_KEY, 0.2, seed=42, sql_hash=True)
+    return VectorAssembler(inputCols=feats, outputCol="features").transform(d)
+
+
+@register("m4_linear_coefficients")
+def q_linear_coefficients(spark, sf_dir):
+    """The linear regressor's coefficients for sell, and its R² and RMSE on the test rows."""
+    d = _sql_split(filtered(spark, sf_dir), "sell", ["unit", "sell_price"])
+    model = _models.regressors()["LinearRegression"].fit(d.where("is_test = 0"))
+    b = [float(x) for x in model.coefficients]
+    fit = _met.regression_metrics(model.transform(d.where("is_test = 1")))
+    return fit.select(F.round(F.lit(float(model.intercept)), 2).alias("intercept"), F.round(F.lit(b[0]), 3).alias("unit"),
+                      F.round(F.lit(b[1]), 3).alias("sell_price"), F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"), "n")
+
+
+@register("m7b_ridge_classifier")
+def q_ridge_classifier(spark, sf_dir):
+    """Ridge classification of repeated customers (few positives, strong penalty): coefficients and test accuracy."""
+    d = _sql_split(filtered(spark, sf_dir).withColumn("few", (F.col("discount_pct") >= 8.5).cast("int")), "few", ["unit", "age"])
+    ridge = _models.ridge_classifier(d.where("is_test = 0"), alpha=1000.0)
+    b = [float(x) for x in ridge.model.coefficients]
+    acc = ridge.transform(d.where("is_test = 1")).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    return acc.select(F.round(F.lit(b[0]), 6).alias("unit"), F.round(F.lit(b[1]), 6).alias("age"),
+                      F.round(F.lit(float(ridge.model.intercept)), 6).alias("intercept"), F.round("accuracy", 6).alias("accuracy"))
+
+
 @register("m4_profit_regressors")
 def q_profit_regressors(spark, sf_dir):
     train, test = _xy_split(filtered(spark, sf_dir), "profit", ["sell", "unit"])
@@ -609,6 +644,21 @@ def q_learning_curve(spark, sf_dir):
     return _models.learning_curve(data, LogisticRegression(maxIter=500), id_col="doc_id")
 
 
+@register("m15_score_sell_profit")
+def q_score_sell_profit(spark, sf_dir):
+    """Sell and profit expected for the median inputs, by the linear models."""
+    out = None
+    for target, feats in (("sell", ["unit", "sell_price"]), ("profit", ["sell", "unit"])):
+        d = _sql_split(filtered(spark, sf_dir), target, feats)
+        model = _models.regressors()["LinearRegression"].fit(d.where("is_test = 0"))
+        med = _feat.exact_medians(d.where("is_test = 0"), feats)
+        value = float(model.intercept) + sum(float(c) * med[f] for c, f in zip(model.coefficients, feats))
+        one = spark.range(1).select(F.lit(target).alias("target"), F.lit(float(round(med[feats[0]], 2))).alias("input_1"),
+                                    F.lit(float(round(med[feats[1]], 2))).alias("input_2"), F.round(F.lit(value), 1).alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("m15_score_retention")
 def q_score_retention(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression

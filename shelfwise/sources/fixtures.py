@@ -135,3 +135,8 @@ def texts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return d.join(lab, "doc_id")
+
+
+def all_texts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language as label, for the steps that need no quality label."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
