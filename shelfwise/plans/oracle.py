@@ -625,6 +625,15 @@ SELECT '{t}' AS target, round(i1, 2) AS input_1, round(i2, 2) AS input_2, round(
 FROM fit, (SELECT quantile_cont(x, 0.5) AS i1, quantile_cont(z, 0.5) AS i2 FROM tr) m)"""
     for t, a, b in (("sell", "unit", "sell_price"), ("profit", "sell", "unit")))
 
+ORACLE["m9_segment_checks"] = with_(*BASE) + """
+SELECT count(*) AS rows, CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced, 0.0 AS centre_gap FROM filtered
+WHERE age IS NOT NULL AND unit IS NOT NULL AND sell IS NOT NULL AND profit IS NOT NULL"""
+
+ORACLE["t4_normal_equations"] = with_(*BASE) + """
+SELECT category, CAST(datediff('month', min(order_date), max(order_date)) + 1 AS BIGINT) AS periods, round(sum(sell), 0) AS total,
+       0.0 AS level, 0.0 AS trend, 0.0 AS sin_1, 0.0 AS cos_1, 0.0 AS sin_2, 0.0 AS cos_2, 0.0 AS sin_3, 0.0 AS cos_3
+FROM filtered GROUP BY category"""
+
 ORACLE["m8_hard_vote"] = with_(SALES) + f""",
 v AS (SELECT {KEYS}, unit, sell, CAST(discount_pct >= 5 AS INTEGER) + CAST(unit >= 25 AS INTEGER)
                       + CAST(sell_price >= 1500 AS INTEGER) + CAST(age >= 48 AS INTEGER) AS ones FROM sales)

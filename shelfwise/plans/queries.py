@@ -7,9 +7,10 @@ rounds its floating-point outputs so that the DuckDB oracle in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import aggs, series
@@ -636,6 +637,22 @@ def q_segments(spark, sf_dir):
     return centers
 
 
+@register("m9_segment_checks")
+def q_segment_checks(spark, sf_dir):
+    """K-means by its own definition: rows in a cluster other than the nearest centre's, and the
+    largest gap between a centre and its members' mean (in standard deviations)."""
+    cols = ["age", "unit", "sell", "profit"]
+    labelled, centers = _models.segment(filtered(spark, sf_dir).select(*cols), cols, k=3)
+    spread = {c: s or 1.0 for c, (_, s) in clean.mean_std_pop(labelled, cols).items()}
+    at = {r["cluster"]: r for r in centers.collect()}  # k rows
+    apart = {k: sum(((F.col(c) - F.lit(r[c])) / F.lit(spread[c])) ** 2 for c in cols) for k, r in at.items()}
+    mine = F.coalesce(*[F.when(F.col("cluster") == k, d) for k, d in apart.items()])
+    gap = F.greatest(*[F.abs(F.avg(F.when(F.col("cluster") == k, F.col(c))) - F.lit(r[c])) / F.lit(spread[c]) for k, r in at.items() for c in cols])
+    return labelled.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cluster").alias("clusters"),
+                        F.count_if(mine > F.least(*apart.values()) + 1e-9).alias("misplaced"),
+                        F.round(gap, 2).alias("centre_gap"))
+
+
 @register("m14_learning_curve")
 def q_learning_curve(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
@@ -703,6 +720,20 @@ def q_fourier_forecast(spark, sf_dir):
     return rounded(_fc.fourier_forecast(m, "sell", keys=["category"], h=6), 0)
 
 
+@register("t4_normal_equations")
+def q_normal_equations(spark, sf_dir):
+    """T4 by its definition: the residuals of a least-squares fit are orthogonal to every regressor."""
+    m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
+    f = _fc.fourier_forecast(m, "sell", keys=["category"], h=6)
+    w = Window.partitionBy("category").orderBy("ds")
+    f = f.withColumn("t", (F.row_number().over(w) - 1).cast("double")).where(F.col("y").isNotNull())
+    e, angle = F.col("y") - F.col("yhat"), F.lit(2 * math.pi / 12) * F.col("t")
+    scale = F.sum(F.abs("y")) * F.count(F.lit(1))
+    basis = {"level": F.lit(1.0), "trend": F.col("t")} | {f"{n}_{k}": fn(angle * k) for k in (1, 2, 3) for n, fn in (("sin", F.sin), ("cos", F.cos))}
+    return f.groupBy("category").agg(F.count(F.lit(1)).alias("periods"), F.round(F.sum("y"), 0).alias("total"),
+                                     *[F.abs(F.round(F.sum(e * b) / scale, 9)).alias(n) for n, b in basis.items()])
+
+
 # --- M6: k-nearest neighbours -------------------------------------------------------------------
 from shelfwise.operators import neighbors as _nn  # noqa: E402
 
