@@ -38,6 +38,7 @@ MARK = "▁"
 #: Piece types and model types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,10 +100,20 @@ class PieceTransducer:
             self.arcs.add_word(p, p)
         if self.score:
             self.arcs.make_automaton()
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
-        self.allowed: dict[tuple[str, str], bool] = {}
+        self.inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.by_word = not any(pair[1] == MARK and pair[0] != MARK for pair in self.inner)
+        self.allowed: dict[str, dict[str, bool]] = {}
+        self.n_allowed = 0
+        special = (BYTE, CONTROL, UNKNOWN)
+        self.plain = [None if t in special else p.replace(MARK, " ") if self.escape else p for p, _, t in self.pieces]
         self.cache = UnitCache(self._unit, cache_units)
 
+    def _parts(self, unit: str) -> list[str]:
+        """The unit cut between characters that no piece holds side by side: no piece crosses there."""
+        inner = self.inner
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in inner]
+        return [unit[a:z] for a, z in zip([0, *cuts], [*cuts, len(unit)])] if cuts else [unit]
+
     # normaliser
 
     def normalise(self, text: str) -> str:
@@ -145,15 +156,50 @@ class PieceTransducer:
         return [text[i : end[i]] for i in range(n) if end[i]]
 
     def _fits(self, a: str, b: str) -> bool:
-        ok = self.allowed.get((a, b))
+        """Does merging ``a + b`` give the two pieces again?"""
+        known = self.allowed.get(a)
+        if known is None:
+            known = self.allowed[a] = {}
+        ok = known.get(b)
         if ok is None:
-            if len(self.allowed) >= 1_000_000:
-                self.allowed.clear()
-            ok = self.allowed[a, b] = self.merge(a + b) == [a, b]
+            self.n_allowed += 1
+            if self.n_allowed > 1_000_000:
+                self.allowed, self.n_allowed = {a: known}, 0
+            ok = known[b] = self.merge(a + b) == [a, b]
         return ok
 
+    def _bpe_path(self, unit: str) -> list[str] | None:
+        """The one path of allowed pairs, if every character of ``unit`` is within pieces."""
+        last: list[str | None] = [None] * (len(unit) + 1)
+        last[0] = ""
+        allowed = self.allowed
+        for end, piece in self.arcs.iter(unit):
+            if last[end + 1] is None:
+                i = end + 1 - len(piece)
+                before = last[i]
+                if before is not None:
+                    ok = i == 0
+                    if not ok:
+                        try:
+                            ok = allowed[before][piece]
+                        except KeyError:
+                            ok = self._fits(before, piece)
+                            allowed = self.allowed
+                    if ok:
+                        last[end + 1] = piece
+        out, j = [], len(unit)
+        while j:
+            piece = last[j]
+            if piece is None:
+                return None
+            out.append(piece)
+            j -= len(piece)
+        return out[::-1]
+
     def path(self, unit: str) -> list[str]:
         """Pieces (and single characters that are none) of the lattice's shortest path."""
+        if self.kind == BPE and self.score and (short := self._bpe_path(unit)) is not None:
+            return short
         n = len(unit)
         cost = [0.0] + [math.inf] * n
         last: list[str] = [""] * (n + 1)
@@ -190,6 +236,9 @@ class PieceTransducer:
         return out[::-1]
 
     def _unit(self, unit: str) -> list[int]:
+        parts = self._parts(unit) if self.kind == BPE else [unit]
+        if len(parts) > 1:
+            return np.frombuffer(b"".join(map(self.cache.__getitem__, parts)), np.int32).tolist()
         ids: list[int] = []
         for piece in self.path(unit):
             no = self.id.get(piece)
@@ -205,13 +254,18 @@ class PieceTransducer:
         s = self.normalise(text) if text else ""
         if not s:
             return np.empty(0, np.int32)
-        units = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", s) if self.by_word else [s]
+        units = _WORD.findall(s) if self.by_word else [s]
         return np.frombuffer(b"".join(map(self.cache.__getitem__, units)), np.int32)
 
     # decoder
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; byte pieces are joined (bad ones become U+FFFD), control pieces vanish."""
+        try:  # no special piece: the texts side by side
+            text = "".join(map(self.plain.__getitem__, ids))
+            return text[1:] if self.prefix and text.startswith(" ") else text
+        except TypeError:
+            pass
         out, held = [], bytearray()
         for i in ids:
             piece, _, kind = self.pieces[i]
@@ -260,7 +314,7 @@ def decode_of(ids: Column, model_path: str, spark: SparkSession) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = transducer(model_path)
         for rows in batches:
-            yield pd.Series([None if x is None else t.decode(x) for x in rows], dtype=object)
+            yield pd.Series([None if x is None else t.decode(x.tolist()) for x in rows], dtype=object)
 
     return run(ids.cast("array<int>"))
 
