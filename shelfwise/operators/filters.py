@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.parse import norm_key
+from shelfwise.session import shared_table
 from shelfwise.sources.io import ROW_KEY
 
 
@@ -99,22 +100,16 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only when the side is proven small (a bounded count);
-    otherwise leave the join to the shuffle planner and AQE."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def join_books(sales: DataFrame, books: DataFrame, key: str = "book", book_order: list[str] | None = None,
-               max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def join_books(sales: DataFrame, books: DataFrame, key: str = "book", book_order: list[str] | None = None) -> DataFrame:
     """Left join of sales to the book list on the normalised name; the book
     list is de-duplicated first (first row per name) and clashing attribute
-    columns get a ``book_`` prefix instead of pandas' ``_x``/``_y``."""
+    columns get a ``book_`` prefix instead of pandas' ``_x``/``_y``. The reduced
+    list is written once, so the planner knows its bytes and broadcasts it only
+    under its own threshold."""
     b = books.withColumn(key, norm_key(key))
     b = dedup_first(b, [key], book_order or [c for c in b.columns if c != key][:1])
     clash = [c for c in b.columns if c != key and c in sales.columns]
     for c in clash:
         b = b.withColumnRenamed(c, f"book_{c}")
     s = sales.withColumn(key, norm_key(key))
-    return s.join(broadcast_if_small(b, max_broadcast_rows), key, "left")
+    return s.join(shared_table(b), key, "left")

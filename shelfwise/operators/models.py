@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.clean import standardize
-from shelfwise.operators.metrics import classification_metrics, hard_vote, regression_metrics
+from shelfwise.operators.metrics import classification_metrics, confusion_counts, hard_vote, regression_metrics
 
 SEED = 42
 ROWS_PER_PARTITION = 50_000
@@ -95,18 +95,38 @@ def regression_leaderboard(models: dict[str, Model], test: DataFrame, label: str
 
 
 def classification_leaderboard(models: dict[str, Model], test: DataFrame, label: str = "label",
-                               times: dict[str, float] | None = None) -> DataFrame:
-    """M5/M7 + M11 + M13: accuracy and weighted precision / recall / F1 per model."""
+                               times: dict[str, float] | None = None, train: DataFrame | None = None) -> DataFrame:
+    """M5/M7 + M11 + M13: accuracy and weighted precision / recall / F1 per model on the test rows;
+    with ``train`` also the accuracy on the training rows and on all rows."""
     rows = []
+
+    def judged(m, df):
+        return m.transform(df).withColumn("prediction", F.col("prediction").cast("int"))
+
+    n_test = test.count() if train is not None else 0
+    n_train = train.count() if train is not None else 0
     for name, m in models.items():
-        preds = m.transform(test).withColumn("prediction", F.col("prediction").cast("int"))
-        r = classification_metrics(preds, label, "prediction").first()
+        r = classification_metrics(judged(m, test), label, "prediction").first()
+        own = overall = None
+        if train is not None:
+            own = float(classification_metrics(judged(m, train), label, "prediction").first()["accuracy"])
+            overall = (own * n_train + float(r["accuracy"]) * n_test) / max(n_train + n_test, 1)
         rows.append((name, float(r["accuracy"]), float(r["precision"]), float(r["recall"]), float(r["f1"]),
-                     float((times or {}).get(name, 0.0))))
-    spark = test.sparkSession
-    return spark.createDataFrame(
-        rows, "model string, accuracy double, precision double, recall double, f1 double, fit_seconds double"
-    ).orderBy(F.col("accuracy").desc(), "model")
+                     float((times or {}).get(name, 0.0)), own, overall))
+    schema = ("model string, accuracy double, precision double, recall double, f1 double, fit_seconds double, "
+              "train_accuracy double, overall_accuracy double")
+    board = test.sparkSession.createDataFrame(rows, schema).orderBy(F.col("accuracy").desc(), "model")
+    return board if train is not None else board.drop("train_accuracy", "overall_accuracy")
+
+
+def confusions(models: dict[str, Model], test: DataFrame, label: str = "label") -> DataFrame:
+    """M12 for every model: (model, label, prediction, n)."""
+    out = None
+    for name, m in models.items():
+        cells = confusion_counts(m.transform(test).withColumn("prediction", F.col("prediction").cast("int")), label, "prediction")
+        cells = cells.select(F.lit(name).alias("model"), "label", "prediction", "n")
+        out = cells if out is None else out.unionByName(cells)
+    return out
 
 
 class RidgeClassifierModel:
@@ -173,8 +193,11 @@ def segment(df: DataFrame, cols: list[str], k: int = 3, seed: int = SEED, min_ro
     return labelled, centers
 
 
-def score(model: Model, df: DataFrame, positive_label: str = "LIKELY TO RETURN",
-          negative_label: str = "NOT LIKELY TO RETURN") -> DataFrame:
+# The outcome's wording on the dashboard.
+LIKELY, UNLIKELY = "LIKELY TO RETURN", "NOT LIKELY TO RETURN"
+
+
+def score(model: Model, df: DataFrame, positive_label: str = LIKELY, negative_label: str = UNLIKELY) -> DataFrame:
     """Predicted class, probability of class 1 (when the model gives one)
     and a readable label."""
     out = model.transform(df)

@@ -622,12 +622,12 @@ def q_text_classifiers(spark, sf_dir):
     train, test = data.where("is_test = 0"), data.where("is_test = 1")
     models, times = _models.fit_all(_models.text_classifiers(), train)
     models["RidgeClassifier"] = _models.ridge_classifier(train)
-    board = _models.classification_leaderboard(models, test, times=times)
+    board = _models.classification_leaderboard(models, test, times=times, train=train)
     voters = {k: models[k] for k in ["LinearSVC", "LogisticRegression", "RandomForest", "RidgeClassifier"]}
     voted = _models.vote_predictions(voters, test, "doc_id")
     r = _met.classification_metrics(voted).first()
     ens = spark.createDataFrame([("HardVoting", float(r["accuracy"]), float(r["precision"]), float(r["recall"]),
-                                  float(r["f1"]), 0.0)], board.schema)
+                                  float(r["f1"]), 0.0, None, None)], board.schema)
     return board.unionByName(ens)
 
 
@@ -758,6 +758,32 @@ def q_knn_regress(spark, sf_dir):
     return rounded(pred, 0)
 
 
+def _customers(spark, sf_dir):
+    """One row per customer: order lines, units, mean discount, revenue, profit, and the high-value flag."""
+    c = filtered(spark, sf_dir).groupBy("customer").agg(
+        F.count(F.lit(1)).cast("double").alias("lines"), F.sum("unit").alias("units"), F.avg("discount_pct").alias("discount"),
+        F.avg("age").alias("age"), F.sum("sell").alias("sell"), F.sum("profit").alias("profit"))
+    return clean.high_value_flag(c, "profit", 0.8)[0]
+
+
+@register("e2_high_value_board")
+def q_high_value_board(spark, sf_dir):
+    """The notebook's five classifiers on high-value customers."""
+    from shelfwise.plans.notebooks import compare_classifiers
+
+    d = _feat.stratified_split(_customers(spark, sf_dir), "high_value_customer", ["customer"], 0.2)
+    return compare_classifiers(d, "high_value_customer", ["lines", "units", "discount", "age", "sell"], "customer")
+
+
+@register("e2_sell_board")
+def q_sell_board(spark, sf_dir):
+    """The notebook's five regressors on revenue."""
+    from shelfwise.plans.notebooks import compare_regressors
+
+    d = _feat.split(_customers(spark, sf_dir), ["customer"], 0.2)
+    return compare_regressors(d, "sell", ["lines", "units", "discount", "age", "profit"], "customer")
+
+
 # --- M7c: online linear classifiers (parameter mixing) ---------------------------------------------
 from shelfwise.operators import online as _online  # noqa: E402
 

@@ -292,19 +292,20 @@ def test_split_with_hash_ties_takes_exact_count(spark):
     assert picked == list(range(37))
 
 
-def test_broadcast_only_when_proven_small(spark):
-    from shelfwise.operators.filters import broadcast_if_small
+def test_book_list_is_broadcast_by_its_known_bytes(spark):
+    from shelfwise.operators.filters import join_books
 
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # isolate the explicit hint
+    sales = spark.range(1000).select(F.concat(F.lit("b"), F.col("id") % 50).alias("book"))
+    books = spark.range(60).select(F.concat(F.lit("B"), F.col("id")).alias("book"), F.col("id").alias("shelf"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
-        big = spark.range(1000).withColumnRenamed("id", "k")
-        fact = spark.range(5000).select((F.col("id") % 1000).alias("k"))
-        small_plan = fact.join(broadcast_if_small(big, 10_000), "k")._jdf.queryExecution().executedPlan().toString()
-        large_plan = fact.join(broadcast_if_small(big, 10), "k")._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in small_plan
-        assert "BroadcastHashJoin" not in large_plan
+        for threshold, node in (("10m", "BroadcastHashJoin"), ("16b", "SortMergeJoin")):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            plan = join_books(sales, books)._jdf.queryExecution().executedPlan().toString()
+            assert node in plan
+        assert join_books(sales, books).where("shelf IS NULL").count() == 0
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 
