@@ -34,12 +34,14 @@ def _epoch(loss: str, dim: int, alpha: float, c: float, t0: float):
         b = w_b.value[1]
         t = w_b.value[2]
         n = 0
+        lost = 0.0
         for pdf in batches:
             for idx, val, y01 in zip(pdf["indices"], pdf["values"], pdf["label"]):
                 idx = np.asarray(idx, dtype=np.int64)
                 val = np.asarray(val, dtype=np.float64)
                 y = 1.0 if y01 > 0 else -1.0
                 margin = float(w[idx] @ val) + b
+                lost += np.logaddexp(0.0, -y * margin) if loss == "log" else max(0.0, (loss != "perceptron") - y * margin)
                 if loss == "log":
                     eta = 1.0 / (alpha * (t0 + t))
                     g = -y / (1.0 + np.exp(y * margin))
@@ -58,41 +60,44 @@ def _epoch(loss: str, dim: int, alpha: float, c: float, t0: float):
                         b += tau * y
                 t += 1
                 n += 1
-        yield pd.DataFrame({"w": [w.tolist()], "b": [b], "n": [n]})
+        yield pd.DataFrame({"w": [w.tolist()], "b": [b], "lost": [float(lost)], "n": [n]})
 
     return run
 
 
-def fit_online(data: DataFrame, dim: int, loss: str = "log", epochs: int = 20, alpha: float = 1e-4,
-               c: float = 1.0, tol: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Train by parameter mixing; stops early when the mean weight change is below ``tol``."""
+def fit_online(data: DataFrame, dim: int, loss: str = "log", epochs: int = 1000, alpha: float = 1e-4,
+               c: float = 1.0, tol: float = 1e-3, patience: int = 5) -> tuple[np.ndarray, float]:
+    """Train by parameter mixing for at most ``epochs`` epochs; stops when the mean loss of an epoch
+    has not gone ``tol`` under the best one for ``patience`` epochs in a row."""
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     spark = data.sparkSession
     rows = data.select("indices", "values", "label")
     w, b, t = np.zeros(dim), 0.0, 1.0
+    best, waited = np.inf, 0
     t0 = 1.0 / alpha  # optimal-style schedule start: eta_1 = 1 / (alpha * t0) = 1
     for _ in range(epochs):
         wb = spark.sparkContext.broadcast((w, b, t))
         run = _epoch(loss, dim, alpha, c, t0)
-        parts = rows.mapInPandas(lambda it, wb=wb, run=run: run(it, wb), "w array<double>, b double, n long")
+        parts = rows.mapInPandas(lambda it, wb=wb, run=run: run(it, wb), "w array<double>, b double, lost double, n long")
         # weighted sum on the executors: every partition's n*w, n*b and n are
         # spread by index and summed (partial aggregation per executor), so the
-        # driver receives dim + 2 numbers whatever the number of partitions
-        packed = F.concat(F.transform("w", lambda x: x * F.col("n")), F.array(F.col("b") * F.col("n"), F.col("n").cast("double")))
+        # driver receives dim + 3 numbers whatever the number of partitions
+        packed = F.concat(F.transform("w", lambda x: x * F.col("n")), F.array(F.col("b") * F.col("n"), F.col("n").cast("double"), F.col("lost")))
         sums = parts.select(F.posexplode(packed).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).collect()
         wb.unpersist()
-        vec = np.zeros(dim + 2)
+        vec = np.zeros(dim + 3)
         for r in sums:
             vec[r["i"]] = r["s"]
         total = vec[dim + 1]
         if not total:
             break
         shards = rows.rdd.getNumPartitions()
-        new_w, new_b = vec[:dim] / total, vec[dim] / total
-        change = float(np.abs(new_w - w).mean())
-        w, b, t = new_w, new_b, t + total / max(shards, 1)
-        if change < tol * 1e-3:
+        w, b, t = vec[:dim] / total, vec[dim] / total, t + total / max(shards, 1)
+        mean_loss = vec[dim + 2] / total
+        waited = 0 if mean_loss < best - tol else waited + 1
+        best = min(best, mean_loss)
+        if waited >= patience:
             break
     return w, b
 
