@@ -70,7 +70,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceTransducer:
     """Normaliser, pieces and byte fallback of one model file."""
 
-    def __init__(self, model: bytes, cache_units: int = 300_000):
+    def __init__(self, model: bytes, cache_units: int = 150_000):
         self.pieces: list[tuple[str, float, int]] = []
         kind, fallback, spec = UNIGRAM, False, {1: b"", 2: b"", 3: 1, 4: 1, 5: 1}
         for no, value in _fields(model):
@@ -163,7 +163,7 @@ class PieceTransducer:
         ok = known.get(b)
         if ok is None:
             self.n_allowed += 1
-            if self.n_allowed > 1_000_000:
+            if self.n_allowed > 500_000:
                 self.allowed, self.n_allowed = {a: known}, 0
             ok = known[b] = self.merge(a + b) == [a, b]
         return ok
