@@ -19,7 +19,7 @@ from shelfwise.session import checkpoint_dir
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and texts that resemble no learned language; learns from ``docs`` itself."""
     model = langid.train(docs, "doc_id", "text", "lang", per_class=200, max_sample_chars=20000)
-    return langid.keep_known(docs, "text", model, min_score=0.1)
+    return langid.keep_known(docs, "text", model, min_score=0.1, min_known=langid.MIN_KNOWN)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from shelfwise.llm.arrow import small_batches
 
 UNDETERMINED = "und"
+#: Least known share of a text in a learned language, calibrated on the labelled tables (README, figures).
+MIN_KNOWN = 0.4
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier: keeps the codes of one length apart
 _CHUNK = 1 << 18
 
 
-def _chunk_codes(text: str, n_max: int) -> Iterator[np.ndarray]:
-    """64-bit codes of the n-grams of length 1 to ``n_max`` of the lower-cased text, repeats included.
+def _chunk_rows(text: str, n_max: int) -> Iterator[list[np.ndarray]]:
+    """64-bit codes of the n-grams of each length 1 to ``n_max`` of the lower-cased text, repeats included.
 
     A run of blanks, digits and signs counts as one blank. Long texts are taken in chunks that
     overlap by ``n_max - 1`` characters, so no n-gram is lost and memory stays bounded.
@@ -53,7 +55,12 @@ def _chunk_codes(text: str, n_max: int) -> Iterator[np.ndarray]:
                 break
             codes = codes[:-1] * _MIX + rows[0][n:]
             rows.append(codes)
-        yield np.concatenate(rows)
+        yield rows
+
+
+def _chunk_codes(text: str, n_max: int) -> Iterator[np.ndarray]:
+    """The codes of each chunk, all lengths together."""
+    yield from map(np.concatenate, _chunk_rows(text, n_max))
 
 
 def gram_codes(text: str, n_max: int = 4) -> np.ndarray:
@@ -95,24 +102,37 @@ class Model:
     languages: list[str]
     n_max: int
 
-    def mark(self, text: str, row: np.ndarray) -> None:
-        """Set ``row`` to the text's normalised presence vector."""
+    def mark(self, text: str, row: np.ndarray) -> float:
+        """Set ``row`` to the text's normalised presence vector; the share of the text's longest
+        n-grams, repeats included, that a landmark holds: 0 if none, the same for all lengths of text."""
         if not hasattr(self, "_lookup"):
             self._lookup = _Lookup(self.codes)
-        for codes in _chunk_codes(text, self.n_max):
-            row[self._lookup(codes)] = 1.0
+        held, total = 0, 0
+        for *short, longest in _chunk_rows(text, self.n_max):
+            at = self._lookup(longest)
+            # an empty slot points at code 0 too, so that one may be found in several levels
+            held += np.count_nonzero(at) + np.count_nonzero(longest == self.codes[0])
+            total += len(longest)
+            row[at] = 1.0
+            if short:
+                row[self._lookup(np.concatenate(short))] = 1.0
         row /= np.sqrt(max(np.count_nonzero(row), 1))
+        return held / max(total, 1)
 
     def scores(self, texts: list[str], block: int = 64) -> np.ndarray:
         """One row of regression outputs for each text, by blocks of presence rows."""
-        out = np.empty((len(texts), len(self.languages)))
+        return self.scores_and_known(texts, block)[0]
+
+    def scores_and_known(self, texts: list[str], block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`scores`, and for each text the share that :meth:`mark` gives."""
+        out, known = np.empty((len(texts), len(self.languages))), np.zeros(len(texts))
         for lo in range(0, len(texts), block):
             part = texts[lo : lo + block]
             rows = np.zeros((len(part), len(self.codes)), np.float32)
             for i, t in enumerate(part):
-                self.mark(t, rows[i])
+                known[lo + i] = self.mark(t, rows[i])
             out[lo : lo + block] = rows @ self.weights + self.bias
-        return out
+        return out, known
 
 
 def fit(rows: list[tuple[str, str]], n_max: int = 4, landmarks: int = 64, ridge: float = 0.05) -> Model:
@@ -171,29 +191,31 @@ def draw_sample(
 
 
 def language_of(text: Column, model: Model, spark: SparkSession) -> Column:
-    """Struct ``(lang_pred, score)`` of a whole text; only the text is sent to Python.
+    """Struct ``(lang_pred, score, known)`` of a whole text; only the text is sent to Python.
 
     ``und`` with score 0 where the text is null or holds no letter (or the model knows no
     language); else the language with the largest output (ties: the first by name) and a
-    score of 0 to 1.
+    score of 0 to 1. The outputs of every text have the same sum, so the score ranks languages
+    and is at least 1 over their number; how far a text resembles any of them is ``known``, the
+    share of its longest n-grams that a landmark holds (0 for ``und``).
     """
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m: Model = sent.value
         for texts in batches:
             texts = texts.tolist()
-            known = [i for i, t in enumerate(texts) if t and m.languages and any(map(str.isalpha, t))]
+            lettered = [i for i, t in enumerate(texts) if t and m.languages and any(map(str.isalpha, t))]
             lang = np.full(len(texts), UNDETERMINED, object)
-            score = np.zeros(len(texts))
-            if known:
-                out = m.scores([texts[i] for i in known])
+            score, known = np.zeros(len(texts)), np.zeros(len(texts))
+            if lettered:
+                out, known[lettered] = m.scores_and_known([texts[i] for i in lettered])
                 best = out.argmax(axis=1)
-                lang[known] = np.array(m.languages, object)[best]
-                score[known] = np.clip((out[np.arange(len(known)), best] + 1) / 2, 0, 1)
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+                lang[lettered] = np.array(m.languages, object)[best]
+                score[lettered] = np.clip((out[np.arange(len(lettered)), best] + 1) / 2, 0, 1)
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "known": known})
 
     return run(text.cast("string"))
 
@@ -204,14 +226,16 @@ def predict(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
     return found.select(id_col, "held_out", "found.lang_pred", "found.score")
 
 
-def keep_known(df: DataFrame, text_col: str, model: Model, min_score: float = 0.1) -> DataFrame:
-    """``df`` without the rows whose text is ``und`` or scores under ``min_score``; columns stay.
+def keep_known(df: DataFrame, text_col: str, model: Model, min_score: float = 0.1, min_known: float = MIN_KNOWN) -> DataFrame:
+    """``df`` without the rows whose text is ``und``, scores under ``min_score`` or has a known share
+    under ``min_known``; columns stay.
 
-    The bound is far below what prose in a learned language scores; it stops texts that share
-    next to no n-gram with any landmark.
+    ``min_known`` is what rejects texts that resemble no learned language, short or long. With
+    ``1 / min_score`` languages or fewer ``min_score`` rejects nothing (see :func:`language_of`).
     """
     found = df.select(F.struct(*df.columns).alias("row"), language_of(F.col(text_col), model, df.sparkSession).alias("found"))
-    return found.filter((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min_score)).select("row.*")
+    sure = (F.col("found.score") >= min_score) & (F.col("found.known") >= min_known)
+    return found.filter((F.col("found.lang_pred") != UNDETERMINED) & sure).select("row.*")
 
 
 def held_out(id_col: str):

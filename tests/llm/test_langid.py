@@ -1,5 +1,6 @@
 """Kernel against a plain set computation, held-out accuracy, odd texts."""
 
+import base64
 import random
 import zlib
 
@@ -71,3 +72,16 @@ def test_odd_rows(spark):
     empty = L.train(df.limit(0))
     assert {r.lang_pred for r in L.predict(df, "doc_id", "text", empty).collect()} == {"und"}
     assert L.predict(df.limit(0), "doc_id", "text", model).count() == 0
+
+
+def test_texts_of_no_learned_language_go_at_every_length(spark):
+    rng = random.Random(4)
+    b64 = base64.b64encode(bytes(rng.randrange(256) for _ in range(60000))).decode()
+    alien = ["Это русский текст о погоде и книгах. ", "これは学習していない言語の文章です。", b64, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60000))]
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "lang")
+    model = L.train(docs)
+    assert len(model.languages) == 4
+    rows = [(-1 - i, (a * 2000)[:n], None) for i, (a, n) in enumerate((a, n) for a in alien for n in (40, 400, 50000))]
+    strange = spark.createDataFrame(rows, docs.schema)
+    kept = {r.doc_id for r in L.keep_known(docs.unionByName(strange), "text", model).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
