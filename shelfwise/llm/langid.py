@@ -176,17 +176,31 @@ def draw_sample(
     """About ``per_class`` labelled rows of each language, drawn by the hash of column ``draw``.
 
     The rate of each language is ``per_class`` over its count, so the sample is bounded, the
-    same on every run and not led by one source. Only texts of 1 to
-    ``max_sample_chars`` characters are drawn, and the sample is the only thing collected.
+    same on every run and not led by one source. Texts of 1 to ``max_sample_chars`` characters are
+    drawn whole; a language with fewer than ``per_class`` of them is filled up with passages of that
+    length, each at a place the hash chooses in a longer text, so no language is left out. The
+    sample is the only thing collected.
     """
+    most = int(max_sample_chars)
     rows = df.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(draw).cast("string").alias("k"))
-    rows = rows.filter(f"l IS NOT NULL AND length(t) BETWEEN 1 AND {int(max_sample_chars)}")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = rows.filter("l IS NOT NULL AND length(t) > 0").withColumn("long", F.length("t") > most)
+    counts: dict[str, list[int]] = {}
+    for r in rows.groupBy("l", "long").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r.l, [0, 0])[r.long] = r.n
     if not counts:
         return []
     span = 1 << 31
-    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(span, -(-span * per_class // n)))])
-    drawn = rows.filter(F.pmod(F.xxhash64("k"), F.lit(span)) < limit[F.col("l")]).select("t", "l")
+
+    def limit(n: int, wanted: int) -> int:
+        return min(span, -(-span * max(wanted, 0) // max(n, 1)))
+
+    limits = F.create_map(
+        *[F.lit(x) for lang, (n, n_long) in counts.items() for x in (lang, F.array(F.lit(limit(n, per_class)), F.lit(limit(n_long, per_class - n))))]
+    )
+    mine = limits[F.col("l")]
+    drawn = rows.filter(F.pmod(F.xxhash64("k"), F.lit(span)) < F.when(F.col("long"), mine[1]).otherwise(mine[0]))
+    place = F.pmod(F.xxhash64("k", F.lit("place")), F.greatest(F.length("t") - most + 1, F.lit(1))).cast("int") + 1
+    drawn = drawn.select(F.when(F.col("long"), F.substring("t", place, F.lit(most))).otherwise(F.col("t")).alias("t"), "l")
     return sorted((r.t, r.l) for r in drawn.collect())
 
 

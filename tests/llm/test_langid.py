@@ -85,3 +85,19 @@ def test_texts_of_no_learned_language_go_at_every_length(spark):
     strange = spark.createDataFrame(rows, docs.schema)
     kept = {r.doc_id for r in L.keep_known(docs.unionByName(strange), "text", model).select("doc_id").collect()}
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rng = random.Random(8)
+    words = {"en": "the and of that with this from have".split(), "sv": "och att det som inte med för jag".split()}
+
+    def text(lang, n):
+        return " ".join(rng.choice(words[lang]) for _ in range(n))
+
+    rows = [(i, text("en", 60), "en") for i in range(40)] + [(100 + i, text("sv", 400), "sv") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = L.draw_sample(df, "text", "lang", "doc_id", per_class=5, max_sample_chars=500)
+    assert all(len(t) <= 500 for t, _ in sample) and 0 < sum(lang == "sv" for _, lang in sample) < 12
+    model = L.train(df, max_sample_chars=500)
+    assert model.languages == ["en", "sv"]
+    assert all(r.lang_pred == r.lang for r in L.predict(df, "doc_id", "text", model).join(df, "doc_id").collect())
