@@ -103,3 +103,45 @@ def test_neighbours_share_a_window():
     full, rest = P.pack_shard(docs, 240)
     same = sum(len({d % 4 for d, _, _ in s}) == 1 for s in full)
     assert same >= len(full) * 0.6
+
+
+def test_neighbours_are_ranked_by_every_term_of_the_seed():
+    rng = random.Random(8)
+    docs = [np.array([rng.randint(0, 400) for _ in range(150)], np.int32) for _ in range(60)]
+    index = P.Bm25(docs)
+    assert all(np.allclose(index.scores(d), index.scores(d, terms=10**6)) for d in range(60))
+    sets, df = [set(d.tolist()) for d in docs], Counter(t for d in docs for t in set(d.tolist()))
+    for q in range(60):
+        own = [t for t in sets[q] if df[t] > 1]
+        assert len(own) > 16 and all((s > 0) == any(t in sets[d] for t in own) for d, s in enumerate(index.scores(q)))
+        weight = {t: log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5)) for t in own}
+        tf = [Counter(d.tolist()) for d in docs]
+        want = [sum(weight[t] * tf[d][t] * (P.K1 + 1) / (tf[d][t] + P.K1) for t in own if t in tf[d]) for d in range(60)]
+        assert np.allclose(index.scores(q), want)  # equal lengths: the length norm is 1
+
+
+def test_statistics_are_those_of_the_whole_table(spark):
+    rng = random.Random(9)
+    docs = [[rng.randint(0, 50) for _ in range(rng.randint(1, 30))] for _ in range(90)]
+    table = spark.createDataFrame([(d,) for d in docs], "ids_ array<int>").repartition(7)
+    stats = P.corpus_stats(table)
+    df = Counter(t for d in docs for t in set(d))
+    assert stats.n == 90 and np.isclose(stats.mean, sum(map(len, docs)) / 90)
+    assert {t: n for t, n in enumerate(stats.df.tolist()) if n} == dict(df)
+    part = P.Bm25([np.array(d, np.int32) for d in docs[:10]], stats)
+    whole = P.Bm25([np.array(d, np.int32) for d in docs], stats)
+    plain = P.Bm25([np.array(d, np.int32) for d in docs])
+    assert np.allclose(whole.impact, plain.impact) and set(part.impact.round(9)) <= set(plain.impact.round(9))
+
+
+def test_neighbours_far_apart_in_the_table_share_a_window(spark):
+    rng = random.Random(10)
+    words = [[f"{chr(97 + k)}{rng.choice('aeiou')}{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{i}" for i in range(40)] for k in range(8)]
+    rows = [(i, " ".join(rng.sample(words[i % 8], 30))) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = P.pack(df, tokenizer_path(), window=1024, shard_docs=100).collect()
+    topics = {}
+    for r in out:
+        topics.setdefault(r.sequence_id, set()).add(r.doc_id % 8)
+    assert sum(len(t) == 1 for t in topics.values()) > 0.7 * len(topics)
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
