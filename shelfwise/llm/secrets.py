@@ -2,8 +2,8 @@
 
 Pattern matches are candidates. The corpus decides what they are worth: each candidate
 value is hashed and counted by distinct owners and distinct repositories. A value that
-several owners share is a copied example; a value that one owner holds and that looks
-random is reported as live.
+several owners share, or that stands in many repositories of few owners, is a copied example;
+any other value that looks random is reported as live.
 
 Spans come from two built-ins: ``split`` gives the text between matches and
 ``regexp_extract_all`` the matches, so a running sum of lengths gives every start and
@@ -46,6 +46,8 @@ ADDED = [
 HINT = {"access": "AKIA", "pem": "-----BEGIN ", "github": "gh", "slack": "xox", "google": "AIza", "stripe": "k_live_", "jwt": "eyJ", "url": "://"}
 #: Words that mark a value as made up for a manual.
 PLACEHOLDER = "(?i)example|sample|placeholder|changeme|change_me|your_|xxxx|dummy|0123456789|123456789|abcdefgh"
+#: A value in so many repositories is copied even if one owner holds them all.
+COPIED_REPOS = 10
 KINDS = [k for k, *_ in BASE + ADDED]
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
 
@@ -96,20 +98,19 @@ def looks_live(value: Column) -> Column:
     return (F.size(F.array_distinct(F.split(value, ""))) >= 6) & ~value.rlike(PLACEHOLDER)
 
 
-def ownership(spans: DataFrame, copied_owners: int = 3) -> DataFrame:
-    """``(hash, owners, repos, live)`` for each distinct secret of ``spans(hash, owner, repo, looks)``.
+def ownership(spans: DataFrame, copied_owners: int = 3, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """``(hash, owners, repos, copied, live)`` for each distinct secret of ``spans(hash, owner, repo, looks)``.
 
-    ``live``: fewer than ``copied_owners`` distinct owners and a random look. Null owners or
-    repositories count as one unnamed owner or repository.
+    ``copied``: ``copied_owners`` distinct owners or more, or ``copied_repos`` distinct repositories
+    or more (a repository of two owners counts for each). ``live``: not copied and a random look.
+    Null owners or repositories count as one unnamed owner or repository.
     """
     named = spans.select("hash", "looks", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"))
     each = named.groupBy("hash", "owner", "repo").agg(F.max("looks").alias("looks"))
     by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("looks").alias("looks"))
-    return by_owner.groupBy("hash").agg(
-        F.count("*").alias("owners"),
-        F.sum("repos").alias("repos"),
-        (F.max("looks") & (F.count("*") < copied_owners)).alias("live"),
-    )
+    counted = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("looks").alias("looks"))
+    copied = (F.col("owners") >= int(copied_owners)) | (F.col("repos") >= int(copied_repos))
+    return counted.select("hash", "owners", "repos", copied.alias("copied"), (F.col("looks") & ~copied).alias("live"))
 
 
 def _key(spans: Column) -> Column:
@@ -117,19 +118,21 @@ def _key(spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.sha2(F.to_json(spans), 256)).otherwise(F.lit(""))
 
 
-def _verdicts(rows: DataFrame, copied_owners: int) -> DataFrame:
-    """``(v_id, v_key, live, copied)`` for rows ``(id, owner, repo, key, spans)`` that have candidates.
+def _verdicts(rows: DataFrame, copied_owners: int, copied_repos: int) -> DataFrame:
+    """``(v_id, v_key, live, copied, counts)`` for rows ``(id, owner, repo, key, spans)`` that have candidates.
 
-    ``live`` and ``copied`` hold the secrets' hashes that the corpus shows to be so.
+    ``live`` and ``copied`` hold the secrets' hashes that the corpus shows to be so, ``counts``
+    the owners and repositories of each of them.
     """
     each = rows.filter("key <> ''").select("id", "key", "owner", "repo", F.explode("spans").alias("s"))
     each = each.select("id", "key", "owner", "repo", F.sha2("s.value", 256).alias("hash"), looks_live(F.col("s.value")).alias("looks"))
-    owned = shared_table(ownership(each, copied_owners).filter(f"live OR owners >= {int(copied_owners)}"))
-    owned = owned.select(F.col("hash").alias("hash_"), "live")
+    owned = shared_table(ownership(each, copied_owners, copied_repos).filter("live OR copied"))
+    owned = owned.select(F.col("hash").alias("hash_"), "owners", "repos", "live")
     mine = each.select("id", "key", "hash").join(owned, F.col("hash") == F.col("hash_"))
     return mine.groupBy(F.col("id").alias("v_id"), F.col("key").alias("v_key")).agg(
         F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("live"),
         F.collect_set(F.when(~F.col("live"), F.col("hash"))).alias("copied"),
+        F.collect_set(F.struct("hash", "owners", "repos")).alias("counts"),
     )
 
 
@@ -150,21 +153,23 @@ def scan_secrets(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     copied_owners: int = 3,
+    copied_repos: int = COPIED_REPOS,
 ) -> DataFrame:
-    """``(id_col, base, spans, live, copied)``, one row for each input row.
+    """``(id_col, base, spans, live, copied, counts)``, one row for each input row.
 
     ``base``: spans of the base kinds. ``spans``: these and the spans of the added kinds
     whose secret the corpus shows live. Each span has start, end (code points, end
     exclusive), kind and the secret's value; ``live`` and ``copied`` are the SHA-256 hashes of
-    the row's secrets that one owner holds or that ``copied_owners`` or more share. Null text
+    the row's secrets that few hold or that are copied (see :func:`ownership`), and ``counts``
+    their ``(hash, owners, repos)``. Null text
     counts as empty, repeated rows come back repeated, an empty table gives no rows.
     """
     rows = shared_table(_rows(df, id_col, text_col, owner_col, repo_col))
-    verdicts = _verdicts(rows, copied_owners)
-    none = F.array().cast("array<string>")
+    verdicts = _verdicts(rows, copied_owners, copied_repos)
+    none, no_counts = F.array().cast("array<string>"), F.array().cast(verdicts.schema["counts"].dataType)
     with_some = rows.filter("key <> ''").join(verdicts, F.col("id").eqNullSafe(F.col("v_id")) & (F.col("key") == F.col("v_key")), "left")
-    with_some = with_some.select("id", "spans", F.coalesce("live", none).alias("live"), F.coalesce("copied", none).alias("copied"))
-    all_rows = with_some.unionByName(rows.filter("key = ''").select("id", "spans", none.alias("live"), none.alias("copied")))
+    with_some = with_some.select("id", "spans", F.coalesce("live", none).alias("live"), F.coalesce("copied", none).alias("copied"), F.coalesce("counts", no_counts).alias("counts"))
+    all_rows = with_some.unionByName(rows.filter("key = ''").select("id", "spans", none.alias("live"), none.alias("copied"), no_counts.alias("counts")))
     is_base = lambda s: s["kind_no"] < len(BASE)
     return all_rows.select(
         F.col("id").alias(id_col),
@@ -172,6 +177,7 @@ def scan_secrets(
         F.filter("spans", lambda s: is_base(s) | F.array_contains(F.col("live"), F.sha2(s["value"], 256))).alias("spans"),
         "live",
         "copied",
+        "counts",
     )
 
 
@@ -188,6 +194,7 @@ def redact_secrets(
     repo_col: str = "doc_id",
     copied_owners: int = 3,
     mask: str = "[secret]",
+    copied_repos: int = COPIED_REPOS,
 ) -> DataFrame:
     """``df`` with every span of a live secret replaced by ``mask``; all rows and columns stay.
 
@@ -196,7 +203,7 @@ def redact_secrets(
     """
     maybe = may_hold(F.col(text_col))
     rows = shared_table(_rows(df.filter(maybe), id_col, text_col, owner_col, repo_col))
-    verdicts = shared_table(_verdicts(rows, copied_owners).filter("size(live) > 0"))
+    verdicts = shared_table(_verdicts(rows, copied_owners, copied_repos).filter("size(live) > 0"))
     packed = df.filter(maybe).select(F.struct(*[F.col(c) for c in df.columns]).alias("row"))
     packed = packed.withColumn("spans", candidates(F.col("row")[text_col]))
     packed = packed.withColumn("key", _key(F.col("spans")))

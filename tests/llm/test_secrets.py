@@ -74,3 +74,14 @@ def test_empty_table(spark):
 def test_main_path_has_no_python(spark):
     plan = S.scan_secrets(_corpus(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_value_in_many_repositories_of_one_owner_is_copied(spark):
+    pasted, mine = "ghp_a1B2c3D4e5F6g7H8i9J0k1L2", "ghp_z9Y8x7W6v5U4t3S2r1Q0p9O8"
+    rows = [(i, f"see {pasted} here", "hot") for i in range(40)] + [(100 + i, f"see {mine} here", "hot") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in S.scan_secrets(df).collect():
+        assert (len(r.spans), len(r.live), len(r.copied)) == ((0, 0, 1) if r.doc_id < 100 else (1, 1, 0))
+        assert [(c.owners, c.repos) for c in r.counts] == [(1, 40 if r.doc_id < 100 else 2)]
+    for r in S.redact_secrets(df).collect():
+        assert r.text == (f"see {pasted} here" if r.doc_id < 100 else "see [secret] here")
