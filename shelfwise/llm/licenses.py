@@ -96,12 +96,31 @@ class Scanner:
                 begin = last - n + 1 - at
                 lo, hi = max(0, begin - k - 1), min(len(words), begin + len(notice) + k + 1)
                 mine = out.setdefault(no, [])
-                if mine and lo <= mine[-1][1]:
-                    mine[-1][1] = max(mine[-1][1], hi)
+                mine.append([lo, hi])
+        for no, mine in out.items():
+            mine.sort()
+            joined = mine[:1]
+            for lo, hi in mine[1:]:
+                if lo <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], hi)
                 else:
-                    mine.append([lo, hi])
+                    joined.append([lo, hi])
+            out[no] = joined
         return out
 
+    @staticmethod
+    def matches(pattern, words: str, lo: int, hi: int) -> list:
+        """Matches of a stretch that do not overlap: its best one, then the same before and after it."""
+        found, todo = [], [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            m = pattern.search(words, lo, hi) if lo < hi else None
+            if m and m.end() > m.start():
+                found.append(m)
+                # the blank on either side bounds both words
+                todo += [(lo, m.start()), (m.end(), hi)]
+        return found
+
     def __call__(self, text: str | None):
         """``(n_words, [(label, word)], [(label, notice, start, end, word, edits)])`` of a whole text."""
         folded = (text or "").translate(_FOLD)
@@ -121,9 +140,7 @@ class Scanner:
         for no, stretches in self.windows(words).items():
             notice, label, k, pattern = self.notices[no]
             for lo, hi in stretches:
-                for m in pattern.finditer(words, lo, hi):
-                    if m.end() <= m.start():
-                        continue
+                for m in self.matches(pattern, words, lo, hi):
                     if spans is None:  # places in the text, needed only where a notice is found
                         spans = [w.span() for w in _WORD.finditer(folded)]
                     first = words.count(" ", 0, m.start()) - 1

@@ -114,3 +114,16 @@ def test_odd_rows(spark):
     assert L.scan_licences(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         L.scan_licences(df, out_col="n_words")
+
+
+def test_damaged_notices_side_by_side_are_all_found(scan):
+    good, bad = "gnu general public license", "gnu general publik license"
+    for order in ([bad, good], [good, bad], [bad, good, bad], [good, good, bad, bad]):
+        words = " ".join(["x", *order, "y"])
+        spans, at = set(), 2
+        for one in order:
+            spans.add((at, at + len(one)))
+            at += len(one) + 1
+        hits = [h for h in scan(words)[2] if h[1] == good]
+        assert {(h[2], h[3]) for h in hits} == spans
+        assert all(h[5] == distance(words[h[2] : h[3]], good) for h in hits)
