@@ -241,8 +241,8 @@ def search(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each usable query, itself (by id) left out.
 
-    Nearest first, ties to the smaller id; a shard that holds no more than ``2 * ef`` points is
-    scanned whole. Vectors of other lengths than the query's take no part. A repeated query row
+    Nearest first, ties to the smaller id; every shard, small or large, is searched through its
+    graph. Vectors of other lengths than the query's take no part. A repeated query row
     is searched once.
     """
     q = queries.filter(usable(vector_col) & F.col(id_col).isNotNull())
@@ -264,7 +264,7 @@ def search(
             graph = Graph.from_bytes(one["graph"])
             for query, v in zip(block["query_id"], block["v"]):
                 v = np.asarray(v, np.float64)
-                at = np.arange(len(vectors)) if len(vectors) <= 2 * ef else graph.search(v, k + 1, ef)
+                at = graph.search(v, k + 1, ef)
                 exact = np.einsum("ij,j->i", vectors[at], v)
                 near = np.lexsort((at, -exact))[: k + 1]  # points are numbered by their smallest id
                 rows = [(ids[starts[at[j]] : min(starts[at[j] + 1], starts[at[j]] + k + 1)], exact[j]) for j in near]

@@ -74,3 +74,16 @@ def test_odd_vectors(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in H.nearest(df, df.filter("vec_id % 20 = 0"), k=20).collect())
     assert got == [(0, 1, 7, 1.0), (0, 2, 7, 1.0), (0, 3, 20, 0.0), (20, 1, 7, 2.0), (20, 2, 7, 2.0), (20, 3, 0, 0.0)]
     assert H.nearest(df.limit(0), df, k=3).count() == 0 and H.nearest(df, df.limit(0), k=3).count() == 0
+
+
+def test_small_shards_are_searched_through_their_graph(spark):
+    x = np.random.default_rng(3).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = H.build_index(df, "vec_id", "embedding", least_shards=1)
+    row = index.first().asDict()
+    g = H.Graph.from_bytes(bytes(row["graph"]))
+    g.links = [np.full_like(h, -1) for h in g.links]  # a graph that leads nowhere finds its entry alone
+    bad = spark.createDataFrame([tuple(bytearray(g.to_bytes()) if n == "graph" else row[n] for n in index.columns)], index.schema)
+    query = df.filter("vec_id = 150")
+    assert H.search(bad, query, "vec_id", "embedding", k=20).count() <= 1
+    assert H.search(index, query, "vec_id", "embedding", k=20).count() == 20
