@@ -25,6 +25,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MAIN_ROLE = re.compile(r"""(?<![\w-])role\s*=\s*(?:"\s*main\s*"|'\s*main\s*'|main(?=[\s/]|\Z))""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -63,6 +64,7 @@ class _Page:
 
     def __init__(self, source: str, by_name: bool):
         self.tag, self.parent, self.out = ["body"], [-1], [False]
+        self.main: set[int] = set()  # elements of role main
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
         self._read(source, by_name)
 
@@ -184,6 +186,8 @@ class _Page:
                     header += 1  # an article's own header: its headings stay
                 else:
                     outside = self._outside(name, attrs, n_article > 0, by_name)
+            if attrs and _MAIN_ROLE.search(attrs):
+                self.main.add(len(tag))
             tag.append(name)
             parent.append(stack[-1])
             out.append(outside)
@@ -196,8 +200,9 @@ class _Page:
         flush()
 
 
-def _points(page: _Page) -> list[float]:
-    """Each container's points, discounted by link density; 0 for elements that hold no paragraph."""
+def _points(page: _Page) -> tuple[list[float], list[float]]:
+    """Each container's points, discounted by link density (0 for elements that hold no paragraph),
+    and the share of each element's text that is links (1 without text)."""
     n = len(page.tag)
     score, size, linked, named = [0.0] * n, [0] * n, [0] * n, [False] * n
     for owner, text, n_link in page.blocks:
@@ -216,7 +221,8 @@ def _points(page: _Page) -> list[float]:
     for i in range(n - 1, 0, -1):
         size[page.parent[i]] += size[i]
         linked[page.parent[i]] += linked[i]
-    return [p * (1 - linked[i] / size[i]) if named[i] and size[i] else 0.0 for i, p in enumerate(score)]
+    share = [a / b if b else 1.0 for a, b in zip(linked, size)]
+    return [p * (1 - share[i]) if named[i] and size[i] else 0.0 for i, p in enumerate(score)], share
 
 
 def main_blocks(source: str | None) -> list[str]:
@@ -229,17 +235,22 @@ def main_blocks(source: str | None) -> list[str]:
             break
     else:
         return []
-    points = _points(page)
+    points, share = _points(page)
     best = max(range(len(points)), key=points.__getitem__)
     up = best
     while up > 0:
-        if page.tag[up] == "article":
+        if page.tag[up] in ("article", "main") or up in page.main:
             best = up
         up = page.parent[up]
     roots = {best}
     if best:
         for i in range(1, len(points)):
-            if page.parent[i] == page.parent[best] and i != best and (points[i] >= max(10.0, 0.2 * points[best]) or page.tag[i] == "h1"):
+            if page.parent[i] == page.parent[best] and i != best and (
+                points[i] >= max(10.0, 0.2 * points[best])
+                or page.tag[i] == "h1"
+                or page.tag[best] == "section" == page.tag[i]
+                and share[i] < 0.25  # a short section of the same article
+            ):
                 roots.add(i)
         for owner, text, n_link in page.blocks:  # loose paragraphs beside the container
             if page.parent[owner] == page.parent[best] and page.tag[owner] in _PARAGRAPH and n_link < 0.25 * len(text) and len(text) > 80:

@@ -63,3 +63,14 @@ def test_given_pages_and_odd_rows(spark):
     assert H.extract_main_text(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         H.extract_main_text(df, out_col="text")
+
+
+SECTIONS = f"<section><h2>A</h2>{f'<p>{LONG}</p>' * 10}</section><section><h2>B</h2><p>Only a short remark stands here.</p></section>"
+
+
+@pytest.mark.parametrize("around", ["<main>{}</main>", "<div role=main><div>{}</div></div>", "<div role='main'>{}</div>", "<div>{}</div>", "{}"])
+def test_short_sections_without_an_article_tag_stay(around):
+    links = "<section>" + "<a href=/>more, links</a> " * 9 + "</section>"
+    body = "<nav>menu</nav>" + around.format(SECTIONS) + "<div class=ad>buy</div><footer>f</footer>"
+    assert H.main_blocks(page(body)) == ["A", *[LONG.strip()] * 10, "B", "Only a short remark stands here."]
+    assert H.main_blocks(page(f"<div>{SECTIONS}{links}</div>")) == ["A", *[LONG.strip()] * 10, "B", "Only a short remark stands here."]
