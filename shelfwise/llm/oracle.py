@@ -91,7 +91,59 @@ SELECT c.page_id, c.url, c.fetched_on, coalesce(g.n, 0) > 0 AS blocked, coalesce
 FROM c LEFT JOIN g USING (page_id)
 """
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, half a byte at a time; the table follows from the polynomial."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    halves = (
+        f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+        "lambda h: [strpos('0123456789ABCDEF', h[2])::BIGINT - 1, strpos('0123456789ABCDEF', h[1])::BIGINT - 1]))"
+    )
+    step = f"lambda c, x: xor(({table}::BIGINT[])[(xor(c, x) & 15) + 1], c >> 4)"
+    return f"xor(list_reduce({halves}, {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _words(text: str) -> str:
+    return (
+        f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+
+
+#: Every feature hashed once, buckets counted, gains joined back, one ordered window for the draw.
+RESAMPLING = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words('text')} AS w FROM documents),
+b AS (SELECT {_words('text')} AS w FROM benchmark),
+df AS (
+  SELECT rid, unnest(w) AS f FROM d
+  UNION ALL SELECT rid, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM d WHERE len(w) > 1),
+bf AS (
+  SELECT unnest(w) AS f FROM b
+  UNION ALL SELECT unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM b WHERE len(w) > 1),
+k AS MATERIALIZED (SELECT f, {_crc32('f')} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+db AS MATERIALIZED (SELECT rid, bucket, count(*) AS n FROM df JOIN k USING (f) GROUP BY ALL),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM db GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM bf JOIN k USING (f) GROUP BY bucket),
+a AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s_all, coalesce((SELECT sum(t) FROM t), 0) AS t_all),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.t, 0) + 1) * (s_all + 10000) / ((s.s + 1) * (t_all + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), a),
+m AS (SELECT rid, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM db JOIN g USING (bucket) GROUP BY rid),
+r AS (
+  SELECT d.rid, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+         ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+  FROM d LEFT JOIN m USING (rid)),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+o AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM x WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * (SELECT count(*) FROM o) // 100 THEN place END AS rank
+FROM x LEFT JOIN o USING (rid)
+"""
+
 ORACLE: dict[str, str] = {
     "op2_url_filters": URLS,
     "op10_secret_scans": SECRETS,
+    "op12_importance_resampling": RESAMPLING,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import hnsw, html_extract, langid, licenses, multi_index, packing, piece_fst, secrets, simhash, url_filter
+from shelfwise.llm import hnsw, html_extract, langid, licenses, multi_index, packing, pair_bpe, periodic_runs, piece_fst, resampling, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,6 +144,58 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("categories", F.array_join("categories", ","))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text that decoding them gives."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pair_bpe.encode_and_decode(docs, tokenizer_path("word_bpe_49k.json"), "text", "ids", "decoded")
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by their likeness to the texts of ``benchmark``."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, _table(spark, sf_dir, "benchmark"), "doc_id", "text", "text", run=2, buckets=10_000, least_words=20, percent=25, seed=7)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; from a word on, the texts of a tenth of the ids repeat a few of their own words (the query's contract)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, (g % F.col("n")).cast("int")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    # the original words after the first p are never read again
+    made = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("w"), F.when(i < a, i).otherwise(a + (i - a) % p)))
+    return rows.select("doc_id", F.when(a.isNotNull(), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs, "text", "found", least=6, powers=4)
+    runs = F.col("found.runs")
+    # the greatest length, then the smallest start, then the smallest period
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -F.col("best.minus")
+    line = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filters": op2_url_filters,
@@ -155,4 +207,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_bpe": op11_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
 }
