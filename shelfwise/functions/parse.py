@@ -128,25 +128,57 @@ def number_of(col: Column | str) -> Column:
 
 
 def to_number(col: Column | str, default: float | None = None) -> Column:
-    """``pd.to_numeric(errors='coerce')`` with an optional fill value."""
+    """``pd.to_numeric(errors='coerce')`` with an optional fill value (P2); the text ``nan`` is a missing value."""
     v = number_of(col)
+    v = F.when(~F.isnan(v), v)
     return F.coalesce(v, F.lit(float(default))) if default is not None else v
 
 
-# Date spellings of the sheets, tried in this order; of the two slash orders month first wins.
+# Date spellings of the sheets that read alike in every column.
 DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
-    "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d.M.yyyy",
+    "yyyy-MM-dd[[' ']['T']HH:mm[:ss[.SSSSSS]]]", "yyyy/M/d[ H:mm[:ss]]", "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "MMM d, yyyy",
+    "MMMM d, yyyy", "d MMMM yyyy", "d.M.yyyy[ H:mm[:ss]]",
 ]
+#: The two orders of day and month in numbers; which one holds is a property of the column.
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]"
+#: Years a sheet can mean; dates beyond are junk.
+FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: A date as spreadsheets store it: days since DAY_ZERO, the time of day as a fraction.
+SERIAL_TEXT = r"^[0-9]{5}(\.[0-9]+)?$"
+DAY_ZERO = "1899-12-30"
 
 
-def to_ts(col: Column | str) -> Column:
-    """``pd.to_datetime(errors='coerce')`` (P3): junk -> NULL instead of an error.
-    The result is a wall-clock ``timestamp_ntz`` (no session time-zone shift)."""
+def _read(text: Column, fmt: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+
+
+def _in_reach(ts: Column) -> Column:
+    return F.when(F.year(ts).between(FIRST_YEAR, LAST_YEAR), ts)
+
+
+def _serial(text: Column) -> Column:
+    n = F.when(text.rlike(SERIAL_TEXT), text.cast("double"))
+    days, seconds = F.floor(n).cast("int"), F.round((n - F.floor(n)) * 86400)
+    return F.lit(DAY_ZERO).cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)
+
+
+def numeric_date(col: Column | str, day_first: bool) -> Column:
+    """A date in numbers, parted by slashes or dashes, read in one of the two orders; NULL if it is none."""
+    return _in_reach(_read(F.translate(py_strip(_c(col).cast("string")), "-", "/"), DAY_FIRST if day_first else MONTH_FIRST))
+
+
+def to_ts(col: Column | str, day_first: bool | None = None) -> Column:
+    """``pd.to_datetime(errors='coerce')`` (P3): junk, and years no sheet means, -> NULL instead of an error.
+
+    Five-digit numbers are spreadsheet serial days. ``day_first`` is the order of day and month
+    in numbers, which ``operators.clean.date_orders`` finds for a column; without it every value is
+    read by itself, month first where both orders fit. The result is a wall-clock ``timestamp_ntz``.
+    """
     c = py_strip(_c(col).cast("string"))
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS[:2]] + [F.try_to_timestamp(c)]
-    tries += [F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS[2:]]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    orders = [False, True] if day_first is None else [day_first]
+    tries = [_in_reach(_read(c, f)) for f in DATE_FORMATS[:1]] + [numeric_date(c, o) for o in orders]
+    tries += [_in_reach(_serial(c))] + [_in_reach(_read(c, f)) for f in DATE_FORMATS[1:]]
+    return F.coalesce(*tries)
 
 
 def norm_key(col: Column | str) -> Column:

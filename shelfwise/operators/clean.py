@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from shelfwise.functions.parse import (
     find_repeat_column,
     number_of,
+    numeric_date,
     parse_kmb,
     py_strip,
     repeat_flag_expr,
@@ -60,10 +61,7 @@ def clipped_profit_expr(df: DataFrame) -> Column:
     sp = F.col("sell_price") if "sell_price" in df.columns else (F.col("sell") if "sell" in df.columns else F.lit(0.0))
     bp = F.col("buying_price") if "buying_price" in df.columns else (F.col("cost") if "cost" in df.columns else F.lit(0.0))
     unit = F.col("unit") if "unit" in df.columns else F.lit(1.0)
-    sp = F.coalesce(sp.try_cast("double"), F.lit(0.0))
-    bp = F.coalesce(bp.try_cast("double"), F.lit(0.0))
-    unit = F.coalesce(unit.try_cast("double"), F.lit(1.0))
-    return F.greatest((sp - bp) * unit, F.lit(0.0))
+    return F.greatest((to_number(sp, 0.0) - to_number(bp, 0.0)) * to_number(unit, 1.0), F.lit(0.0))
 
 
 def with_repeat_flag(df: DataFrame, bangla: bool = True, name: str = FLAG) -> DataFrame:
@@ -74,6 +72,24 @@ def with_repeat_flag(df: DataFrame, bangla: bool = True, name: str = FLAG) -> Da
     return df.withColumn(name, repeat_flag_expr(col, bangla))
 
 
+def date_orders(df: DataFrame, cols: list[str]) -> dict[str, bool]:
+    """Whether the numeric dates of each text column put the day first.
+
+    One aggregate counts, for every column, the values that each order can read; the order that
+    reads more holds for the whole column (month first if both read as many).
+    """
+    reads = [F.count(numeric_date(f"`{c}`", o)).alias(f"n{i}_{int(o)}") for i, c in enumerate(cols) for o in (False, True)]
+    n = df.agg(*reads).first() if cols else None
+    return {c: n[f"n{i}_1"] > n[f"n{i}_0"] for i, c in enumerate(cols)}
+
+
+def with_dates(df: DataFrame, cols: list[str], day_first: bool | None = None) -> DataFrame:
+    """Text columns as timestamps, each read in one order of day and month: its own, found by
+    :func:`date_orders`, or ``day_first``. A value that only the other order can read is NULL."""
+    orders = date_orders(df, cols) if day_first is None else dict.fromkeys(cols, day_first)
+    return df.withColumns({c: to_ts(f"`{c}`", orders[c]) for c in cols})
+
+
 def date_parts(df: DataFrame, date_col: str = "order_date", default_year: int | None = None) -> DataFrame:
     """Year (falling back to an existing year column, then a constant) and month."""
     if date_col not in df.columns:
@@ -96,13 +112,13 @@ def fill_zero(df: DataFrame) -> DataFrame:
 
 
 def fill_median(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """Numeric NULLs -> the column's exact median."""
+    """Numeric NULLs -> the column's exact median, which need not be whole: the columns become doubles."""
     cols = cols or numeric_cols(df)
     med = exact_medians(df, cols)
     out = df
     for c in cols:
         if med[c] is not None:
-            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType)))
+            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(float(med[c]))))
     return out, med
 
 
@@ -278,13 +294,14 @@ def one_hot(df: DataFrame, cols: list[str], drop_first: bool = True) -> DataFram
     return out
 
 
-def prepare_sales(df: DataFrame, default_year: int | None = None) -> DataFrame:
+def prepare_sales(df: DataFrame, default_year: int | None = None, day_first: bool | None = None) -> DataFrame:
     """The dashboard's load step on a raw sales sheet: coerce the date and the
     number columns, profit, repeated-customer flag, age, year/month, and fill
-    string NULLs with 'Unknown'."""
+    string NULLs with 'Unknown'. A text date column is read in the order of day and month that
+    one pass over it finds, or in ``day_first`` (a stream, which cannot be looked over first, needs it)."""
     out = df
     if "order_date" in out.columns and not isinstance(out.schema["order_date"].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        out = out.withColumn("order_date", to_ts("order_date"))
+        out = with_dates(out, ["order_date"], bool(day_first) if out.isStreaming else day_first)
     for c in NUMERIC_SALES:
         if c in out.columns:
             out = out.withColumn(c, parse_kmb(c, out))

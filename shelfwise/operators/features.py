@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.clean import numeric_cols, one_hot
-from shelfwise.operators.rank import rank_within
 from shelfwise.operators.stats import exact_medians, order_statistics
+from shelfwise.session import shared_table
 
 PRIME = 2147483647  # 2^31 - 1
 
@@ -79,14 +79,77 @@ def split(df: DataFrame, key: list[str], test_frac: float = 0.2, seed: int = 42,
     return _first_by_hash(df.withColumn("_h", split_order(key, seed, sql_hash)), key, math.ceil(test_frac * n), name)
 
 
+def _hash_digits(h: Column, bits: int) -> list[Column]:
+    """Growing prefixes of the hash in its own order, 16 bits at a time: equal prefixes sort by the next one."""
+    if bits == 64:
+        h = h.bitwiseXOR(F.lit(-(1 << 63)))  # signed order as unsigned
+    return [F.shiftrightunsigned(h, s) for s in range((bits - 1) // 16 * 16, -1, -16)]
+
+
+def class_cuts(df: DataFrame, label: str, h: str, shares: list[float], bits: int = 64) -> DataFrame:
+    """``(label_, share_, cut_, quota_, ties_)`` for each class and number of a share: the rows with a hash below ``cut_``
+    and ``quota_`` of the ``ties_`` rows at it are the first ceil(share * class size) in hash order.
+
+    A grouped radix selection: counts by (class, prefix) show, for all classes and shares together, which
+    prefix holds a cut; only rows with it are counted by the next 16 bits. Counts are summed in the
+    tasks first, so a class of any size is no burden, and only labels and hashes move.
+    """
+    rows = df.select(F.col(label).alias("label_"), F.col(h).alias("h_"))
+    state = None
+    for digit in _hash_digits(F.col("h_"), bits):
+        counts = rows.groupBy("label_", digit.alias("p_")).agg(F.count(F.lit(1)).alias("n_"), F.min("h_").alias("least_"))
+        counts = counts.withColumn("before_", F.shiftrightunsigned("p_", 16) if state is not None else F.lit(0).cast("long"))
+        group = Window.partitionBy("label_", "before_")
+        upto = F.sum("n_").over(group.orderBy("p_").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = counts.withColumn("upto_", upto)
+        if state is None:
+            wanted = F.array(*[F.struct(F.lit(i).alias("share_"), F.ceil(F.lit(x) * F.col("all_")).alias("need_")) for i, x in enumerate(shares)])
+            counts = counts.withColumn("all_", F.sum("n_").over(group)).select("*", F.inline(wanted))
+        else:
+            of = state.select(F.col("label_").alias("of_"), F.col("p_").alias("prefix_"), "share_", "need_")
+            counts = counts.join(of, F.col("label_").eqNullSafe(F.col("of_")) & (F.col("before_") == F.col("prefix_")))
+        here = (F.col("upto_") >= F.col("need_")) & (F.col("upto_") - F.col("n_") < F.col("need_"))
+        held = counts.where(here).select("label_", "share_", "p_", "n_", "least_", (F.col("need_") - F.col("upto_") + F.col("n_")).alias("need_"))
+        state = shared_table(held)
+        mine = state.select(F.col("label_").alias("of_"), F.col("p_").alias("prefix_"))
+        inside = rows.join(mine, F.col("label_").eqNullSafe(F.col("of_")) & (digit == F.col("prefix_")), "left_semi")
+        rows = shared_table(inside)  # from the second round on a 65,536th of the rows, or those that share a hash
+    return state.select("label_", "share_", F.col("least_").alias("cut_"), F.col("need_").alias("quota_"), F.col("n_").alias("ties_"))
+
+
+def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int = 5, seed: int = 42, sql_hash: bool = False,
+                     name: str = "fold") -> DataFrame:
+    """``df`` with a fold number: each class dealt to ``folds`` parts of equal size (to a row) in hash order, without a
+    sort; copies of one key share a fold."""
+    hashed = df.withColumn("_h", split_order(key, seed, sql_hash))
+    cuts = class_cuts(hashed, label, "_h", [i / folds for i in range(1, folds)], 31 if sql_hash else 64)
+    ends = shared_table(cuts.groupBy("label_").agg(F.array_sort(F.collect_list("cut_")).alias("ends_")))
+    met = hashed.join(ends, F.col(label).eqNullSafe(F.col("label_")), "left")
+    fold = F.size(F.filter(F.coalesce("ends_", F.array().cast("array<long>")), lambda e: e < F.col("_h")))
+    return met.withColumn(name, fold).drop("_h", "label_", "ends_")
+
+
 def stratified_split(df: DataFrame, label: str, key: list[str], test_frac: float = 0.2, seed: int = 42,
                      sql_hash: bool = False, name: str = "is_test") -> DataFrame:
     """M2: per class, exactly ceil(test_frac * class size) rows flagged as test: the first ones in
-    (key hash, key) order. One ranking for all classes, whatever their number; a missing
-    label is a class of its own."""
+    (key hash, key) order. A missing label is a class of its own.
+
+    The cuts of all classes are selected together (:func:`class_cuts`), whatever their number; the input is
+    not sorted or copied, its rows meet their class's cut in a join that the planner broadcasts
+    while the cuts are small. Only rows that tie on a cut and do not all fit are ranked by key.
+    """
     hashed = df.withColumn("_h", split_order(key, seed, sql_hash))
-    ranked = rank_within(hashed, [label], ["_h", *key], name="_rank", size="_size")
-    return ranked.withColumn(name, (F.col("_rank") <= F.ceil(F.lit(test_frac) * F.col("_size"))).cast("int")).drop("_h", "_rank", "_size")
+    cuts = class_cuts(hashed, label, "_h", [test_frac], 31 if sql_hash else 64).drop("share_")
+    met = hashed.join(cuts, F.col(label).eqNullSafe(F.col("label_")), "left")
+    short = (F.col("_h") == F.col("cut_")) & (F.col("quota_") < F.col("ties_"))
+    flag = F.coalesce((F.col("_h") <= F.col("cut_")).cast("int"), F.lit(0))
+    drop = ["_h", "label_", "cut_", "quota_", "ties_"]
+    if cuts.where("quota_ < ties_").isEmpty():
+        return met.withColumn(name, flag).drop(*drop)
+    tied = met.where(short)
+    order = Window.partitionBy("label_", "_h").orderBy(*[F.col(k) for k in key])
+    tied = tied.withColumn(name, (F.row_number().over(order) <= F.col("quota_")).cast("int"))
+    return met.where(~F.coalesce(short, F.lit(False))).withColumn(name, flag).drop(*drop).unionByName(tied.drop(*drop))
 
 
 def feature_medians(df: DataFrame, cols: list[str]) -> DataFrame:

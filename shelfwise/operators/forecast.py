@@ -15,6 +15,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.session import shared_table
+
 GRID = [round(0.05 + 0.1 * i, 2) for i in range(10)]  # 0.05 .. 0.95
 FINE_STEP, FINE_SPAN = 0.01, 5  # second search: best coarse value +- 5 steps of 0.01
 
@@ -25,27 +27,19 @@ def _series_arrays(series: DataFrame, value: str, order: str, keys: list[str], m
     return packed.where(F.size("ys") >= min_len)
 
 
-def _fold(ys: Column, m: int, a: Column, b: Column, g: Column, a1: Column, b1: Column, g1: Column) -> Column:
-    """Additive level/trend/season recursion from a first-season start.
+def _walk(ys: Column, m: int, first: int, start: Column, weights: tuple[Column, ...], keep_fits: bool) -> Column:
+    """Additive level/trend/season recursion over ``ys`` from its element ``first`` on.
 
     level_t  = a (y_t - s_{t-m}) + (1-a)(l_{t-1} + b_{t-1})
     trend_t  = b (l_t - l_{t-1}) + (1-b) b_{t-1}
     season_t = g (y_t - l_{t-1} - b_{t-1}) + (1-g) s_{t-m}
     fitted_t = l_{t-1} + b_{t-1} + s_{t-m}
-    Start: l = mean of season 1, b = (mean of season 2 - mean of season 1) / m,
-    s_p = y_p - l for the first season.
+    ``start``: struct (l, b, s); ``keep_fits``: the one-step values stand in the state (a search needs the
+    squared error alone, and a list that grows with every step would make it quadratic).
     """
-    first = F.slice(ys, 1, m)
-    second = F.slice(ys, m + 1, m)
-    s1 = F.aggregate(first, F.lit(0.0), lambda acc, v: acc + v)
-    s2 = F.aggregate(second, F.lit(0.0), lambda acc, v: acc + v)
-    l0 = s1 / m
-    b0 = (s2 - s1) / m / m
-    seas0 = F.transform(first, lambda v: v - l0)
-    init = F.struct(
-        l0.alias("l"), b0.alias("b"), seas0.alias("s"), F.lit(0.0).alias("sse"),
-        F.array().cast("array<double>").alias("fits"),
-    )
+    a, b, g, a1, b1, g1 = weights
+    fields = [start["l"].alias("l"), start["b"].alias("b"), start["s"].alias("s"), F.lit(0.0).alias("sse")]
+    fields += [F.array().cast("array<double>").alias("fits")] if keep_fits else []
 
     def step(acc: Column, t: Column) -> Column:
         y = F.element_at(ys, t + 1)
@@ -57,13 +51,23 @@ def _fold(ys: Column, m: int, a: Column, b: Column, g: Column, a1: Column, b1: C
         s_val = g * (y - acc["l"] - acc["b"]) + g1 * s_old
         s_new = F.transform(acc["s"], lambda v, i: F.when(i == ph, s_val).otherwise(v))
         err = y - fit
-        return F.struct(
-            l_new.alias("l"), b_new.alias("b"), s_new.alias("s"), (acc["sse"] + err * err).alias("sse"),
-            F.concat(acc["fits"], F.array(fit)).alias("fits"),
-        )
+        out = [l_new.alias("l"), b_new.alias("b"), s_new.alias("s"), (acc["sse"] + err * err).alias("sse")]
+        return F.struct(*out, *([F.concat(acc["fits"], F.array(fit)).alias("fits")] if keep_fits else []))
 
-    steps = F.sequence(F.lit(m), F.size(ys) - 1)
-    return F.aggregate(steps, init, step)
+    return F.aggregate(F.sequence(F.lit(first), F.size(ys) - 1), F.struct(*fields), step)
+
+
+def _fold(ys: Column, m: int, a: Column, b: Column, g: Column, a1: Column, b1: Column, g1: Column, keep_fits: bool = True) -> Column:
+    """:func:`_walk` from a first-season start: l = mean of season 1, b = (mean of season 2 - mean of
+    season 1) / m, s_p = y_p - l for the first season."""
+    first = F.slice(ys, 1, m)
+    second = F.slice(ys, m + 1, m)
+    s1 = F.aggregate(first, F.lit(0.0), lambda acc, v: acc + v)
+    s2 = F.aggregate(second, F.lit(0.0), lambda acc, v: acc + v)
+    l0 = s1 / m
+    b0 = (s2 - s1) / m / m
+    start = F.struct(l0.alias("l"), b0.alias("b"), F.transform(first, lambda v: v - l0).alias("s"))
+    return _walk(ys, m, m, start, (a, b, g, a1, b1, g1), keep_fits)
 
 
 def _forecast(state: Column, n: Column, m: int, h: int) -> Column:
@@ -73,14 +77,15 @@ def _forecast(state: Column, n: Column, m: int, h: int) -> Column:
     )
 
 
-def _to_rows(packed: DataFrame, keys: list[str], order: str, m: int, h: int, freq_months: int) -> DataFrame:
-    n = F.size("ys")
+def _to_rows(packed: DataFrame, keys: list[str], order: str, m: int, h: int, freq_months: int, first: int | None = None) -> DataFrame:
+    """Fitted rows from element ``first`` on (the second season, if not said), then ``h`` forecasts."""
+    n, first = F.size("ys"), m if first is None else first
     fitted = packed.select(
         *keys, "last", "ys", "state", F.posexplode(F.col("state.fits")).alias("i", "fitted")
     ).select(
         *keys,
-        F.last_day(F.add_months(F.col("last"), (F.col("i") + m + 1 - F.size("ys")) * freq_months)).alias(order),
-        F.element_at("ys", F.col("i") + m + 1).alias("actual"),
+        F.last_day(F.add_months(F.col("last"), (F.col("i") + first + 1 - F.size("ys")) * freq_months)).alias(order),
+        F.element_at("ys", F.col("i") + first + 1).alias("actual"),
         "fitted",
     )
     future = packed.select(*keys, "last", F.posexplode(_forecast(F.col("state"), n, m, h)).alias("k", "fitted")).select(
@@ -92,6 +97,36 @@ def _to_rows(packed: DataFrame, keys: list[str], order: str, m: int, h: int, fre
     return fitted.unionByName(future)
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def holt_winters_fitted(series: DataFrame, value: str, order: str = "period_end", keys: list[str] | None = None,
+                        m: int = 12, h: int = 6, freq_months: int = 1) -> tuple[DataFrame, DataFrame]:
+    """T3 as an optimiser fits it: smoothing weights by simplex search, start level, trend and season by
+    least squares, all against the squared one-step errors of the whole series.
+
+    Returns (rows: keys, period, actual, fitted - forecasts have NULL actual; per series
+    ``alpha, beta, gamma, level, trend, season, sse``). Series with fewer than two seasons are left out.
+    """
+    from shelfwise.operators.smoothing import fitted_parameters
+
+    if not keys:
+        from shelfwise.operators.series import require_history
+
+        series = require_history(series, 2 * m, "Holt-Winters").withColumn("_series", F.lit(1))
+        rows, chosen = holt_winters_fitted(series, value, order, ["_series"], m, h, freq_months)
+        return rows.drop("_series"), chosen.drop("_series")
+    packed = _series_arrays(series, value, order, keys, 2 * m)
+    fitted = shared_table(fitted_parameters(packed, keys, m))  # the search is not run again for each output
+    names = ["alpha", "beta", "gamma"]
+    weights = tuple(F.col(c) for c in names) + tuple(1 - F.col(c) for c in names)
+    start = F.struct(F.col("level").alias("l"), F.col("trend").alias("b"), F.col("season").alias("s"))
+    walked = fitted.withColumn("state", _walk(F.col("ys"), m, 0, start, weights, keep_fits=True))
+    return _to_rows(walked, keys, order, m, h, freq_months, first=0), fitted.select(*keys, *names, "level", "trend", "season", "sse")
+
+
 def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys: list[str] | None = None,
                  m: int = 12, h: int = 6, params: tuple[float, float, float] | None = None,
                  grid: list[float] | None = None, freq_months: int = 1, refine: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -124,9 +159,10 @@ def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys:
         triples = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.lit(z).alias("g"))
                             for x, y, z in itertools.product(grid, grid, grid)])
         trials = packed.select(*keys, "ys", "last", F.explode(triples).alias("p"))
+        trials = trials.repartition(_tasks(packed), *keys, "p")  # one long series uses all tasks
         p = F.col("p")
         trials = trials.withColumn(
-            "sse", _fold(F.col("ys"), m, p["a"], p["b"], p["g"], 1 - p["a"], 1 - p["b"], 1 - p["g"])["sse"]
+            "sse", _fold(F.col("ys"), m, p["a"], p["b"], p["g"], 1 - p["a"], 1 - p["b"], 1 - p["g"], keep_fits=False)["sse"]
         )
         # the series rides along in min_by: no join back to the input
         pick = F.min_by(F.struct("p", "ys", "last"), "sse")
@@ -141,9 +177,10 @@ def holt_winters(series: DataFrame, value: str, order: str = "period_end", keys:
             fine = best.select(*keys, "ys", "last", "p", F.explode(around(F.col("p.a"))).alias("a"))
             fine = fine.select(*keys, "ys", "last", "p", "a", F.explode(around(F.col("p.b"))).alias("b"))
             fine = fine.select(*keys, "ys", "last", "a", "b", F.explode(around(F.col("p.g"))).alias("g"))
+            fine = fine.repartition(_tasks(packed), *keys, "a", "b", "g")
             fine = fine.withColumn("p", F.struct("a", "b", "g")).withColumn(
                 "sse", _fold(F.col("ys"), m, F.col("a"), F.col("b"), F.col("g"), 1 - F.col("a"), 1 - F.col("b"),
-                             1 - F.col("g"))["sse"])
+                             1 - F.col("g"), keep_fits=False)["sse"])
             best = fine.groupBy(*keys).agg(pick.alias("_w"), F.min("sse").alias("sse"))
             best = best.select(*keys, "_w.p", "_w.ys", "_w.last", "sse")
         chosen = best.select(*keys, F.col("p.a").alias("alpha"), F.col("p.b").alias("beta"), F.col("p.g").alias("gamma"), "sse")

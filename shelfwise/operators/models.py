@@ -74,12 +74,23 @@ def classifiers(features: str = "features", label: str = "label", trees: int = 1
     }
 
 
-def fit_all(estimators: dict, train: DataFrame) -> tuple[dict[str, Model], dict[str, float]]:
-    """Fit each estimator; returns the models and their fit times (seconds)."""
+def penalised(estimator, rows: int, c: float = 1.0):
+    """The linear classifiers with the L2 penalty of ``|w|^2 / 2 + c * sum(loss)`` on the features as they are.
+
+    MLlib divides the losses by the row count, so its penalty is ``1 / (c * rows)``; other estimators are returned as
+    they are. (MLlib's support vector machine takes the hinge loss, not its square.)"""
+    if not isinstance(estimator, (LogisticRegression, LinearSVC)):
+        return estimator
+    return estimator.copy({estimator.regParam: 1.0 / (c * max(rows, 1)), estimator.standardization: False})
+
+
+def fit_all(estimators: dict, train: DataFrame, c: float = 1.0) -> tuple[dict[str, Model], dict[str, float]]:
+    """Fit each estimator, the linear classifiers with their penalty; returns the models and their fit times (seconds)."""
     models, times = {}, {}
+    rows = train.count()
     for name, est in estimators.items():
         t0 = time.time()
-        models[name] = est.fit(train)
+        models[name] = penalised(est, rows, c).fit(train)
         times[name] = time.time() - t0
     return models, times
 
@@ -152,14 +163,15 @@ def ridge_classifier(train: DataFrame, features: str = "features", label: str =
     return RidgeClassifierModel(lr.fit(target), features)
 
 
-def text_classifiers(features: str = "features", label: str = "label", trees: int = 100) -> dict:
+def text_classifiers(features: str = "features", label: str = "label", trees: int = 100, forest_depth: int = 12,
+                     boost_depth: int = 6, step: float = 0.3) -> dict:
     """M7: linear SVM, logistic regression, random forest, boosted trees."""
     common = {"featuresCol": features, "labelCol": label}
     return {
         "LinearSVC": LinearSVC(**common),
         "LogisticRegression": LogisticRegression(maxIter=500, **common),
-        "RandomForest": RandomForestClassifier(numTrees=trees, seed=SEED, **common),
-        "GradientBoosting": GBTClassifier(maxIter=trees, seed=SEED, **common),
+        "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=SEED, **common),
+        "GradientBoosting": GBTClassifier(maxIter=trees, maxDepth=boost_depth, stepSize=step, seed=SEED, **common),
     }
 
 
@@ -208,36 +220,56 @@ def score(model: Model, df: DataFrame, positive_label: str = LIKELY, negative_la
     )
 
 
+def learning_curves(df: DataFrame, estimators: dict, label: str = "label", id_col: str = "id", folds: int = 5,
+                    sizes: tuple[float, ...] = (0.1, 0.325, 0.55, 0.775, 1.0), seed: int = SEED, at_once: int = 4) -> DataFrame:
+    """(model, train_size, train_accuracy, validation_accuracy): means over ``folds`` stratified folds at growing
+    training sizes, for each of ``estimators``.
+
+    Fold and size are two columns of one stored set: a hash cuts each class into folds, a second one gives
+    the place from which on a row belongs to the training part. Fits do not wait for one another: ``at_once``
+    driver threads submit them, each in a scheduler pool of its own (pools share the cores if the
+    cluster schedules fairly). A training part with one class is left out.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from shelfwise.operators.features import stratified_folds
+
+    spark = df.sparkSession
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0
+    data = right_size(stratified_folds(df, label, [id_col], folds, seed, name="_fold").withColumn("_u", place))
+
+    def accuracy(model, rows: DataFrame) -> float:
+        judged = model.transform(rows).withColumn("prediction", F.col("prediction").cast("int"))
+        return classification_metrics(judged, label, "prediction").first()["accuracy"]
+
+    def run(job: tuple[str, float, int]):
+        name, share, fold = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"curve-{name}-{fold}")
+        train = data.where((F.col("_fold") != fold) & (F.col("_u") < F.lit(share if share < 1.0 else 2.0)))
+        counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
+        if len(counts) < 2:
+            return None
+        rows = sum(counts.values())
+        model = penalised(estimators[name], rows).fit(train)
+        return rows, accuracy(model, train), accuracy(model, data.where(F.col("_fold") == fold))
+
+    jobs = [(name, share, fold) for name in estimators for share in sizes for fold in range(folds)]
+    try:
+        with ThreadPoolExecutor(max_workers=max(at_once, 1)) as pool:
+            results = dict(zip(jobs, pool.map(run, jobs)))
+    finally:
+        data.unpersist()
+    out = []
+    for name in estimators:
+        for share in sizes:
+            got = [r for f in range(folds) if (r := results[(name, share, f)])]
+            if got:
+                n, own, other = (sum(x) / len(got) for x in zip(*got))
+                out.append((name, int(n), float(own), float(other)))
+    return spark.createDataFrame(out, "model string, train_size int, train_accuracy double, validation_accuracy double")
+
+
 def learning_curve(df: DataFrame, estimator, label: str = "label", id_col: str = "id", folds: int = 5,
-                   sizes: tuple[float, ...] = (0.1, 0.325, 0.55, 0.775, 1.0), seed: int = SEED) -> DataFrame:
-    """Mean train and validation accuracy over ``folds`` stratified folds at
-    growing training sizes. Fold = rank inside the class mod ``folds`` (by hash);
-    each size takes the first share of the training part in hash order."""
-    from shelfwise.operators.features import split_order
-    from shelfwise.operators.rank import rank_within
-
-    h = split_order([id_col], seed)
-    ranked = rank_within(df.withColumn("_h", h), [label], [F.col("_h"), F.col(id_col)], name="_r")
-    ranked = ranked.withColumn("_fold", F.pmod(F.col("_r") - 1, F.lit(folds)))
-    # a second, independent hash decides the growing training subsets
-    ranked = ranked.withColumn("_u", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0)
-    ranked = right_size(ranked)
-    rows = []
-    for frac in sizes:
-        tr_acc, va_acc, n_used = [], [], []
-        for f in range(folds):
-            sub = ranked.where((F.col("_fold") != f) & (F.col("_u") < F.lit(frac) if frac < 1.0 else F.lit(True)))
-            val = ranked.where(F.col("_fold") == f)
-            counts = {r[label]: r["count"] for r in sub.groupBy(label).count().collect()}
-            if len(counts) < 2:
-                continue
-            m = estimator.fit(sub)
-            acc = lambda d: classification_metrics(m.transform(d).withColumn("prediction", F.col("prediction").cast("int")),
-                                                   label, "prediction").first()["accuracy"]
-            tr_acc.append(acc(sub))
-            va_acc.append(acc(val))
-            n_used.append(sum(counts.values()))
-        if n_used:
-            rows.append((int(sum(n_used) / len(n_used)), float(sum(tr_acc) / len(tr_acc)), float(sum(va_acc) / len(va_acc))))
-    ranked.unpersist()
-    return df.sparkSession.createDataFrame(rows, "train_size int, train_accuracy double, validation_accuracy double")
+                   sizes: tuple[float, ...] = (0.1, 0.325, 0.55, 0.775, 1.0), seed: int = SEED, at_once: int = 4) -> DataFrame:
+    """:func:`learning_curves` of one estimator, without its name."""
+    return learning_curves(df, {"model": estimator}, label, id_col, folds, sizes, seed, at_once).drop("model")

@@ -1,11 +1,16 @@
-"""Exact k-nearest neighbours (M6) by pivot partitioning.
-
-Training rows are dealt to the nearest of a bounded number of pivots; each cell's count and
-radius (one row for each pivot) bound the k-th distance of every query by the triangle
-inequality, and a query is sent only to cells that can hold a neighbour. Cells and queries
-meet in blocks of bounded size, each block keeps the k nearest of its rows for each of its
-queries, and a ``row_number() <= k`` window (with a map-side group limit) merges them. Only
-pivots and cell bounds pass through the driver; the plan's size does not depend on the rows.
+"""Exact k-nearest neighbours (M6) by pivot cells and two rounds of visits.
+
+Training rows are dealt to the nearest of about ``sqrt(rows)`` pivots (their cell); a query's home is the
+nearest pivot's cell, and queries of one home form blocks of bounded size. In the first round a query looks
+into the nearest cells that hold ``k`` rows together, as a rule its home alone; the k-th distance
+found bounds, by the triangle inequality, the other cells that can hold a neighbour, which the second
+round visits. A table of (cell, query block) says which blocks visit a cell, and a training row goes
+to those alone: queries that lie together share the cells they need. Blocks keep the k nearest of
+their rows for each of their queries, and a ``row_number() <= k`` window (with a map-side group limit) merges them.
+
+Copies of one vector are no burden: of equal training vectors only the ``k`` smallest ids can be
+neighbours, and equal queries are answered once. Vectors that are null or hold null or non-finite
+components take no part. Only pivots and cell bounds pass through the driver.
 """
 
 from __future__ import annotations
@@ -14,12 +19,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.session import shared_table
 
 SPAN = 1 << 30
+RESULT = "query_id long, neighbor_id long, dist2 double, neighbor_label double"
+
+
+def _usable(v: Column) -> Column:
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
+    return v.isNotNull() & (F.size(v) > 0) & ~bad
 
 
 def _pivots(train: DataFrame, n: int, pivots: int) -> np.ndarray:
@@ -31,16 +42,9 @@ def _pivots(train: DataFrame, n: int, pivots: int) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
-
-
-def _bounds_to_visit(d: np.ndarray, count: np.ndarray, radius: np.ndarray, k: int) -> np.ndarray:
-    """For each query row of pivot distances the cells that can hold one of its k nearest."""
-    far = d + radius
-    order = np.argsort(far, axis=1)
-    enough = np.cumsum(count[order], axis=1) >= min(k, count.sum())
-    limit = np.take_along_axis(far, order, axis=1)[np.arange(len(d)), enough.argmax(axis=1)]
-    return (d - radius <= limit[:, None] * (1 + 1e-9) + 1e-12) & (count > 0)
+    """Distances by one matrix product; good to about 1e-7 of the vectors' length, which the bounds allow for."""
+    d2 = (x * x).sum(axis=1)[:, None] - 2 * (x @ pivots.T) + (pivots * pivots).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(d2, 0.0))
 
 
 def _block_nearest(k: int):
@@ -64,57 +68,121 @@ def _block_nearest(k: int):
     return run
 
 
+def meetings(held: DataFrame, visits: DataFrame, block_rows: int) -> DataFrame:
+    """The rows that a round shuffles: every training row (``held``: id, v, label, cell, parts) once for each query block that
+    visits its cell, every query (``visits``: id, v, home, home_block, cell) once for each part of a cell it visits."""
+    blocks = visits.select("cell", "home", "home_block").distinct()
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    there = held.join(blocks, "cell").select(F.lit(0).alias("query"), "id", "v", "label", "cell", part.alias("part"), "home", "home_block")
+    parts = held.select("cell", "parts").distinct()
+    here = visits.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    here = here.select(F.lit(1).alias("query"), "id", "v", F.lit(0.0).alias("label"), "cell", "part", "home", "home_block")
+    return there.unionByName(here)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("dist2", "neighbor_id")
+    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+class Cells:
+    """Training vectors by cell, with the cells' sizes and radii."""
+
+    def __init__(self, train: DataFrame, k: int, pivots: int | None, block_rows: int):
+        self.k, self.block_rows, spark = k, block_rows, train.sparkSession
+        # of equal vectors the k smallest ids; the group limit works before the shuffle
+        alike = Window.partitionBy("v").orderBy("id")
+        train = shared_table(train.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= k).drop("_r"))
+        self.n = train.count()
+        if not self.n:
+            return
+        points = _pivots(train, self.n, pivots or max(64, math.isqrt(self.n)))
+        self.book = book = spark.sparkContext.broadcast(points)
+
+        def place(batches):
+            for pdf in batches:
+                for lo in range(0, len(pdf), 512):
+                    part = pdf.iloc[lo:lo + 512]
+                    d = _distances(np.stack(part["v"].to_numpy()), book.value)
+                    yield part.assign(cell=d.argmin(axis=1), dist=d.min(axis=1))
+
+        self.placed = shared_table(train.mapInPandas(place, "id long, v array<double>, label double, cell long, dist double"))
+        seen = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r"))
+        sizes = shared_table(seen.withColumn("parts", F.ceil(F.col("n") / block_rows)))
+        self.held = self.placed.drop("dist").join(sizes.select("cell", "parts"), "cell")
+        count, radius = np.zeros(len(points), np.int64), np.zeros(len(points))
+        for r in sizes.collect():  # a row for each pivot
+            count[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+        slack = 1e-6 * float(np.sqrt((points * points).sum(axis=1)).max(initial=0.0)) + 1e-9
+        self.count, self.radius, self.slack = count, radius + slack, slack
+
+    def locate(self, queries: DataFrame) -> DataFrame:
+        """(id, v, home, home_block, cells): ``cells`` are the nearest ones that hold k rows together."""
+        count, k, n, book = self.count, self.k, int(self.count.sum()), self.book
+
+        def run(batches):
+            for pdf in batches:
+                for lo in range(0, len(pdf), 512):
+                    part = pdf.iloc[lo:lo + 512]
+                    d = np.where(count > 0, _distances(np.stack(part["v"].to_numpy()), book.value), np.inf)
+                    order = np.argsort(d, axis=1)
+                    before = np.cumsum(count[order], axis=1) - count[order]
+                    needed = (before < min(k, n)).sum(axis=1)
+                    yield part.assign(home=order[:, 0], cells=[o[:m] for o, m in zip(order, needed.tolist())])
+
+        sent = queries.mapInPandas(run, "id long, v array<double>, home long, cells array<long>")
+        # blocks of a home: as many as its queries fill
+        per_home = sent.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("home_blocks"))
+        sent = sent.join(per_home, "home").withColumn("home_block", F.pmod(F.xxhash64("id"), F.col("home_blocks")).cast("int"))
+        return sent.select("id", "v", "home", "home_block", "cells")
+
+    def reached(self, located: DataFrame) -> DataFrame:
+        """``cells`` replaced by those not seen yet that can hold a row nearer than the k-th so far (column ``reach``)."""
+        count, radius, slack, book = self.count, self.radius, self.slack, self.book
+
+        def run(batches):
+            for pdf in batches:
+                for lo in range(0, len(pdf), 512):
+                    part = pdf.iloc[lo:lo + 512]
+                    d = _distances(np.stack(part["v"].to_numpy()), book.value)
+                    go = (d - radius <= part["reach"].to_numpy(float)[:, None] * (1 + 1e-9) + slack) & (count > 0)
+                    for row, seen in zip(go, part["cells"]):
+                        row[np.asarray(seen)] = False
+                    yield part.assign(cells=[np.flatnonzero(g) for g in go]).drop(columns="reach")
+
+        return located.mapInPandas(run, "id long, v array<double>, home long, home_block int, cells array<long>")
+
+    def meet(self, located: DataFrame) -> DataFrame:
+        visits = located.withColumn("cell", F.explode("cells")).drop("cells")
+        work = meetings(self.held, visits, self.block_rows)
+        return work.groupBy("cell", "part", "home", "home_block").applyInPandas(_block_nearest(self.k), RESULT)
+
+
 def nearest(train: DataFrame, query: DataFrame, k: int, vec: str, id_col: str, label: str,
-            pivots: int = 64, block_rows: int = 4096) -> DataFrame:
+            pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
     """(query_id, neighbor_id, dist2, neighbor_label): the exact k nearest (Euclidean), ties to the smaller id."""
     spark = train.sparkSession
     t = train.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("double").alias("label"))
     q = query.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    n_train, n_query = t.count(), q.count()
-    schema = "query_id long, neighbor_id long, dist2 double, neighbor_label double"
-    if not n_train or not n_query:
-        return spark.createDataFrame([], schema)
-    book = spark.sparkContext.broadcast(_pivots(t, n_train, pivots))
-
-    def place(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo:lo + 512]
-                d = _distances(np.stack(part["v"].to_numpy()), book.value)
-                yield part.assign(cell=d.argmin(axis=1), dist=d.min(axis=1))
-
-    placed = shared_table(t.mapInPandas(place, "id long, v array<double>, label double, cell long, dist double"))
-    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()}
-    cells = range(len(book.value))
-    count = np.array([stats[c]["n"] if c in stats else 0 for c in cells])
-    radius = np.array([stats[c]["r"] if c in stats else 0.0 for c in cells])
-    blocks = [max(1, math.ceil(n / block_rows)) for n in count.tolist()]
-    q_blocks = max(1, math.ceil(n_query / block_rows))
-
-    def visit(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo:lo + 512]
-                go = _bounds_to_visit(_distances(np.stack(part["v"].to_numpy()), book.value), count, radius, k)
-                yield part.assign(cells=[np.flatnonzero(g) for g in go])
-
-    n_of = F.create_map(*[F.lit(x) for c in cells for x in (c, blocks[c])])
-    sent = q.mapInPandas(visit, "id long, v array<double>, cells array<long>").select("id", "v", F.explode("cells").alias("cell"))
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0), n_of[F.col("cell").cast("int")] - 1)))
-    sent = sent.select(F.lit(1).alias("query"), "id", "v", F.lit(0.0).alias("label"), "cell", "block", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("q_block"))
-    held = placed.withColumn("block", F.pmod(F.xxhash64("id"), n_of[F.col("cell").cast("int")].cast("long")).cast("int"))
-    held = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    work = held.select(F.lit(0).alias("query"), "id", "v", "label", "cell", "block", "q_block").unionByName(sent)
-    found = work.groupBy("cell", "block", "q_block").applyInPandas(_block_nearest(k), schema)
-    w = Window.partitionBy("query_id").orderBy("dist2", "neighbor_id")
-    return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    cells = Cells(t.where(_usable(F.col("v"))), k, pivots, block_rows)
+    q = q.where(_usable(F.col("v")))
+    if not cells.n:
+        return spark.createDataFrame([], RESULT)
+    asked = q.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")  # equal queries once
+    asked = shared_table(cells.locate(asked))
+    first = shared_table(_best(cells.meet(asked), k))
+    reach = first.groupBy(F.col("query_id").alias("id")).agg(F.sqrt(F.max("dist2")).alias("reach"))
+    second = cells.meet(cells.reached(asked.join(reach, "id").select("id", "v", "home", "home_block", "cells", "reach")))
+    found = _best(first.unionByName(second), k)
+    copies = q.withColumnRenamed("id", "own").join(asked.select("id", "v"), "v").select("own", "id")
+    return copies.join(found, F.col("id") == F.col("query_id")).select(F.col("own").alias("query_id"), "neighbor_id", "dist2", "neighbor_label")
 
 
 def knn(train: DataFrame, query: DataFrame, k: int = 5, vec: str = "embedding", id_col: str = "id",
-        label: str = "label", task: str = "classify", pivots: int = 64, block_rows: int = 4096) -> DataFrame:
+        label: str = "label", task: str = "classify", pivots: int | None = None, block_rows: int = 4096) -> DataFrame:
     """M6: exact k nearest training rows (Euclidean) for every query row, then
     the majority label (ties -> smallest label) or the mean label.
-    Output: id, prediction."""
+    Output: id, prediction; queries without a usable vector have no row."""
     top = nearest(train, query, k, vec, id_col, label, pivots, block_rows)
     if task == "regress":
         pred = top.groupBy("query_id").agg(F.avg("neighbor_label").alias("prediction"))

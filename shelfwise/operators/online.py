@@ -3,10 +3,10 @@ passive-aggressive, trained by iterative parameter mixing.
 
 Rows never move: every epoch, each partition runs one pass of the online
 update over its own rows (numpy inside ``mapInPandas``), starting from the
-current weights, and returns its weight vector and row count. The
-row-weighted average is summed on the executors; only the averaged vector
-(the feature dimension, bounded by the vocabulary) reaches the driver, which
-broadcasts it for the next epoch. Prediction is another ``mapInPandas`` pass.
+current weights, and returns the changes of the weights that its rows touched. Their
+row-weighted average is summed on the executors; at most one number for each
+feature (bounded by the vocabulary) reaches the driver, which
+broadcasts the new weights for the next epoch. Prediction is another ``mapInPandas`` pass.
 
 Input rows carry a sparse vector as two arrays (``indices``, ``values``) and a
 0/1 label.
@@ -28,39 +28,44 @@ def sparse_arrays(weights: DataFrame, id_col: str = "doc_id", index: str = "feat
     return packed.select(id_col, F.col(f"_p.{index}").alias("indices"), F.col(f"_p.{value}").alias("values"))
 
 
-def _epoch(loss: str, dim: int, alpha: float, c: float, t0: float):
+_BIAS, _ROWS, _LOST, _KEPT = -1, -2, -3, -4  # indices of the sums that are no weight
+
+
+def _epoch(loss: str, alpha: float, c: float, t0: float):
+    """One pass over a partition. The weights are ``scale`` times a vector, so the decay of all of them is one
+    multiplication and an update touches a row's own terms; what leaves the task are the touched terms' changes."""
+
     def run(batches, w_b):
-        w = w_b.value[0].copy()
-        b = w_b.value[1]
-        t = w_b.value[2]
-        n = 0
-        lost = 0.0
+        start, b, t = w_b.value
+        v, scale, n, lost = start.copy(), 1.0, 0, 0.0
+        touched = np.zeros(len(v), bool)
         for pdf in batches:
             for idx, val, y01 in zip(pdf["indices"], pdf["values"], pdf["label"]):
                 idx = np.asarray(idx, dtype=np.int64)
                 val = np.asarray(val, dtype=np.float64)
                 y = 1.0 if y01 > 0 else -1.0
-                margin = float(w[idx] @ val) + b
+                margin = scale * float(v[idx] @ val) + b
                 lost += np.logaddexp(0.0, -y * margin) if loss == "log" else max(0.0, (loss != "perceptron") - y * margin)
+                step = 0.0
                 if loss == "log":
                     eta = 1.0 / (alpha * (t0 + t))
-                    g = -y / (1.0 + np.exp(y * margin))
-                    w *= 1.0 - eta * alpha
-                    w[idx] -= eta * g * val
-                    b -= eta * g
+                    step = eta * y / (1.0 + np.exp(y * margin))
+                    scale *= 1.0 - eta * alpha
                 elif loss == "perceptron":
-                    if y * margin <= 0:
-                        w[idx] += y * val
-                        b += y
+                    step = y if y * margin <= 0 else 0.0
                 else:  # passive-aggressive (PA-I, hinge)
-                    lo = max(0.0, 1.0 - y * margin)
-                    if lo > 0:
-                        tau = min(c, lo / (float(val @ val) + 1.0))
-                        w[idx] += tau * y * val
-                        b += tau * y
+                    short = max(0.0, 1.0 - y * margin)
+                    step = min(c, short / (float(val @ val) + 1.0)) * y
+                if step:
+                    v[idx] += step / scale * val
+                    b += step
+                    touched[idx] = True
                 t += 1
                 n += 1
-        yield pd.DataFrame({"w": [w.tolist()], "b": [b], "lost": [float(lost)], "n": [n]})
+        at = np.flatnonzero(touched)
+        changes = n * scale * (v[at] - start[at])
+        sums = {_BIAS: b * n, _ROWS: n, _LOST: lost, _KEPT: n * scale}
+        yield pd.DataFrame({"i": np.concatenate([at, list(sums)]), "v": np.concatenate([changes, list(sums.values())])})
 
     return run
 
@@ -78,39 +83,40 @@ def fit_online(data: DataFrame, dim: int, loss: str = "log", epochs: int = 1000,
     t0 = 1.0 / alpha  # optimal-style schedule start: eta_1 = 1 / (alpha * t0) = 1
     for _ in range(epochs):
         wb = spark.sparkContext.broadcast((w, b, t))
-        run = _epoch(loss, dim, alpha, c, t0)
-        parts = rows.mapInPandas(lambda it, wb=wb, run=run: run(it, wb), "w array<double>, b double, lost double, n long")
-        # weighted sum on the executors: every partition's n*w, n*b and n are
-        # spread by index and summed (partial aggregation per executor), so the
-        # driver receives dim + 3 numbers whatever the number of partitions
-        packed = F.concat(F.transform("w", lambda x: x * F.col("n")), F.array(F.col("b") * F.col("n"), F.col("n").cast("double"), F.col("lost")))
-        sums = parts.select(F.posexplode(packed).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).collect()
+        run = _epoch(loss, alpha, c, t0)
+        parts = rows.mapInPandas(lambda it, wb=wb, run=run: run(it, wb), "i long, v double")
+        # the partitions' changes, weighted by their rows, summed by index on the executors; the
+        # driver gets at most dim + 4 numbers
+        sums = {r["i"]: r["s"] for r in parts.groupBy("i").agg(F.sum("v").alias("s")).collect()}
         wb.unpersist()
-        vec = np.zeros(dim + 3)
-        for r in sums:
-            vec[r["i"]] = r["s"]
-        total = vec[dim + 1]
+        total = sums.pop(_ROWS, 0.0)
         if not total:
             break
-        shards = rows.rdd.getNumPartitions()
-        w, b, t = vec[:dim] / total, vec[dim] / total, t + total / max(shards, 1)
-        mean_loss = vec[dim + 2] / total
-        waited = 0 if mean_loss < best - tol else waited + 1
-        best = min(best, mean_loss)
+        b, lost, kept = (sums.pop(k) / total for k in (_BIAS, _LOST, _KEPT))
+        w = kept * w
+        at = np.fromiter(sums, np.int64, len(sums))
+        w[at] += np.fromiter(sums.values(), float, len(sums)) / total
+        t += total / max(rows.rdd.getNumPartitions(), 1)
+        waited = 0 if lost < best - tol else waited + 1
+        best = min(best, lost)
         if waited >= patience:
             break
     return w, b
 
 
-def predict_online(data: DataFrame, w: np.ndarray, b: float, id_col: str = "doc_id") -> DataFrame:
-    """Class 1 when the margin is positive."""
+def margins(data: DataFrame, w: np.ndarray, b: float, id_col: str = "doc_id", name: str = "margin") -> DataFrame:
+    """(id, margin) of each row: weights times values plus the intercept."""
     wb = data.sparkSession.sparkContext.broadcast((w, b))
 
     def run(batches):
         ww, bb = wb.value
         for pdf in batches:
-            margins = [float(ww[np.asarray(i, dtype=np.int64)] @ np.asarray(v, dtype=np.float64)) + bb
-                       for i, v in zip(pdf["indices"], pdf["values"])]
-            yield pd.DataFrame({id_col: pdf[id_col], "prediction": (np.asarray(margins) > 0).astype(np.int32)})
+            found = [float(ww[np.asarray(i, dtype=np.int64)] @ np.asarray(v, dtype=np.float64)) + bb for i, v in zip(pdf["indices"], pdf["values"])]
+            yield pd.DataFrame({id_col: pdf[id_col], name: np.asarray(found, dtype=float)})
 
-    return data.select(id_col, "indices", "values").mapInPandas(run, f"{id_col} long, prediction int")
+    return data.select(id_col, "indices", "values").mapInPandas(run, f"{id_col} long, {name} double")
+
+
+def predict_online(data: DataFrame, w: np.ndarray, b: float, id_col: str = "doc_id") -> DataFrame:
+    """Class 1 when the margin is positive."""
+    return margins(data, w, b, id_col).select(id_col, (F.col("margin") > 0).cast("int").alias("prediction"))

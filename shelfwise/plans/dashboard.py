@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.operators import aggs, series
 from shelfwise.operators.clean import numeric_safe, prepare_sales
 from shelfwise.operators.filters import ALL, DASHBOARD_DIMS, apply_filters, dedup_orders, filter_options
-from shelfwise.operators.forecast import fourier_forecast, holt_winters
+from shelfwise.operators.forecast import holt_winters_fitted
+from shelfwise.operators.trend import changepoint_forecast
 from shelfwise.operators.models import segment
 from shelfwise.sources.io import logical_names, read_yearly, write_csv
 
@@ -80,8 +81,8 @@ class Dashboard:
     def forecast(self, months: int = 6, method: str = "holt_winters") -> DataFrame:
         monthly = series.resample(self.filtered, "sell", "month", name="sell")
         if method == "holt_winters":
-            return holt_winters(monthly, "sell", h=months)[0]
-        return fourier_forecast(monthly, "sell", h=months)
+            return holt_winters_fitted(monthly, "sell", h=months)[0]
+        return changepoint_forecast(monthly, "sell", h=months)[0]
 
     def download(self, path: str) -> None:
         write_csv(self.filtered, path)

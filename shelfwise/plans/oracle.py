@@ -326,6 +326,39 @@ SELECT {KEYS}, round(TRY_CAST(sell_text AS DOUBLE), 6) AS sell_num,
 ORACLE["p3_to_ts"] = with_(SALES, DIRTY) + f"""
 SELECT {KEYS}, order_date_text, TRY_CAST(order_date_text AS TIMESTAMP) AS order_ts FROM dirty"""
 
+ORACLE["p2_number_spellings"] = with_(SALES) + f"""
+SELECT {KEYS}, cell, CASE WHEN lower(cell) NOT LIKE '%nan' THEN TRY_CAST(cell AS DOUBLE) END AS value,
+       coalesce(CASE WHEN lower(cell) NOT LIKE '%nan' THEN TRY_CAST(cell AS DOUBLE) END, 1.0) AS filled
+FROM (SELECT *, CASE (l_orderkey + l_linenumber) % 8 WHEN 0 THEN 'nan' WHEN 1 THEN ' ' || n WHEN 2 THEN n || 'e1' WHEN 3 THEN n || 'd'
+                     WHEN 4 THEN '' WHEN 5 THEN '-NaN' WHEN 6 THEN '-' || n || '.5' END AS cell
+      FROM (SELECT *, CAST(CAST(unit AS INTEGER) AS VARCHAR) AS n FROM sales) a) b"""
+
+
+def _spelled(order: str) -> str:
+    return f"""CASE WHEN k < 4 THEN strftime(order_date, '{order}') WHEN k = 4 THEN ' ' || strftime(order_date, '{order.replace("/", "-")}')
+    WHEN k = 5 THEN strftime(order_date, '%Y-%m-%d') WHEN k = 6 THEN serial WHEN k = 7 THEN strftime(order_date, '%-d-%b-%Y')
+    WHEN k = 8 THEN ['n/a', '', '13/13/2024', '2024', '99999', '01/02/3024', 'nan'][l_linenumber % 7 + 1] ELSE serial || '.5' END"""
+
+
+def _dates(col: str, day_first: str) -> str:
+    """One column's values by the column's order; the other spellings by their look."""
+    t = f"trim({col})"
+    return f"""CASE WHEN {t} SIMILAR TO '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}' THEN TRY_CAST({t} AS TIMESTAMP)
+    WHEN {t} SIMILAR TO '[0-9]{{5}}([.][0-9]+)?' THEN TIMESTAMP '1899-12-30' + to_seconds(round(CAST({t} AS DOUBLE) * 86400))
+    WHEN {t} SIMILAR TO '[0-9]+-[A-Z][a-z]+-[0-9]+' THEN try_strptime({t}, '%d-%b-%Y')
+    WHEN {day_first} THEN try_strptime(replace({t}, '-', '/'), '%d/%m/%Y') ELSE try_strptime(replace({t}, '-', '/'), '%m/%d/%Y') END"""
+
+
+ORACLE["p3_column_dates"] = with_(SALES, f"""spelt AS (
+  SELECT {KEYS}, {_spelled('%-d/%-m/%Y')} AS ordered, {_spelled('%m/%d/%Y')} AS shipped
+  FROM (SELECT *, (l_orderkey + l_linenumber) % 10 AS k, CAST(datediff('day', DATE '1899-12-30', CAST(order_date AS DATE)) AS VARCHAR) AS serial FROM sales) a),
+n AS (SELECT count(*) FILTER (WHERE year(try_strptime(replace(trim(ordered), '-', '/'), '%d/%m/%Y')) <= 2100)
+             > count(*) FILTER (WHERE year(try_strptime(replace(trim(ordered), '-', '/'), '%m/%d/%Y')) <= 2100) AS day1,
+             count(*) FILTER (WHERE year(try_strptime(replace(trim(shipped), '-', '/'), '%d/%m/%Y')) <= 2100)
+             > count(*) FILTER (WHERE year(try_strptime(replace(trim(shipped), '-', '/'), '%m/%d/%Y')) <= 2100) AS day2 FROM spelt),
+read AS (SELECT {KEYS}, {_dates('ordered', 'day1')} AS o, {_dates('shipped', 'day2')} AS s FROM spelt, n)""") + f"""
+SELECT {KEYS}, CASE WHEN year(o) BETWEEN 1900 AND 2100 THEN o END AS ordered, CASE WHEN year(s) BETWEEN 1900 AND 2100 THEN s END AS shipped FROM read"""
+
 ORACLE["p4_norm_key"] = f"SELECT p_partkey, lower({_strip('p_name')}) AS book FROM part"
 
 ORACLE["p5_repeat_flag"] = with_(SALES, PREPARED) + f"SELECT {KEYS}, repeated_customer, repeated_customer_flag FROM prepared"
@@ -350,6 +383,11 @@ ORACLE["p11_fill_median"] = with_(SALES, DIRTY) + f""",
 med AS (SELECT quantile_cont(unit_missing, 0.5) AS m FROM dirty)
 SELECT {KEYS}, round(coalesce(unit_missing, med.m), 6) AS unit_missing FROM dirty, med"""
 
+ORACLE["p11_fill_median_whole"] = with_(SALES, DIRTY) + f""",
+w AS (SELECT {KEYS}, CASE WHEN l_orderkey % 2 <> 0 THEN l_orderkey // 2 % 2 * 3 END AS whole, CAST(unit_missing AS INTEGER) AS units FROM dirty),
+med AS (SELECT quantile_cont(whole, 0.5) AS m, quantile_cont(units, 0.5) AS u FROM w)
+SELECT {KEYS}, round(coalesce(CAST(whole AS DOUBLE), m), 6) AS whole, round(coalesce(CAST(units AS DOUBLE), u), 6) AS units FROM w, med"""
+
 ORACLE["p12_fill_mode"] = with_(SALES, DIRTY) + f""",
 md AS (SELECT gender_missing AS m FROM dirty WHERE gender_missing IS NOT NULL
        GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
@@ -536,6 +574,14 @@ w AS (SELECT tf.doc_id, tf.term, voc.feature_index, tf.tf,
       FROM tf JOIN voc ON tf.term = voc.term, nd)
 SELECT doc_id, term, feature_index, tf, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 8) AS tfidf FROM w"""
 
+ORACLE["m7c_fixed_scores"] = ORACLE["x2_char_tfidf"].replace(CLEANED_TEXTS, _LABELLED).replace(
+    "SELECT doc_id, term, feature_index, tf, round(raw", "SELECT doc_id, feature_index, (raw", 1).replace(", 8) AS tfidf FROM w", ") AS tfidf FROM w", 1)
+_HEAD, _, _LAST = ORACLE["m7c_fixed_scores"].rpartition("SELECT doc_id, feature_index")
+ORACLE["m7c_fixed_scores"] = _HEAD.rstrip() + f""",
+z AS (SELECT doc_id, feature_index{_LAST}),
+s AS (SELECT doc_id, sum(tfidf * (feature_index::BIGINT * 7919 % 2001 - 1000) / 1000.0::DOUBLE) + 0.05::DOUBLE AS margin FROM z GROUP BY doc_id)
+SELECT doc_id, round(margin, 6) AS margin, CAST(margin > 0 AS INTEGER) AS prediction FROM s"""
+
 _TOKENS = f"""toks AS (
   SELECT doc_id, unnest(arr) AS word, unnest(range(len(arr))) AS pos FROM (
     SELECT doc_id, list_filter(string_split(translate(lower(text), {_lit(WORD_FILTERS)}, {_lit(' ' * len(WORD_FILTERS))}), ' '),
@@ -548,6 +594,9 @@ ORACLE["x3_fit_vocab"] = with_(CLEANED_TEXTS, _TOKENS) + """
 SELECT word, count, index FROM vocab
 UNION ALL SELECT '<OOV>', CAST(NULL AS BIGINT), CAST(1 AS BIGINT)"""
 
+ORACLE["x3_long_words"] = with_(CLEANED_TEXTS, _TOKENS.replace("FROM cleaned)", "FROM (SELECT doc_id, replace(text, ' ', '') || ' ' || text AS text FROM cleaned) c)")) + """
+SELECT md5(word) AS word_md5, length(word) AS chars, count FROM vocab WHERE length(word) > 1000"""
+
 _SEQS = """ids AS (SELECT t.doc_id, t.pos, coalesce(v.index, 1) AS tok FROM toks t
         LEFT JOIN vocab v ON t.word = v.word AND v.index < 15000),
 seqs AS (SELECT c.doc_id, list(i.tok ORDER BY i.pos) FILTER (WHERE i.tok IS NOT NULL) AS seq
@@ -634,6 +683,14 @@ SELECT category, CAST(datediff('month', min(order_date), max(order_date)) + 1 AS
        0.0 AS level, 0.0 AS trend, 0.0 AS sin_1, 0.0 AS cos_1, 0.0 AS sin_2, 0.0 AS cos_2, 0.0 AS sin_3, 0.0 AS cos_3
 FROM filtered GROUP BY category"""
 
+_MONTHS = "CAST(datediff('month', min(order_date), max(order_date)) + 1 AS BIGINT) AS periods, round(sum(sell), 0) AS total, CAST(6 AS BIGINT) AS forecasts"
+ORACLE["t3_fit_checks"] = with_(*BASE) + f"""
+SELECT category, {_MONTHS}, 0.0 AS replay_gap, CAST(0 AS BIGINT) AS better_nearby FROM filtered GROUP BY category"""
+
+ORACLE["t4_changepoint_checks"] = with_(*BASE) + f"""
+SELECT category, {_MONTHS}, CAST(0 AS BIGINT) AS outside, 0.0 AS level, 0.0 AS slope, 0.0 AS sin_1, 0.0 AS cos_3, 0.0 AS subgradient_gap
+FROM filtered GROUP BY category"""
+
 ORACLE["m8_hard_vote"] = with_(SALES) + f""",
 v AS (SELECT {KEYS}, unit, sell, CAST(discount_pct >= 5 AS INTEGER) + CAST(unit >= 25 AS INTEGER)
                       + CAST(sell_price >= 1500 AS INTEGER) + CAST(age >= 48 AS INTEGER) AS ones FROM sales)

@@ -205,6 +205,23 @@ def q_to_ts(spark, sf_dir):
     return d.select(*LINE_KEY, "order_date_text", _parse.to_ts("order_date_text").alias("order_ts"))
 
 
+@register("p2_number_spellings")
+def q_number_spellings(spark, sf_dir):
+    """Cells that read as numbers, as missing values (``nan``) or as neither, with and without a fill value."""
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    n = F.col("unit").cast("int").cast("string")
+    text = (F.when(kind == 0, "nan").when(kind == 1, F.concat(F.lit(" "), n)).when(kind == 2, F.concat(n, F.lit("e1")))
+            .when(kind == 3, F.concat(n, F.lit("d"))).when(kind == 4, "").when(kind == 5, "-NaN").when(kind == 6, F.concat(F.lit("-"), n, F.lit(".5"))))
+    s = _fx.sales_view(spark, sf_dir).withColumn("cell", text)
+    return s.select(*LINE_KEY, "cell", _parse.to_number("cell").alias("value"), _parse.to_number("cell", 1.0).alias("filled"))
+
+
+@register("p3_column_dates")
+def q_column_dates(spark, sf_dir):
+    """Each column in the one order of day and month that reads most of it; serial days; junk."""
+    return clean.with_dates(_fx.date_text_view(spark, sf_dir), ["ordered", "shipped"])
+
+
 @register("p4_norm_key")
 def q_norm_key(spark, sf_dir):
     p = _fx.table(spark, sf_dir, "part")
@@ -254,6 +271,14 @@ def q_fill_median(spark, sf_dir):
     return rounded(clean.fill_median(d, ["unit_missing"])[0], 6)
 
 
+@register("p11_fill_median_whole")
+def q_fill_median_whole(spark, sf_dir):
+    """Whole numbers whose median is none: the gaps get the half."""
+    d = _fx.dirty_sales_view(spark, sf_dir)
+    whole = F.when(F.col("l_orderkey") % 2 == 0, F.lit(None).cast("int")).otherwise((F.floor(F.col("l_orderkey") / 2) % 2).cast("int") * 3)
+    return rounded(clean.fill_median(d.select(*LINE_KEY, whole.alias("whole"), F.col("unit_missing").cast("int").alias("units")), ["whole", "units"])[0], 6)
+
+
 @register("p12_fill_mode")
 def q_fill_mode(spark, sf_dir):
     d = _fx.dirty_sales_view(spark, sf_dir).select(*LINE_KEY, "gender_missing")
@@ -429,6 +454,15 @@ def q_fit_vocab(spark, sf_dir):
     return _text.fit_vocab(_all_clean_texts(spark, sf_dir))
 
 
+@register("x3_long_words")
+def q_long_words(spark, sf_dir):
+    """The vocabulary of texts without their blanks: words as long as whole documents."""
+    t = _all_clean_texts(spark, sf_dir)
+    v = _text.fit_vocab(t.withColumn("text", F.concat(F.translate("text", " ", ""), F.lit(" "), F.col("text"))))
+    v = v.where(F.length("word") > 1000)
+    return v.select(F.md5("word").alias("word_md5"), F.length("word").cast("long").alias("chars"), "count")
+
+
 def _seq_text(df, col="sequence"):
     return df.select("doc_id", F.array_join(F.transform(col, lambda x: x.cast("string")), " ").alias("seq_text"))
 
@@ -691,6 +725,7 @@ def q_score_retention(spark, sf_dir):
 
 # --- T3/T4: forecasting ------------------------------------------------------------------------
 from shelfwise.operators import forecast as _fc  # noqa: E402
+from shelfwise.operators import trend as _trend  # noqa: E402
 
 HW_FIXED = (0.3, 0.1, 0.2)
 
@@ -714,6 +749,52 @@ def q_holt_winters_by_category(spark, sf_dir):
     return rounded(chosen, 6)
 
 
+@register("t3_fit_checks")
+def q_fit_checks(spark, sf_dir):
+    """The fitted Holt-Winters by its definition: walking each series from the parameters and start found gives
+    their squared error again, and no start or weight nearby gives less."""
+    m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
+    rows, chosen = _fc.holt_winters_fitted(m, "sell", keys=["category"], h=6)
+    walked = rows.groupBy("category").agg(
+        F.count("actual").alias("periods"), F.round(F.sum("actual"), 0).alias("total"), F.count_if(F.col("actual").isNull()).alias("forecasts"),
+        F.sum((F.col("actual") - F.col("fitted")) ** 2).alias("again"))
+    packed = _fc._series_arrays(m, "sell", "period_end", ["category"], 24).select("category", "ys").join(chosen, "category")
+    size = F.sqrt(F.col("sse") / F.size("ys"))  # a step: a tenth of the typical error, a hundredth of a weight
+    steps = [(i, d) for i in range(17) for d in (-1.0, 1.0)]
+    near = packed.withColumn("move", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in steps])))
+    at, d = F.col("move.i"), F.col("move.d") * size / 10
+    weights = [F.least(F.greatest(F.col(c) + F.when(at == 14 + k, F.col("move.d") / 100).otherwise(0.0), F.lit(1e-4)), F.lit(1 - 1e-4))
+               for k, c in enumerate(("alpha", "beta", "gamma"))]
+    start = F.struct((F.col("level") + F.when(at == 0, d).otherwise(0.0)).alias("l"), (F.col("trend") + F.when(at == 1, d / 10).otherwise(0.0)).alias("b"),
+                     F.transform("season", lambda v, i: v + F.when(at == 2 + i, d).otherwise(0.0)).alias("s"))
+    other = _fc._walk(F.col("ys"), 12, 0, start, (*weights, *[1 - w for w in weights]), keep_fits=False)["sse"]
+    near = near.withColumn("other", other).groupBy("category").agg(F.count_if(F.col("other") < F.col("sse") * (1 - 1e-6)).alias("better_nearby"), F.first("sse").alias("sse"))
+    return walked.join(near, "category").select("category", "periods", "total", "forecasts", F.round(F.abs(F.col("again") / F.col("sse") - 1), 6).alias("replay_gap"),
+                                                "better_nearby")
+
+
+@register("t4_changepoint_checks")
+def q_changepoint_checks(spark, sf_dir):
+    """The trend with change points by its definition: residuals are orthogonal to level, slope and season, and pull at
+    each change exactly with the penalty where the slope changes, at most with it where it does not."""
+    m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
+    rows, fits = _trend.changepoint_forecast(m, "sell", keys=["category"], h=6)
+    w = Window.partitionBy("category").orderBy("ds")
+    rows = rows.withColumn("t", (F.row_number().over(w) - 1).cast("double")).join(fits.select("category", "periods", "scale"), "category")
+    e, angle, ahead = (F.col("y") - F.col("yhat")) / F.col("scale"), F.lit(2 * math.pi / 12) * F.col("t"), F.col("y").isNull()
+    basis = {"level": F.lit(1.0), "slope": F.col("t") / F.col("periods"), "sin_1": F.sin(angle), "cos_3": F.cos(3 * angle)}
+    flat = rows.groupBy("category").agg(
+        F.count("y").alias("periods"), F.round(F.sum("y"), 0).alias("total"), F.count_if(ahead).alias("forecasts"),
+        F.count_if(ahead & ((F.col("yhat_lower") > F.col("yhat")) | (F.col("yhat_upper") < F.col("yhat")))).alias("outside"),
+        *[F.abs(F.round(F.sum(e * b), 7)).alias(k) for k, b in basis.items()])
+    bends = fits.select("category", "penalty", F.inline(F.arrays_zip("places", "delta")))
+    held = rows.where(~ahead).select("category", "t", "periods", e.alias("e")).join(bends, "category")
+    pull = F.sum(F.col("e") * F.greatest(F.col("t") - F.col("places"), F.lit(0.0)) / (F.col("periods") - 1)) / F.col("penalty")
+    pulls = held.groupBy("category", "places", "delta", "penalty").agg(pull.alias("pull"))
+    off = F.when(F.col("delta") == 0, F.greatest(F.abs("pull") - 1, F.lit(0.0))).otherwise(F.abs(F.col("pull") - F.signum("delta")))
+    return flat.join(pulls.groupBy("category").agg(F.round(F.max(off), 4).alias("subgradient_gap")), "category")
+
+
 @register("t4_fourier_forecast")
 def q_fourier_forecast(spark, sf_dir):
     m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
@@ -805,6 +886,17 @@ def q_online_linear(spark, sf_dir):
     return spark.createDataFrame(out, "model string, accuracy double, precision double, recall double, f1 double")
 
 
+@register("m7c_fixed_scores")
+def q_fixed_scores(spark, sf_dir):
+    """Margins of the labelled texts by weights that follow from the feature's number."""
+    import numpy as np
+
+    w, vocab = _text.char_tfidf(_clean_texts(spark, sf_dir), max_features=20000)
+    no = np.arange(vocab.count())
+    scored = _online.margins(_online.sparse_arrays(w), (no * 7919 % 2001 - 1000) / 1000.0, 0.05)
+    return scored.select("doc_id", F.round("margin", 6).alias("margin"), (F.col("margin") > 0).cast("int").alias("prediction"))
+
+
 # --- S1/S2/S3/S5/S6/S8: sources and sinks, round trip through the shared folder --------------
 import uuid  # noqa: E402
 

@@ -130,6 +130,29 @@ def number_text_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*LINE_KEY, text.alias("raw"))
 
 
+def date_text_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two text columns per sales line that spell its order date as sheets do: ``ordered`` puts the
+    day first (many of its values fit both orders), ``shipped`` the month; both hold spreadsheet
+    serial days, named months, ISO dates and junk."""
+    s = sales_view(spark, sf_dir).select(*LINE_KEY, "order_date")
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 10
+    serial = F.datediff("order_date", F.lit("1899-12-30")).cast("string")
+    junk = F.array(*map(F.lit, ["n/a", "", "13/13/2024", "2024", "99999", "01/02/3024", "nan"]))
+
+    def spelled(numbers: str):
+        return (
+            F.when(kind < 4, F.date_format("order_date", numbers))
+            .when(kind == 4, F.concat(F.lit(" "), F.date_format("order_date", numbers.replace("/", "-"))))
+            .when(kind == 5, F.date_format("order_date", "yyyy-MM-dd"))
+            .when(kind == 6, serial)
+            .when(kind == 7, F.date_format("order_date", "d-MMM-yyyy"))
+            .when(kind == 8, F.element_at(junk, F.col("l_linenumber").cast("int") % 7 + 1))
+            .otherwise(F.concat(serial, F.lit(".5")))
+        )
+
+    return s.select(*LINE_KEY, spelled("d/M/yyyy").alias("ordered"), spelled("MM/dd/yyyy").alias("shipped"))
+
+
 def texts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled texts: documents ⋈ labels, ``label = quality``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")

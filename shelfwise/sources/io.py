@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,18 +137,61 @@ def read_all(spark: SparkSession, pattern: str, fmt: str | None = None, base_pat
     name = F.col("_metadata.file_name").alias("source_file")
     if fmt != "csv":
         return read_table(spark, pattern, fmt, base_path=base_path).select("*", name)
-    listed = spark.read.format("binaryFile").load(pattern).select("path")  # names only, no content is read
-    by_header: dict[tuple, list[str]] = {}
-    for r in listed.collect():
-        by_header.setdefault(tuple(read_table(spark, r["path"], fmt, multiline=multiline).columns), []).append(r["path"])
+    by_header: dict[str, list[str]] = {}
+    for path, header in header_lines(spark, pattern).items():
+        by_header.setdefault(header, []).append(path)
     frames = [read_table(spark, sorted(files), fmt, base_path=base_path, multiline=multiline).select("*", name)
               for _, files in sorted(by_header.items(), key=lambda g: min(g[1]))]
+    if not frames:
+        return spark.createDataFrame([], "source_file string")
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+_PART, _OPEN = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+#: A file up to this size is read to its end, which keeps the task's Python worker for the next one.
+_READ_ON = 32 << 20
+
+
+def header_lines(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """The header record of every file of a glob, by path, in one job; files without a line are left out.
+
+    A file is one task, which takes lines until the quotes of the first record are closed; a large
+    file is not read further. What comes to the driver is a line for each file.
+    """
+    whole = str(1 << 44)  # no file is split, none shares a task
+    before = {k: spark.conf.get(k) for k in (_PART, _OPEN)}
+
+    def first_record(batches):
+        import pyarrow as pa
+
+        path, lines, closed = None, [], False
+        for b in batches:
+            if not b.num_rows or closed:
+                continue
+            path, size = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+            for line in b.column(2):
+                lines.append(line.as_py())
+                closed = sum(x.count('"') for x in lines) % 2 == 0
+                if closed:
+                    break
+            if closed and size > _READ_ON:
+                break
+        if lines:
+            yield pa.record_batch([[path], ["\n".join(lines)]], names=["path", "header"])
+
+    try:
+        for k in before:
+            spark.conf.set(k, whole)
+        rows = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), "value")
+        return {unquote(r["path"]): r["header"] for r in rows.mapInArrow(first_record, "path string, header string").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def clean_columns(df: DataFrame, underscore: bool = False) -> DataFrame:
     """Strip header names; the notebook variant also drops quotes and turns
     blanks into underscores."""
@@ -174,6 +218,19 @@ def write_merged(df: DataFrame, path: str, partition_by: str | None = "year", mo
     w.parquet(path)
 
 
+def replace_parts(df: DataFrame, path: str, partition_by: str = "year") -> None:
+    """S6, one year again: the partitions that ``df`` holds are replaced, all others keep their files."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """S6 for a set that is joined again and again: files bucketed and sorted by ``keys`` under ``path``, known to the
+    catalog as ``table``. A join on ``keys`` reads it without an exchange. Returns the table."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def preview(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
     """First ``n`` rows in a stated order (top-k, not a full sort)."""
     return (df.orderBy(*order) if order else df).limit(n)

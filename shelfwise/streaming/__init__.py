@@ -20,9 +20,9 @@ from shelfwise.operators.filters import dashboard_defaults
 from shelfwise.operators.series import resample, rolling_mean
 
 
-def monthly_partials(batch: DataFrame) -> DataFrame:
+def monthly_partials(batch: DataFrame, day_first: bool = False) -> DataFrame:
     """One micro-batch -> (month start, sell, rows) partial sums."""
-    clean = numeric_safe(dashboard_defaults(prepare_sales(batch)))
+    clean = numeric_safe(dashboard_defaults(prepare_sales(batch, day_first=day_first)))
     return (
         clean.where(F.col("order_date").isNotNull())
         .groupBy(F.trunc(F.col("order_date").cast("date"), "month").alias("month_start"))
@@ -31,13 +31,14 @@ def monthly_partials(batch: DataFrame) -> DataFrame:
 
 
 def start_monthly_stream(spark: SparkSession, source: str, schema: StructType, table_path: str,
-                         checkpoint: str, available_now: bool = True) -> StreamingQuery:
+                         checkpoint: str, available_now: bool = True, day_first: bool = False) -> StreamingQuery:
     """Watch ``source`` for new parquet sales files; append monthly partials to
-    ``table_path``. ``checkpoint`` must be a shared, reliable folder."""
+    ``table_path``. ``checkpoint`` must be a shared, reliable folder.
+    ``day_first``: the order of day and month in numeric dates, one for all batches."""
     def write(batch: DataFrame, batch_id: int) -> None:
         # one folder per batch id, overwritten on replay: a batch retried after a
         # lost executor or a restart writes the same partials again, never twice
-        monthly_partials(batch).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
+        monthly_partials(batch, day_first).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch_id={batch_id}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
