@@ -43,10 +43,11 @@ s AS (
 c AS (SELECT rid, no, kind, b, b + n AS e, value FROM s WHERE length(value) >= least),
 o AS (
   SELECT value, count(DISTINCT coalesce(source, '')) AS owners,
+         count(DISTINCT (coalesce(source, ''), coalesce(doc_id::VARCHAR, ''))) AS repos,
          len(list_distinct(regexp_extract_all(value, '(?s).'))) >= 6
          AND NOT regexp_matches(value, '(?i)example|sample|placeholder|changeme|change_me|your_|xxxx|dummy|0123456789|123456789|abcdefgh') AS looks
   FROM c JOIN d USING (rid) GROUP BY value),
-v AS (SELECT c.*, o.owners < 3 AND o.looks AS live, o.owners >= 3 AS copied FROM c JOIN o USING (value)),
+v AS (SELECT c.*, o.owners < 3 AND o.repos < 10 AND o.looks AS live, o.owners >= 3 OR o.repos >= 10 AS copied FROM c JOIN o USING (value)),
 g AS (
   SELECT rid, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
          string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no) FILTER (no < 3) AS base,

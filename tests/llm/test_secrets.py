@@ -85,3 +85,26 @@ def test_a_value_in_many_repositories_of_one_owner_is_copied(spark):
         assert [(c.owners, c.repos) for c in r.counts] == [(1, 40 if r.doc_id < 100 else 2)]
     for r in S.redact_secrets(df).collect():
         assert r.text == (f"see {pasted} here" if r.doc_id < 100 else "see [secret] here")
+
+
+def test_the_sql_agrees_on_copies_of_one_owner(spark, tmpdir_fresh):
+    """Values in many and in few documents of one source, through the query and through DuckDB."""
+    import duckdb
+
+    from shelfwise.llm.oracle import SECRETS
+    from shelfwise.llm.queries import op10_secret_scans
+
+    pasted, mine = "ghp_a1B2c3D4e5F6g7H8i9J0k1L2", "ghp_z9Y8x7W6v5U4t3S2r1Q0p9O8"
+    rows = [(i, f"see {pasted} here", "hot") for i in range(40)] + [(100 + i, f"see {mine} here", "hot") for i in range(2)]
+    rows += [(200 + i, "token=Ab3dEf6hIj9kLm2n", f"o{i % 3}") for i in range(4)] + [(300 + i, "secret=Zx8cVb5nMa2sDf7g", None) for i in range(9)]
+    rows += [(400, None, "hot"), (401, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmpdir_fresh}/documents.parquet")
+    got = op10_secret_scans(spark, tmpdir_fresh)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmpdir_fresh}/documents.parquet/*.parquet')")
+        found = db.execute(SECRETS)
+        names = [d[0] for d in found.description]
+        want = sorted(map(str, found.fetchall()))
+    assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == want
+    by = {r.doc_id: r for r in got.collect()}
+    assert (by[0].n_live, by[0].n_copied, by[100].n_live, by[200].n_copied, by[300].n_live) == (0, 1, 1, 1, 1)
