@@ -4,7 +4,7 @@ A notice of ``n`` characters may differ by ``k = n // 10`` edits (at most 3). It
 ``k + 1`` pieces: by the pigeonhole principle a text within ``k`` edits holds one piece
 unchanged, so one pass with an Aho-Corasick automaton over all pieces finds every place worth a
 look. There, and only there, the ``regex`` library's bounded-error matching verifies the notice and
-reports its span and edits.
+reports its span and edits; of matches of one notice that overlap, the one with fewer edits counts.
 
 How it scales: one narrow pass over whole texts, linear in their length; no shuffle.
 """
@@ -12,8 +12,10 @@ How it scales: one narrow pass over whole texts, linear in their length; no shuf
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pandas as pd
 import regex
@@ -87,39 +89,52 @@ class Scanner:
         if where:
             self.seeds.make_automaton()
 
-    def windows(self, words: str) -> dict[int, list[list[int]]]:
-        """For each notice the stretches around its seeds, overlapping ones joined."""
-        out: dict[int, list[list[int]]] = {}
+    def windows(self, words: str) -> dict[int, set[tuple[int, int]]]:
+        """For each notice the stretches around its seeds that a match can fill, each little longer than the notice."""
+        out: dict[int, set[tuple[int, int]]] = {}
         for last, (n, owners) in self.seeds.iter(words) if self.seeds else ():
             for no, at in owners:
                 notice, _, k, _ = self.notices[no]
                 begin = last - n + 1 - at
-                lo, hi = max(0, begin - k - 1), min(len(words), begin + len(notice) + k + 1)
-                mine = out.setdefault(no, [])
-                mine.append([lo, hi])
-        for no, mine in out.items():
-            mine.sort()
-            joined = mine[:1]
-            for lo, hi in mine[1:]:
-                if lo <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], hi)
-                else:
-                    joined.append([lo, hi])
-            out[no] = joined
+                out.setdefault(no, set()).add((max(0, begin - k - 1), min(len(words), begin + len(notice) + k + 1)))
         return out
 
     @staticmethod
-    def matches(pattern, words: str, lo: int, hi: int) -> list:
-        """Matches of a stretch that do not overlap: its best one, then the same before and after it."""
-        found, todo = [], [(lo, hi)]
-        while todo:
-            lo, hi = todo.pop()
+    def matches(pattern, words: str, stretches: set[tuple[int, int]]) -> list:
+        """Matches that do not overlap, those of the fewest edits first, then the first in the text.
+
+        Every stretch is searched by itself; one whose match meets a better one is searched again in what
+        that leaves of it. A stretch is short and loses a part each time, so the work grows with
+        the number of seeds.
+        """
+        waiting: list[tuple] = []
+
+        def look(lo: int, hi: int) -> None:
             m = pattern.search(words, lo, hi) if lo < hi else None
             if m and m.end() > m.start():
-                found.append(m)
-                # the blank on either side bounds both words
-                todo += [(lo, m.start()), (m.end(), hi)]
-        return found
+                heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi, len(waiting), m))
+
+        for lo, hi in sorted(stretches):
+            look(lo, hi)
+        starts: list[int] = []
+        taken: list = []  # by start
+        while waiting:
+            _, start, end, lo, hi, _, m = heappop(waiting)
+            at = bisect_right(starts, start)
+            # the neighbours in the text: the blank on either side bounds both words
+            before, after = taken[at - 1] if at else None, taken[at] if at < len(taken) else None
+            if before and (before.start(), before.end()) == (start, end):
+                continue
+            if before and before.end() > start:
+                look(max(lo, before.end()), hi)
+                look(lo, min(hi, before.start()))
+            elif after and after.start() < end:
+                look(lo, min(hi, after.start()))
+                look(max(lo, after.end()), hi)
+            else:
+                starts.insert(at, start)
+                taken.insert(at, m)
+        return taken
 
     def __call__(self, text: str | None):
         """``(n_words, [(label, word)], [(label, notice, start, end, word, edits)])`` of a whole text."""
@@ -139,13 +154,14 @@ class Scanner:
         spans = None
         for no, stretches in self.windows(words).items():
             notice, label, k, pattern = self.notices[no]
-            for lo, hi in stretches:
-                for m in self.matches(pattern, words, lo, hi):
-                    if spans is None:  # places in the text, needed only where a notice is found
-                        spans = [w.span() for w in _WORD.finditer(folded)]
-                    first = words.count(" ", 0, m.start()) - 1
-                    last = first + words.count(" ", m.start(), m.end())
-                    hits.append((label, notice, spans[first][0], spans[last][1], first, sum(m.fuzzy_counts)))
+            place, counted = 0, 0
+            for m in self.matches(pattern, words, stretches):
+                if spans is None:  # places in the text, needed only where a notice is found
+                    spans = [w.span() for w in _WORD.finditer(folded)]
+                counted += words.count(" ", place, m.start())
+                place, first = m.start(), counted - 1
+                last = first + words.count(" ", m.start(), m.end())
+                hits.append((label, notice, spans[first][0], spans[last][1], first, sum(m.fuzzy_counts)))
         return len(found), sorted(base, key=lambda b: (b[1], b[0])), sorted(set(hits), key=lambda h: (h[2], h[3], h[1]))
 
 
@@ -180,7 +196,8 @@ def licences_of(text: Column, spark: SparkSession, phrases=PHRASES, notices=NOTI
 
 
 def scan_licences(df: DataFrame, text_col: str = "text", out_col: str = "licences", phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """``df`` with a struct column ``out_col``; all rows and columns stay, an empty table gives none."""
+    """``df`` with a struct column ``out_col``; all rows and columns stay, an empty table gives none,
+    an ``out_col`` that ``df`` has already is an error."""
     if out_col in df.columns:
         raise ValueError(f"{out_col} is a column already; choose another out_col")
     return df.withColumn(out_col, licences_of(F.col(text_col), df.sparkSession, phrases, notices))

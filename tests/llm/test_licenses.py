@@ -127,3 +127,14 @@ def test_damaged_notices_side_by_side_are_all_found(scan):
         hits = [h for h in scan(words)[2] if h[1] == good]
         assert {(h[2], h[3]) for h in hits} == spans
         assert all(h[5] == distance(words[h[2] : h[3]], good) for h in hits)
+
+
+def test_many_damaged_notices_in_time(scan):
+    import time
+
+    one = "gnu general publik license"
+    n = 4_000_000 // (len(one) + 1)
+    t = time.time()
+    hits = [h for h in scan(" ".join([one] * n))[2] if h[1] == "gnu general public license"]
+    assert [(h[2], h[3], h[5]) for h in hits] == [(i * (len(one) + 1), i * (len(one) + 1) + len(one), 1) for i in range(n)]
+    assert time.time() - t < 120
