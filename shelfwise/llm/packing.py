@@ -34,7 +34,8 @@ from shelfwise.session import shared_table
 
 K1, B = 1.2, 0.75
 _DIM = 48  # coordinates of a projected document
-_SAMPLE = 16384  # documents that the tree is grown on
+_SAMPLE = 16384  # documents that the tree is grown on, at least; 16 for each leaf
+_DEPTH = 14  # levels of the tree, at most; beyond as many leaves a hash of the row cuts them
 
 
 @dataclass
@@ -240,34 +241,48 @@ def _projected(docs: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
 
 
 def by_likeness(encoded: DataFrame, stats: Stats, partitions: int) -> DataFrame:
-    """``encoded`` dealt to ``partitions`` ranges of leaves and sorted by leaf; columns stay."""
+    """``encoded`` dealt to ``partitions`` ranges of leaves and sorted by leaf; columns stay.
+
+    The shares of the leaves in the sample say which partitions a leaf fills; where these are several,
+    a hash of the row cuts it. So a row's partition follows from the row and nothing is counted or sampled again.
+    """
     noise = np.random.default_rng(11).standard_normal((len(stats.df), _DIM))
     signs = (stats.idf(np.arange(len(stats.df)))[:, None] * noise).astype(np.float32)
-    rate = min(1.0, _SAMPLE / max(stats.n, 1))
-    drawn = encoded.filter(F.pmod(F.xxhash64("ids_"), F.lit(1 << 31)) < int(rate * (1 << 31)))
+    depth = min(_DEPTH, max(0, (4 * partitions - 1).bit_length()))
+    wanted = max(_SAMPLE, 16 << depth)
+    rate = min(1.0, wanted / max(stats.n, 1))
+    drawn = encoded.filter(F.pmod(F.xxhash64("id_", "ids_"), F.lit(1 << 31)) < int(rate * (1 << 31)))
     sent = encoded.sparkSession.sparkContext.broadcast(signs)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 v = _projected(list(_arrays(b.column(0))), sent.value)
-                yield pa.record_batch([pa.array(list(v), pa.list_(pa.float32()))], names=["v"])
+                yield pa.record_batch([pa.array(list(v), pa.list_(pa.float32())), b.column(1)], names=["v", "n"])
 
-    # distinct: a text that a third of all rows share counts once
-    sample = drawn.select("ids_").distinct().mapInArrow(project, "v array<float>").collect()
-    depth = min(10, max(0, (4 * partitions - 1).bit_length()))
-    points = np.array(sorted(tuple(r.v) for r in sample), np.float32).reshape(-1, _DIM)
-    tree = encoded.sparkSession.sparkContext.broadcast(Tree(points, depth))
+    # a text that a third of all rows share is one point of the tree, with its weight
+    sample = drawn.groupBy("ids_").agg(F.count(F.lit(1)).alias("n")).mapInArrow(project, "v array<float>, n long").collect()
+    sample = sorted((tuple(r.v), r.n) for r in sample)
+    points = np.array([v for v, _ in sample], np.float32).reshape(-1, _DIM)
+    grown = Tree(points, depth)
+    share = np.bincount(grown.leaves(points), [n for _, n in sample], 1 << depth) + 1e-9
+    share = share / share.sum()
+    tree = encoded.sparkSession.sparkContext.broadcast((grown, share, np.cumsum(share) - share))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves, width, begin = tree.value
         for b in batches:
             if len(b):
-                leaf = tree.value.leaves(_projected(list(_arrays(b.column(1))), sent.value))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64())], names=[*b.schema.names, "leaf_"])
+                leaf = leaves.leaves(_projected(list(_arrays(b.column(1))), sent.value))
+                salt = b.column(b.num_columns - 1).to_numpy()
+                place = begin[leaf] + width[leaf] * ((salt & 0xFFFFFF) / (1 << 24))
+                part = np.clip((place * partitions).astype(np.int32), 0, partitions - 1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64()), pa.array(part)], names=[*b.schema.names, "leaf_", "part_"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    placed = encoded.mapInArrow(assign, f"{fields}, leaf_ long").withColumn("salt_", F.xxhash64(*encoded.columns))
-    dealt = placed.repartitionByRange(partitions, "leaf_", "salt_").sortWithinPartitions("leaf_", "salt_")
+    salted = encoded.withColumn("salt_", F.xxhash64(*encoded.columns))
+    placed = salted.mapInArrow(assign, f"{fields}, salt_ long, leaf_ long, part_ int")
+    dealt = placed.repartitionById(partitions, F.col("part_")).sortWithinPartitions("leaf_", "salt_")
     return dealt.select(*encoded.columns)
 
 

@@ -49,7 +49,7 @@ class UnitCache(dict):
 
 
 class Encoder:
-    """Ids of a ``tokenizers`` byte-level BPE file, special-token strings read as ordinary text."""
+    """Ids of a ``tokenizers`` byte-level BPE file; the string of an added token in a text is that token."""
 
     def __init__(self, path: str, cache_units: int = 300_000):
         with open(path, encoding="utf-8") as f:
@@ -71,14 +71,25 @@ class Encoder:
             t = Tokenizer.from_file(path)
             t.encode_special_tokens = True
             self._plain = lambda s: t.encode(s, add_special_tokens=False).ids
+        added = {t["content"]: array("i", [t["id"]]).tobytes() for t in spec.get("added_tokens", [])}
+        self._added = added
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self._cache = UnitCache(lambda unit: self._plain(" " + unit), cache_units)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def _packed(self, text: str) -> bytes:
         if not text:
-            return np.empty(0, np.int32)
+            return b""
         units = _UNIT.split(text) if _BEFORE_BLANK.search(text) else text.split(" ")
         first = array("i", self._plain(units[0])).tobytes()
-        return np.frombuffer(first + b"".join(map(self._cache.__getitem__, units[1:])), np.int32)
+        return first + b"".join(map(self._cache.__getitem__, units[1:]))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.int32)
+        if self._special is None or not self._special.search(text):
+            return np.frombuffer(self._packed(text), np.int32)
+        parts = self._special.split(text)  # added tokens at odd places
+        return np.frombuffer(b"".join(self._added[p] if i % 2 else self._packed(p) for i, p in enumerate(parts)), np.int32)
 
 
 @lru_cache(maxsize=2)
