@@ -320,7 +320,8 @@ def decode_of(ids: Column, model_path: str, spark: SparkSession) -> Column:
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``df`` with ``out_col``; all rows and columns stay, an empty table gives none. ``model_path`` must be readable on the executors."""
+    """``df`` with ``out_col``; all rows and columns stay, an empty table gives none, an ``out_col`` that ``df`` has already is an error.
+    ``model_path`` must be readable on the executors."""
     if out_col in df.columns:
         raise ValueError(f"{out_col} is a column already; choose another out_col")
     return df.withColumn(out_col, encode_of(F.col(text_col), model_path, df.sparkSession))
@@ -331,3 +332,21 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
     if out_col in df.columns:
         raise ValueError(f"{out_col} is a column already; choose another out_col")
     return df.withColumn(out_col, decode_of(F.col(ids_col), model_path, df.sparkSession))
+
+
+def encode_and_decode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """:func:`encode`, and :func:`decode` of its ids, in one pass over the texts."""
+    clash = {ids_col, out_col, "both_"} & set(df.columns)
+    if clash:
+        raise ValueError(f"columns already: {sorted(clash)}; choose other names")
+    small_batches(df.sparkSession, rows=1000)
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        t = transducer(model_path)
+        for texts in batches:
+            ids = [t.encode(x) for x in texts]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": [t.decode(x.tolist()) for x in ids]})
+
+    both = df.withColumn("both_", run(F.col(text_col).cast("string")))
+    return both.select("*", F.col("both_.ids").alias(ids_col), F.col("both_.decoded").alias(out_col)).drop("both_")

@@ -51,8 +51,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each document's piece ids, and whether decoding gives its text back."""
     model = tokenizer_path("piece_bpe_32k.model")
-    docs = piece_fst.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    docs = piece_fst.decode(docs, model)
+    docs = piece_fst.encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), piece_fst.MARK, " ")
     return docs.select(
         "doc_id",
