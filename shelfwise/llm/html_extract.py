@@ -2,8 +2,9 @@
 
 A tolerant pass turns a page into a tree of open and implied-closed elements. Every paragraph
 passes points for its length and commas to its container, half of them to the container's
-parent and less to each further ancestor; a container's points are discounted by the share of
-its text that is links. The best container, its enclosing article and its good siblings are kept.
+parent and again half to each further ancestor; a container's points are discounted by the share of
+its text that is links. The best container is kept, or the marked article around it, or else the nearest
+ancestor that holds most of the page's paragraphs; so are its good siblings.
 
 How it scales: one page is one row; a narrow pass, no shuffle, memory bounded by a page.
 """
@@ -46,19 +47,40 @@ _IMPLIED = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption address summary".split())
-_OUT_TAGS = frozenset("nav footer aside menu dialog form button select datalist svg math object canvas audio video map head search".split())
+_OUT_TAGS = frozenset("nav footer aside menu dialog form button select datalist svg object canvas audio video map head search".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _OUT_WORDS = frozenset(
     "nav navbar navigation menu sidebar aside footer header masthead comment comments disqus replies respond ad ads advert adverts"
     " advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay notice notices"
     " alert newsletter subscribe subscription signup login share sharing social related breadcrumb breadcrumbs pagination pager".split()
 )
-#: Words that mark a wrapper of the article although another of its words is in the list above.
-_IN_WORDS = frozenset("article content main body post entry story text wrapper container layout page has with".split())
+#: Words that an article's own section may have in its id without being one of the above.
+_TOPICS = frozenset("social share sharing notice notices alert login menu navigation related consent header".split())
+#: Before one of the words above these say that the element merely has such a part.
+_HAVING = frozenset("with has have having no without".split())
+#: A name from the first to the second kind is a wrapper of the article, whatever stands between.
+_MAIN_WORDS = frozenset("article content main post entry story page".split())
+_WRAP_WORDS = frozenset("wrap wrapper container layout page row grid".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _START = {"article": 10, "main": 10, "section": 3, "div": 3, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "th": -5}
 
 
+_ARTICLE_HEADER = frozenset(["header"])
+
+
+def _names_outside(token: str, spared) -> bool:
+    """Does one class name or id say that its element is no part of an article?"""
+    words = _WORDS.findall(_CAMEL.sub(" ", token).lower())
+    if len(words) > 1 and words[-1] in _WRAP_WORDS and (words[0] in _MAIN_WORDS or words[-1] in ("layout", "page")):
+        return False
+    for w in words:
+        if w in _HAVING:
+            return False
+        if (w in _OUT_WORDS or w.startswith("comment") and w != "commentary") and w not in spared:
+            return True
+    return False
+
+
 class _Page:
     """Elements of a page as flat lists; element 0 is the root."""
 
@@ -83,14 +105,19 @@ class _Page:
             return True
         if named.get("role", "").lower() in _OUT_ROLES:
             return True
-        words = set(_WORDS.findall(_CAMEL.sub(" ", f"{named.get('class', '')} {named.get('id', '')}").lower()))
-        if in_article or tag == "article":
-            words -= {"header"}
-        return bool(words & _OUT_WORDS) and not words & _IN_WORDS
+        if tag in _HEADINGS or (tag == "p" and in_article):
+            return False  # such a name is an anchor or a style
+        inside = in_article or tag == "article"
+        for kind in ("class", "id"):
+            spared = _TOPICS if kind == "id" and in_article and tag == "section" else _ARTICLE_HEADER if inside else ()
+            if any(_names_outside(token, spared) for token in named.get(kind, "").split()):
+                return True
+        return False
 
     def _read(self, s: str, by_name: bool) -> None:
         tag, parent, out = self.tag, self.parent, self.out
         stack, count = [0], {"body": 1}
+        open_blocks = [0]
         run: list[str] = []
         links = n_article = header = 0
         n_link = 0
@@ -100,10 +127,7 @@ class _Page:
             text = " ".join(html.unescape("".join(run)).split()) if run else ""
             run.clear()
             if text:
-                at = len(stack) - 1
-                while tag[stack[at]] not in _BLOCK:
-                    at -= 1
-                self.blocks.append((stack[at], text, min(n_link, len(text))))
+                self.blocks.append((open_blocks[-1], text, min(n_link, len(text))))
             n_link = 0
 
         def text(t: str) -> None:
@@ -120,6 +144,7 @@ class _Page:
             t = tag[stack[-1]]
             if t in _BLOCK:
                 flush()
+                open_blocks.pop()
             stack.pop()
             count[t] -= 1
             links -= t == "a"
@@ -146,7 +171,7 @@ class _Page:
                 depth = len(stack) - 1
                 while tag[stack[depth]] != name:
                     depth -= 1
-                if name not in _BLOCK and any(tag[i] in _BLOCK for i in stack[depth + 1 :]):
+                if name not in _BLOCK and open_blocks[-1] > stack[depth]:
                     continue  # an inline element left open around blocks
                 while len(stack) > depth:
                     pop()
@@ -170,7 +195,7 @@ class _Page:
             if name in _ENDS_P and count.get("p"):
                 while pop() != "p":
                     pass
-            if name in _IMPLIED:
+            if name in _IMPLIED and any(count.get(c) for c in _IMPLIED[name][0]):
                 close, bound = _IMPLIED[name]
                 depth = len(stack) - 1
                 while depth and tag[stack[depth]] not in close and tag[stack[depth]] not in bound:
@@ -192,6 +217,8 @@ class _Page:
             parent.append(stack[-1])
             out.append(outside)
             stack.append(len(tag) - 1)
+            if name in _BLOCK:
+                open_blocks.append(len(tag) - 1)
             count[name] = count.get(name, 0) + 1
             links += name == "a"
             n_article += name == "article"
@@ -200,29 +227,32 @@ class _Page:
         flush()
 
 
-def _points(page: _Page) -> tuple[list[float], list[float]]:
-    """Each container's points, discounted by link density (0 for elements that hold no paragraph),
-    and the share of each element's text that is links (1 without text)."""
-    n = len(page.tag)
-    score, size, linked, named = [0.0] * n, [0] * n, [0] * n, [False] * n
-    for owner, text, n_link in page.blocks:
-        s = min(1.0, len(text) / 25) + text.count(",") + min(len(text) / 100, 3.0)
-        s *= 1 - n_link / len(text)
-        size[owner] += len(text)
-        linked[owner] += n_link
-        at = page.parent[owner] if page.tag[owner] in _PARAGRAPH and owner else owner
-        level = 0
-        while at >= 0:
-            if not named[at]:
-                named[at] = True
-                score[at] += _START.get(page.tag[at], 0)
-            score[at] += s if level == 0 else s / 2 if level == 1 else s / (level * 3)
-            at, level = page.parent[at], level + 1
-    for i in range(n - 1, 0, -1):
-        size[page.parent[i]] += size[i]
-        linked[page.parent[i]] += linked[i]
-    share = [a / b if b else 1.0 for a, b in zip(linked, size)]
-    return [p * (1 - share[i]) if named[i] and size[i] else 0.0 for i, p in enumerate(score)], share
+class _Scores:
+    """Of each element: points, text length, share of the text that is links (1 without text), and weight of its paragraphs."""
+
+    def __init__(self, page: _Page):
+        n = len(page.tag)
+        passed, self.size, linked, self.weight = [0.0] * n, [0] * n, [0] * n, [0.0] * n
+        for owner, text, n_link in page.blocks:
+            s = min(1.0, len(text) / 25) + text.count(",") + min(len(text) / 100, 3.0)
+            s *= 1 - n_link / len(text)
+            self.size[owner] += len(text)
+            linked[owner] += n_link
+            self.weight[owner] += s
+            passed[page.parent[owner] if page.tag[owner] in _PARAGRAPH and owner else owner] += s
+        for i in range(n - 1, 0, -1):  # an element stands after its parent: one way up passes all points
+            up = page.parent[i]
+            self.size[up] += self.size[i]
+            linked[up] += linked[i]
+            self.weight[up] += self.weight[i]
+            passed[up] += passed[i] / 2
+        self.links = [a / b if b else 1.0 for a, b in zip(linked, self.size)]
+        self.points = [(p + _START.get(t, 0)) * (1 - x) if p and size else 0.0 for p, t, x, size in zip(passed, page.tag, self.links, self.size)]
+
+
+#: A container that holds less of the page's paragraphs gives way to an ancestor that holds as much.
+_MOST = 0.9
+_SENTENCE = re.compile(r"""[.!?…。！？]["'”’»)]*$""")
 
 
 def main_blocks(source: str | None) -> list[str]:
@@ -235,29 +265,40 @@ def main_blocks(source: str | None) -> list[str]:
             break
     else:
         return []
-    points, share = _points(page)
-    best = max(range(len(points)), key=points.__getitem__)
-    up = best
-    while up > 0:
-        if page.tag[up] in ("article", "main") or up in page.main:
-            best = up
-        up = page.parent[up]
+    score = _Scores(page)
+    best = max(range(len(page.tag)), key=score.points.__getitem__)
+    path = [best]
+    while path[-1] > 0:
+        path.append(page.parent[path[-1]])
+    marked = [i for i in path if page.tag[i] in ("article", "main") or i in page.main]
+    dropped: set[int] = set()
+    if marked:
+        best = marked[-1]
+    else:
+        climbed = next(i for i in path if score.weight[i] >= _MOST * score.weight[0])
+        if climbed != best:
+            # an ancestor also holds what stands beside the article: lists of links go
+            held = set(path[: path.index(climbed) + 1])
+            dropped = {i for i in range(1, len(page.tag)) if page.parent[i] in held and i not in held and score.links[i] >= 0.5 and page.tag[i] not in _PARAGRAPH}
+            best = climbed
+    last: dict[int, str] = {}
     roots = {best}
     if best:
-        for i in range(1, len(points)):
-            if page.parent[i] == page.parent[best] and i != best and (
-                points[i] >= max(10.0, 0.2 * points[best])
-                or page.tag[i] == "h1"
-                or page.tag[best] == "section" == page.tag[i]
-                and share[i] < 0.25  # a short section of the same article
-            ):
+        child_of = [0] * len(page.tag)  # the sibling of the container (or itself) that an element stands in
+        for i in range(1, len(page.tag)):
+            child_of[i] = i if page.parent[i] == page.parent[best] else child_of[page.parent[i]]
+        last = {child_of[owner]: text for owner, text, _ in page.blocks}
+        for i in range(1, len(page.tag)):
+            if page.parent[i] != page.parent[best] or i == best or not score.size[i]:
+                continue
+            linked, size = score.links[i], score.size[i]
+            same = page.tag[best] == "section" == page.tag[i]  # a short section of the same article
+            told = linked < 0.25 and size > 80 and page.tag[i] in _PARAGRAPH or not linked and not marked and _SENTENCE.search(last.get(i, ""))
+            if score.points[i] >= max(10.0, 0.2 * score.points[best]) or page.tag[i] == "h1" or same and linked < 0.25 or told:
                 roots.add(i)
-        for owner, text, n_link in page.blocks:  # loose paragraphs beside the container
-            if page.parent[owner] == page.parent[best] and page.tag[owner] in _PARAGRAPH and n_link < 0.25 * len(text) and len(text) > 80:
-                roots.add(owner)
-    kept = [False] * len(points)
-    for i in range(len(points)):
-        kept[i] = i in roots or (i > 0 and kept[page.parent[i]])
+    kept = [False] * len(page.tag)
+    for i in range(len(page.tag)):
+        kept[i] = i in roots or (i > 0 and kept[page.parent[i]] and i not in dropped)
     return [text for owner, text, _ in page.blocks if kept[owner]]
 
 
@@ -278,7 +319,8 @@ def main_text_of(source: Column, spark: SparkSession) -> Column:
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
-    """``df`` with column ``out_col``; all rows and columns stay, repeats too; an empty table gives none."""
+    """``df`` with column ``out_col``; all rows and columns stay, repeats too; an empty table gives none,
+    an ``out_col`` that ``df`` has already is an error."""
     if out_col in df.columns:
         raise ValueError(f"{out_col} is a column already; choose another out_col")
     return df.withColumn(out_col, main_text_of(F.col(html_col), df.sparkSession))

@@ -74,3 +74,53 @@ def test_short_sections_without_an_article_tag_stay(around):
     body = "<nav>menu</nav>" + around.format(SECTIONS) + "<div class=ad>buy</div><footer>f</footer>"
     assert H.main_blocks(page(body)) == ["A", *[LONG.strip()] * 10, "B", "Only a short remark stands here."]
     assert H.main_blocks(page(f"<div>{SECTIONS}{links}</div>")) == ["A", *[LONG.strip()] * 10, "B", "Only a short remark stands here."]
+
+
+#: Names as page builders, blogs and news sites use them; the truth is written by hand.
+NAMED = [
+    *[(f"<article><h1>Head</h1><p>{LONG}</p><div class='{c}'><p>{LONG}</p></div></article>", ["Head", LONG.strip()])
+      for c in ("comment-body", "comments-container", "article-sidebar", "related-content", "newsletter-container", "post-comments", "commentlist", "entry-footer", "social-share")],
+    (f"<article><p>{LONG}</p></article><div class='comment-content'><p>{LONG}</p></div>", [LONG.strip()]),
+    (f"<article><p>{LONG}</p><p class=notice>Mind the gap.</p><section id=social><h2 id=related>Ties</h2><p>{LONG}</p></section></article>", [LONG.strip(), "Mind the gap.", "Ties", LONG.strip()]),
+    ("<article><p>It is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>", ["It is x=2 here."]),
+    (f"<article><p>{LONG}</p><section id=comments><p>{LONG}</p></section></article>", [LONG.strip()]),
+    (f"<div class='content-sidebar-wrap'><div><p>{LONG}</p></div></div>", [LONG.strip()]),
+    (f"<div class='has-sidebar no-footer'><p>{LONG}</p></div>", [LONG.strip()]),
+    (f"<div class='sidebar-layout'><p>{LONG}</p><div class='page-footer'><p>{LONG}</p></div></div>", [LONG.strip()]),
+    ("<div><p>First, a short remark on this page.</p></div><div><p>Then one more.</p></div>", ["First, a short remark on this page.", "Then one more."]),
+]
+
+
+@pytest.mark.parametrize("body,want", NAMED)
+def test_names_that_mark_parts(body, want):
+    assert H.main_blocks(page(body)) == want
+
+
+def test_page_builder_layouts_keep_every_paragraph():
+    parts = [f"Part {i}. {LONG * (1 + i % 3)}".strip() for i in range(5)]
+    rows = "".join(f"<div class=row><div class=col><p>{p}</p></div></div>" for p in parts)
+    links = "<div class=col><ul>" + "".join(f"<li><a href=/{i}>Another story, number {i}</a></li>" for i in range(30)) + "</ul></div>"
+    around = "<div class=top><a href=/>Home</a> <a href=/a>About</a></div>{}<div class=footer><p>Address, town</p></div>"
+    assert H.main_blocks(page(around.format(rows))) == parts
+    assert H.main_blocks(page(around.format(f"<div class=builder>{rows}{links}</div>"))) == parts
+    assert H.main_blocks(page(around.format(f"<div><h1>Title</h1><div>{rows}</div></div>"))) == ["Title", *parts]
+
+
+def test_comment_threads_inside_the_article():
+    thread = "".join(f"<li class='comment depth-{i % 3}'><div class=comment-author>reader {i}</div><div class=comment-body><p>{LONG}</p></div></li>" for i in range(20))
+    body = f"<article class=post><header class=entry-header><h1>Head</h1></header><div class=entry-content><p>{LONG}</p><blockquote>A quotation, kept.</blockquote></div><ol class=comment-list>{thread}</ol></article>"
+    assert H.main_blocks(page(body)) == ["Head", LONG.strip(), "A quotation, kept."]
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    t = time.time()
+    n = 20_000
+    deep = "".join(f"<div>word {i}, and more of it." for i in range(n)) + "</div>" * n
+    assert len(H.main_blocks(deep)) > 0.89 * n
+    inline = "<article>" + "<b>" * 5000 + "text<hr>" * 5000 + "</article>"
+    assert len(H.main_blocks(inline)) == 5000
+    items = "<div>" * 3000 + "<li>one" * 3000
+    assert len(H.main_blocks(items)) == 3000
+    assert time.time() - t < 10
