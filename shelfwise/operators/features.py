@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.clean import numeric_cols, one_hot
 from shelfwise.operators.stats import exact_medians, order_statistics
-from shelfwise.session import shared_table
+from shelfwise.session import drop_shared, shared_table
 
 PRIME = 2147483647  # 2^31 - 1
 
@@ -113,7 +113,9 @@ def class_cuts(df: DataFrame, label: str, h: str, shares: list[float], bits: int
         state = shared_table(held)
         mine = state.select(F.col("label_").alias("of_"), F.col("p_").alias("prefix_"))
         inside = rows.join(mine, F.col("label_").eqNullSafe(F.col("of_")) & (digit == F.col("prefix_")), "left_semi")
-        rows = shared_table(inside)  # from the second round on a 65,536th of the rows, or those that share a hash
+        rows, spent = shared_table(inside), rows  # from the second round on a 65,536th of the rows, or those that share a hash
+        drop_shared(spent)
+    drop_shared(rows)
     return state.select("label_", "share_", F.col("least_").alias("cut_"), F.col("need_").alias("quota_"), F.col("n_").alias("ties_"))
 
 

@@ -32,22 +32,16 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.clean import standardize
 from shelfwise.operators.metrics import classification_metrics, confusion_counts, hard_vote, regression_metrics
+from shelfwise.session import drop_shared, shared_table
 
 SEED = 42
-ROWS_PER_PARTITION = 50_000
 
 
-def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION, min_rows: int = 1_000) -> DataFrame:
-    """Iterative fitters run one Spark job per iteration; on a small training
-    set, many tiny partitions make each job pay scheduling for nothing. Merge
-    partitions (``coalesce``: no shuffle) to about ``rows_per_partition`` rows
-    each, but keep every core busy unless partitions would hold fewer than
-    ``min_rows`` rows; large inputs keep their partitioning."""
-    n = df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    target = max(1, -(-n // rows_per_partition), min(cores, n // min_rows))
-    out = df.coalesce(target) if target < df.rdd.getNumPartitions() else df
-    return out.persist()
+def right_size(df: DataFrame) -> DataFrame:
+    """The training set written once in the shared folder and read back: what feeds it keeps its own
+    partitions and runs once, and iterative fits get partitions by bytes (small sets a few, whatever
+    their rows' width), with nothing left in the executors' memory."""
+    return shared_table(df)
 
 
 def regressors(features: str = "features", label: str = "label", trees: int = 100, tree_depth: int = 30,
@@ -254,11 +248,9 @@ def learning_curves(df: DataFrame, estimators: dict, label: str = "label", id_co
         return rows, accuracy(model, train), accuracy(model, data.where(F.col("_fold") == fold))
 
     jobs = [(name, share, fold) for name in estimators for share in sizes for fold in range(folds)]
-    try:
-        with ThreadPoolExecutor(max_workers=max(at_once, 1)) as pool:
-            results = dict(zip(jobs, pool.map(run, jobs)))
-    finally:
-        data.unpersist()
+    with ThreadPoolExecutor(max_workers=max(at_once, 1)) as pool:
+        results = dict(zip(jobs, pool.map(run, jobs)))
+    drop_shared(data)
     out = []
     for name in estimators:
         for share in sizes:

@@ -668,12 +668,78 @@ SELECT round(any_value(b1), 6) AS unit, round(any_value(b2), 6) AS age, round(an
        round(avg(CASE WHEN (b0 + b1 * x + b2 * z > 0) = (y > 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM sp, fit WHERE is_test"""
 
+def _boosted(label: str, x: str, z: str, bins: int, depth: int, trees: int, classify: bool, step: float = 0.3, penalty: float = 1.0) -> str:
+    """Second-order boosting of two features written out tree by tree and level by level."""
+    cut = lambda c: "list_sort(list_distinct([" + ", ".join(f"quantile_cont({c}, CAST({i} AS DOUBLE) / {bins})" for i in range(1, bins)) + "]))"
+    base = "ln(avg(y) / (1 - avg(y)))" if classify else "avg(y)"
+    parts = [f"src AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({z} AS DOUBLE) AS z, CAST({label} AS DOUBLE) AS y FROM filtered WHERE {label} IS NOT NULL)",
+             f"cuts AS (SELECT {cut('x')} AS cx, {cut('z')} AS cz, {base} AS base FROM src)",
+             "m0 AS (SELECT len(list_filter(cx, lambda c: c < x)) AS bx, len(list_filter(cz, lambda c: c < z)) AS bz, y, base AS m FROM src, cuts)"]
+    out = []
+    for t in range(trees):
+        p = "1 / (1 + exp(-m))"
+        g, h = (f"{p} - y", f"({p}) * (1 - {p})") if classify else ("m - y", "CAST(1 AS DOUBLE)")
+        parts.append(f"n{t}_0 AS (SELECT *, {g} AS g, {h} AS h, CAST(1 AS INTEGER) AS node, TRUE AS live FROM m{t})")
+        for d in range(depth):
+            parts.append(f"""s{t}_{d} AS (
+  SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER a AS ga, sum(h) OVER a AS ha, sum(n) OVER a AS na
+  FROM (SELECT node, 0 AS f, bx AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM n{t}_{d} WHERE live GROUP BY ALL
+        UNION ALL SELECT node, 1, bz, sum(g), sum(h), count(*) FROM n{t}_{d} WHERE live GROUP BY ALL) u
+  WINDOW w AS (PARTITION BY node, f ORDER BY bin), a AS (PARTITION BY node, f)),
+c{t}_{d} AS (SELECT *, gl * gl / (hl + {penalty}) + (ga - gl) ** 2 / (ha - hl + {penalty}) - ga * ga / (ha + {penalty}) AS gain
+             FROM s{t}_{d} WHERE na > nl AND hl >= 1 AND ha - hl >= 1),
+b{t}_{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) AS r FROM c{t}_{d} WHERE gain > 0) q WHERE r = 1),
+n{t}_{d + 1} AS (
+  SELECT o.* REPLACE (CASE WHEN o.live AND b.node IS NOT NULL THEN 2 * o.node + CAST(CASE b.f WHEN 0 THEN o.bx ELSE o.bz END > b.bin AS INTEGER) ELSE o.node END AS node,
+                      o.live AND b.node IS NOT NULL AS live)
+  FROM n{t}_{d} o LEFT JOIN b{t}_{d} b ON o.node = b.node)""")
+            out.append(f"""SELECT CAST({t} AS INTEGER) AS tree, node, CASE f WHEN 0 THEN '{x}' ELSE '{z}' END AS feature,
+       round(CASE f WHEN 0 THEN cx[CAST(bin AS INTEGER) + 1] ELSE cz[CAST(bin AS INTEGER) + 1] END, 6) AS cut, round(ln(gain), 5) AS log_gain, CAST(NULL AS DOUBLE) AS value, CAST(na AS BIGINT) AS rows
+FROM b{t}_{d}, cuts""")
+        parts.append(f"v{t} AS (SELECT node, -sum(g) / (sum(h) + {penalty}) * {step} AS v, count(*) AS n FROM n{t}_{depth} GROUP BY node)")
+        parts.append(f"m{t + 1} AS (SELECT bx, bz, y, m + v AS m FROM n{t}_{depth} JOIN v{t} USING (node))")
+        out.append(f"SELECT {t}, node, NULL, NULL, NULL, round(v, 4), n FROM v{t}")
+    return ",\n".join(parts) + "\n" + "\nUNION ALL ".join(out)
+
+
+ORACLE["m4_boosted_trees"] = with_(*BASE, _boosted("sell", "unit", "sell_price", 8, 3, 2, False))
+ORACLE["m5_boosted_trees"] = with_(*BASE, _boosted("repeated_customer_flag", "discount_pct", "age", 6, 2, 2, True))
+
 ORACLE["m15_score_sell_profit"] = with_(*BASE) + " UNION ALL ".join(
     f"""SELECT * FROM (WITH {_two_feature_fit(t, a, b, f"{a} IS NOT NULL AND {b} IS NOT NULL AND {t} IS NOT NULL")}
 SELECT '{t}' AS target, round(i1, 2) AS input_1, round(i2, 2) AS input_2, round(b0 + b1 * i1 + b2 * i2, 1) AS expected
 FROM fit, (SELECT quantile_cont(x, 0.5) AS i1, quantile_cont(z, 0.5) AS i2 FROM tr) m)"""
     for t, a, b in (("sell", "unit", "sell_price"), ("profit", "sell", "unit")))
 
+#: The penalised logistic fit of two features by Newton steps; the gradient is 0 after a few of them.
+_RETENTION = f"""d AS (SELECT {KEYS}, CAST(sell AS DOUBLE) AS x, CAST(unit AS DOUBLE) AS z, CAST(repeated_customer_flag AS DOUBLE) AS y,
+      {mix_hash_sql(KEYS.split(', '))} AS h FROM filtered),
+sp AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, {KEYS}) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY y)) AS is_test FROM d),
+tr AS (SELECT x, z, y FROM sp WHERE NOT is_test),
+it AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v
+  UNION ALL
+  SELECT k + 1, b - (g0 * (h11 * h22 - h12 * h12) - g1 * (h01 * h22 - h02 * h12) + g2 * (h01 * h12 - h02 * h11)) / det,
+         u - (h00 * (g1 * h22 - g2 * h12) - h01 * (g0 * h22 - g2 * h02) + h02 * (g0 * h12 - g1 * h02)) / det,
+         v - (h00 * (h11 * g2 - h12 * g1) - h01 * (h01 * g2 - h02 * g1) + g0 * (h01 * h12 - h02 * h11)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h02 * h12) + h02 * (h01 * h12 - h02 * h11) AS det FROM (
+    SELECT k, b, u, v, sum(p - y) AS g0, sum((p - y) * x) + u AS g1, sum((p - y) * z) + v AS g2, sum(s) AS h00, sum(s * x) AS h01, sum(s * z) AS h02,
+           sum(s * x * x) + 1 AS h11, sum(s * x * z) AS h12, sum(s * z * z) + 1 AS h22
+    FROM (SELECT *, p * (1 - p) AS s FROM (SELECT it.*, tr.*, 1 / (1 + exp(-(b + u * x + v * z))) AS p FROM it, tr WHERE k < 10) a) c
+    GROUP BY k, b, u, v) e) f),
+fit AS (SELECT * FROM it WHERE k = 10)"""
+ORACLE["m5_logistic_coefficients"] = "WITH RECURSIVE " + with_(*BASE, _RETENTION)[5:] + """
+SELECT round(any_value(b), 3) AS intercept, round(any_value(u) * 1000, 4) AS sell_thousands, round(any_value(v), 4) AS unit,
+       round(avg(CASE WHEN (b + u * x + v * z > 0) = (y > 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg(1 / (1 + exp(-(b + u * x + v * z)))), 4) AS mean_probability, count(*) AS n
+FROM sp, fit WHERE is_test"""
+ORACLE["m15_score_retention"] = "WITH RECURSIVE " + with_(*BASE, _RETENTION)[5:] + """,
+q AS (SELECT quantile_cont(x, 0.5) AS x, quantile_cont(z, 0.5) AS z FROM tr)
+SELECT round(x, 2) AS sell, z AS unit, CASE WHEN b + u * x + v * z > 0 THEN 1.0 ELSE 0.0 END AS prediction,
+       round(1 / (1 + exp(-(b + u * x + v * z))), 4) AS probability_1,
+       CASE WHEN b + u * x + v * z > 0 THEN 'LIKELY TO RETURN' ELSE 'NOT LIKELY TO RETURN' END AS outcome
+FROM q, fit"""
+
 ORACLE["m9_segment_checks"] = with_(*BASE) + """
 SELECT count(*) AS rows, CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced, 0.0 AS centre_gap FROM filtered
 WHERE age IS NOT NULL AND unit IS NOT NULL AND sell IS NOT NULL AND profit IS NOT NULL"""
@@ -683,6 +749,45 @@ SELECT category, CAST(datediff('month', min(order_date), max(order_date)) + 1 AS
        0.0 AS level, 0.0 AS trend, 0.0 AS sin_1, 0.0 AS cos_1, 0.0 AS sin_2, 0.0 AS cos_2, 0.0 AS sin_3, 0.0 AS cos_3
 FROM filtered GROUP BY category"""
 
+def _grid_search(series: str, keys: str) -> str:
+    """The two grid searches for all series of ``s`` at once: every triple walks all months side by side."""
+    grid = "(SELECT CAST(0.05 + 0.1 * i AS DOUBLE) AS {0} FROM range(10) r(i))"
+    fine = "(SELECT {k}, round({0}0 + o * CAST(0.01 AS DOUBLE), 4) AS {0} FROM best1, range(-5, 6) r(o))"
+
+    def walk(name: str, trials: str) -> str:
+        up = "a * (y[t + 1] - se[t % 12 + 1]) + (1 - a) * (l + tr)"
+        return f"""{name} AS (
+  SELECT {keys}, a, b, g, 12 AS t, l0 AS l, b0 AS tr, list_transform(y[1:12], lambda x: x - l0) AS se, CAST(0 AS DOUBLE) AS sse, y, n, last_pe
+  FROM i2 JOIN {trials} USING ({keys})
+  UNION ALL
+  SELECT {keys}, a, b, g, t + 1, {up}, b * (({up}) - l) + (1 - b) * tr,
+         list_transform(range(12), lambda i: CASE WHEN i = t % 12 THEN g * (y[t + 1] - l - tr) + (1 - g) * se[t % 12 + 1] ELSE se[i + 1] END),
+         sse + (y[t + 1] - (l + tr + se[t % 12 + 1])) * (y[t + 1] - (l + tr + se[t % 12 + 1])), y, n, last_pe
+  FROM {name} WHERE t < n)"""
+
+    first = f"(SELECT {keys}, round(a, 2) AS a, round(b, 2) AS b, round(g, 2) AS g FROM i2, {grid.format('a')}, {grid.format('b')}, {grid.format('g')})"
+    second = " JOIN ".join(fine.format(c, k=keys) + f" f{c}" + (f" USING ({keys})" if c != "a" else "") for c in "abg")
+    return f"""{series},
+s2 AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY ps) - 1 AS idx, period_end, v FROM s),
+ys AS (SELECT {keys}, list(v ORDER BY idx) AS y, CAST(count(*) AS INTEGER) AS n, max(period_end) AS last_pe FROM s2 GROUP BY {keys}),
+i1 AS (SELECT *, list_reduce(list_prepend(CAST(0.0 AS DOUBLE), y[1:12]), lambda a, x: a + x) AS s1,
+              list_reduce(list_prepend(CAST(0.0 AS DOUBLE), y[13:24]), lambda a, x: a + x) AS s2 FROM ys WHERE n >= 24),
+i2 AS (SELECT *, s1 / 12 AS l0, (s2 - s1) / 12 / 12 AS b0 FROM i1),
+{walk('r1', first + ' q')},
+best1 AS (SELECT {keys}, arg_min(a, sse) AS a0, arg_min(b, sse) AS b0, arg_min(g, sse) AS g0 FROM r1 WHERE t = n GROUP BY {keys}),
+near AS (SELECT {keys}, a, b, g FROM {second} WHERE a > 0 AND a < 1 AND b > 0 AND b < 1 AND g > 0 AND g < 1),
+{walk('r2', 'near')},
+fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY sse) AS rk FROM r2 WHERE t = n) z WHERE rk = 1)"""
+
+
+ORACLE["t3_holt_winters"] = "WITH RECURSIVE " + with_(*BASE, "one AS (SELECT 1 AS k, * FROM filtered)", _grid_search(_calendar_sql(
+    "one", "order_date", "sell", "CAST(date_trunc('month', order_date) AS DATE)", "INTERVAL 1 MONTH", "last_day(cal.ps)", keys="k"), "k"))[5:] + """
+SELECT CAST(last_day(last_pe + to_months(CAST(q AS INTEGER))) AS DATE) AS period_end, CAST(NULL AS DOUBLE) AS actual,
+       round(l + q * tr + se[(n - 1 + q) % 12 + 1], 0) AS fitted FROM fin, range(1, 7) AS qq(q)"""
+ORACLE["t3_holt_winters_by_category"] = "WITH RECURSIVE " + with_(*BASE, _grid_search(_calendar_sql(
+    "filtered", "order_date", "sell", "CAST(date_trunc('month', order_date) AS DATE)", "INTERVAL 1 MONTH", "last_day(cal.ps)", keys="category"), "category"))[5:] + """
+SELECT category, round(a, 4) AS alpha, round(b, 4) AS beta, round(g, 4) AS gamma, round(ln(sse), 6) AS log_sse FROM fin"""
+
 _MONTHS = "CAST(datediff('month', min(order_date), max(order_date)) + 1 AS BIGINT) AS periods, round(sum(sell), 0) AS total, CAST(6 AS BIGINT) AS forecasts"
 ORACLE["t3_fit_checks"] = with_(*BASE) + f"""
 SELECT category, {_MONTHS}, 0.0 AS replay_gap, CAST(0 AS BIGINT) AS better_nearby FROM filtered GROUP BY category"""

@@ -565,6 +565,7 @@ def q_feature_medians(spark, sf_dir):
 
 
 # --- M: models (MLlib; rows-only check, properties in tests/) -------------------------------
+from shelfwise.operators import boosting as _boost  # noqa: E402
 from shelfwise.operators import models as _models  # noqa: E402
 
 
@@ -586,12 +587,13 @@ def q_sell_regressors(spark, sf_dir):
     return _models.regression_leaderboard(models, test)
 
 
-def _sql_split(df, target, feats):
+def _sql_split(df, target, feats, stratify=False):
     """Complete rows, split by the SQL-expressible hash, assembled."""
     from pyspark.ml.feature import VectorAssembler
 
     d = df.select(*LINE_KEY, *feats, F.col(target).cast("double").alias("label")).na.drop(subset=[*feats, "label"])
-    d = _feat.split(d, LINE_KEY, 0.2, seed=42, sql_hash=True)
+    cut = (lambda x: _feat.stratified_split(x, "label", LINE_KEY, 0.2, 42, sql_hash=True)) if stratify else (lambda x: _feat.split(x, LINE_KEY, 0.2, seed=42, sql_hash=True))
+    d = cut(d)
     return VectorAssembler(inputCols=feats, outputCol="features").transform(d)
 
 
@@ -606,6 +608,27 @@ def q_linear_coefficients(spark, sf_dir):
                       F.round(F.lit(b[1]), 3).alias("sell_price"), F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"), "n")
 
 
+def _boosted_nodes(model, spark):
+    """Every split with its cut and (log) gain, every leaf with its value."""
+    return model.nodes(spark).select("tree", "node", "feature", F.round("cut", 6).alias("cut"), F.round(F.log("gain"), 5).alias("log_gain"),
+                                     F.round("value", 4).alias("value"), "rows")
+
+
+@register("m4_boosted_trees")
+def q_boosted_trees(spark, sf_dir):
+    """Two regularised second-order trees for sell."""
+    model = _boost.fit_boosted(filtered(spark, sf_dir).select("unit", "sell_price", F.col("sell").alias("label")), ["unit", "sell_price"],
+                               trees=2, depth=3, bins=8)
+    return _boosted_nodes(model, spark)
+
+
+@register("m5_boosted_trees")
+def q_boosted_classes(spark, sf_dir):
+    """The same with logistic loss, for repeated customers."""
+    rows = filtered(spark, sf_dir).select("discount_pct", "age", (F.col(clean.FLAG) * 1).alias("label"))
+    return _boosted_nodes(_boost.fit_boosted(rows, ["discount_pct", "age"], classify=True, trees=2, depth=2, bins=6), spark)
+
+
 @register("m7b_ridge_classifier")
 def q_ridge_classifier(spark, sf_dir):
     """Ridge classification of repeated customers (few positives, strong penalty): coefficients and test accuracy."""
@@ -710,17 +733,37 @@ def q_score_sell_profit(spark, sf_dir):
     return out
 
 
-@register("m15_score_retention")
-def q_score_retention(spark, sf_dir):
+def _retention_model(spark, sf_dir):
+    """The penalised logistic model of repeated customers on the stratified training rows, and all rows with their part."""
     from pyspark.ml.classification import LogisticRegression
 
-    train, _ = _xy_split(filtered(spark, sf_dir), clean.FLAG, ["sell", "unit"], stratify=True)
-    model = LogisticRegression(maxIter=1000).fit(train)
-    inputs = _feat.feature_medians(train, ["sell", "unit"])
+    d = _models.right_size(_sql_split(filtered(spark, sf_dir), clean.FLAG, ["sell", "unit"], stratify=True))
+    train = d.where("is_test = 0")
+    return _models.penalised(LogisticRegression(maxIter=1000, tol=1e-12), train.count()).fit(train), d
+
+
+@register("m5_logistic_coefficients")
+def q_logistic_coefficients(spark, sf_dir):
+    """The retention classifier's coefficients (sell in thousands) and its fit on the test rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    model, d = _retention_model(spark, sf_dir)
+    w = [float(x) for x in model.coefficients]
+    judged = model.transform(d.where("is_test = 1")).select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+    fit = judged.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.avg("p").alias("p"))
+    return fit.select(F.round(F.lit(float(model.intercept)), 3).alias("intercept"), F.round(F.lit(w[0] * 1000), 4).alias("sell_thousands"),
+                      F.round(F.lit(w[1]), 4).alias("unit"), F.round("accuracy", 6).alias("accuracy"), F.round("p", 4).alias("mean_probability"), "n")
+
+
+@register("m15_score_retention")
+def q_score_retention(spark, sf_dir):
+    """The chance that a customer with median sell and units returns, and its wording."""
     from pyspark.ml.feature import VectorAssembler
 
+    model, d = _retention_model(spark, sf_dir)
+    inputs = _feat.feature_medians(d.where("is_test = 0"), ["sell", "unit"])
     inputs = VectorAssembler(inputCols=["sell", "unit"], outputCol="features").transform(inputs)
-    return _models.score(model, inputs).select("sell", "unit", "prediction", "probability_1", "outcome")
+    return _models.score(model, inputs).select(F.round("sell", 2).alias("sell"), "unit", "prediction", F.round("probability_1", 4).alias("probability_1"), "outcome")
 
 
 # --- T3/T4: forecasting ------------------------------------------------------------------------
@@ -746,7 +789,7 @@ def q_holt_winters(spark, sf_dir):
 def q_holt_winters_by_category(spark, sf_dir):
     m = series.resample(filtered(spark, sf_dir), "sell", "month", keys=["category"], name="sell")
     _, chosen = _fc.holt_winters(m, "sell", keys=["category"], h=6)
-    return rounded(chosen, 6)
+    return chosen.select("category", *[F.round(c, 4).alias(c) for c in ("alpha", "beta", "gamma")], F.round(F.log("sse"), 6).alias("log_sse"))
 
 
 @register("t3_fit_checks")
