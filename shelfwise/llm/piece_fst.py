@@ -70,7 +70,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceTransducer:
     """Normaliser, pieces and byte fallback of one model file."""
 
-    def __init__(self, model: bytes, cache_units: int = 220_000):
+    def __init__(self, model: bytes, cache_units: int = 350_000):
         self.pieces: list[tuple[str, float, int]] = []
         kind, fallback, spec = UNIGRAM, False, {1: b"", 2: b"", 3: 1, 4: 1, 5: 1}
         for no, value in _fields(model):
