@@ -30,6 +30,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.boosting import SecondOrderBoosting
 from shelfwise.operators.clean import standardize
 from shelfwise.operators.metrics import classification_metrics, confusion_counts, hard_vote, regression_metrics
 from shelfwise.session import drop_shared, shared_table
@@ -45,10 +46,11 @@ def right_size(df: DataFrame) -> DataFrame:
 
 
 def regressors(features: str = "features", label: str = "label", trees: int = 100, tree_depth: int = 30,
-               forest_depth: int = 12, boost_depth: int = 6, step: float = 0.3) -> dict:
-    """M4: linear, tree, forest and boosted regressors."""
+               forest_depth: int = 12, boost_depth: int = 6, step: float = 0.3, second_order: bool = False) -> dict:
+    """M4: linear, tree, forest and boosted regressors; ``second_order`` adds boosting with curvature and a penalty on the leaves."""
     common = {"featuresCol": features, "labelCol": label}
-    return {
+    more = {"SecondOrderBoosting": SecondOrderBoosting(features, label, False, trees, boost_depth, step)} if second_order else {}
+    return more | {
         "LinearRegression": LinearRegression(**common),
         "DecisionTree": DecisionTreeRegressor(seed=SEED, maxDepth=tree_depth, maxBins=64, **common),
         "RandomForest": RandomForestRegressor(numTrees=trees, maxDepth=forest_depth, seed=SEED, **common),
@@ -57,10 +59,11 @@ def regressors(features: str = "features", label: str = "label", trees: int = 10
 
 
 def classifiers(features: str = "features", label: str = "label", trees: int = 100, tree_depth: int = 30,
-                forest_depth: int = 12, boost_depth: int = 6, step: float = 0.3) -> dict:
-    """M5: logistic, tree, forest and boosted classifiers."""
+                forest_depth: int = 12, boost_depth: int = 6, step: float = 0.3, second_order: bool = False) -> dict:
+    """M5: logistic, tree, forest and boosted classifiers; ``second_order`` as for the regressors."""
     common = {"featuresCol": features, "labelCol": label}
-    return {
+    more = {"SecondOrderBoosting": SecondOrderBoosting(features, label, True, trees, boost_depth, step)} if second_order else {}
+    return more | {
         "LogisticRegression": LogisticRegression(maxIter=1000, **common),
         "DecisionTree": DecisionTreeClassifier(seed=SEED, maxDepth=tree_depth, maxBins=64, **common),
         "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=forest_depth, seed=SEED, **common),

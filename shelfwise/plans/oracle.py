@@ -705,6 +705,13 @@ FROM b{t}_{d}, cuts""")
 ORACLE["m4_boosted_trees"] = with_(*BASE, _boosted("sell", "unit", "sell_price", 8, 3, 2, False))
 ORACLE["m5_boosted_trees"] = with_(*BASE, _boosted("repeated_customer_flag", "discount_pct", "age", 6, 2, 2, True))
 
+_COMPLETE = "unit IS NOT NULL AND sell_price IS NOT NULL AND age IS NOT NULL AND sell IS NOT NULL"
+ORACLE["m13_linear_board"] = with_(*BASE) + " UNION ALL ".join(
+    f"""SELECT * FROM (WITH {_two_feature_fit("sell", "unit", f2, _COMPLETE)}
+SELECT '{name}' AS model, round(1 - sum((y - b0 - b1 * x - b2 * z) ** 2) / (var_pop(y) * count(*)), 6) AS r2,
+       round(sqrt(avg((y - b0 - b1 * x - b2 * z) ** 2)), 2) AS rmse FROM sp, fit WHERE is_test)"""
+    for name, f2 in (("price", "sell_price"), ("age", "age")))
+
 ORACLE["m15_score_sell_profit"] = with_(*BASE) + " UNION ALL ".join(
     f"""SELECT * FROM (WITH {_two_feature_fit(t, a, b, f"{a} IS NOT NULL AND {b} IS NOT NULL AND {t} IS NOT NULL")}
 SELECT '{t}' AS target, round(i1, 2) AS input_1, round(i2, 2) AS input_2, round(b0 + b1 * i1 + b2 * i2, 1) AS expected
@@ -788,6 +795,8 @@ ORACLE["t3_holt_winters_by_category"] = "WITH RECURSIVE " + with_(*BASE, _grid_s
     "filtered", "order_date", "sell", "CAST(date_trunc('month', order_date) AS DATE)", "INTERVAL 1 MONTH", "last_day(cal.ps)", keys="category"), "category"))[5:] + """
 SELECT category, round(a, 4) AS alpha, round(b, 4) AS beta, round(g, 4) AS gamma, round(ln(sse), 6) AS log_sse FROM fin"""
 
+ORACLE["t5_history_guard"] = with_(*BASE, monthly_series_sql("filtered", "sell", "sell")) + "SELECT period_end, round(sell, 0) AS sell FROM s"
+
 _MONTHS = "CAST(datediff('month', min(order_date), max(order_date)) + 1 AS BIGINT) AS periods, round(sum(sell), 0) AS total, CAST(6 AS BIGINT) AS forecasts"
 ORACLE["t3_fit_checks"] = with_(*BASE) + f"""
 SELECT category, {_MONTHS}, 0.0 AS replay_gap, CAST(0 AS BIGINT) AS better_nearby FROM filtered GROUP BY category"""

@@ -618,7 +618,7 @@ def _boosted_nodes(model, spark):
 def q_boosted_trees(spark, sf_dir):
     """Two regularised second-order trees for sell."""
     model = _boost.fit_boosted(filtered(spark, sf_dir).select("unit", "sell_price", F.col("sell").alias("label")), ["unit", "sell_price"],
-                               trees=2, depth=3, bins=8)
+                               trees=2, depth=3, bins=8, exact=True)
     return _boosted_nodes(model, spark)
 
 
@@ -626,7 +626,22 @@ def q_boosted_trees(spark, sf_dir):
 def q_boosted_classes(spark, sf_dir):
     """The same with logistic loss, for repeated customers."""
     rows = filtered(spark, sf_dir).select("discount_pct", "age", (F.col(clean.FLAG) * 1).alias("label"))
-    return _boosted_nodes(_boost.fit_boosted(rows, ["discount_pct", "age"], classify=True, trees=2, depth=2, bins=6), spark)
+    return _boosted_nodes(_boost.fit_boosted(rows, ["discount_pct", "age"], classify=True, trees=2, depth=2, bins=6, exact=True), spark)
+
+
+@register("m13_linear_board")
+def q_linear_board(spark, sf_dir):
+    """The board of two linear models of sell that see different columns."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    d = _models.right_size(_sql_split(filtered(spark, sf_dir).withColumn("label_", F.col("sell")), "label_", ["unit", "sell_price", "age"]).drop("features"))
+    kinds = {"price": ["unit", "sell_price"], "age": ["unit", "age"]}
+    steps = {k: Pipeline(stages=[VectorAssembler(inputCols=c, outputCol="features"), LinearRegression()]) for k, c in kinds.items()}
+    fitted, _ = _models.fit_all(steps, d.where("is_test = 0"))
+    board = _models.regression_leaderboard(fitted, d.where("is_test = 1"))
+    return board.select("model", F.round("r2", 6).alias("r2"), F.round("rmse", 2).alias("rmse"))
 
 
 @register("m7b_ridge_classifier")
@@ -792,6 +807,12 @@ def q_holt_winters_by_category(spark, sf_dir):
     return chosen.select("category", *[F.round(c, 4).alias(c) for c in ("alpha", "beta", "gamma")], F.round(F.log("sse"), 6).alias("log_sse"))
 
 
+@register("t5_history_guard")
+def q_history_guard(spark, sf_dir):
+    """The monthly series behind its guard: two seasons or an error."""
+    return rounded(series.require_history(_monthly_sell(spark, sf_dir), 24, "decomposition"), 0)
+
+
 @register("t3_fit_checks")
 def q_fit_checks(spark, sf_dir):
     """The fitted Holt-Winters by its definition: walking each series from the parameters and start found gives
