@@ -22,7 +22,7 @@ from shelfwise.functions.parse import (
     to_number,
     to_ts,
 )
-from shelfwise.operators.stats import exact_medians, exact_quantiles, mean_std_pop
+from shelfwise.operators.stats import exact_medians, exact_quantiles, exact_quantiles_by, held_count, mean_std_pop
 from shelfwise.session import shared_table
 
 NUMERIC_SALES = ["sell", "cost", "unit", "price", "discount_pct", "sell_price", "buying_price"]
@@ -173,17 +173,24 @@ def iqr_filter(df: DataFrame, cols: list[str], k: float = 1.5) -> tuple[DataFram
     cols = [c for c in cols if c in df.columns]
     report, kept = [], F.lit(True)
     slim = df.select(*[F.col(f"`{c}`") for c in cols]).persist()
+
+    def counted(i: int) -> tuple[int, int]:
+        """Rows left, and values of the next column in them: one job for both."""
+        held = held_count(cols[i]) if i < len(cols) else F.count(F.lit(1))
+        r = slim.where(kept).agg(F.count(F.lit(1)).alias("rows"), held.alias("held")).first()
+        return r["rows"], r["held"]
+
     try:
-        left = slim.count()
-        for c in cols:
-            q1, q3 = exact_quantiles(slim.where(kept), c, [0.25, 0.75])
+        left, held = counted(0)
+        for i, c in enumerate(cols):
+            q1, q3 = exact_quantiles_by(slim.where(kept), {c: [0.25, 0.75]}, {c: held})[c]
             lower = upper = None
             if q1 is None:
                 kept = F.lit(False)
             else:
                 lower, upper = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
                 kept = kept & (F.col(f"`{c}`") >= F.lit(lower)) & (F.col(f"`{c}`") <= F.lit(upper))
-            after = slim.where(kept).count()
+            after, held = counted(i + 1)
             report.append({"column": c, "lower": lower, "upper": upper, "removed": left - after})
             left = after
     finally:

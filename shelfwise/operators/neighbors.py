@@ -68,14 +68,15 @@ def _block_nearest(k: int):
     return run
 
 
-def meetings(held: DataFrame, visits: DataFrame, block_rows: int) -> DataFrame:
-    """The rows that a round shuffles: every training row (``held``: id, v, label, cell, parts) once for each query block that
-    visits its cell, every query (``visits``: id, v, home, home_block, cell) once for each part of a cell it visits."""
+def meetings(held: DataFrame, visits: DataFrame, parts: list[int]) -> DataFrame:
+    """The rows that a round shuffles: every training row (``held``: id, v, label, cell) once for each query block that
+    visits its cell, every query (``visits``: id, v, home, home_block, cell) once for each part of a cell it visits.
+    ``parts``: of each cell."""
     blocks = visits.select("cell", "home", "home_block").distinct()
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    n = F.get(F.lit(parts), F.col("cell").cast("int"))
+    part = F.pmod(F.xxhash64("id"), n).cast("int")
     there = held.join(blocks, "cell").select(F.lit(0).alias("query"), "id", "v", "label", "cell", part.alias("part"), "home", "home_block")
-    parts = held.select("cell", "parts").distinct()
-    here = visits.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    here = visits.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
     here = here.select(F.lit(1).alias("query"), "id", "v", F.lit(0.0).alias("label"), "cell", "part", "home", "home_block")
     return there.unionByName(here)
 
@@ -106,15 +107,14 @@ class Cells:
                     d = _distances(np.stack(part["v"].to_numpy()), book.value)
                     yield part.assign(cell=d.argmin(axis=1), dist=d.min(axis=1))
 
-        self.placed = shared_table(train.mapInPandas(place, "id long, v array<double>, label double, cell long, dist double"))
-        seen = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r"))
-        sizes = shared_table(seen.withColumn("parts", F.ceil(F.col("n") / block_rows)))
-        self.held = self.placed.drop("dist").join(sizes.select("cell", "parts"), "cell")
+        self.held = shared_table(train.mapInPandas(place, "id long, v array<double>, label double, cell long, dist double"))
+        sizes = self.held.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r"))
         count, radius = np.zeros(len(points), np.int64), np.zeros(len(points))
         for r in sizes.collect():  # a row for each pivot
             count[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
         slack = 1e-6 * float(np.sqrt((points * points).sum(axis=1)).max(initial=0.0)) + 1e-9
         self.count, self.radius, self.slack = count, radius + slack, slack
+        self.parts = np.maximum(-(-count // block_rows), 1).tolist()
 
     def locate(self, queries: DataFrame) -> DataFrame:
         """(id, v, home, home_block, cells): ``cells`` are the nearest ones that hold k rows together."""
@@ -130,11 +130,13 @@ class Cells:
                     needed = (before < min(k, n)).sum(axis=1)
                     yield part.assign(home=order[:, 0], cells=[o[:m] for o, m in zip(order, needed.tolist())])
 
-        sent = queries.mapInPandas(run, "id long, v array<double>, home long, cells array<long>")
+        sent = shared_table(queries.mapInPandas(run, "id long, v array<double>, home long, cells array<long>"))
         # blocks of a home: as many as its queries fill
-        per_home = sent.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).alias("home_blocks"))
-        sent = sent.join(per_home, "home").withColumn("home_block", F.pmod(F.xxhash64("id"), F.col("home_blocks")).cast("int"))
-        return sent.select("id", "v", "home", "home_block", "cells")
+        blocks = [1] * len(self.parts)
+        for r in sent.groupBy("home").count().collect():  # a row for each pivot
+            blocks[r["home"]] = -(-r["count"] // self.block_rows)
+        block = F.pmod(F.xxhash64("id"), F.get(F.lit(blocks), F.col("home").cast("int"))).cast("int")
+        return sent.select("id", "v", "home", block.alias("home_block"), "cells")
 
     def reached(self, located: DataFrame) -> DataFrame:
         """``cells`` replaced by those not seen yet that can hold a row nearer than the k-th so far (column ``reach``)."""
@@ -154,7 +156,7 @@ class Cells:
 
     def meet(self, located: DataFrame) -> DataFrame:
         visits = located.withColumn("cell", F.explode("cells")).drop("cells")
-        work = meetings(self.held, visits, self.block_rows)
+        work = meetings(self.held.drop("dist"), visits, self.parts)
         return work.groupBy("cell", "part", "home", "home_block").applyInPandas(_block_nearest(self.k), RESULT)
 
 
@@ -169,7 +171,7 @@ def nearest(train: DataFrame, query: DataFrame, k: int, vec: str, id_col: str, l
     if not cells.n:
         return spark.createDataFrame([], RESULT)
     asked = q.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")  # equal queries once
-    asked = shared_table(cells.locate(asked))
+    asked = cells.locate(asked)
     first = shared_table(_best(cells.meet(asked), k))
     reach = first.groupBy(F.col("query_id").alias("id")).agg(F.sqrt(F.max("dist2")).alias("reach"))
     second = cells.meet(cells.reached(asked.join(reach, "id").select("id", "v", "home", "home_block", "cells", "reach")))

@@ -114,13 +114,20 @@ def _as_double(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.when(~F.isnan(v), v).alias(f"x{i}") for i, v in enumerate(x)])
 
 
-def exact_quantiles_by(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of several columns (NULL and NaN ignored); None for an empty column."""
+def held_count(col: str):
+    """How many values of a column the quantiles are of (NULL and NaN left out), as an aggregate."""
+    x = F.col(f"`{col}`").cast("double")
+    return F.count(F.when(~F.isnan(x), x))
+
+
+def exact_quantiles_by(df: DataFrame, wanted: dict[str, list[float]], sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several columns (NULL and NaN ignored); None for an empty column.
+    ``sizes``: the columns' :func:`held_count`, where a caller has them already."""
     cols = list(wanted)
     if not cols:
         return {}
     vals = _as_double(df, cols)
-    known = _sizes(vals)
+    known = {f"x{i}": sizes[c] for i, c in enumerate(cols)} if sizes else _sizes(vals)
     targets, where = [], []
     for i, c in enumerate(cols):
         n = known[f"x{i}"]

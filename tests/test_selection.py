@@ -123,7 +123,7 @@ def test_training_rows_go_only_where_a_query_visits(spark):
         cells = neighbors.Cells(t, 5, 64, 200)
         asked = cells.locate(t.select((F.col("id") + 10**6).alias("id"), "v"))
         visits = asked.withColumn("cell", F.explode("cells")).drop("cells")
-        return neighbors.meetings(cells.held, visits, 200).count()
+        return neighbors.meetings(cells.held, visits, cells.parts).count()
 
     small, large = shuffled(2000), shuffled(8000)
     assert large < 4 * small * 1.6  # in proportion to the rows, not to rows x queries
