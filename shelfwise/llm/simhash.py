@@ -243,9 +243,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     from pyspark.sql import Window as W
 
+    own = "kept_id_"
+    while own in df.columns:
+        own += "_"
     kept = simhash_classes(df, id_col, text_col, shingle, max_bits).filter(F.col(id_col) == F.col("component_id"))
-    kept = shared_table(kept.select(F.col(id_col).alias("kept_id_")).distinct())
+    kept = shared_table(kept.select(F.col(id_col).alias("kept_id_")).distinct()).toDF(own)
     one = W.partitionBy(id_col).orderBy(F.xxhash64(*df.columns), text_col)
-    mine = df.join(kept, F.col(id_col) == F.col("kept_id_"), "left_semi")
-    mine = mine.withColumn("row_of_id_", F.row_number().over(one)).filter("row_of_id_ = 1").drop("row_of_id_")
+    mine = df.join(kept, F.col(id_col) == F.col(own), "left_semi")
+    mine = mine.withColumn(own, F.row_number().over(one)).filter(F.col(own) == 1).drop(own)
     return mine.unionByName(df.filter(F.col(id_col).isNull()))

@@ -50,3 +50,23 @@ def test_a_document_without_letters_goes(spark):
 def test_the_model_knows_the_languages(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert langid.train(docs).languages == sorted({r.lang for r in docs.select("lang").distinct().collect()})
+
+
+def test_an_empty_table(spark, tmpdir_fresh):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmpdir_fresh}/documents.parquet")
+    assert C.run(spark, tmpdir_fresh).count() == 0
+
+
+def test_repeated_rows_and_other_columns(spark, tmpdir_fresh):
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60).collect()]
+    rows = [(*r, "kept", i, None) for i, r in enumerate([*rows, *rows[:20]])]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, kept_id_ string, ids int, spans string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmpdir_fresh}/documents.parquet")
+    docs = spark.read.parquet(f"{tmpdir_fresh}/documents.parquet")
+    for stage in (C.language_id, C.near_dedup, C.secret_scans):
+        docs = stage(spark, docs, tmpdir_fresh)
+        assert docs.columns == [k.split()[0] for k in kinds.split(", ")]
+    left = [r.doc_id for r in docs.collect()]
+    assert len(left) == len(set(left)) > 10  # copies of a row go with the near-duplicates
+    got = C.run(spark, tmpdir_fresh)
+    assert {r.doc_id for r in got.collect()} == set(left)

@@ -107,3 +107,9 @@ def test_components_of_paths_stars_and_repeats(spark):
     real = [(a, b) for a, b in pairs if a is not None and a != b]
     ids = {x for p in real for x in p}
     assert got == brute_components(real, ids)
+
+
+def test_columns_of_the_same_names_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "a b c", 6, "y"), (2, "a b c", 6, "y")], "doc_id long, text string, kept_id_ int, row_of_id_ string")
+    out = S.drop_near_duplicates(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a b c", 5, "x")]
