@@ -1,6 +1,6 @@
 """Exact k-nearest neighbours (M6) by pivot cells and two rounds of visits.
 
-Training rows are dealt to the nearest of about ``sqrt(rows)`` pivots (their cell); a query's home is the
+Training rows are dealt to the nearest of about ``sqrt(rows) / 4`` pivots (their cell); a query's home is the
 nearest pivot's cell, and queries of one home form blocks of bounded size. In the first round a query looks
 into the nearest cells that hold ``k`` rows together, as a rule its home alone; the k-th distance
 found bounds, by the triangle inequality, the other cells that can hold a neighbour, which the second
@@ -97,7 +97,7 @@ class Cells:
         self.n = train.count()
         if not self.n:
             return
-        points = _pivots(train, self.n, pivots or max(64, math.isqrt(self.n)))
+        points = _pivots(train, self.n, pivots or max(4, math.isqrt(self.n) // 4))
         self.book = book = spark.sparkContext.broadcast(points)
 
         def place(batches):
