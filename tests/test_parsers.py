@@ -79,3 +79,16 @@ def test_word_pieces_keep_tokens_and_order(spark):
 
 def test_parse_kmb_unicode_blank_before_suffix(spark):
     assert _eval(spark, ["1.5\u00a0k", "2\u2003m", "3 b"], parse_kmb) == [1500.0, 2e6, 3e9]
+
+
+def test_dates_are_parsed_once_and_only_in_their_shape(spark):
+    """Each pattern stands once in the expression, behind its shape; shapes let through all that is within reach."""
+    from shelfwise.functions.parse import DATE_FORMATS, to_ts
+
+    text = to_ts(F.col("t"))._jc.toString()
+    assert text.count("rlike") + text.count("RLIKE") >= len(DATE_FORMATS) + 2
+    cases = {"2024-02-30": None, "02/30/2024": None, "2024-02-29 01:02:03": "2024-02-29 01:02:03", "+02024-01-05": "2024-01-05 00:00:00",
+             "5-Jan--2024": None, "5-jan-24": "2024-01-05 00:00:00", "5 January 2101": None, "Jan 5, 1899": None, "may 5, 2100": "2100-05-05 00:00:00",
+             "005/1/2024": "2024-05-01 00:00:00", "31-12-1900": "1900-12-31 00:00:00", "5.1.2024 9:05": "2024-01-05 09:05:00", "bad": None}
+    rows = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {r["t"]: r["ts"] for r in rows.select("t", to_ts("t").cast("string").alias("ts")).collect()} == cases
