@@ -55,14 +55,24 @@ def _block_nearest(k: int):
             return pd.DataFrame({c: np.empty(0, np.int64 if c.endswith("id") else float) for c in cols})
         t_ids, t_lab = t["id"].to_numpy(np.int64), t["label"].to_numpy(float)
         t_mat, q_mat = np.stack(t["v"].to_numpy()), np.stack(q["v"].to_numpy())
+        # distances by one matrix product choose the candidates, with room for its rounding; theirs are then exact
+        middle = t_mat.mean(axis=0)
+        t_off, q_off = t_mat - middle, q_mat - middle
+        t_2, q_2 = (t_off * t_off).sum(axis=1), (q_off * q_off).sum(axis=1)
+        room = 1e-14 * (t_mat.shape[1] + 8) * (np.sqrt(q_2) + np.sqrt(t_2.max())) ** 2
         out = []
         for lo in range(0, len(q), 64):
-            d2 = ((q_mat[lo:lo + 64, None, :] - t_mat[None, :, :]) ** 2).sum(axis=2)
-            near = np.lexsort((np.broadcast_to(t_ids, d2.shape), d2), axis=1)[:, :k]
-            rows = np.arange(len(near))[:, None]
-            ids = np.repeat(q["id"].to_numpy(np.int64)[lo:lo + 64], near.shape[1])
-            out.append(pd.DataFrame({"query_id": ids, "neighbor_id": t_ids[near].ravel(), "dist2": d2[rows, near].ravel(),
-                                     "neighbor_label": t_lab[near].ravel()}))
+            part = slice(lo, lo + 64)
+            near = q_2[part, None] + t_2[None, :] - 2 * (q_off[part] @ t_off.T)
+            kth = np.partition(near, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
+            row, col = np.nonzero(~(near > (kth + room[part])[:, None]))
+            d2 = ((q_mat[lo + row] - t_mat[col]) ** 2).sum(axis=1)
+            order = np.lexsort((t_ids[col], d2, row))
+            row, col, d2 = row[order], col[order], d2[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col, d2 = row[kept], col[kept], d2[kept]
+            out.append(pd.DataFrame({"query_id": q["id"].to_numpy(np.int64)[lo + row], "neighbor_id": t_ids[col], "dist2": d2,
+                                     "neighbor_label": t_lab[col]}))
         return pd.concat(out)
 
     return run
