@@ -185,16 +185,28 @@ def vote_predictions(models: dict, df: DataFrame, id_col: str, label: str = "lab
     return voted.join(df.select(id_col, label), id_col)
 
 
+#: Rows of one task of an iterative fit that keeps them in memory as objects, many times their size on disk.
+FIT_ROWS = 1_000_000
+
+
 def segment(df: DataFrame, cols: list[str], k: int = 3, seed: int = SEED, min_rows: int = 20) -> tuple[DataFrame, DataFrame]:
     """M9: K-means on z-scored columns (population std); returns the rows with
     their cluster and the centres in original units."""
     data = df.na.drop(subset=cols)
     if data.limit(min_rows).count() < min_rows:
         raise ValueError(f"need at least {min_rows} complete rows for clustering")
-    z, stats = standardize(data, cols, suffix="_z")
-    vec = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol="_x").transform(z)
-    model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="_x", predictionCol="cluster").fit(vec)
-    labelled = model.transform(vec).drop("_x", *[c + "_z" for c in cols])
+    slim = right_size(data.select(*cols))
+    z, stats = standardize(slim, cols, suffix="_z")
+    assembled = VectorAssembler(inputCols=[c + "_z" for c in cols], outputCol="_x")
+    fitted = assembled.transform(z).select("_x")
+    tasks = -(-slim.count() // FIT_ROWS)
+    if tasks > fitted.rdd.getNumPartitions():
+        fitted = fitted.repartition(tasks)
+    model = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="_x", predictionCol="cluster").fit(fitted)
+    drop_shared(slim)
+    for c in cols:
+        data = data.withColumn(c + "_z", (F.col(c) - F.lit(stats[c][0])) / F.lit(stats[c][1] or 1.0))
+    labelled = model.transform(assembled.transform(data)).drop("_x", *[c + "_z" for c in cols])
     rows = []
     for i, center in enumerate(model.clusterCenters()):
         rows.append((i, *[float(center[j] * (stats[c][1] or 1.0) + stats[c][0]) for j, c in enumerate(cols)]))
