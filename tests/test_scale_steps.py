@@ -56,3 +56,38 @@ def test_segments_are_fitted_in_tasks_of_bounded_rows(spark, monkeypatch):
     labelled, _ = models.segment(df, ["a", "b"], k=2)
     assert tasks and tasks[0] >= 4
     assert labelled.count() == 400
+
+
+def test_grams_leave_their_text_as_distinct_terms(spark):
+    from shelfwise.operators.text import char_ngram_counts
+
+    plan = char_ngram_counts(spark.createDataFrame([(1, "abab")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower()  # no row for each character
+
+
+def test_tfidf_reads_its_texts_once_and_sums_rows_that_share_an_id(spark):
+    from collections import Counter
+    from math import log, sqrt
+
+    from shelfwise.operators.text import char_tfidf
+
+    texts = [(1, "Ab  ab"), (2, "b\x00a😀"), (2, "abé"), (None, "aab"), (3, ""), (4, None), (5, "b" * 9)]
+    for rows in (texts, texts[:2] + texts[4:]):  # without repeated and missing ids, all documents are counted where they lie
+        df, seen = _counted(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+        weights, vocab = char_tfidf(df, max_features=12)
+        got = {(r["doc_id"], r["term"]): (r["tf"], r["tfidf"], r["feature_index"]) for r in weights.collect()}
+        assert seen.value == len(rows)
+        tf: dict = {}
+        for i, t in rows:
+            t = (t or "").lower().replace("  ", " ")
+            tf.setdefault(i, Counter()).update(t[p : p + n] for n in (1, 2, 3) for p in range(len(t) - n + 1))
+        total, held = sum(tf.values(), Counter()), Counter(w for i, c in tf.items() if i is not None for w in c)
+        terms = sorted(sorted(total, key=lambda w: (-total[w], w))[:12])
+        idf = {w: log((1 + len(tf)) / (1 + held[w])) + 1 for w in terms}
+        want = {}
+        for i, c in tf.items():
+            norm = sqrt(sum((c[w] * idf[w]) ** 2 for w in terms))
+            want.update({(i, w): (c[w], c[w] * idf[w] / norm, terms.index(w)) for w in terms if c[w]})
+        assert got.keys() == want.keys()
+        assert all(got[k][::2] == want[k][::2] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+        assert {r["term"]: (r["corpus_count"], r["df"]) for r in vocab.collect()} == {w: (total[w], held[w]) for w in terms}
