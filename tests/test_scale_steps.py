@@ -91,3 +91,21 @@ def test_tfidf_reads_its_texts_once_and_sums_rows_that_share_an_id(spark):
         assert got.keys() == want.keys()
         assert all(got[k][::2] == want[k][::2] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
         assert {r["term"]: (r["corpus_count"], r["df"]) for r in vocab.collect()} == {w: (total[w], held[w]) for w in terms}
+
+
+def test_vocabulary_reads_its_texts_once(spark):
+    from shelfwise.operators.text import fit_vocab
+
+    df, seen = _counted(spark, spark.createDataFrame([(i, f"a w{i % 7}") for i in range(60)], "doc_id long, text string"))
+    assert {r["word"]: r["count"] for r in fit_vocab(df).collect()}["a"] == 60
+    assert seen.value == 60
+
+
+def test_votes_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from shelfwise.operators import metrics
+
+    monkeypatch.setattr(metrics, "VOTE_ROWS", 10, raising=False)
+    votes = spark.range(400).selectExpr("id div 4 as id", "cast(id % 4 as string) as model", "cast(id % 4 > 1 as int) as prediction")
+    voted = metrics.hard_vote(votes)
+    assert voted.rdd.getNumPartitions() >= 40
+    assert voted.where("prediction = 0").count() == 100  # a tie each: the smaller label
