@@ -38,11 +38,23 @@ from shelfwise.session import drop_shared, shared_table
 SEED = 42
 
 
+#: Rows from which on a training set is worth a further task.
+TASK_ROWS = 5_000
+
+
 def right_size(df: DataFrame) -> DataFrame:
-    """The training set written once in the shared folder and read back: what feeds it keeps its own
-    partitions and runs once, and iterative fits get partitions by bytes (small sets a few, whatever
-    their rows' width), with nothing left in the executors' memory."""
-    return shared_table(df)
+    """The training set written once in the shared folder and read back: what feeds it runs once, with its own partitions,
+    and nothing is left in the executors' memory. Few bytes often are many rows (a narrow table comes back as one
+    file, one task), so a set that one task would read most of is written again in even parts, as many
+    as the cluster has cores, with at least ``TASK_ROWS`` rows each."""
+    stored = shared_table(df)
+    sizes = [r["count"] for r in stored.groupBy(F.spark_partition_id()).count().collect()]  # a row a task
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes) // TASK_ROWS))
+    if parts < 2 or max(sizes) * parts <= 2 * sum(sizes):
+        return stored
+    even = shared_table(stored.repartition(parts))
+    drop_shared(stored)
+    return even
 
 
 def regressors(features: str = "features", label: str = "label", trees: int = 100, tree_depth: int = 30,

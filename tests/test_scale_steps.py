@@ -109,3 +109,12 @@ def test_votes_are_counted_in_tasks_of_bounded_rows(spark, monkeypatch):
     voted = metrics.hard_vote(votes)
     assert voted.rdd.getNumPartitions() >= 40
     assert voted.where("prediction = 0").count() == 100  # a tie each: the smaller label
+
+
+def test_narrow_training_sets_are_dealt_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 100, raising=False)
+    cores = spark.sparkContext.defaultParallelism
+    got = models.right_size(spark.range(100 * max(cores, 2)).coalesce(1))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 100 * max(cores, 2) and max(sizes) <= 2 * sum(sizes) / max(cores, 2)
+    assert models.right_size(spark.range(99).coalesce(1)).rdd.getNumPartitions() == 1
