@@ -28,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.arrow import small_batches
+from shelfwise.llm.arrow import gathered, small_batches
 from shelfwise.llm.tokens import encoder
 from shelfwise.session import shared_table
 
 K1, B = 1.2, 0.75
+ENCODE_BYTES = 16 << 20  # texts that are encoded together: the more, the more of their words repeat
 _DIM = 48  # coordinates of a projected document
 _SAMPLE = 16384  # documents that the tree is grown on, at least; 16 for each leaf
 _DEPTH = 14  # levels of the tree, at most; beyond as many leaves a hash of the row cuts them
@@ -189,7 +190,7 @@ def corpus_stats(encoded: DataFrame) -> Stats:
             for ids in _arrays(b.column(0)):
                 if int(ids.max()) >= len(df):
                     df = np.append(df, np.zeros(int(ids.max()) + 1 - len(df), np.int64))
-                df[np.unique(ids)] += 1
+                df[_distinct(ids)] += 1
                 n, tokens = n + 1, tokens + len(ids)
         term = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, tokens]))], names=["term", "n"])
@@ -226,22 +227,42 @@ class Tree:
         return node - (1 << self.depth)
 
 
+def _as_bytes(lists: pa.ListArray) -> pa.Array:
+    """The ids of each row as bytes, which Spark copies whole: two for an id if all of the batch fit, else
+    four and one more byte for the row, so the length tells which."""
+    ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+    if not len(ids) or ids.max() < 1 << 16:
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(2 * ends), pa.py_buffer(ids.astype("<u2"))])
+    return pa.array([ids[a:z].astype("<i4").tobytes() + b"\0" for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+
+
 def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
-    """The ids of each row of a list column."""
-    ends = column.offsets.to_numpy()
-    flat = column.values.to_numpy()
-    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        yield flat[a:z]
+    """The ids of each row of a list column, or of one of :func:`_as_bytes`."""
+    if pa.types.is_list(column.type):
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield flat[a:z]
+        return
+    for row in column:
+        held = row.as_buffer()
+        yield np.frombuffer(held, "<i4", held.size // 4) if held.size % 2 else np.frombuffer(held, "<u2")
+
+
+def _distinct(ids: np.ndarray) -> np.ndarray:
+    """The different ids in order."""
+    ids = np.sort(ids)
+    return ids[np.append(True, ids[1:] != ids[:-1])]
 
 
 def _projected(docs: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
     """One unit vector for each document: its distinct terms' idf rows, summed."""
-    out = np.stack([signs[np.unique(ids)].sum(axis=0) for ids in docs])
+    out = np.stack([np.add.reduce(signs.take(_distinct(ids), axis=0)) for ids in docs])
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def by_likeness(encoded: DataFrame, stats: Stats, partitions: int) -> DataFrame:
-    """``encoded`` dealt to ``partitions`` ranges of leaves and sorted by leaf; columns stay.
+    """``encoded`` dealt to ``partitions`` ranges of leaves and sorted by leaf; its columns ``id_`` and ``ids_`` stay, its
+    ``salt_``, a hash of both, goes.
 
     The shares of the leaves in the sample say which partitions a leaf fills; where these are several,
     a hash of the row cuts it. So a row's partition follows from the row and nothing is counted or sampled again.
@@ -251,7 +272,7 @@ def by_likeness(encoded: DataFrame, stats: Stats, partitions: int) -> DataFrame:
     depth = min(_DEPTH, max(0, (4 * partitions - 1).bit_length()))
     wanted = max(_SAMPLE, 16 << depth)
     rate = min(1.0, wanted / max(stats.n, 1))
-    drawn = encoded.filter(F.pmod(F.xxhash64("id_", "ids_"), F.lit(1 << 31)) < int(rate * (1 << 31)))
+    drawn = encoded.filter(F.pmod("salt_", F.lit(1 << 31)) < int(rate * (1 << 31)))
     sent = encoded.sparkSession.sparkContext.broadcast(signs)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +295,15 @@ def by_likeness(encoded: DataFrame, stats: Stats, partitions: int) -> DataFrame:
         for b in batches:
             if len(b):
                 leaf = leaves.leaves(_projected(list(_arrays(b.column(1))), sent.value))
-                salt = b.column(b.num_columns - 1).to_numpy()
+                salt = b.column(2).to_numpy()
                 place = begin[leaf] + width[leaf] * ((salt & 0xFFFFFF) / (1 << 24))
                 part = np.clip((place * partitions).astype(np.int32), 0, partitions - 1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf, pa.int64()), pa.array(part)], names=[*b.schema.names, "leaf_", "part_"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    salted = encoded.withColumn("salt_", F.xxhash64(*encoded.columns))
-    placed = salted.mapInArrow(assign, f"{fields}, salt_ long, leaf_ long, part_ int")
+    placed = encoded.mapInArrow(assign, f"{fields}, leaf_ long, part_ int")
     dealt = placed.repartitionById(partitions, F.col("part_")).sortWithinPartitions("leaf_", "salt_")
-    return dealt.select(*encoded.columns)
+    return dealt.select("id_", "ids_")
 
 
 def pack(
@@ -325,7 +345,7 @@ def pack(
                 place = 0
                 for d, at, n in pieces:
                     key, ids, _ = held[d]
-                    part = np.ascontiguousarray(ids[at : at + n])
+                    part = ids[at : at + n].astype("<i4")
                     row = [key, at, n, zlib.crc32(part), len(ids), first + made, place]
                     for c, x in zip(cols, row + [part] * keep_ids):
                         c.append(x)
@@ -357,15 +377,16 @@ def pack(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for b in batches:
-            ids = [np.append(encode(t.as_py()), np.int32(end_id)).astype(np.int32) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id_", "ids_"])
+        for b in gathered(batches, ENCODE_BYTES):
+            ids = encode.lists(b.column(1), end_id)
+            yield pa.record_batch([b.column(0), ids, _as_bytes(ids)], names=["id_", "list_", "ids_"])
 
     src = df.select(F.col(id_col), F.col(text_col).cast("string"))
-    coded = shared_table(src.mapInArrow(encoded, f"id_ {df.schema[id_col].dataType.simpleString()}, ids_ array<int>"))
+    kept = src.mapInArrow(encoded, f"id_ {df.schema[id_col].dataType.simpleString()}, list_ array<int>, ids_ binary")
+    coded = shared_table(kept.select("id_", "ids_", F.xxhash64("id_", "list_").alias("salt_")))
     stats = corpus_stats(coded)
     sent = df.sparkSession.sparkContext.broadcast(stats)
     # a quarter more than needed: a range that runs over would end in a small shard
     partitions = math.ceil(1.25 * max(stats.n * stats.mean / shard_tokens, stats.n / shard_docs))
-    dealt = by_likeness(coded, stats, partitions) if partitions > 1 else coded.repartition(1).sortWithinPartitions(F.xxhash64("id_", "ids_"))
+    dealt = by_likeness(coded, stats, partitions) if partitions > 1 else coded.repartition(1).sortWithinPartitions("salt_").drop("salt_")
     return dealt.mapInArrow(run, fields)

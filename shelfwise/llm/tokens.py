@@ -2,7 +2,8 @@
 
 A blank before a non-blank always starts a new pre-token and nothing before it matters to
 what follows, so the units between such blanks are encoded one by one. Running text repeats
-its words: most units come from a bounded cache and only new ones are encoded.
+its words: for one text, units come from a bounded cache and only new ones are encoded; for a column of
+texts, Arrow finds its different units, and these are encoded in one call.
 """
 
 from __future__ import annotations
@@ -13,11 +14,15 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed value: the pre-token pattern of byte-level BPE (also in the tokenizer files' package).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEFORE_BLANK = re.compile(r" (?:\s|$)")
 _UNIT = re.compile(r" (?=\S)")
+#: Stands between units that are encoded in one call: white space before a blank is a pre-token of its own.
+_APART = "\r"
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -65,12 +70,15 @@ class Encoder:
             ranks = {bytes(byte[c] for c in tok): no for tok, no in vocab.items() if tok not in special}
             own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             self._plain = own.encode_ordinary
+            apart = self._plain(_APART)
+            self._apart = apart[0] if len(apart) == 1 else None
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
             t.encode_special_tokens = True
             self._plain = lambda s: t.encode(s, add_special_tokens=False).ids
+            self._apart = None
         added = {t["content"]: array("i", [t["id"]]).tobytes() for t in spec.get("added_tokens", [])}
         self._added = added
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -92,6 +100,48 @@ class Encoder:
         return np.frombuffer(b"".join(self._added[p] if i % 2 else self._packed(p) for i, p in enumerate(parts)), np.int32)
 
 
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of units, each after a blank: all ids, and where each unit's begin and how many they are."""
+        together = np.array([self._apart is not None and _APART not in u and not u[-1:].isspace() for u in units], bool)
+        start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        parts = []
+        if together.any():
+            ids = np.array(self._plain(" " + f"{_APART} ".join([u for u, t in zip(units, together.tolist()) if t])), np.int32)
+            ends = np.append(np.flatnonzero(ids == self._apart), len(ids))
+            length[together] = np.diff(ends, prepend=-1) - 1
+            start[together] = ends - length[together]
+            parts.append(ids)
+        filled = sum(map(len, parts))
+        for i in np.flatnonzero(~together).tolist():
+            parts.append(np.array(self._plain(" " + units[i]), np.int32))
+            start[i], length[i] = filled, len(parts[-1])
+            filled += len(parts[-1])
+        return np.concatenate([np.empty(0, np.int32), *parts]), start, length
+
+    def lists(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text and ``end_id`` (null text: only that id)."""
+        texts = texts.cast(pa.string()).fill_null("")
+        whole = [(self._special is not None and self._special.search(t) is not None) or _BEFORE_BLANK.search(t) is not None for t in texts.to_pylist()]
+        split = pc.split_pattern(pc.if_else(pa.array(whole, pa.bool_()), "", texts), " ")
+        row = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        ids, start, length = self._units(coded.dictionary.to_pylist())
+        unit = coded.indices.to_numpy()
+        start, length = start[unit], length[unit]
+        # what has no blank before it (a text's first unit), texts that are not cut, and the end have ids of their own
+        firsts = []
+        for text, w in zip(texts.to_pylist(), whole):
+            firsts.append(self(text) if w else np.array(self._plain(text.partition(" ")[0]), np.int32))
+        begin = len(ids) + np.append(0, np.cumsum([len(f) for f in firsts], dtype=np.int64))
+        start[row[:-1]], length[row[:-1]] = begin[:-1], np.diff(begin)
+        ids = np.concatenate([ids, *firsts, np.array([end_id], np.int32)])
+        start, length = np.insert(start, row[1:], len(ids) - 1), np.insert(length, row[1:], 1)
+        ends = np.append(0, np.cumsum(length))
+        at = np.repeat((start - ends[:-1]).astype(np.int32), length)
+        at += np.arange(len(at), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends[row + np.arange(len(row))], pa.int32()), pa.array(ids[at]))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""

@@ -31,6 +31,29 @@ def test_ids_equal_the_tokenizers_library(plain):
         assert e(t).tolist() == plain(t), repr(t)
 
 
+def test_a_column_of_texts_is_encoded_unit_by_unit(plain, monkeypatch):
+    import pyarrow as pa
+
+    e = Encoder(tokenizer_path())
+    texts = [None, "", " ", "a", "one two one two", "two one", "a <|endoftext|> b", "a  b", "x\r y\t z", "q\n r", "\r a \rb", "'s 's a'd", "日本 a", "a \x1c b", "one"]
+    calls, own = [], e._plain
+    monkeypatch.setattr(e, "_plain", lambda s: calls.append(s) or own(s))
+    assert e.lists(pa.array(texts), 1).to_pylist() == [[*plain(t), 1] for t in texts]
+    assert sum(c.split().count("two") for c in calls) <= 2  # as a first unit and as a later one
+    assert e.lists(pa.array([], pa.string()), 1).to_pylist() == []
+
+
+def test_ids_are_stored_as_bytes_of_two_or_four():
+    import pyarrow as pa
+
+    for wide in (65535, 65536):
+        rows = [[1, 2, wide], [], [7]]
+        stored = P._as_bytes(pa.array(rows, pa.list_(pa.int32())))
+        assert [len(v) for v in stored.to_pylist()] == ([6, 0, 2] if wide < 1 << 16 else [13, 1, 5])
+        assert [ids.tolist() for ids in P._arrays(stored.slice(1))] == rows[1:]
+        assert [ids.tolist() for ids in P._arrays(stored)] == rows
+
+
 def test_bm25_scores():
     rng = random.Random(6)
     docs = [[rng.randint(0, 30) for _ in range(rng.randint(1, 40))] for _ in range(25)]
