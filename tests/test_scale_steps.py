@@ -118,3 +118,22 @@ def test_narrow_training_sets_are_dealt_to_all_tasks(spark, monkeypatch):
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 100 * max(cores, 2) and max(sizes) <= 2 * sum(sizes) / max(cores, 2)
     assert models.right_size(spark.range(99).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_small_fits_of_a_curve_are_not_cut_into_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "CURVE_TASK_ROWS", 100, raising=False)
+    seen = []
+
+    class Constant:
+        def fit(self, train):
+            seen.append((train.count(), train.rdd.getNumPartitions()))
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(1.0))
+
+    data = spark.range(300).selectExpr("id", "cast(id % 2 as int) as label")
+    monkeypatch.setattr(models, "right_size", lambda df: models.shared_table(df.repartition(6)))
+    got = models.learning_curve(data, Constant(), folds=3, sizes=(0.2, 1.0)).collect()
+    assert len(seen) == 6 and all(parts <= -(-rows // 100) for rows, parts in seen)
+    assert [round(r["train_accuracy"], 1) for r in got] == [0.5, 0.5]
