@@ -167,3 +167,22 @@ def test_sparse_updates_equal_dense_ones(spark, loss):
     w, b = online.fit_online(df, 50, loss=loss, epochs=3, tol=-np.inf)
     want_w, want_b = dense_epochs(rows, 50, loss, 3)
     assert np.abs(w - want_w).max() < 1e-9 and abs(b - want_b) < 1e-9
+
+
+def test_online_losses_learn_side_by_side_from_rows_read_once(spark):
+    r = np.random.default_rng(9)
+    rows = [(sorted(r.choice(30, 4, replace=False).tolist()), r.normal(size=4).tolist(), [0, 1, None][i % 3]) for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "indices array<int>, `values` array<double>, label int").coalesce(1)
+    df = df.mapInPandas(count, df.schema)
+    together = online.fit_online_losses(df, 30, epochs=4, tol=-np.inf)
+    assert seen.value == 60  # not once for each epoch and loss
+    for loss, (w, b) in together.items():
+        want_w, want_b = dense_epochs([(i, v, y or 0) for i, v, y in rows], 30, loss, 4)
+        assert np.abs(w - want_w).max() < 1e-9 and abs(b - want_b) < 1e-9
