@@ -99,21 +99,37 @@ class Encoder:
         parts = self._special.split(text)  # added tokens at odd places
         return np.frombuffer(b"".join(self._added[p] if i % 2 else self._packed(p) for i, p in enumerate(parts)), np.int32)
 
+    def _units(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of units, each after a blank: all ids, and where each unit's begin and how many they are.
 
-    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of units, each after a blank: all ids, and where each unit's begin and how many they are."""
-        together = np.array([self._apart is not None and _APART not in u and not u[-1:].isspace() for u in units], bool)
+        Units are joined by Arrow and encoded in one call; only those whose last byte is no printable ASCII become
+        Python's strings, to see whether they end in white space."""
         start, length = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        together = np.zeros(len(units), bool)
+        if self._apart is not None and len(units):
+            ends = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1]
+            data = np.frombuffer(units.buffers()[2] or b"", np.uint8)
+            held = np.flatnonzero(np.diff(ends))
+            last = data[ends[held + 1] - 1]
+            together[held] = (last > 0x20) & (last < 0x7F)
+            apart = np.flatnonzero(data[ends[0] : ends[-1]] == ord(_APART)) + ends[0]
+            together[np.searchsorted(ends, apart, side="right") - 1] = False
+            others = np.flatnonzero(~together)
+            found = units.take(pa.array(others)).to_pylist()
+            together[others] = [u != "" and _APART not in u and not u[-1].isspace() for u in found]
         parts = []
         if together.any():
-            ids = np.array(self._plain(" " + f"{_APART} ".join([u for u, t in zip(units, together.tolist()) if t])), np.int32)
-            ends = np.append(np.flatnonzero(ids == self._apart), len(ids))
-            length[together] = np.diff(ends, prepend=-1) - 1
-            start[together] = ends - length[together]
+            joined = units.filter(pa.array(together))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined), f"{_APART} ")[0].as_py()
+            ids = np.array(self._plain(" " + joined), np.int32)
+            at = np.append(np.flatnonzero(ids == self._apart), len(ids))
+            length[together] = np.diff(at, prepend=-1) - 1
+            start[together] = at - length[together]
             parts.append(ids)
+        alone = np.flatnonzero(~together)
         filled = sum(map(len, parts))
-        for i in np.flatnonzero(~together).tolist():
-            parts.append(np.array(self._plain(" " + units[i]), np.int32))
+        for i, unit in zip(alone.tolist(), units.take(pa.array(alone)).to_pylist()):
+            parts.append(np.array(self._plain(" " + unit), np.int32))
             start[i], length[i] = filled, len(parts[-1])
             filled += len(parts[-1])
         return np.concatenate([np.empty(0, np.int32), *parts]), start, length
@@ -125,7 +141,7 @@ class Encoder:
         split = pc.split_pattern(pc.if_else(pa.array(whole, pa.bool_()), "", texts), " ")
         row = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        ids, start, length = self._units(coded.dictionary.to_pylist())
+        ids, start, length = self._units(coded.dictionary)
         unit = coded.indices.to_numpy()
         start, length = start[unit], length[unit]
         # what has no blank before it (a text's first unit), texts that are not cut, and the end have ids of their own

@@ -43,6 +43,15 @@ def test_a_column_of_texts_is_encoded_unit_by_unit(plain, monkeypatch):
     assert e.lists(pa.array([], pa.string()), 1).to_pylist() == []
 
 
+def test_units_of_a_column_stay_in_arrow(plain):
+    import pyarrow as pa
+
+    units = ["ab", "", "a\rb", "c\x1c", "é", "d\u3000", "x\n", "1.", "\r"]
+    column = pa.array(["left out", *units, "left out"])[1:-1]
+    ids, start, length = Encoder(tokenizer_path())._units(column)
+    assert [ids[a : a + n].tolist() for a, n in zip(start, length)] == [plain(" " + u) for u in units]
+
+
 def test_ids_are_stored_as_bytes_of_two_or_four():
     import pyarrow as pa
 
