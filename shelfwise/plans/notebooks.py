@@ -77,7 +77,7 @@ def text_study(texts: DataFrame, max_features: int = 20000, trees: int = 100) ->
     feats = text.to_sparse(weights, size).join(cleaned.select("doc_id", "label"), "doc_id")
     data = models.right_size(features.stratified_split(feats, "label", ["doc_id"]))
     train, test = data.where("is_test = 0"), data.where("is_test = 1")
-    fitted, times = models.fit_all(models.text_classifiers(trees=trees), train)
+    fitted, times = models.fit_all(models.text_classifiers(trees=trees), train, at_once=4)
     fitted["RidgeClassifier"] = models.ridge_classifier(train)
     board = models.classification_leaderboard(fitted, test, times=times, train=train)
     voters = {k: fitted[k] for k in ["LinearSVC", "LogisticRegression", "RandomForest", "RidgeClassifier"]}
